@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality, secret_scan, sharding, token_store, unigram, url_rules
+from . import decontam, jaccard, quality, secret_scan, sharding, token_store, unigram, url_rules
 from ._common import table
 
 
@@ -40,6 +40,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -134,6 +138,7 @@ _QUERIES = (
     op3_sharding,
     op4_token_store,
     op5_token_counts,
+    op6_jaccard_join,
     op8_secret_scans,
     op9_url_filters,
 )
