@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, quality, secret_scan, sharding, token_store, unigram, url_rules
+from . import decontam, jaccard, quality, secret_scan, sharding, suffixes, token_store, unigram, url_rules
 from ._common import table
 
 
@@ -44,6 +44,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -139,6 +143,7 @@ _QUERIES = (
     op4_token_store,
     op5_token_counts,
     op6_jaccard_join,
+    op7_suffix_dedup,
     op8_secret_scans,
     op9_url_filters,
 )
