@@ -1,34 +1,42 @@
 """Byte-level BPE as folds of ranked merges, in Spark's higher-order functions.
 
-A task splits its documents into pieces and keeps each distinct piece once, as a byte array, with
-the documents as lists of piece numbers (a narrow step: nothing is shuffled, and a hot word costs
-one entry). Spark then folds the ranked merges over the byte arrays against a literal rank map, and
-the ids of a document are gathered by its piece numbers. Decoding concatenates binary pieces.
+Spark splits every text into pieces; a task keeps each distinct piece of a block of documents once, as
+a byte array, and the documents as lists of piece numbers. This step is narrow: nothing is shuffled,
+and a very frequent word costs one entry. Spark then folds the ranked merges over the byte arrays
+against a literal rank map and concatenates the binary pieces of the ids again; the ids and bytes of
+a document are gathered by its piece numbers. Rows of a partition keep their order throughout, so
+the pieces of a block precede its documents.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
-import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of the rank map, a prime number: Spark searches a bucket from its start, so each is kept short.
-RANK_BUCKETS = 131_071
-#: Text that a task holds at once; a longer document makes a block of its own.
-BLOCK_BYTES = 24 << 20
+from ._common import id_text
+
 #: Distinct pieces that one row carries through the fold.
 CHUNK = 512
-_NONE = 2**31 - 1
+#: A block ends with the batch of documents that takes it beyond so many pieces: a task holds one block.
+BLOCK_PIECES = 24_000_000
+#: Input partitions that one task takes, where there are more than cores: larger blocks fold fewer pieces twice.
+MERGE_PARTITIONS = 4
+#: White space by Unicode's property, for regular expressions whose \\s is ASCII's.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bits of an id or rank in a packed number; all ones mean that a pair doesn't merge.
+BITS = 20
+_NONE = (1 << BITS) - 1
+#: Bits of a place in a piece.
+PLACE_BITS = 31
+_PLACE = (1 << PLACE_BITS) - 1
 
 
 def default_ranks() -> str:
@@ -37,6 +45,12 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Piece to rank, from a file of lines ``base64 rank``."""
@@ -58,56 +72,229 @@ def merge_table(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
+def _is_prime(n: int) -> bool:
+    return all(n % k for k in range(2, int(n**0.5) + 1))
+
+
+def _places(keys: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """The rank map as two arrays with one possible place for a key in each (cuckoo hashing).
+
+    A key's place is its remainder by the array's length, a prime. Returns both lengths and arrays of
+    packed (key, rank); Spark reads two places per pair, however many pairs there are.
+    """
+    size = max(11, len(keys))
+    while True:
+        primes: list[int] = []
+        n = size | 1
+        while len(primes) < 2:
+            if _is_prime(n):
+                primes.append(n)
+            n += 2
+        tables: list[list[int | None]] = [[None] * n for n in primes]
+        for key in keys:
+            side, moves = 0, 0
+            while moves < 500:
+                at = key % primes[side]
+                key, tables[side][at] = tables[side][at], key
+                if key is None:
+                    break
+                side, moves = 1 - side, moves + 1
+            else:
+                break
+        else:
+            packed = [[-1 if k is None else k << BITS | keys[k] for k in t] for t in tables]
+            return primes, *packed
+        size = size * 5 // 4
+
+
 def _literal(spec: object, ddl: str) -> Column:
     """A constant of a complex type: the optimizer turns it into one literal."""
     return F.from_json(F.lit(json.dumps(spec)), ddl)
 
 
+def _if(condition: Column, yes: Column, no: Column) -> Column:
+    return F.call_function("if", condition, yes, no)
+
+
 class Folder:
-    """The columns of the fold for one vocabulary."""
-
-    def __init__(self, ranks: dict[bytes, int], buckets: int = RANK_BUCKETS):
-        self.base = max(ranks.values(), default=0) + 1
-        keys: list[list[int]] = [[] for _ in range(buckets)]
-        values: list[list[int]] = [[] for _ in range(buckets)]
-        for (left, right), rank in merge_table(ranks).items():
-            key = left * self.base + right
-            keys[key % buckets].append(key)
-            values[key % buckets].append(rank)
-        self.buckets = buckets
-        self.keys, self.values = _literal(keys, "array<array<bigint>>"), _literal(values, "array<array<int>>")
-        self.single = _literal([ranks.get(bytes([b]), -1) for b in range(256)], "array<int>")
+    """The columns of encoding and decoding for one vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        missing = [b for b in range(256) if bytes([b]) not in ranks]
+        if missing or max(ranks.values()) >= _NONE:
+            raise ValueError(f"every byte needs an id, and ids must be below {_NONE}")
+        self.base = max(ranks.values()) + 1
+        merges = {left * self.base + right: rank for (left, right), rank in merge_table(ranks).items()}
+        self.primes, *tables = _places(merges)
+        self.tables = [_literal(t, "array<bigint>") for t in tables]
+        self.single = _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
+        by_id: list[str | None] = [None] * self.base
+        for piece, rank in ranks.items():
+            by_id[rank] = base64.b64encode(piece).decode()
+        self.pieces = _literal(by_id, "array<binary>")
 
     def rank(self, left: Column, right: Column) -> Column:
-        """The rank of merging two ids, or the greatest int; null ids never merge."""
-        key = left.cast("long") * F.lit(self.base).cast("long") + right
-        bucket = F.pmod(key, F.lit(self.buckets)).cast("int")
-        at = F.array_position(F.get(self.keys, bucket), key).cast("int") - 1
-        return F.coalesce(F.get(F.get(self.values, bucket), at), F.lit(_NONE))
+        """The rank of merging two ids; all ones where they don't merge or one is null."""
+        key = left * F.lit(self.base) + right
+        found = [F.get(t, (key % p).cast("int")) for t, p in zip(self.tables, self.primes, strict=True)]
+        hit = [F.shiftright(e, BITS) == key for e in found]
+        return _if(hit[0], found[0].bitwiseAND(_NONE), _if(hit[1], found[1].bitwiseAND(_NONE), F.lit(_NONE).cast("long")))
 
     def ids(self, codes: Column) -> Column:
-        """The ids of one piece, given as the array of its bytes (0 to 255)."""
-        n = F.size(codes)
-        start = F.transform(codes, lambda b: F.get(self.single, b))
+        """The ids of one piece, given as the array of its bytes (0 to 255).
+
+        The state is an array of (rank of the merge with the next id, id), packed. A step merges the
+        leftmost pair of the lowest rank and looks up the two pairs that it makes.
+        """
 
-        def first(ids: Column) -> Column:
-            # zip_with would visit both arrays; transform with an index needs one
-            return F.transform(ids, lambda x, i: self.rank(x, F.get(ids, i + 1)))
+        def pack(ident: Column, following: Column) -> Column:
+            return F.shiftleft(self.rank(ident, following), BITS).bitwiseOR(ident)
 
         def step(s: Column, _: Column) -> Column:
-            low = F.array_min(s["ranks"])
-
-            def merged(place: Column) -> Column:
-                ids, ranks, at, rank = s["ids"], s["ranks"], place["at"], place["rank"]
-                size = F.size(ids)
-                head, tail = F.slice(ids, 1, at - 1), F.slice(ids, at + 2, F.greatest(size - at - 1, F.lit(0)))
-                before = F.when(at > 1, F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), F.array(self.rank(F.get(ids, at - 2), rank)))).otherwise(F.slice(ranks, 1, 0))
-                after = F.concat(F.array(self.rank(rank, F.get(ids, at + 1))), F.slice(ranks, at + 2, F.greatest(size - at - 1, F.lit(0))))
-                return F.struct(F.concat(head, F.array(rank), tail).alias("ids"), F.concat(before, after).alias("ranks"))
-
-            places = F.array(F.struct(low.alias("rank"), F.array_position(s["ranks"], low).cast("int").alias("at")))
-            return F.when(low == _NONE, s).otherwise(F.get(F.transform(places, merged), 0))
-
-        begin = F.get(F.transform(F.array(start), lambda ids: F.struct(ids.alias("ids"), first(ids).alias("ranks"))), 0)
-        folded = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), begin, step, lambda s: s["ids"])
-        return F.when(n == 0, F.array().cast("array<int>")).otherwise(folded)
+            def merged(p: Column) -> Column:
+                at, low = p.bitwiseAND(_PLACE).cast("int"), F.shiftright(p, PLACE_BITS)
+                new = pack(low, F.get(s, at + 2).bitwiseAND(_NONE))
+                left = pack(F.get(s, at - 1).bitwiseAND(_NONE), low)
+                middle = F.flatten(F.array(F.slice(s, 1, at - 1), F.array(left, new), F.slice(s, at + 3, F.size(s))))
+                front = F.flatten(F.array(F.array(new), F.slice(s, 3, F.size(s))))
+                return _if(p >= F.lit(_NONE << PLACE_BITS), s, _if(at > 0, middle, front))
+
+            # Array of one: binds the lowest (rank, place), so that it is found once a step.
+            first = F.array_min(F.transform(s, lambda x, i: F.shiftleft(F.shiftright(x, BITS), PLACE_BITS).bitwiseOR(i)))
+            return F.get(F.transform(F.array(first), merged), 0)
+
+        start = F.array(F.transform(codes, lambda b: F.get(self.single, b)))
+        packed = F.get(F.transform(start, lambda ids: F.transform(ids, lambda x, i: pack(x, F.get(ids, i + 1)))), 0)
+        folded = F.aggregate(F.slice(codes, 2, F.size(codes)), packed, step)
+        return F.transform(folded, lambda x: x.bitwiseAND(_NONE).cast("int"))
+
+    def decoded(self, ids: Column) -> Column:
+        """The bytes of ids: their binary pieces, concatenated."""
+        return F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, F.get(self.pieces, i)))
+
+
+_BLOCK = "doc_id long, words array<array<smallint>>, numbers binary"
+
+
+class _Block:
+    """The distinct pieces of some documents, and each document's piece numbers."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        lists = batch.column("pieces")
+        coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+        known = self.known
+        own = np.fromiter((known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()), np.int32)
+        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        numbers = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int32)
+        self.parts.append((batch.column("doc_id"), numbers, ends))
+        self.size += len(numbers)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        words_type, number_type = pa.list_(pa.list_(pa.int16())), pa.binary()
+        words = list(self.known)
+        for a in range(0, len(words), CHUNK * 16):
+            some = words[a : a + CHUNK * 16]
+            ends = np.concatenate(([0], np.cumsum([len(w) for w in some]))).astype(np.int32)
+            raw = np.frombuffer(b"".join(some), np.uint8).astype(np.int16)
+            cuts = np.minimum(np.arange(0, len(some) + CHUNK, CHUNK), len(some)).astype(np.int32)
+            rows = pa.ListArray.from_arrays(pa.array(cuts), pa.ListArray.from_arrays(pa.array(ends), pa.array(raw)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), rows, pa.nulls(len(rows), number_type)], names=["doc_id", "words", "numbers"])
+        for names, numbers, ends in self.parts:
+            each = [numbers[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([names, pa.nulls(len(each), words_type), pa.array(each, number_type)], names=["doc_id", "words", "numbers"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of distinct pieces as byte arrays, then a row of piece numbers per document, block by block."""
+    block = _Block()
+    for b in batches:
+        block.add(b)
+        if block.size >= BLOCK_PIECES:
+            yield from block.rows()
+            block = _Block()
+    if block.parts:
+        yield from block.rows()
+
+
+def _gather(values: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that ``numbers`` name, one after the other."""
+    starts, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+    total = int(sizes.sum())
+    shift = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) if len(numbers) else np.zeros(0, np.int64)
+    return values[shift + np.arange(total)]
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents' ids and decoded bytes, from the piece rows before them."""
+    ids: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    raw: list[np.ndarray] = []
+    raw_sizes: list[np.ndarray] = []
+    ready = None
+    for b in batches:
+        rows = list(zip(b.column("numbers").is_valid().to_pylist(), range(b.num_rows), strict=True))
+        out: list[tuple] = []
+        i = 0
+        while i < len(rows):
+            j = i
+            while j < len(rows) and rows[j][0] == rows[i][0]:
+                j += 1
+            part = b.slice(i, j - i)
+            if not rows[i][0]:
+                if ready is not None:
+                    ids, sizes, raw, raw_sizes, ready = [], [], [], [], None
+                inner = part.column("ids").flatten()
+                ids.append(inner.flatten().to_numpy(zero_copy_only=False))
+                sizes.append(inner.value_lengths().to_numpy(zero_copy_only=False))
+                texts = part.column("decoded").flatten()
+                raw.append(np.frombuffer(b"".join(texts.to_pylist()), np.uint8))
+                raw_sizes.append(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
+            else:
+                if ready is None:
+                    ready = [
+                        (np.concatenate([*v, np.zeros(0, k)]).astype(k), np.concatenate(([0], np.cumsum(np.concatenate([*s, np.zeros(0, np.int64)])))).astype(np.int64))
+                        for v, s, k in ((ids, sizes, "<u4"), (raw, raw_sizes, np.uint8))
+                    ]
+                for name, numbers in zip(part.column("doc_id").to_pylist(), part.column("numbers").to_pylist(), strict=True):
+                    at = np.frombuffer(numbers, "<i4").astype(np.int64)
+                    out.append((name, _gather(*ready[0], at).tobytes(), _gather(*ready[1], at).tobytes()))
+            i = j
+        cols = list(zip(*out, strict=True)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "ids", "decoded"])
+
+
+def split_pattern(pattern: str) -> str:
+    """``pattern`` for Spark's regular expressions, with white space by Unicode's property."""
+    inside = pattern.replace(r"[^\s", f"[^{WHITE}")
+    return inside.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
+
+
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ids, decoded) of every row: ids as little-endian 32-bit numbers, and the bytes they decode to.
+
+    A null or empty text has no ids. Repeated rows are encoded each; an empty table gives an empty result;
+    other columns are not read. A piece of n bytes takes n steps of up to n copied numbers.
+    """
+    folder = Folder(load_ranks(ranks_path or default_ranks()))
+    text = F.coalesce("text", F.lit(""))
+    pieces = id_text(docs).select("doc_id", F.regexp_extract_all(text, F.lit(split_pattern(pattern or default_pattern())), F.lit(0)).alias("pieces"))
+    parts = pieces.rdd.getNumPartitions()
+    pieces = pieces.coalesce(max(1, min(parts, docs.sparkSession.sparkContext.defaultParallelism), -(-parts // MERGE_PARTITIONS)))
+    words = pieces.mapInArrow(_blocks, _BLOCK).select("doc_id", "numbers", F.transform("words", folder.ids).alias("ids"))
+    both = words.select("doc_id", "numbers", "ids", F.transform("ids", folder.decoded).alias("decoded"))
+    return both.mapInArrow(_documents, "doc_id long, ids binary, decoded binary")
+
+
+def digest(encoded: DataFrame) -> DataFrame:
+    """The digest columns of ``encode``'s rows."""
+    return encoded.select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -178,4 +178,4 @@ def digest(scanned: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a test window, with their columns."""
     bad = scan(docs, benchmark, **options).filter("n_hit > 0").select(F.col("doc_id").alias("__bad_id"))
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad_id"), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad_id")), "left_anti")

@@ -333,5 +333,5 @@ def link(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with the columns of ``docs``."""
-    first = link(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__first_id"))
-    return docs.join(first, F.col("doc_id").cast("long") == F.col("__first_id"), "left_semi")
+    first = link(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__first_id"))
+    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__first_id")), "left_semi")

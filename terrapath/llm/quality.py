@@ -218,4 +218,4 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     Ids are taken to be unique; if an id repeats, its rows stay where any of them is kept.
     """
     good = judge(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(good, F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
+    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")

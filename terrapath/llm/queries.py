@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, quality, secret_scan, sharding, suffixes, token_store, unigram, url_rules
+from . import byte_bpe, decontam, jaccard, quality, secret_scan, sharding, suffixes, token_store, unigram, url_rules
 from ._common import table
 
 
@@ -56,6 +56,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def _quality_sql() -> str:
     def level(tag: str, keys: tuple[str, ...]) -> str:
         by = "".join(f"{k}, " for k in keys)
@@ -146,6 +150,7 @@ _QUERIES = (
     op7_suffix_dedup,
     op8_secret_scans,
     op9_url_filters,
+    op10_byte_bpe,
 )
 
 
