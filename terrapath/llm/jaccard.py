@@ -29,6 +29,8 @@ WORDS = 5
 PERCENT = 80
 #: One in so many shingles lengthens the prefix that partners must share several shingles of.
 SPARE = 20
+#: Sets of a batch that hold a shingle before it counts as frequent; bits of the bitmap of such shingles.
+FREQUENT, ORDER_BITS = 8, 1 << 26
 #: Bytes of shingles that one task joins.
 REGION_BYTES = 48 << 20
 PIVOTS = 16
@@ -91,8 +93,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spot(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h * _C1) >> np.uint64(64 - (ORDER_BITS.bit_length() - 1))
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places in the order's bitmap of shingles that many different sets of a batch hold."""
+    for b in batches:
+        sets = {s.tobytes(): s for s in map(shingles, b.column("text").to_pylist())}
+        values, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
+        spots = _spot(values[n >= FREQUENT])
+        word, own = np.unique(spots >> np.uint64(6), return_inverse=True)
+        bits = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(bits, own, np.uint64(1) << (spots & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def _order_bits(plain: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size: shingles whose bit is set come last in the order of the prefixes.
+
+    Any order is right as long as all documents share it; this one keeps passages that many documents
+    share out of the prefixes, so that they don't make partners of strangers.
+    """
+    rows = plain.mapInArrow(_frequent, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(ORDER_BITS // 64, np.int64)
+    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return words.view(np.uint64)
+
+
+def in_order(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The hashes of a set in the order of the prefixes."""
+    spots = _spot(s)
+    late = (bits[(spots >> np.uint64(6)).astype(np.int64)] >> (spots & np.uint64(63))) & np.uint64(1) == 1
+    return np.concatenate((s[~late], s[late])) if late.any() else s
+
+
+def _describe(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # a copy's prefix is the first one's: of each set a task sends one
+    bits = sent.value
     for b in batches:
         n, node, prefix = [], [], []
         for text in b.column("text").to_pylist():
@@ -104,7 +143,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prefix.append(None)
             else:
                 seen.add(key)
-                prefix.append(s[: prefix_size(len(s))].view(np.int64))
+                prefix.append(in_order(s, bits)[: prefix_size(len(s))].view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
             names=["doc_id", "n", "node", "prefix"],
@@ -311,7 +350,9 @@ def link(docs: DataFrame) -> DataFrame:
     stands for its own text. An empty table gives an empty result; other columns are not read.
     """
     plain = id_text(docs)
-    described = materialize(plain.mapInArrow(_describe, "doc_id long, n long, node long, prefix array<long>"), "described")
+    bits = plain.sparkSession.sparkContext.broadcast(_order_bits(plain))
+    described = plain.mapInArrow(lambda batches: _describe(bits, batches), "doc_id long, n long, node long, prefix array<long>")
+    described = materialize(described, "described")
     copies = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     pairs = materialize(_with_partner(described), "pairs")
     parts = materialize(components(pairs, "node", "hub").withColumnRenamed("root", "region"), "parts")
