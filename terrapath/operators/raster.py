@@ -1,10 +1,16 @@
-"""Elevation grids in long form: one row (r, c, h) per cell."""
+"""Elevation grids in long form: one row (tile, r, c, h) per cell.
+
+All operators work on every tile of the table at once; ``tile`` is part of every key.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.flight import colour_channel
+from ..functions.geo import bbox_contains, coordinate_to_index
+
 VOID_BELOW = -1000
 OUTSIDE = 9999
 
@@ -19,10 +25,10 @@ def fill_voids(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return cells.withColumn("h", F.last(F.when(F.col("h") >= VOID_BELOW, F.col("h")), ignorenulls=True).over(order))
 
 
-def stats(cells: DataFrame, where: Column | None = None) -> DataFrame:
+def stats(cells: DataFrame, where: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Least and greatest height, and the box, of the cells that ``where`` selects."""
     chosen = cells if where is None else cells.filter(where)
-    return chosen.agg(
+    return chosen.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("h").alias("h_min"), F.max("h").alias("h_max"),
         F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.min("c").alias("c_min"), F.max("c").alias("c_max"),
     )
@@ -47,22 +53,25 @@ def resample(cells: DataFrame, rows: int, cols: int, factor_r: float, factor_c:
     return (
         cells.withColumn("to_r", F.explode(targets(_axis(rows, new_r), "r")))
         .withColumn("to_c", F.explode(targets(_axis(cols, new_c), "c")))
-        .select(F.col("to_r").alias("r"), F.col("to_c").alias("c"), "h")
+        .select("tile", F.col("to_r").alias("r"), F.col("to_c").alias("c"), "h")
     )
 
 
-def crop(cells: DataFrame, spark_range: DataFrame, r0: int, c0: int, rows: int, cols: int) -> DataFrame:
-    """A window of the grid; cells outside it hold 9999. ``spark_range`` has ids 0 .. rows * cols - 1."""
-    frame = spark_range.select((F.col("id").cast("int") / F.lit(cols)).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"))
+def crop(cells: DataFrame, r0: int, c0: int, rows: int, cols: int) -> DataFrame:
+    """A window of each tile; cells outside the tile hold 9999."""
+    frame = cells.select("tile").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     inner = cells.filter(F.col("r").between(r0, r0 + rows - 1) & F.col("c").between(c0, c0 + cols - 1))
-    moved = inner.select((F.col("r") - r0).alias("r"), (F.col("c") - c0).alias("c"), "h")
-    return frame.join(moved, ["r", "c"], "left").select("r", "c", F.coalesce("h", F.lit(OUTSIDE)).alias("h"))
+    moved = inner.select("tile", (F.col("r") - r0).alias("r"), (F.col("c") - c0).alias("c"), "h")
+    return frame.join(moved, ["tile", "r", "c"], "left").select("tile", "r", "c", F.coalesce("h", F.lit(OUTSIDE)).alias("h"))
+
+
+def mosaic(cells: DataFrame, side: int, across: int) -> DataFrame:
+    """Tiles, numbered row by row, as cells (gr, gc) of one grid ``across`` tiles wide."""
+    return cells.withColumn("gr", (F.floor(F.col("tile") / across) * side + F.col("r")).cast("long")).withColumn("gc", (F.col("tile") % across * side + F.col("c")).cast("long"))
 
 
 def lookup(points: DataFrame, cells: DataFrame, rows: int, cols: int, box: tuple[float, float, float, float]) -> DataFrame:
     """Each point (id, lat, lon) with the height of its cell in a grid over ``box`` (south, west, north, east)."""
-    from ..functions.geo import bbox_contains, coordinate_to_index
-
     s, w, n, e = box
     inside = points.filter(bbox_contains(s, w, n, e, "lat", "lon"))
     at = inside.select("id", "lat", "lon", coordinate_to_index("lat", rows, s, n).alias("r"), coordinate_to_index("lon", cols, w, e).alias("c"))
@@ -72,31 +81,51 @@ def lookup(points: DataFrame, cells: DataFrame, rows: int, cols: int, box: tuple
 def encode_rg(cells: DataFrame, rows: int) -> DataFrame:
     """Pixels of a height image: high and low byte in red and green, first row at the bottom."""
     h = F.greatest(F.lit(0), F.least(F.lit(65_535), F.col("h"))).cast("int")
-    return cells.select(F.col("c").alias("x"), (F.lit(rows - 1) - F.col("r")).alias("y"), F.shiftright(h, 8).alias("red"), h.bitwiseAND(255).alias("green"))
+    return cells.select("tile", F.col("c").alias("x"), (F.lit(rows - 1) - F.col("r")).alias("y"), F.shiftright(h, 8).alias("red"), h.bitwiseAND(255).alias("green"))
 
 
 def decode_rg(pixels: DataFrame, rows: int) -> DataFrame:
-    return pixels.select((F.lit(rows - 1) - F.col("y")).alias("r"), F.col("x").alias("c"), (F.col("red") * 256 + F.col("green")).alias("h"))
+    return pixels.select("tile", (F.lit(rows - 1) - F.col("y")).alias("r"), F.col("x").alias("c"), (F.col("red") * 256 + F.col("green")).alias("h"))
 
 
 def agl_raw(nodes: DataFrame) -> DataFrame:
     """Raw pixels of height above ground: red and green hold it, blue says margin (128) or clear (255)."""
     agl = F.greatest(F.lit(0), F.col("agl")).cast("int")
-    return nodes.select("r", "c", F.shiftright(agl, 8).alias("red"), agl.bitwiseAND(255).alias("green"), F.when(F.col("in_margin"), F.lit(128)).otherwise(F.lit(255)).alias("blue"))
+    return nodes.select("tile", "r", "c", F.shiftright(agl, 8).alias("red"), agl.bitwiseAND(255).alias("green"), F.when(F.col("in_margin"), F.lit(128)).otherwise(F.lit(255)).alias("blue"))
 
 
 def neighbours(cells: DataFrame) -> DataFrame:
     """Every cell with its neighbours to four sides, by a shift of keys and an equi-join."""
-    sides = F.array(*(F.struct(F.lit(i).alias("side"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for i, (dr, dc) in enumerate(((-1, 0), (0, -1), (1, 0), (0, 1)))))
-    moved = cells.select("r", "c", "h", F.explode(sides).alias("s")).select(
-        "r", "c", "h", F.col("s.side").alias("side"), (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc")
-    )
-    other = cells.select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("h").alias("nh"))
-    return moved.join(other, ["nr", "nc"])
+    sides = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((-1, 0), (0, -1), (1, 0), (0, 1))))
+    moved = cells.select("tile", "r", "c", "h", F.explode(sides).alias("s")).select("tile", "r", "c", "h", (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc"))
+    other = cells.select("tile", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("h").alias("nh"))
+    return moved.join(other, ["tile", "nr", "nc"])
+
+
+def corners(cells: DataFrame) -> DataFrame:
+    """Each cell with the heights of the next cells up, right and across, or its own at the edge.
+
+    Two windows over the rows and columns of a tile; the diagonal is the next column's next row.
+    """
+    up = cells.withColumn("up", F.lead("h").over(Window.partitionBy("tile", "c").orderBy("r")))
+    across = Window.partitionBy("tile", "r").orderBy("c")
+    right = up.withColumn("right", F.lead("h").over(across)).withColumn("diag", F.lead("up").over(across))
+    return right.select("tile", "r", "c", "h", *(F.coalesce(x, F.col("h")).alias(f"h_{x}") for x in ("up", "right", "diag")))
+
+
+def placemarks(cells: DataFrame, span: tuple[int, int]) -> DataFrame:
+    """A KML polygon and its colour (alpha, blue, green, red in hex) per cell of ``corners``."""
+    r, c = F.col("r"), F.col("c")
+    points = ((c, r, "h"), (c + 1, r, "h_right"), (c + 1, r + 1, "h_diag"), (c, r + 1, "h_up"))
+    ring = F.concat_ws(" ", *(F.concat_ws(",", x.cast("string"), y.cast("string"), F.col(h).cast("string")) for x, y, h in points))
+    s = (F.col("h") - span[0]) / F.lit(float(span[1] - span[0]))
+    red, green, blue = (colour_channel(s, i) for i in range(3))
+    body = F.concat(F.lit("<Placemark><name>"), F.concat_ws("_", r.cast("string"), c.cast("string")), F.lit("</name><Polygon><coordinates>"), ring, F.lit("</coordinates></Polygon></Placemark>"))
+    return cells.select("r", "c", body.alias("kml"), F.format_string("96%02x%02x%02x", blue, green, red).alias("colour"))
 
 
 def line_of_sight(cells: DataFrame, start: tuple[int, int], start_h: float, cell_m: float, glide: float) -> DataFrame:
-    """Cells that a straight glide from ``start`` reaches above the terrain.
+    """Cells of each tile that a straight glide from ``start`` reaches above the terrain.
 
     Every target is sampled once per cell of its distance; the samples meet the terrain by an equi-join and
     a target stands if no sample lies below ground.
@@ -104,19 +133,19 @@ def line_of_sight(cells: DataFrame, start: tuple[int, int], start_h: float, cell
     r0, c0 = start
     dist = F.sqrt(F.pow(F.col("r") - r0, 2) + F.pow(F.col("c") - c0, 2))
     n = F.greatest(F.ceil(dist), F.lit(1)).cast("int")
-    steps = cells.select("r", "c", dist.alias("dist"), n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    steps = cells.select("tile", "r", "c", dist.alias("dist"), n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
     t = F.col("i") / F.col("n")
     sample = steps.select(
-        "r", "c", "dist",
+        "tile", "r", "c", "dist",
         F.round(F.lit(float(r0)) + (F.col("r") - r0) * t).cast("int").alias("sr"),
         F.round(F.lit(float(c0)) + (F.col("c") - c0) * t).cast("int").alias("sc"),
         (F.lit(start_h) - F.col("dist") * t * cell_m * glide).alias("flight"),
     )
-    ground = cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("h").alias("ground"))
+    ground = cells.select("tile", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("h").alias("ground"))
     return (
-        sample.join(ground, ["sr", "sc"])
-        .groupBy("r", "c", "dist")
+        sample.join(ground, ["tile", "sr", "sc"])
+        .groupBy("tile", "r", "c", "dist")
         .agg(F.max(F.col("flight") < F.col("ground")).alias("blocked"))
         .filter(~F.col("blocked"))
-        .select("r", "c", F.round(F.lit(start_h) - F.col("dist") * cell_m * glide, 6).alias("height"))
+        .select("tile", "r", "c", F.round(F.lit(start_h) - F.col("dist") * cell_m * glide, 6).alias("height"))
     )
