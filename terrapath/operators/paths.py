@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 #: Rows of one chunk of the reduced stream (a fixed value).
 CHUNK_ROWS = 20_000
 
@@ -16,10 +18,10 @@ def backtrace(tree: DataFrame, targets: DataFrame, most_steps: int = 64) -> Data
     A cycle would not end: ``most_steps`` raises an error then.
     """
     parents = tree.select("id", "parent").filter("parent is not null")
-    front = targets.select(F.col("id").alias("target"), F.lit(0).alias("depth"), "id")
+    front = written(targets.select(F.col("id").alias("target"), F.lit(0).alias("depth"), "id"), "front")
     parts = [front]
     for depth in range(1, most_steps + 1):
-        front = front.join(parents, "id").select("target", F.lit(depth).alias("depth"), F.col("parent").alias("id"))
+        front = written(front.join(parents, "id").select("target", F.lit(depth).alias("depth"), F.col("parent").alias("id")), "front")
         if front.isEmpty():
             break
         parts.append(front)
