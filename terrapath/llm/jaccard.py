@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text, materialize
+from ._common import id_text, materialize, new_path
 from .graph import components
 
 WORDS = 5
@@ -37,7 +37,11 @@ PIVOTS = 16
 #: Regions that are cut in one round, so that what is broadcast stays bounded.
 REGIONS_A_ROUND = 64
 #: Document ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
+#: Prefix entries that a task sorts at once before it deals them, and of one bucket.
+BLOCK_ENTRIES, BUCKET_ENTRIES = 2_000_000, 1_500_000
+#: Times that nodes with too few shared shingles are taken out.
+ROUNDS = 2
 CACHE_WORDS = 1_000_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -99,7 +103,7 @@ def _spot(h: np.ndarray) -> np.ndarray:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places in the order's bitmap of shingles that many different sets of a batch hold."""
+    """Places in the order's bitmap of shingles that many different sets of a batch hold, and all shingles counted."""
     for b in batches:
         sets = {s.tobytes(): s for s in map(shingles, b.column("text").to_pylist())}
         values, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
@@ -107,19 +111,25 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, own = np.unique(spots >> np.uint64(6), return_inverse=True)
         bits = np.zeros(len(word), np.uint64)
         np.bitwise_or.at(bits, own, np.uint64(1) << (spots & np.uint64(63)))
-        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+        words, masks = np.append(word.astype(np.int64), -1), np.append(bits.view(np.int64), 0)
+        total = np.zeros(len(words), np.int64)
+        total[-1] = n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(masks), pa.array(total)], names=["word", "bits", "total"])
 
 
-def _order_bits(plain: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size: shingles whose bit is set come last in the order of the prefixes.
+def _order_bits(plain: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of fixed size, and the corpus's shingles. Shingles whose bit is set come last in the order of the prefixes.
 
     Any order is right as long as all documents share it; this one keeps passages that many documents
     share out of the prefixes, so that they don't make partners of strangers.
     """
-    rows = plain.mapInArrow(_frequent, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = plain.mapInArrow(_frequent, "word long, bits long, total long").groupBy("word").agg(F.bit_or("bits").alias("bits"), F.sum("total").alias("total"))
+    rows = found.toPandas()  # at most one row per word of the bitmap
+    total = int(rows["total"].sum())
+    rows = rows[rows["word"] >= 0]
     words = np.zeros(ORDER_BITS // 64, np.int64)
     words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return words.view(np.uint64)
+    return words.view(np.uint64), total
 
 
 def in_order(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -129,53 +139,134 @@ def in_order(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.concatenate((s[~late], s[late])) if late.any() else s
 
 
-def _describe(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_KINDS = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int64()), ("entries", pa.binary())]
+#: The bucket of a row whose entries share their shingles within the row.
+_SHARED = -1
+
+
+def _pack(h: np.ndarray, node: np.ndarray) -> bytes:
+    """Entries of 48 bits of hash, as byte planes that compress when sorted, and 64 of node."""
+    planes = np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(len(h), 8)[:, :6]
+    return np.ascontiguousarray(planes.T).tobytes() + node.astype("<i8").tobytes()
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 14
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8, 6 * n).reshape(6, n).T
+    return wide.view("<u8").ravel(), np.frombuffer(raw, "<i8", n, 6 * n)
+
+
+def _dealt(prefixes: list[np.ndarray], nodes: list[int], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Entries of a block of different sets by buckets of shingles: of each shingle only the first node is sent.
+
+    Where several sets of the block share a shingle, all of them have a partner there already: they
+    come in the row ``_SHARED``. So a bucket gets one entry per block of a shingle, however many sets hold it.
+    """
+    h = np.concatenate(prefixes) >> np.uint64(16)
+    node = np.repeat(np.array(nodes, np.int64), [len(p) for p in prefixes])
+    order = np.lexsort((node, h))
+    h, node = h[order], node[order]
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    sizes = np.diff(np.append(np.flatnonzero(first), len(h)))
+    shared = np.repeat(sizes > 1, sizes)
+    if shared.any():
+        yield _SHARED, _pack(h[shared], node[shared])
+    h, node = h[first], node[first]
+    bounds = np.searchsorted((h >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    for k in range(buckets):
+        if bounds[k] < bounds[k + 1]:
+            yield k, _pack(h[bounds[k] : bounds[k + 1]], node[bounds[k] : bounds[k + 1]])
+
+
+def _describe(sent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document, and rows of prefix entries by bucket."""
     seen: set[int] = set()  # a copy's prefix is the first one's: of each set a task sends one
     bits = sent.value
+    prefixes: list[np.ndarray] = []
+    nodes: list[int] = []
+    held = 0
+
+    def entries() -> pa.RecordBatch:
+        rows = list(_dealt(prefixes, nodes, buckets))
+        cols = ([None] * len(rows), [None] * len(rows), [None] * len(rows), [k for k, _ in rows], [e for _, e in rows])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _KINDS, strict=True)], names=[x for x, _ in _KINDS])
+
     for b in batches:
-        n, node, prefix = [], [], []
+        n, node = [], []
         for text in b.column("text").to_pylist():
             s = shingles(text)
             n.append(len(s))
             key = _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None
             node.append(key)
-            if key is None or key in seen:
-                prefix.append(None)
-            else:
+            if key is not None and key not in seen:
                 seen.add(key)
-                prefix.append(in_order(s, bits)[: prefix_size(len(s))].view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "node", "prefix"],
-        )
+                prefixes.append(in_order(s, bits)[: prefix_size(len(s))])
+                nodes.append(key)
+                held += len(prefixes[-1])
+        none = pa.nulls(len(n), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none, pa.nulls(len(n), pa.binary())], names=[x for x, _ in _KINDS])
+        if held >= BLOCK_ENTRIES:
+            yield entries()
+            prefixes, nodes, held = [], [], 0
+    if prefixes:
+        yield entries()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, node, bytes) of the texts whose set is the node's."""
+    for b in batches:
+        keep, raw = [], []
+        for i, (text, node) in enumerate(zip(b.column("text").to_pylist(), b.column("node").to_pylist(), strict=True)):
+            s = shingles(text).tobytes()
+            if s and _signed(xxhash.xxh3_64_intdigest(s)) == node:
+                keep.append(i)
+                raw.append(s)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("region").take(at), b.column("node").take(at), pa.array(raw, pa.binary())], names=["region", "node", "bytes"])
+
+
+def _matched(table: pa.Table) -> pa.Table:
+    """(h, node) of a bucket's entries whose shingle another node has too."""
+    parts = [_unpack(x) for x in table.column("entries").to_pylist()]
+    h, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((node, h))
+    h, node = h[order], node[order]
+    fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
+    h, node = h[fresh], node[fresh]
+    sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h)))
+    hit = np.repeat(sizes > 1, sizes)
+    return pa.table({"h": h[hit].astype(np.int64), "node": node[hit]})
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [s for s in map(shingles, b.column("text").to_pylist()) if len(s)]
-        raw = [s.tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([_signed(xxhash.xxh3_64_intdigest(x)) for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["node", "bytes"]
-        )
+        for raw in b.column("entries").to_pylist():
+            h, node = _unpack(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(node)], names=["h", "node"])
 
 
-def _with_partner(described: DataFrame) -> DataFrame:
+def _with_partner(described: DataFrame, copies: DataFrame) -> DataFrame:
     """(node, hub): nodes that may have a partner, with the smallest node of each shingle they share.
 
     Per shingle only the smallest and greatest node are kept (partial aggregates), so a shingle of a
-    third of all documents costs each task one row.
+    third of all documents costs each task one row. Nodes with too few shared shingles go, and with them
+    the shingles that nobody else has then.
     """
-    rows = described.filter("prefix is not null").select("node", "n", F.explode("prefix").alias("h"))
-    hits = rows
-    for i in range(3):
-        hubs = hits.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").select("h", "hub")
-        hits = hits.drop("hub").join(hubs, "h")
-        if i == 0:
-            hits = materialize(hits.select("h", "node", "n", "hub").distinct(), "hits")
-        least = F.expr(f"greatest(1, (({PERCENT} * n + 99) div 100) div {SPARE})")  # shared_needed(n)
-        fit = hits.groupBy("node", "n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).select("node")
-        hits = materialize(hits.join(fit, "node", "left_semi"), "hits")
-    return hits.select("node", "hub").distinct()
+    dealt = described.filter("bucket is not null").select("bucket", "entries")
+    found = dealt.filter(F.col("bucket") != _SHARED).groupBy("bucket").applyInArrow(lambda t: _matched(t), "h long, node long")
+    inside = dealt.filter(F.col("bucket") == _SHARED).select("entries").mapInArrow(_opened, "h long, node long")
+    hits = materialize(found.unionByName(inside).distinct(), "hits")
+    needs = F.expr(f"greatest(1, (({PERCENT} * n + 99) div 100) div {SPARE})")  # shared_needed(n)
+    for i in range(ROUNDS):
+        if i:
+            alone = hits.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub = far").select("h")
+            hits = hits.join(alone, "h", "left_anti")
+        shared = hits.groupBy("node").agg(F.count("*").alias("shared"))
+        few = shared.join(copies, "node").filter(F.col("shared") < needs).select("node")
+        hits = materialize(hits.join(few, "node", "left_anti"), "hits")
+    hubs = hits.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").select("h", "hub")
+    return hits.join(hubs, "h").select("node", "hub").distinct()
 
 
 def _parse(content: pa.Array) -> list[np.ndarray]:
@@ -253,9 +344,9 @@ def join_region(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([find(i) for i in range(g)])
 
 
-def _joined(region: tuple, table: pa.Table) -> pa.Table:
-    nodes = table.column("node").to_numpy()
-    root = join_region(_parse(table.column("bytes").combine_chunks())) if len(nodes) > 1 else np.zeros(len(nodes), np.int64)
+def _joined(table: pa.Table) -> pa.Table:
+    nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)  # a repeated row comes twice
+    root = join_region(_parse(table.column("bytes").combine_chunks().take(pa.array(first)))) if len(nodes) > 1 else np.zeros(len(nodes), np.int64)
     return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(nodes[root] if len(nodes) else nodes, pa.int64())})
 
 
@@ -311,19 +402,26 @@ def _blocks(regions: DataFrame, sizes: dict[int, int]) -> DataFrame:
     return pair.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "node", "bytes")
 
 
-def _links(regions: DataFrame) -> DataFrame:
-    """(node, root): links that connect exactly the components of the sets of each region."""
-    links = []
+def _links(regions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, root): links that connect exactly the components of the sets of each region.
+
+    ``sizes`` has (region, b, k), bytes and sets. Only regions that must be cut are written out for it.
+    """
+    spark = regions.sparkSession
+    found_at = None
     pending = regions
+    first = True
     while True:
-        totals = pending.groupBy("region").agg(F.sum(F.length("bytes")).alias("b"), F.count("*").alias("k"))
         # A pair is never cut: it is joined whatever its size.
-        sizes = totals.filter((F.col("b") > REGION_BYTES) & (F.col("k") > 2)).orderBy(F.desc("b")).limit(REGIONS_A_ROUND).collect()
-        large = {r["region"]: r["b"] for r in sizes}
+        many = sizes.filter((F.col("b") > REGION_BYTES) & (F.col("k") > 2)).orderBy(F.desc("b")).limit(REGIONS_A_ROUND).collect()
+        large = {r["region"]: r["b"] for r in many}
         if not large:
             break
+        if first:
+            pending, first = materialize(pending, "regions"), False
         cells, found = _cut(pending, list(large))
-        links.append(found)
+        found_at = found_at or new_path(spark, "links")
+        found.filter("node <> root").write.mode("append").parquet(found_at)
         rest = {r["region"]: r["b"] for r in cells.filter("rest").groupBy("region").agg(F.sum(F.length("bytes")).alias("b")).collect()}
         cell_bytes = {r["region"]: r["b"] for r in cells.filter("not rest").groupBy("region").agg(F.sum(F.length("bytes")).alias("b")).filter(F.col("b") > REGION_BYTES).collect()}
         stuck = {k: b for k, b in rest.items() if b > 0.8 * large[k] and b > REGION_BYTES}
@@ -336,10 +434,9 @@ def _links(regions: DataFrame) -> DataFrame:
             blocked = plain.filter(F.col("region").isin([*stuck, *big_cells]))
             parts = parts.unionByName(_blocks(blocked, stuck | big_cells))
         pending = materialize(parts, "regions")
+        sizes = pending.groupBy("region").agg(F.sum(F.length("bytes")).alias("b"), F.count("*").alias("k"))
     joined = pending.groupBy("region").applyInArrow(_joined, "node long, root long").filter("node <> root")
-    for x in links:
-        joined = joined.unionByName(x.filter("node <> root"))
-    return joined
+    return joined.unionByName(spark.read.schema("node long, root long").parquet(found_at)) if found_at else joined
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -350,26 +447,26 @@ def link(docs: DataFrame) -> DataFrame:
     stands for its own text. An empty table gives an empty result; other columns are not read.
     """
     plain = id_text(docs)
-    bits = plain.sparkSession.sparkContext.broadcast(_order_bits(plain))
-    described = plain.mapInArrow(lambda batches: _describe(bits, batches), "doc_id long, n long, node long, prefix array<long>")
-    described = materialize(described, "described")
-    copies = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    pairs = materialize(_with_partner(described), "pairs")
-    parts = materialize(components(pairs, "node", "hub").withColumnRenamed("root", "region"), "parts")
-    ids = materialize(copies.join(parts, "node").select("node", "region", "rep"), "ids")
-    wanted = ids.select(F.col("rep").alias("doc_id"))
+    bits, total = _order_bits(plain)
+    sent = plain.sparkSession.sparkContext.broadcast(bits)
+    buckets = max(1, -(-total // SPARE * (SPARE * (100 - PERCENT) // 100 + 1) // BUCKET_ENTRIES))
+    described = materialize(plain.mapInArrow(lambda batches: _describe(sent, buckets, batches), "doc_id long, n long, node long, bucket long, entries binary"), "described")
+    texts = described.filter("bucket is null").select("doc_id", "n", "node")
+    copies = texts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    pairs = materialize(_with_partner(described, copies), "pairs")
+    parts = components(pairs, "node", "hub").withColumnRenamed("root", "region")
+    ids = materialize(copies.join(parts, "node").select("node", "region", "rep", "n"), "ids")
+    wanted = ids.select(F.col("rep").alias("doc_id"), "node", "region")
     few = ids.count() <= BROADCAST_IDS
-    texts = plain.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "node long, bytes binary").dropDuplicates(["node"])
-    regions = materialize(ids.select("region", "node").join(sets, "node").select("region", "node", "bytes"), "regions")
-    roots = components(_links(regions), "node", "root")
-    grouped = copies.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    grouped = materialize(grouped, "grouped")
+    sets = plain.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(_sets, "region long, node long, bytes binary")
+    sizes = ids.groupBy("region").agg(F.sum(F.col("n") * 8).alias("b"), F.count("*").alias("k"))
+    roots = components(_links(sets, sizes), "node", "root")
+    # The few nodes that link to another one meet their groups' smallest ids; all others keep their own.
+    grouped = materialize(roots.join(ids.select("node", "rep"), "node"), "grouped")
     lowest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = grouped.join(lowest, "root").select("node", "component_id")
-    return described.select("doc_id", "n", "node").join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    linked = grouped.join(lowest, "root").select("node", "component_id")
+    named = copies.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    return texts.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
