@@ -32,7 +32,7 @@ SPARE = 20
 #: Sets of a batch that hold a shingle before it counts as frequent; bits of the bitmap of such shingles.
 FREQUENT, ORDER_BITS = 8, 1 << 26
 #: Bytes of shingles that one task joins.
-REGION_BYTES = 48 << 20
+REGION_BYTES = 16 << 20
 PIVOTS = 16
 #: Regions that are cut in one round, so that what is broadcast stays bounded.
 REGIONS_A_ROUND = 64
@@ -288,10 +288,11 @@ def join_region(sets: list[np.ndarray]) -> np.ndarray:
     g = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    n_values, ids = len(values), ids.astype(np.int32)
+    del values
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    order = np.argsort(ids, kind="stable")
-    owner = np.repeat(np.arange(g), sizes)[order]
-    first = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=len(values)))))
+    owner = np.repeat(np.arange(g, dtype=np.int32), sizes)[np.argsort(ids, kind="stable")]
+    first = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=n_values))))
     parent = np.arange(g)
 
     def find(i: int) -> int:
