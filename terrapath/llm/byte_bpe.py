@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,19 +26,11 @@ from ._common import id_text
 #: Distinct pieces that one row carries through the fold.
 CHUNK = 512
 #: A block ends with the batch of documents that takes it beyond so many pieces: a task holds one block.
-BLOCK_PIECES = 24_000_000
+BLOCK_PIECES = 6_000_000
 #: Input partitions that one task takes, where there are more than cores: larger blocks fold fewer pieces twice.
 MERGE_PARTITIONS = 4
 #: White space by Unicode's property, for regular expressions whose \\s is ASCII's.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Bits of an id or rank in a packed number; all ones mean that a pair doesn't merge.
-BITS = 20
-_NONE = (1 << BITS) - 1
-#: Bits of a place in a piece.
-PLACE_BITS = 31
-_PLACE = (1 << PLACE_BITS) - 1
-
-
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -76,7 +68,7 @@ def _is_prime(n: int) -> bool:
     return all(n % k for k in range(2, int(n**0.5) + 1))
 
 
-def _places(keys: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+def _places(keys: dict[int, int], bits: int) -> tuple[list[int], list[int], list[int]]:
     """The rank map as two arrays with one possible place for a key in each (cuckoo hashing).
 
     A key's place is its remainder by the array's length, a prime. Returns both lengths and arrays of
@@ -102,7 +94,7 @@ def _places(keys: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
             else:
                 break
         else:
-            packed = [[-1 if k is None else k << BITS | keys[k] for k in t] for t in tables]
+            packed = [[-1 if k is None else k << bits | keys[k] for k in t] for t in tables]
             return primes, *packed
         size = size * 5 // 4
 
@@ -116,57 +108,86 @@ def _if(condition: Column, yes: Column, no: Column) -> Column:
     return F.call_function("if", condition, yes, no)
 
 
+def _bound(value: Column, same_type: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; ``same_type`` has the result's type.
+
+    A fold over an array of one: taking an element of a transformed array would derive the whole
+    expression's type again for every row.
+    """
+    return F.aggregate(F.array(value), same_type, lambda _, x: use(x))
+
+
 class Folder:
-    """The columns of encoding and decoding for one vocabulary."""
+    """The columns of encoding and decoding for one vocabulary.
+
+    While it is folded, a piece is an array of packed numbers, one per id: the rank of its merge with the
+    next id (all ones: none), the byte where it begins, the id. So the least number of the array
+    is the next merge, the leftmost of the lowest rank.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
-        if missing or max(ranks.values()) >= _NONE:
-            raise ValueError(f"every byte needs an id, and ids must be below {_NONE}")
-        self.base = max(ranks.values()) + 1
-        merges = {left * self.base + right: rank for (left, right), rank in merge_table(ranks).items()}
-        self.primes, *tables = _places(merges)
+        size = max(ranks.values()) + 1
+        self.bits = size.bit_length()
+        self.none = (1 << self.bits) - 1
+        #: Where the rank begins; between it and the id are the bits of the place.
+        self.top = 63 - self.bits
+        if missing or self.none in ranks.values() or self.bits > 20:
+            raise ValueError("every byte needs an id, and ids must be below a million")
+        merges = {left << self.bits | right: rank for (left, right), rank in merge_table(ranks).items()}
+        self.primes, *tables = _places(merges, self.bits)
         self.tables = [_literal(t, "array<bigint>") for t in tables]
         self.single = _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
-        by_id: list[str | None] = [None] * self.base
+        by_id: list[str | None] = [None] * size
         for piece, rank in ranks.items():
             by_id[rank] = base64.b64encode(piece).decode()
         self.pieces = _literal(by_id, "array<binary>")
 
-    def rank(self, left: Column, right: Column) -> Column:
-        """The rank of merging two ids; all ones where they don't merge or one is null."""
-        key = left * F.lit(self.base) + right
-        found = [F.get(t, (key % p).cast("int")) for t, p in zip(self.tables, self.primes, strict=True)]
-        hit = [F.shiftright(e, BITS) == key for e in found]
-        return _if(hit[0], found[0].bitwiseAND(_NONE), _if(hit[1], found[1].bitwiseAND(_NONE), F.lit(_NONE).cast("long")))
+    def rank(self, key: Column) -> Column:
+        """The rank of the merge of two ids (left, then right in the lower bits), in its place; all ones without one."""
+        rank = F.lit(self.none).cast("long")
+        for t, p in reversed(list(zip(self.tables, self.primes, strict=True))):
+            e = F.get(t, (key % p).cast("int"))
+            rank = _if(F.shiftright(e, self.bits) == key, e.bitwiseAND(self.none), rank)
+        return F.shiftleft(rank, self.top)
 
     def ids(self, codes: Column) -> Column:
         """The ids of one piece, given as the array of its bytes (0 to 255).
 
-        The state is an array of (rank of the merge with the next id, id), packed. A step merges the
-        leftmost pair of the lowest rank and looks up the two pairs that it makes.
+        A step merges the leftmost pair of the lowest rank and looks up the two pairs that it makes.
         """
+        top, bits, none = self.top, self.bits, self.none
+        low_mask = (1 << top) - 1
+        place = low_mask - none  # the mask of the place's bits
+        no_id = F.lit(none).cast("long")
 
-        def pack(ident: Column, following: Column) -> Column:
-            return F.shiftleft(self.rank(ident, following), BITS).bitwiseOR(ident)
+        def pair(left: Column, right: Column) -> Column:
+            return F.shiftleft(left, bits).bitwiseOR(right)
 
         def step(s: Column, _: Column) -> Column:
-            def merged(p: Column) -> Column:
-                at, low = p.bitwiseAND(_PLACE).cast("int"), F.shiftright(p, PLACE_BITS)
-                new = pack(low, F.get(s, at + 2).bitwiseAND(_NONE))
-                left = pack(F.get(s, at - 1).bitwiseAND(_NONE), low)
-                middle = F.flatten(F.array(F.slice(s, 1, at - 1), F.array(left, new), F.slice(s, at + 3, F.size(s))))
-                front = F.flatten(F.array(F.array(new), F.slice(s, 3, F.size(s))))
-                return _if(p >= F.lit(_NONE << PLACE_BITS), s, _if(at > 0, middle, front))
-
-            # Array of one: binds the lowest (rank, place), so that it is found once a step.
-            first = F.array_min(F.transform(s, lambda x, i: F.shiftleft(F.shiftright(x, BITS), PLACE_BITS).bitwiseOR(i)))
-            return F.get(F.transform(F.array(first), merged), 0)
-
-        start = F.array(F.transform(codes, lambda b: F.get(self.single, b)))
-        packed = F.get(F.transform(start, lambda ids: F.transform(ids, lambda x, i: pack(x, F.get(ids, i + 1)))), 0)
+            def merged(m: Column, at: Column) -> Column:
+                low = F.shiftright(m, top)
+                new = m.bitwiseAND(place).bitwiseOR(low)
+                with_next = pair(low, F.coalesce(F.get(s, at + 1).bitwiseAND(none), no_id))
+                before = F.get(s, at - 2)
+                with_left = pair(before.bitwiseAND(none), low)
+                two = F.zip_with(F.array(with_left, with_next), F.array(before.bitwiseAND(low_mask), new), lambda k, e: self.rank(k).bitwiseOR(e))
+                one = F.transform(F.array(with_next), lambda k: self.rank(k).bitwiseOR(new))
+                rest = F.slice(s, at + 2, F.size(s))
+                return _if(at > 1, F.concat(F.slice(s, 1, at - 2), two, rest), F.concat(one, rest))
+
+            def least(m: Column) -> Column:
+                upto = F.filter(s, lambda x: x.bitwiseAND(place) <= m.bitwiseAND(place))  # array_position leaves its loop by an exception
+                return _if(m >= F.lit(none << top), s, _bound(F.size(upto), s, lambda at: merged(m, at)))
+
+            return _bound(F.array_min(s), s, least)
+
+        no_ids = F.array().cast("array<bigint>")
+        start = F.transform(codes, lambda b: F.get(self.single, b))
+        keys = _bound(start, no_ids, lambda ids: F.transform(ids, lambda x, i: pair(x, F.coalesce(F.get(ids, i + 1), no_id))))
+        packed = F.transform(keys, lambda k, i: self.rank(k).bitwiseOR(F.shiftleft(i.cast("long"), bits)).bitwiseOR(F.shiftright(k, bits)))
         folded = F.aggregate(F.slice(codes, 2, F.size(codes)), packed, step)
-        return F.transform(folded, lambda x: x.bitwiseAND(_NONE).cast("int"))
+        return F.transform(folded, lambda x: x.bitwiseAND(none).cast("int"))
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of ids: their binary pieces, concatenated."""
