@@ -25,6 +25,8 @@ from ._common import id_text
 
 #: Distinct pieces that one row carries through the fold.
 CHUNK = 512
+#: Rows that Python takes of an Arrow batch at once.
+SLICE = 500
 #: A block ends with the batch of documents that takes it beyond so many pieces: a task holds one block.
 BLOCK_PIECES = 6_000_000
 #: Input partitions that one task takes, where there are more than cores: larger blocks fold fewer pieces twice.
@@ -202,18 +204,20 @@ class _Block:
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
-        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
-        lists = batch.column("pieces")
-        coded = lists.flatten().cast(pa.binary()).dictionary_encode()
-        known = self.known
-        own = np.fromiter((known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()), np.int32)
-        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-        numbers = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int32)
-        self.parts.append((batch.column("doc_id"), numbers, ends))
-        self.size += len(numbers)
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            lists = part.column("pieces")
+            coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+            known = self.known
+            own = np.fromiter((known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()), np.int32)
+            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+            numbers = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int32)
+            self.parts.append((np.array(part.column("doc_id").to_pylist(), object), numbers, ends))
+            self.size += len(numbers)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         words_type, number_type = pa.list_(pa.list_(pa.int16())), pa.binary()
@@ -225,9 +229,12 @@ class _Block:
             cuts = np.minimum(np.arange(0, len(some) + CHUNK, CHUNK), len(some)).astype(np.int32)
             rows = pa.ListArray.from_arrays(pa.array(cuts), pa.ListArray.from_arrays(pa.array(ends), pa.array(raw)))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), rows, pa.nulls(len(rows), number_type)], names=["doc_id", "words", "numbers"])
-        for names, numbers, ends in self.parts:
+        self.known.clear()
+        self.parts.reverse()
+        while self.parts:
+            names, numbers, ends = self.parts.pop()
             each = [numbers[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([names, pa.nulls(len(each), words_type), pa.array(each, number_type)], names=["doc_id", "words", "numbers"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.int64()), pa.nulls(len(each), words_type), pa.array(each, number_type)], names=["doc_id", "words", "numbers"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,43 +257,47 @@ def _gather(values: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.nda
     return values[shift + np.arange(total)]
 
 
+class _Folded:
+    """What the pieces of a block became: values and where each piece's run ends."""
+
+    def __init__(self):
+        self.open, self.values, self.sizes = True, ([], []), ([], [])
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        inner, texts = batch.column("ids").flatten(), batch.column("decoded").flatten()
+        self.values[0].append(inner.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+        self.sizes[0].append(inner.value_lengths().to_numpy(zero_copy_only=False))
+        self.values[1].append(np.frombuffer(b"".join(texts.to_pylist()), np.uint8))
+        self.sizes[1].append(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
+
+    def close(self) -> None:
+        if self.open:
+            self.open = False
+            self.values = tuple(np.concatenate([*v, np.zeros(0, k)]).astype(k) for v, k in zip(self.values, ("<u4", np.uint8), strict=True))
+            self.sizes = tuple(np.concatenate(([0], np.cumsum(np.concatenate([*s, np.zeros(0, np.int64)])))).astype(np.int64) for s in self.sizes)
+
+    def of(self, numbers: bytes) -> tuple[bytes, bytes]:
+        at = np.frombuffer(numbers, "<i4").astype(np.int64)
+        return tuple(_gather(v, s, at).tobytes() for v, s in zip(self.values, self.sizes, strict=True))
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents' ids and decoded bytes, from the piece rows before them."""
-    ids: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    raw: list[np.ndarray] = []
-    raw_sizes: list[np.ndarray] = []
-    ready = None
-    for b in batches:
-        rows = list(zip(b.column("numbers").is_valid().to_pylist(), range(b.num_rows), strict=True))
-        out: list[tuple] = []
-        i = 0
-        while i < len(rows):
-            j = i
-            while j < len(rows) and rows[j][0] == rows[i][0]:
-                j += 1
-            part = b.slice(i, j - i)
-            if not rows[i][0]:
-                if ready is not None:
-                    ids, sizes, raw, raw_sizes, ready = [], [], [], [], None
-                inner = part.column("ids").flatten()
-                ids.append(inner.flatten().to_numpy(zero_copy_only=False))
-                sizes.append(inner.value_lengths().to_numpy(zero_copy_only=False))
-                texts = part.column("decoded").flatten()
-                raw.append(np.frombuffer(b"".join(texts.to_pylist()), np.uint8))
-                raw_sizes.append(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
-            else:
-                if ready is None:
-                    ready = [
-                        (np.concatenate([*v, np.zeros(0, k)]).astype(k), np.concatenate(([0], np.cumsum(np.concatenate([*s, np.zeros(0, np.int64)])))).astype(np.int64))
-                        for v, s, k in ((ids, sizes, "<u4"), (raw, raw_sizes, np.uint8))
-                    ]
-                for name, numbers in zip(part.column("doc_id").to_pylist(), part.column("numbers").to_pylist(), strict=True):
-                    at = np.frombuffer(numbers, "<i4").astype(np.int64)
-                    out.append((name, _gather(*ready[0], at).tobytes(), _gather(*ready[1], at).tobytes()))
-            i = j
-        cols = list(zip(*out, strict=True)) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "ids", "decoded"])
+    block = _Folded()
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            b = whole.slice(at, SLICE)
+            is_document = b.column("numbers").is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(is_document)) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                part = b.slice(x, y - x)
+                if not is_document[x]:
+                    block = block if block.open else _Folded()
+                    block.add(part)
+                    continue
+                block.close()
+                pairs = [block.of(numbers) for numbers in part.column("numbers").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([i for i, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())], names=["doc_id", "ids", "decoded"])
 
 
 def split_pattern(pattern: str) -> str:
