@@ -32,7 +32,7 @@ SPARE = 20
 #: Sets of a batch that hold a shingle before it counts as frequent; bits of the bitmap of such shingles.
 FREQUENT, ORDER_BITS = 8, 1 << 26
 #: Bytes of shingles that one task joins.
-REGION_BYTES = 16 << 20
+REGION_BYTES = 48 << 20
 PIVOTS = 16
 #: Regions that are cut in one round, so that what is broadcast stays bounded.
 REGIONS_A_ROUND = 64
@@ -332,12 +332,17 @@ def join_region(sets: list[np.ndarray]) -> np.ndarray:
     """
     g = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    n_values, ids = len(values), ids.astype(np.int32)
-    del values
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    fresh = np.concatenate(([True], every[1:] != every[:-1]))
+    del every
+    ids = np.empty(len(order), np.int32)  # narrow arrays, and one sort: a region is large
+    ids[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    owner = np.repeat(np.arange(g, dtype=np.int32), sizes)[np.argsort(ids, kind="stable")]
-    first = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=n_values))))
+    owner = np.repeat(np.arange(g, dtype=np.int32), sizes)[order]
+    del order
+    first = np.append(np.flatnonzero(fresh), len(fresh))
     parent = np.arange(g)
 
     def find(i: int) -> int:
