@@ -484,7 +484,7 @@ def _links(regions: DataFrame, sizes: DataFrame) -> DataFrame:
         if stuck or big_cells:
             blocked = plain.filter(F.col("region").isin([*stuck, *big_cells]))
             parts = parts.unionByName(_blocks(blocked, stuck | big_cells))
-        pending = materialize(parts, "regions")
+        pending = parts  # from tables that are written already: the replicated rows are only shuffled
         sizes = pending.groupBy("region").agg(F.sum(F.length("bytes")).alias("b"), F.count("*").alias("k"))
     joined = pending.groupBy("region").applyInArrow(_joined, "node long, root long").filter("node <> root")
     return joined.unionByName(spark.read.schema("node long, root long").parquet(found_at)) if found_at else joined
