@@ -315,7 +315,10 @@ def _with_partner(described: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _parse(content: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in content.to_pylist()]
+    """The sets as views of the column's buffer: nothing is copied."""
+    at = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1].tolist()
+    data = np.frombuffer(content.buffers()[2], np.uint8)
+    return [data[a:z].view(np.uint64) for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
 def _near(inter, a, b, percent: int):
@@ -396,8 +399,11 @@ def join_region(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _joined(table: pa.Table) -> pa.Table:
-    nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)  # a repeated row comes twice
-    root = join_region(_parse(table.column("bytes").combine_chunks().take(pa.array(first)))) if len(nodes) > 1 else np.zeros(len(nodes), np.int64)
+    nodes = table.column("node").to_numpy()
+    first = np.sort(np.unique(nodes, return_index=True)[1])
+    if len(first) < len(nodes):  # a repeated row comes twice
+        table, nodes = table.take(pa.array(first)), nodes[first]
+    root = join_region(_parse(table.column("bytes").combine_chunks())) if len(nodes) > 1 else np.zeros(len(nodes), np.int64)
     return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(nodes[root] if len(nodes) else nodes, pa.int64())})
 
 
