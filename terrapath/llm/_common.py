@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(docs: DataFrame, *others: str) -> Column:
+    """A hash of the id, the text and ``others``, which tells rows apart where ids repeat or are null."""
+    cols = [docs["doc_id"].cast("long"), *(docs[c].cast("string") for c in ("text", *others))]
+    return F.xxhash64(*cols, *(c.isNull() for c in cols))  # a hash alone skips nulls
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text of ``docs``, whatever other columns it has."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

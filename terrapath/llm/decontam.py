@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text
+from ._common import row_key
 
 WINDOW = 10
 #: The test set is broadcast up to this many bytes of text; larger ones are scanned in blocks of it.
@@ -24,7 +24,7 @@ _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+RESULT = "doc_id long, k long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -111,8 +111,8 @@ def _scanner(blob):
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], span)],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                [b.column("doc_id"), b.column("k"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], span)],
+                names=["doc_id", "k", "n_words", "n_hit", "items", "spans"],
             )
 
     return run
@@ -131,17 +131,11 @@ def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, st
         yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", width: int = WINDOW, max_block: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, n_hit, the items (sorted) whose windows occur, and the hit word spans.
-
-    A null or empty text has no words and no hits; so has a null or empty item. An item of fewer than
-    ``width`` words is one window. Repeated rows are scanned each; an empty benchmark hits nothing.
-    Other columns are not read. A test set beyond ``max_block`` bytes is scanned block by block and
-    the blocks' hits of a document are joined, so that what is broadcast stays bounded.
-    """
+def _scanned(docs: DataFrame, benchmark: DataFrame, item_col: str, width: int, max_block: int) -> DataFrame:
+    """The rows of ``scan`` with their keys."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    plain = id_text(docs)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("k"))
     parts = []
     for block in _blocks(items, max_block):
         blob = spark.sparkContext.broadcast(pickle.dumps(Windows(block, width), 5))
@@ -155,7 +149,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", width
     for p in parts[1:]:
         both = both.unionByName(p)
     cover = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["start"], s["end"] - 1))))
-    return both.groupBy("doc_id").agg(
+    return both.groupBy("doc_id", "k").agg(
         F.max("n_words").alias("n_words"),
         F.size(cover).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -163,6 +157,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", width
     )
 
 
+def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", width: int = WINDOW, max_block: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """Per document: n_words, n_hit, the items (sorted) whose windows occur, and the hit word spans.
+
+    A null or empty text has no words and no hits; so has a null or empty item. An item of fewer than
+    ``width`` words is one window. Repeated rows are scanned each; an empty benchmark hits nothing.
+    Other columns are not read. A test set beyond ``max_block`` bytes is scanned block by block and
+    the blocks' hits of a document are joined, so that what is broadcast stays bounded.
+    """
+    return _scanned(docs, benchmark, item_col, width, max_block).drop("k")
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     """The digest columns of ``scan``'s rows."""
     return scanned.select(
@@ -175,7 +180,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a test window, with their columns."""
-    bad = scan(docs, benchmark, **options).filter("n_hit > 0").select(F.col("doc_id").alias("__bad_id"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad_id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", width: int = WINDOW, max_block: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the documents that hold a test window, with their columns; rows of repeated or null ids are told apart."""
+    bad = _scanned(docs, benchmark, item_col, width, max_block).filter("n_hit > 0").select(F.col("k").alias("__bad"))
+    return docs.join(bad, row_key(docs) == F.col("__bad"), "left_anti")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text, materialize, new_path
+from ._common import id_text, materialize, new_path, row_key
 from .graph import components
 
 WORDS = 5
@@ -185,7 +185,7 @@ def in_order(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.concatenate((s[~late], s[late])) if late.any() else s
 
 
-_KINDS = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int64()), ("entries", pa.binary())]
+_KINDS = [("doc_id", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int64()), ("entries", pa.binary())]
 #: The bucket of a row whose entries share their shingles within the row.
 _SHARED = -1
 
@@ -235,7 +235,7 @@ def _describe(sent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator
 
     def entries() -> pa.RecordBatch:
         rows = list(_dealt(prefixes, nodes, buckets))
-        cols = ([None] * len(rows), [None] * len(rows), [None] * len(rows), [k for k, _ in rows], [e for _, e in rows])
+        cols = (*([None] * len(rows) for _ in range(4)), [k for k, _ in rows], [e for _, e in rows])
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _KINDS, strict=True)], names=[x for x, _ in _KINDS])
 
     for b in batches:
@@ -250,7 +250,7 @@ def _describe(sent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator
                 nodes.append(key)
                 held += len(prefixes[-1])
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none, pa.nulls(len(n), pa.binary())], names=[x for x, _ in _KINDS])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none, pa.nulls(len(n), pa.binary())], names=[x for x, _ in _KINDS])
         if held >= BLOCK_ENTRIES:
             yield entries()
             prefixes, nodes, held = [], [], 0
@@ -259,12 +259,14 @@ def _describe(sent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(region, node, bytes) of the texts whose set is the node's."""
+    """(region, node, bytes) of the texts whose set is the node's; a task sends each node's set once."""
+    sent: set[int] = set()
     for b in batches:
         keep, raw = [], []
         for i, (found, node) in enumerate(zip(shingle_sets(b.column("text")), b.column("node").to_pylist(), strict=True)):
             s = found.tobytes()
-            if s and _signed(xxhash.xxh3_64_intdigest(s)) == node:
+            if s and node not in sent and _signed(xxhash.xxh3_64_intdigest(s)) == node:
+                sent.add(node)
                 keep.append(i)
                 raw.append(s)
         at = pa.array(keep, pa.int64())
@@ -496,37 +498,61 @@ def _links(regions: DataFrame, sizes: DataFrame) -> DataFrame:
     return joined.unionByName(spark.read.schema("node long, root long").parquet(found_at)) if found_at else joined
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
-
-    component_id is the smallest doc_id reachable by links of similarity 0.8 or more. A null, empty or
-    wordless text has no shingles, no links and its own id. Equal sets link; of repeated ids each row
-    stands for its own text. An empty table gives an empty result; other columns are not read.
-    """
-    plain = id_text(docs)
-    bits, total = _order_bits(plain)
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k, n, node) of every row, k being its key and node its set, and (node, root, component_id) of the sets."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("k"))
+    bits, total = _order_bits(id_text(docs))
     sent = plain.sparkSession.sparkContext.broadcast(bits)
     buckets = max(1, -(-total // SPARE * (SPARE * (100 - PERCENT) // 100 + 1) // BUCKET_ENTRIES))
-    described = materialize(plain.mapInArrow(lambda batches: _describe(sent, buckets, batches), "doc_id long, n long, node long, bucket long, entries binary"), "described")
-    texts = described.filter("bucket is null").select("doc_id", "n", "node")
-    copies = texts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    described = materialize(plain.mapInArrow(lambda batches: _describe(sent, buckets, batches), "doc_id long, k long, n long, node long, bucket long, entries binary"), "described")
+    texts = described.filter("bucket is null").select("doc_id", "k", "n", "node")
+    # Any row of a set can be read for it; ids don't tell rows apart where they are null.
+    copies = texts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("k").alias("k"), F.max("n").alias("n"))
     pairs = materialize(_with_partner(described, copies), "pairs")
     parts = components(pairs, "node", "hub").withColumnRenamed("root", "region")
-    ids = materialize(copies.join(parts, "node").select("node", "region", "rep", "n"), "ids")
-    wanted = ids.select(F.col("rep").alias("doc_id"), "node", "region")
+    ids = materialize(copies.join(parts, "node").select("node", "region", "rep", "k", "n"), "ids")
+    wanted = ids.select("k", "node", "region")
     few = ids.count() <= BROADCAST_IDS
-    sets = plain.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(_sets, "region long, node long, bytes binary")
+    sets = plain.join(F.broadcast(wanted) if few else wanted, "k").mapInArrow(_sets, "region long, node long, bytes binary")
     sizes = ids.groupBy("region").agg(F.sum(F.col("n") * 8).alias("b"), F.count("*").alias("k"))
     roots = components(_links(sets, sizes), "node", "root")
     # The few nodes that link to another one meet their groups' smallest ids; all others keep their own.
     grouped = materialize(roots.join(ids.select("node", "rep"), "node"), "grouped")
     lowest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = grouped.join(lowest, "root").select("node", "component_id")
-    named = copies.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return texts.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = grouped.join(lowest, "root").select("node", "root", "component_id")
+    own = F.col("root").isNull()
+    named = copies.select("node", "rep").join(linked, "node", "left")
+    return texts, named.select("node", F.coalesce("root", "node").alias("root"), F.when(own, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+
+    component_id is the smallest doc_id reachable by links of similarity 0.8 or more; null ids count only
+    where a component has no other. A null, empty or wordless text has no shingles, no links and its own
+    id. Equal sets link; of repeated and null ids each row stands for its own text. An empty table gives
+    an empty result; other columns are not read.
+    """
+    texts, named = _linked(docs)
+    found = texts.join(named.select("node", "component_id"), "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns of ``docs``."""
-    first = link(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__first_id"))
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__first_id")), "left_semi")
+    """One row of each component, with the columns of ``docs``: that of the smallest id, null where it has no other.
+
+    Of several texts of that id the one with the smallest key stays, and of equal rows one. Rows without
+    words have no links, so all of them stay.
+    """
+    texts, named = _linked(docs)
+    first = materialize(texts.join(named, "node", "left").filter("node is null or doc_id <=> component_id").select("k", "root"), "first")
+    chosen = first.filter("root is not null").groupBy("root").agg(F.min("k").alias("k")).select("k")
+    kept = chosen.unionByName(first.filter("root is null").select("k")).distinct().select(F.col("k").alias("__k"))
+    again = materialize(first.filter("root is not null").groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("k").alias("__k")), "again")
+    key = row_key(docs)
+    out = docs.join(kept, key == F.col("__k"), "left_semi")
+    if again.isEmpty():
+        return out
+    once = out.join(again, row_key(out) == F.col("__k"), "left_semi")
+    single = once.withColumn("__k", row_key(once)).dropDuplicates(["__k"]).drop("__k")
+    return out.join(again, row_key(out) == F.col("__k"), "left_anti").unionByName(single)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, row_key
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -49,7 +49,7 @@ MIN_GROUP = 100
 
 _STATS = [("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [
     (n, pa.int64())
-    for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_bangs")
+    for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_bangs", "row_key")
 ]
 STATS_DDL = "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n, _ in _STATS[3:])
 _CAPS = bytes(range(65, 91))
@@ -93,14 +93,14 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [text_stats(x) for x in b.column("text").to_pylist()]
         cols = list(zip(*counts, strict=True)) if counts else [()] * 8
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("lang"), b.column("source"), *(pa.array(c, pa.int64()) for c in cols)],
+            [b.column("doc_id"), b.column("lang"), b.column("source"), *(pa.array(c, pa.int64()) for c in cols), b.column("row_key")],
             names=[n for n, _ in _STATS],
         )
 
 
 def base_stats(docs: DataFrame) -> DataFrame:
-    """One row of counts per document, from its whole text."""
-    keys = [F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")]
+    """One row of counts per document, from its whole text, and the key of its row."""
+    keys = [F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), row_key(docs, "lang", "source").alias("row_key")]
     return docs.select(*keys).mapInArrow(_stats, STATS_DDL)
 
 
@@ -166,15 +166,8 @@ def fences(sketch: DataFrame, *keys: str) -> DataFrame:
     return found.groupBy(*keys, "n_docs").agg(*out)
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Counts, fences and verdict of every document of ``docs`` (doc_id, text, lang, source, ...).
-
-    Null or empty text: all counts 0, base_failed. Null language or source: a group of its own.
-    Repeated rows are judged each; ties cannot arise, as a fence is a value and equal rates fare alike.
-    An empty table gives an empty result; other columns are not read. ``kept`` is false where the base
-    rules fail or a rate lies above its fence: that of the language and source where ``min_group``
-    documents passed the base rules there, else that of the language, else that of the corpus.
-    """
+def _judged(docs: DataFrame, min_group: int) -> DataFrame:
+    """The rows of ``judge`` with their keys."""
     rated = with_rates(materialize(base_stats(docs), "quality")).withColumn(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
@@ -208,14 +201,23 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return (
         rated.join(chosen, on, "left")
         .withColumn("kept", ~F.col("base_failed") & ~outlier)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(r.name for r in RATES), *names)
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "row_key", *(r.name for r in RATES), *names)
     )
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``judge`` keeps, with the columns of ``docs``.
+def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """Counts, fences and verdict of every document of ``docs`` (doc_id, text, lang, source, ...).
 
-    Ids are taken to be unique; if an id repeats, its rows stay where any of them is kept.
+    Null or empty text: all counts 0, base_failed. Null language or source: a group of its own.
+    Repeated rows are judged each; ties cannot arise, as a fence is a value and equal rates fare alike.
+    An empty table gives an empty result; other columns are not read. ``kept`` is false where the base
+    rules fail or a rate lies above its fence: that of the language and source where ``min_group``
+    documents passed the base rules there, else that of the language, else that of the corpus.
     """
-    good = judge(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return _judged(docs, min_group).drop("row_key")
+
+
+def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """The documents that ``judge`` keeps, with the columns of ``docs``; rows of repeated or null ids are told apart."""
+    good = _judged(docs, min_group).filter("kept").select(F.col("row_key").alias("__kept"))
+    return docs.join(good, row_key(docs, "lang", "source") == F.col("__kept"), "left_semi")

@@ -181,7 +181,7 @@ def _scanned_pattern(rule: Rule) -> Rule:
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """(doc_id, text, found) of every row; found holds all spans in the order of start, then rule.
 
-    A null text counts as empty. Repeated rows are scanned each; an empty table gives an empty result;
+    A null text counts as empty, and a null id is an id. Repeated rows are scanned each; an empty table gives an empty result;
     other columns are not read. Offsets are code points, the end exclusive.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
@@ -190,7 +190,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     found = []
     if trigrams:
         index = materialize(postings(docs, trigrams), "postings")
-        keyed = keyed.join(candidates(index, queries), ["doc_id", "h"], "left")
+        met = candidates(index, queries).select(F.col("doc_id").alias("met_id"), F.col("h").alias("met_h"), "kinds")
+        keyed = keyed.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("h") == F.col("met_h")), "left")
     for i, r in enumerate(rules):
         spans = match_spans(F.col("text"), _scanned_pattern(r), i)
         if queries[r.kind] is not None:
@@ -227,11 +228,11 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
 def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with every secret masked and ``n_chars`` brought up to date; no row goes.
 
-    Rows are told apart by id and text; a null text stays null.
+    Rows are told apart by id (which may be null) and text; a null text stays null.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hit = scan(docs, rules).filter(F.size("found") > 0).dropDuplicates(["doc_id", "text"]).select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), F.col("found").alias("__found"))
-    joined = docs.join(hit, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
+    joined = docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
     new = F.when(F.col("__found").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__found")))
     out = joined.withColumn("text", new).drop("__id", "__h", "__found")
     if "n_chars" in docs.columns:
