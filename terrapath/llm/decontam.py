@@ -1,6 +1,7 @@
 """Benchmark decontamination: a hash set of normalised test n-grams, scanned over training text.
 
-Words of the benchmark get numbers; a test window is a row of ten word numbers. Every task looks up
+Spark tasks cut the test items into windows, which are grouped and dealt into blocks. In a block, words
+get numbers and a window is a row of ten word numbers. Every task looks up
 the numbers of a document's words (0 for words that no test has), hashes the windows with NumPy,
 searches the set, and compares the words of each hit with the test's before it counts.
 """
@@ -8,23 +9,24 @@ searches the set, and compares the words of each hit with the test's before it c
 from __future__ import annotations
 
 import pickle
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import row_key
+from ._common import materialize, row_key
 
 WINDOW = 10
-#: The test set is broadcast up to this many bytes of text; larger ones are scanned in blocks of it.
-MAX_BLOCK_BYTES = 64 << 20
+#: About so many bytes of windows are broadcast at once, at so many bytes a window; more are scanned in blocks.
+MAX_BLOCK_BYTES, WINDOW_BYTES = 64 << 20, 64
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-RESULT = "doc_id long, k long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+RESULT = "doc_id long, k long, row long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,23 +42,27 @@ class _Words(dict):
 
 
 class Windows:
-    """The windows of the test items, by length: sorted hashes, word numbers and items."""
+    """A block of distinct test windows, by length: sorted hashes, word numbers and places in the list of owners."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW):
+    def __init__(self, grams: list[bytes], items: list[list[str]]):
         self.number = _Words()
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            size = min(width, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(tuple(ids[i : i + size]), set()).add(str(item))
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, list[list[str]]]] = {}
-        for size in sorted({len(w) for w in found}):
-            rows = [(w, sorted(x)) for w, x in found.items() if len(w) == size]
-            grid = np.array([w for w, _ in rows], np.uint64).reshape(-1, size)
-            keys = _hash(grid.ravel(), size)[::size]
+        self.owners: list[list[str]] = []
+        places: dict[tuple[str, ...], int] = {}
+        by_size: dict[int, tuple[array, array]] = {}
+        for gram, own in zip(grams, items, strict=True):
+            words = gram.split(b" ")
+            ids, owner = by_size.setdefault(len(words), (array("I"), array("I")))
+            ids.extend(self.number.setdefault(w, len(self.number) + 1) for w in words)
+            place = places.setdefault(tuple(own), len(places))
+            if place == len(self.owners):
+                self.owners.append(own)
+            owner.append(place)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted(by_size):
+            grid, owner = (np.frombuffer(x, np.uint32) for x in by_size[size])
+            keys = _hash(grid.astype(np.uint64), size)[::size]
             order = np.argsort(keys, kind="stable")
-            self.by_length[size] = (keys[order], grid[order], [rows[i][1] for i in order])
+            self.by_length[size] = (keys[order], grid.reshape(-1, size)[order], owner[order])
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words lie in an occurrence of a window, and the items with occurring windows."""
@@ -64,7 +70,7 @@ class Windows:
         hit, items = np.zeros(n + 1, np.int64), set()
         ids = np.fromiter(map(self.number.__getitem__, words), np.uint64, n)
         strange = np.concatenate(([0], np.cumsum(ids == 0)))
-        for size, (keys, grid, owners) in self.by_length.items():
+        for size, (keys, grid, owner) in self.by_length.items():
             if size > n:
                 continue
             at = np.flatnonzero(strange[size:] == strange[:-size])
@@ -79,7 +85,7 @@ class Windows:
                     if (grid[i] == ids[p : p + size]).all():
                         hit[p] += 1
                         hit[p + size] -= 1
-                        items.update(owners[i])
+                        items.update(self.owners[owner[i]])
                     i += 1
         return np.cumsum(hit[:n]) > 0, items
 
@@ -111,50 +117,68 @@ def _scanner(blob):
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("k"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], span)],
-                names=["doc_id", "k", "n_words", "n_hit", "items", "spans"],
+                [b.column("doc_id"), b.column("k"), b.column("row"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], span)],
+                names=["doc_id", "k", "row", "n_words", "n_hit", "items", "spans"],
             )
 
     return run
 
 
-def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The test items in blocks of at most ``max_bytes`` of text, a block at a time on the driver."""
-    block, size = [], 0
-    for r in benchmark.toLocalIterator():
-        block.append((r["doc_id"], r["text"]))
-        size += len(r["text"] or "")
-        if size >= max_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _grams(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                size = min(width, len(words))
+                grams = list({b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}) if size else []
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), pa.array([item] * len(grams), pa.string())], names=["gram", "item"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_col: str, width: int, max_bytes: int) -> Iterator[Windows]:
+    """The distinct windows in blocks of about ``max_bytes``, one at a time on the driver; an empty one if there are none."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("None")).alias("item"), F.col("text").cast("string").alias("text"))
+    found = items.mapInArrow(_grams(width), "gram binary, item string").groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = materialize(found, "windows")
+    blocks = max(1, -(-found.count() // max(1, max_bytes // WINDOW_BYTES)))
+    for i in range(blocks):
+        t = found.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == i).toArrow()
+        if t.num_rows or blocks == 1:
+            yield Windows(t.column("gram").to_pylist(), t.column("items").to_pylist())
+
+
+def _united(spans: Column) -> Column:
+    """Sorted spans, those that overlap or touch made one."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), longer)
+        return F.when((F.size(out) > 0) & (last["end"] >= s["start"]), joined).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, item_col: str, width: int, max_block: int) -> DataFrame:
     """The rows of ``scan`` with their keys."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("k"))
-    parts = []
-    for block in _blocks(items, max_block):
-        blob = spark.sparkContext.broadcast(pickle.dumps(Windows(block, width), 5))
-        parts.append(plain.mapInArrow(_scanner(blob), RESULT))
-    if not parts:
-        blob = spark.sparkContext.broadcast(pickle.dumps(Windows([], width), 5))
-        return plain.mapInArrow(_scanner(blob), RESULT)
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    cover = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["start"], s["end"] - 1))))
-    return both.groupBy("doc_id", "k").agg(
-        F.max("n_words").alias("n_words"),
-        F.size(cover).cast("long").alias("n_hit"),
+    blobs = [sent(pickle.dumps(w, 5)) for w in _blocks(benchmark, item_col, width, max_block)]
+    if len(blobs) == 1:
+        return plain.withColumn("row", F.lit(0).cast("long")).mapInArrow(_scanner(blobs[0]), RESULT).drop("row")
+    rows = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "rows")  # the same number in every block's scan
+    both, *more = (rows.mapInArrow(_scanner(b), RESULT) for b in blobs)
+    for p in more:
+        both = both.unionByName(p.filter("n_hit > 0"))
+    met = both.groupBy("row").agg(
+        *(F.max(c).alias(c) for c in ("doc_id", "k", "n_words")),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
+        _united(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return met.select("doc_id", "k", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", width: int = WINDOW, max_block: int = MAX_BLOCK_BYTES) -> DataFrame:
@@ -162,8 +186,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", width
 
     A null or empty text has no words and no hits; so has a null or empty item. An item of fewer than
     ``width`` words is one window. Repeated rows are scanned each; an empty benchmark hits nothing.
-    Other columns are not read. A test set beyond ``max_block`` bytes is scanned block by block and
-    the blocks' hits of a document are joined, so that what is broadcast stays bounded.
+    Other columns are not read. Test windows beyond about ``max_block`` bytes are scanned block by block
+    and the blocks' hits of a row are joined, so that what is broadcast stays bounded; the results are the same.
     """
     return _scanned(docs, benchmark, item_col, width, max_block).drop("k")
 
