@@ -84,8 +84,8 @@ def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glide_search_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell that each search reaches, with its parent, height and distance."""
-    nodes = glide.search(R.fill_voids(I.dem(spark, sf_dir), ("tile",)), _searches(spark, sf_dir))
+    """Every cell that each search reaches, with its parent, height and distance, on tiles laid side by side in rows of five."""
+    nodes = glide.search_around(R.fill_voids(I.dem(spark, sf_dir), ("tile",)), _searches(spark, sf_dir), I.SIDE, 5)
     return nodes.select("search_id", "r", "c", "ref_r", "ref_c", F.round("height", 2).alias("height"), F.round("distance", 2).alias("distance"), "in_margin")
 
 

@@ -1,0 +1,31 @@
+"""Searches go on where their tile ends."""
+
+from terrapath.operators import glide
+from terrapath.plans import paths
+
+SF = "/root/testdata/sf0.001"
+FIXED = {"cell_m": 50.0, "glide": 1 / 8, "trim": 38.0, "wind_dir": 1.0, "margin": 10.0, "start_distance": 100.0}
+
+
+def test_search_around_equals_one_grid(spark):
+    side, across = 8, 3
+    ground = {(r, c): (0 if (r * 5 + c * 3) % 7 else 25) for r in range(2 * side) for c in range(across * side)}
+    cells = spark.createDataFrame([(r // side * across + c // side, r % side, c % side, h) for (r, c), h in ground.items()], "tile long, r int, c int, h int")
+    starts = [(1, 0, 6, 6, 60.0, 0.0), (2, 5, 1, 0, 45.0, 6.0), (2, 5, 1, 0, 45.0, 6.0), (3, 1, 4, 4, 5.0, 0.0)]
+    schema = f"search_id long, tile long, r int, c int, {', '.join(f'{p} double' for p in glide.PARAMETERS)}"
+    rows = [(k, t, r, c, *(({"height": h, "wind": w} | FIXED)[p] for p in glide.PARAMETERS)) for k, t, r, c, h, w in starts]
+    found = glide.search_around(cells, spark.createDataFrame(rows, schema), side, across)
+    got = sorted((n["search_id"], n["r"], n["c"], n["ref_r"], n["ref_c"], n["height"]) for n in found.collect() if n["ref_r"] is not None)
+    want = []
+    for k, t, r, c, h, w in starts:
+        r0, c0 = t // across * side, t % across * side
+        for n in glide.explore(ground, (r0 + r, c0 + c), height=max(h, ground[r0 + r, c0 + c]), wind=w, **FIXED).values():
+            if n.reachable and n.parent:
+                want.append((k, n.at[0] - r0, n.at[1] - c0, n.parent[0] - r0, n.parent[1] - c0, n.height))
+    assert got == sorted(want)
+    assert any(x[1] >= side for x in got) and any(x[1] < 0 for x in got)
+
+
+def test_registered_searches_leave_their_tile(spark):
+    nodes = paths.glide_search_nodes(spark, SF).collect()
+    assert min(n["c"] for n in nodes) < 0 and max(n["r"] for n in nodes) >= 32
