@@ -78,6 +78,20 @@ def lookup(points: DataFrame, cells: DataFrame, rows: int, cols: int, box: tuple
     return at.join(cells.select("r", "c", "h"), ["r", "c"])
 
 
+def lookup_tiles(points: DataFrame, cells: DataFrame, side: int, across: int, box: tuple[float, float, float, float], tiles: tuple[int, int]) -> DataFrame:
+    """(id, tile, r, c, h): each point of ``box`` (south, west, north, east) with the height of its cell.
+
+    Tiles with ``side`` cells a side lie over the box in ``tiles[0]`` rows of ``tiles[1]``, numbered row by row with
+    ``across`` to a row. The tile is derived from the point and is part of the join's key.
+    """
+    s, w, n, e = box
+    inside = points.filter(bbox_contains(s, w, n, e, "lat", "lon"))
+    at = inside.select("id", coordinate_to_index("lat", tiles[0] * side, s, n).alias("gr"), coordinate_to_index("lon", tiles[1] * side, w, e).alias("gc"))
+    tile = F.floor(F.col("gr") / side) * across + F.floor(F.col("gc") / side)
+    keyed = at.select("id", tile.cast("long").alias("tile"), (F.col("gr") % side).alias("r"), (F.col("gc") % side).alias("c"))
+    return keyed.join(cells.select("tile", "r", "c", "h"), ["tile", "r", "c"]).select("id", "tile", "r", "c", "h")
+
+
 def encode_rg(cells: DataFrame, rows: int) -> DataFrame:
     """Pixels of a height image: high and low byte in red and green, first row at the bottom."""
     h = F.greatest(F.lit(0), F.least(F.lit(65_535), F.col("h"))).cast("int")
@@ -113,15 +127,16 @@ def corners(cells: DataFrame) -> DataFrame:
     return right.select("tile", "r", "c", "h", *(F.coalesce(x, F.col("h")).alias(f"h_{x}") for x in ("up", "right", "diag")))
 
 
-def placemarks(cells: DataFrame, span: tuple[int, int]) -> DataFrame:
-    """A KML polygon and its colour (alpha, blue, green, red in hex) per cell of ``corners``."""
+def placemarks(cells: DataFrame, span: tuple[int, int], keep_tile: bool = False) -> DataFrame:
+    """A KML polygon and its colour (alpha, blue, green, red in hex) per cell of ``corners``, with its tile if asked for."""
     r, c = F.col("r"), F.col("c")
     points = ((c, r, "h"), (c + 1, r, "h_right"), (c + 1, r + 1, "h_diag"), (c, r + 1, "h_up"))
     ring = F.concat_ws(" ", *(F.concat_ws(",", x.cast("string"), y.cast("string"), F.col(h).cast("string")) for x, y, h in points))
     s = (F.col("h") - span[0]) / F.lit(float(span[1] - span[0]))
     red, green, blue = (colour_channel(s, i) for i in range(3))
     body = F.concat(F.lit("<Placemark><name>"), F.concat_ws("_", r.cast("string"), c.cast("string")), F.lit("</name><Polygon><coordinates>"), ring, F.lit("</coordinates></Polygon></Placemark>"))
-    return cells.select("r", "c", body.alias("kml"), F.format_string("96%02x%02x%02x", blue, green, red).alias("colour"))
+    keys = ["tile", "r", "c"] if keep_tile else ["r", "c"]
+    return cells.select(*keys, body.alias("kml"), F.format_string("96%02x%02x%02x", blue, green, red).alias("colour"))
 
 
 def line_of_sight(cells: DataFrame, start: tuple[int, int], start_h: float, cell_m: float, glide: float) -> DataFrame:

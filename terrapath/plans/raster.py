@@ -12,6 +12,8 @@ from . import inputs as I
 
 TILE = 3
 ABOVE = 700
+#: Tiles of a row of the mosaic, and rows of tiles that lie over the box of the lookup.
+ACROSS, ROWS = 5, 2
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,11 @@ def dem_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lookup(I.sites(spark, sf_dir), cells, I.SIDE, I.SIDE, (44.0, 6.0, 48.0, 14.0)).select("id", "r", "c", "h")
 
 
+def dem_point_lookup_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each site of a box with its tile and the height of its cell, all tiles of the mosaic lying over the box."""
+    return R.lookup_tiles(I.sites(spark, sf_dir), _filled(spark, sf_dir), I.SIDE, ACROSS, (44.0, 6.0, 48.0, 14.0), (ROWS, ACROSS))
+
+
 def dem_encode_rg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.encode_rg(_filled(spark, sf_dir), I.SIDE)
 
@@ -72,6 +79,14 @@ def grid_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(nodes, ["r", "c"], "left").select("r", "c", F.coalesce(agl, F.lit(-1000)).alias("agl"), F.coalesce(F.col("node_h").cast("int"), F.lit(-1000)).alias("height"))
 
 
+def grid_rasters_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``grid_rasters`` of every tile."""
+    nodes = I.tree(spark, sf_dir).filter(f"r < {I.SIDE} AND c < {I.SIDE}").groupBy("r", "c").agg(F.max("h").alias("node_h"))
+    height = F.col("node_h").cast("int")
+    joined = _filled(spark, sf_dir).join(nodes, ["r", "c"], "left")
+    return joined.select("tile", "r", "c", F.coalesce(height - F.col("h"), F.lit(-1000)).alias("agl"), F.coalesce(height, F.lit(-1000)).alias("height"))
+
+
 def neighbor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How steep each cell is toward its four neighbours."""
     pairs = R.neighbours(_filled(spark, sf_dir))
@@ -100,6 +115,11 @@ def kml_placemarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.placemarks(cells, (ABOVE, 1300))
 
 
+def kml_placemarks_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One polygon text per high cell of every tile."""
+    return R.placemarks(R.corners(_filled(spark, sf_dir)).filter(F.col("h") > ABOVE), (ABOVE, 1300), keep_tile=True)
+
+
 def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites per grid cell of a box: the cell is computed, not searched."""
     inside = I.sites(spark, sf_dir).filter(G.bbox_contains(44.0, 6.0, 48.0, 14.0, "lat", "lon"))
@@ -109,6 +129,7 @@ def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     dem_void_fill, dem_stats, dem_resample, dem_crop_pad, dem_point_lookup, dem_encode_rg, dem_decode_rg, agl_colors, agl_raw_pixels,
     grid_rasters, neighbor_pairs, line_of_sight_reachable, dem_mosaic, kml_corners, kml_placemarks, point_in_cell,
+    dem_point_lookup_tiles, grid_rasters_tiles, kml_placemarks_tiles,
 )
 
 _F = f"""(SELECT tile, r, c, last_value(CASE WHEN h >= -1000 THEN h END IGNORE NULLS) OVER (PARTITION BY tile ORDER BY r, c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM {I.DEM})"""
@@ -159,4 +180,11 @@ SQL = {
  printf('96%02x%02x%02x', {_channel(2)}, {_channel(1)}, {_channel(0)}) AS colour FROM (SELECT *, (h - {ABOVE}) / {1300 - ABOVE}::DOUBLE AS s FROM {_CORNER} WHERE tile = {TILE} AND h > {ABOVE})""",
     "point_in_cell": f"""SELECT cast(greatest(0, least(19, floor((lat - 44.0::DOUBLE) / 4.0::DOUBLE * 20))) AS int) AS r, cast(greatest(0, least(39, floor((lon - 6.0::DOUBLE) / 8.0::DOUBLE * 40))) AS int) AS c, count(*) AS n
  FROM {I.SITES} WHERE lat BETWEEN 44 AND 48 AND lon BETWEEN 6 AND 14 GROUP BY 1, 2""",
+    "dem_point_lookup_tiles": f"""SELECT id, tile, r, c, h FROM (SELECT id, cast(gr // {_N} * {ACROSS} + gc // {_N} AS bigint) AS tile, cast(gr % {_N} AS int) AS r, cast(gc % {_N} AS int) AS c FROM (SELECT id,
+ cast(greatest(0, least({ROWS * _N - 1}, floor((lat - 44.0::DOUBLE) / 4.0::DOUBLE * {ROWS * _N}))) AS int) AS gr,
+ cast(greatest(0, least({ACROSS * _N - 1}, floor((lon - 6.0::DOUBLE) / 8.0::DOUBLE * {ACROSS * _N}))) AS int) AS gc FROM {I.SITES} WHERE lat BETWEEN 44 AND 48 AND lon BETWEEN 6 AND 14)) JOIN {_F} USING (tile, r, c)""",
+    "grid_rasters_tiles": f"""SELECT f.tile, f.r, f.c, cast(coalesce(trunc(nh) - h, -1000) AS int) AS agl, cast(coalesce(trunc(nh), -1000) AS int) AS height FROM {_F} f
+ LEFT JOIN (SELECT r, c, max(h) AS nh FROM {I.TREE} GROUP BY r, c) n ON f.r = n.r AND f.c = n.c""",
+    "kml_placemarks_tiles": f"""SELECT tile, r, c, concat('<Placemark><name>', r, '_', c, '</name><Polygon><coordinates>', c, ',', r, ',', h, ' ', c + 1, ',', r, ',', h_right, ' ', c + 1, ',', r + 1, ',', h_diag, ' ', c, ',', r + 1, ',', h_up, '</coordinates></Polygon></Placemark>') AS kml,
+ printf('96%02x%02x%02x', {_channel(2)}, {_channel(1)}, {_channel(0)}) AS colour FROM (SELECT *, (h - {ABOVE}) / {1300 - ABOVE}::DOUBLE AS s FROM {_CORNER} WHERE h > {ABOVE})""",
 }

@@ -40,6 +40,18 @@ def missing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(stored, ["zoom", "x", "y"], "left_anti")
 
 
+def tile_urls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of all tiles of the windows' own zooms, once each."""
+    return T.urls(T.coverage(I.windows(spark, sf_dir), _zooms()))
+
+
+def missing_tiles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``missing_tiles`` at all of the windows' own zooms."""
+    wanted = T.coverage(I.windows(spark, sf_dir), _zooms()).select("zoom", "x", "y").distinct()
+    stored = wanted.filter((F.col("x") + F.col("y")) % 2 == 0)
+    return wanted.join(stored, ["zoom", "x", "y"], "left_anti")
+
+
 def _blobs(spark: SparkSession, sf_dir: str, factor: int) -> DataFrame:
     o = I.table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("tile"), (F.col("o_orderkey") * factor % 5000).alias("size"), F.concat(F.lit(f"b{factor}_"), F.col("o_orderkey").cast("string")).alias("blob"))
@@ -129,7 +141,7 @@ def cube_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     tile_zooms, tile_coverage, tile_estimate, tile_urls, missing_tiles, small_blob_filter, tile_blob_coalesce, tile_bytes_by_layer, job_status_reconcile,
     progress_running_max, progress_5pct, throttle_events, latest_query_per_session, downloads_latest, upsert_jobs, antijoin_delete, usage_counters,
-    json_props_scan, tumbling_counts, cube_counts,
+    json_props_scan, tumbling_counts, cube_counts, tile_urls_all, missing_tiles_all,
 )
 
 _W = I.WINDOWS
@@ -193,4 +205,7 @@ SQL = {
     "json_props_scan": "SELECT k % 10 AS digit, count(*) AS n, cast(sum(k) AS bigint) AS sum_k FROM (SELECT cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events) GROUP BY 1",
     "tumbling_counts": "SELECT (epoch_us(ts) // 1000000) // 21600 * 21600 AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "cube_counts": "SELECT l_returnflag, l_linestatus, count(*) AS n, cast(sum(cast(trunc(l_quantity) AS bigint)) AS bigint) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "tile_urls_all": f"""SELECT layer, '/' || ['a', 'b', 'c'][1 + (x + y) % 3] || '/' || layer || '/' || CASE WHEN layer = 'satellite' THEN zoom || '/' || y || '/' || x ELSE zoom || '/' || x || '/' || y END || '.png' AS url
+ FROM (SELECT DISTINCT zoom, x, y FROM {_cover(_ZOOM)}), (SELECT unnest([{_NAMES}]) AS layer)""",
+    "missing_tiles_all": f"SELECT DISTINCT zoom, cast(x AS int) AS x, cast(y AS int) AS y FROM {_cover(_ZOOM)} WHERE (x + y) % 2 <> 0",
 }
