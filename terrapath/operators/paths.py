@@ -11,22 +11,29 @@ from ..shared import written
 CHUNK_ROWS = 20_000
 
 
-def backtrace(tree: DataFrame, targets: DataFrame, most_steps: int = 64) -> DataFrame:
+def backtrace(tree: DataFrame, targets: DataFrame, most_steps: int | None = None) -> DataFrame:
     """(target, depth, id) of every node on the way from each target to its root, depth 0 at the target.
 
-    All targets step upward together by an equi-join; the loop ends when none has a parent left.
-    A cycle would not end: ``most_steps`` raises an error then.
+    All targets step upward together by an equi-join; the loop ends when none has a parent left, however
+    deep. A path that comes back to a node it was at raises an error, as does one of more than ``most_steps`` legs.
     """
     parents = tree.select("id", "parent").filter("parent is not null")
-    front = written(targets.select(F.col("id").alias("target"), F.lit(0).alias("depth"), "id"), "front")
-    parts = [front]
-    for depth in range(1, most_steps + 1):
-        front = written(front.join(parents, "id").select("target", F.lit(depth).alias("depth"), F.col("parent").alias("id")), "front")
-        if front.isEmpty():
+    front = written(targets.select(F.col("id").alias("target"), F.lit(0).alias("depth"), "id", F.col("id").alias("mark")), "front")
+    parts, depth = [front.drop("mark")], 0
+    while True:
+        depth += 1
+        # The mark is the node at the last depth that is a power of two: a cycle of any length meets it again.
+        mark = F.col("parent") if depth & (depth - 1) == 0 else F.col("mark")
+        step = front.join(parents, "id").select("target", F.lit(depth).alias("depth"), F.col("parent").alias("id"), mark.alias("mark"), (F.col("parent") == F.col("mark")).alias("back"))
+        front = written(step, "front")
+        found = front.agg(F.count("*").alias("n"), F.coalesce(F.max("back"), F.lit(False)).alias("back")).first()
+        if not found["n"]:
             break
-        parts.append(front)
-    else:
-        raise ValueError(f"a path has more than {most_steps} legs")
+        if found["back"]:
+            raise ValueError("a path has a cycle")
+        if most_steps is not None and depth >= most_steps:
+            raise ValueError(f"a path has more than {most_steps} legs")
+        parts.append(front.drop("mark", "back"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
