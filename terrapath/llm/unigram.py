@@ -6,6 +6,10 @@ rules are those of the unigram tokenizer in the ``tokenizers`` library: position
 left to right and a later candidate wins only with a strictly greater score, so of equal scores the
 longest last piece stays; characters without a piece cost the least score minus 10, and a run of
 them counts as one piece.
+
+The vocabulary is that of piece_bpe_32k.model, a BPE model, as no unigram model ships with the files: its
+negative merge ranks (-1e9 for runs of spaces) serve as scores and its byte pieces are left out, so counts
+differ from the model's own BPE counts.
 """
 
 from __future__ import annotations
