@@ -2,42 +2,38 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the directory of Parquet tables ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="terrapath-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Folders made so far, the latest last.
+_MADE: list[str] = []
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone at exit
-        pass
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, removed when the program ends or by ``release``."""
+    _MADE.append(shared.new_path(spark, name))
+    return _MADE[-1]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, removed when the program ends."""
-    path = f"{shared_dir(spark)}/terrapath-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
+def made() -> int:
+    """A mark for ``release``."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Removes the folders made since a mark, but for the last ``keep``."""
+    end = len(_MADE) - keep
+    for path in _MADE[since:end]:
+        shared.remove(spark, path)
+    del _MADE[since:end]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +46,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """Lets Arrow batches of this session hold no more than ``rows`` rows; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def row_key(docs: DataFrame, *others: str) -> Column:
     """A hash of the id, the text and ``others``, which tells rows apart where ids repeat or are null."""
     cols = [docs["doc_id"].cast("long"), *(docs[c].cast("string") for c in ("text", *others))]

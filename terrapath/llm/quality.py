@@ -45,6 +45,8 @@ RATES = (
     Rate("word_length", 4, 500),
 )
 #: Sketches of fewer documents give way to the language's, and those to the whole corpus's.
+#: Groups whose fences are broadcast at most.
+BROADCAST_GROUPS = 100_000
 MIN_GROUP = 100
 
 _STATS = [("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [
@@ -194,6 +196,9 @@ def _judged(docs: DataFrame, min_group: int) -> DataFrame:
             for n in names
         ),
     )
+    # Languages times sources are few; where they aren't, the join is a shuffle.
+    chosen = materialize(chosen, "fences")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_GROUPS else chosen
     on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     outlier = F.lit(False)
     for r in RATES:

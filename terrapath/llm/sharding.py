@@ -66,9 +66,10 @@ def units_of(rows: DataFrame, unit_bytes: int) -> DataFrame:
     groups = rows.groupBy("g1", "g2").agg(
         F.sum("size").alias("group_bytes"), F.min("lang").alias("g_lang"), F.min("source").alias("g_source")
     )
+    # At most all bytes / unit_bytes groups, or shards / UNIT_SHARE: they are broadcast, and no group's rows meet in a task.
     many = groups.filter(F.col("group_bytes") > unit_bytes).select("g1", "g2", F.ceil(F.col("group_bytes") / unit_bytes).cast("long").alias("pieces"))
     return (
-        rows.join(many, ["g1", "g2"], "left")
+        rows.join(F.broadcast(many), ["g1", "g2"], "left")
         .withColumn("piece", F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).cast("long"))
         .drop("pieces")
     )

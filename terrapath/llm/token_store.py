@@ -24,8 +24,8 @@ from ._common import id_text, new_path
 END_ID = 2
 #: A block ends at the first document that takes it beyond so many ids.
 BLOCK_IDS = 1 << 20
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker remembers, and bytes of such a word.
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
 MAGIC = b"EFTS\x01"
 BLOCKS = "part int, block int, start long, n_docs long, n_ids long, content binary"
 
@@ -175,9 +175,10 @@ class WordIds(dict):
             found = self[low]
         else:
             found = self.pack(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def encode(self, text: str | None, end: bytes) -> bytes:
@@ -242,9 +243,9 @@ def _reader(before):
         for b in batches:
             for r in b.to_pylist():
                 block = Block(r["content"])
-                bounds = block.bounds.decode().astype(np.int64)
+                bounds = np.array([block.bounds.select(i) for i in range(block.n_docs + 1)], np.int64)
                 base = before.value[r["part"]] + r["start"]
-                crc = [zlib.crc32(block.ids[a:z].astype("<u4").tobytes()) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+                crc = [zlib.crc32(block.document(i).astype("<u4").tobytes()) for i in range(block.n_docs)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.doc_ids(), pa.int64()), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -25,8 +25,8 @@ from ._common import id_text
 
 SPACE = "▁"
 UNK_PENALTY = 10.0
-#: Distinct words whose counts a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Distinct words whose counts a worker remembers, and characters of such a word.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
 
 
 def default_vocabulary() -> str:
@@ -83,9 +83,11 @@ class Counter:
     def word(self, word: str) -> int:
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            found = self.cache[word] = self.pieces(word)
+            found = self.pieces(word)
+            if len(word) <= CACHE_CHARS:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.cache.clear()
+                self.cache[word] = found
         return found
 
     def text(self, text: str | None) -> int:
