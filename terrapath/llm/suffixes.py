@@ -8,6 +8,9 @@ others meet by gram with the bytes around them: their suffixes, and the reversed
 them, are sorted by multikey quicksort to a shallow depth and by blind tries beyond it. Sorted
 neighbours give the longest common extensions to both sides, and so exactly the windows that occur
 again.
+
+The same sort also tells which strings of ``PASSAGE`` bytes occur again. Nothing is removed for them; their
+bytes are counted, as a passage of some fifty words is often shorter than ``LENGTH``.
 """
 
 from __future__ import annotations
@@ -23,16 +26,19 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-LENGTH = 400
+#: Bytes of a string that is removed where it repeats, and of one that only counts.
+LENGTH, PASSAGE = 400, 250
 GRAM = 64
-#: Bytes that an anchor's context holds before the anchor, and from it on.
-BEFORE = LENGTH - GRAM
 #: Depth to which multikey quicksort sorts; what is equal so far goes to a blind trie.
 SHALLOW = GRAM + 32
-#: Anchors of one gram that a task sorts; those of a more frequent gram are counted window by window.
-GROUP = 20_000
+#: Anchors of one gram that a task sorts; those of a more frequent gram are counted window by window. Grams above it at most.
+GROUP, HOT_GRAMS = 20_000, 200_000
+#: Contexts of a group up to which all pairs are looked at.
+PAIRS = 256
 #: Bits of the filter of grams that occur twice or more: its size is fixed, whatever the corpus.
 FILTER_BITS = 1 << 26
+#: Rows of contexts that a task gathers before it sends them.
+OUT_ROWS = 20_000
 #: Positions that are searched for anchors at once.
 SLICE = 1 << 20
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -61,10 +67,10 @@ def _sliding(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[: len(key) - (width - size)], key[width - size :]) if width > size else key
 
 
-def _window_anchors(h: np.ndarray) -> np.ndarray:
-    """The anchor of every window; of equal hashes the leftmost."""
-    out = []
-    width = BEFORE + 1
+def _window_anchors(h: np.ndarray, length: int) -> np.ndarray:
+    """The anchor of every window of ``length`` bytes; of equal hashes the leftmost."""
+    out = [np.zeros(0, np.int64)]
+    width = length - GRAM + 1
     for a in range(0, len(h) - width + 1, SLICE - width + 1):
         part = h[a : a + SLICE]
         key = (part & ~np.uint64(SLICE - 1)) | np.arange(len(part), dtype=np.uint64)
@@ -72,32 +78,36 @@ def _window_anchors(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(anchor positions, their gram hashes, runs known to repeat) of one text.
+def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, bool]]]:
+    """(anchor positions, their gram hashes, which are anchors of ``LENGTH`` bytes, runs known to repeat) of one text.
 
-    In a run of period q, every window but the first q equals the one q before it. Those windows are
-    known to repeat and need no anchors, which spares a text like "ha ha ha" an anchor per period.
+    The anchors of windows of ``LENGTH`` bytes are also those of the shorter windows of ``PASSAGE`` bytes around
+    them. In a run of period q, every window but the first q equals the one q before it. Those windows are
+    known to repeat and need no anchors, which spares a text like "ha ha ha" an anchor per period. A run
+    is (start, end, whether it holds ``LENGTH`` bytes).
     """
     n = len(raw)
-    if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), []
+    if n < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), []
     h = gram_hashes(raw)
-    every = _window_anchors(h)
-    found = np.unique(every)
-    known: list[tuple[int, int]] = []
-    if len(found) > 8 + 4 * n // (BEFORE + 1):
-        gaps = np.diff(found)
-        same = h[found[1:]] == h[found[:-1]]
-        spare = np.zeros(len(every), bool)
+    every = {length: _window_anchors(h, length) for length in (PASSAGE, LENGTH)}
+    found = {length: np.unique(x) for length, x in every.items()}
+    known: list[tuple[int, int, bool]] = []
+    if len(found[PASSAGE]) > 8 + 4 * n // (PASSAGE - GRAM + 1):
+        gaps = np.diff(found[PASSAGE])
+        same = h[found[PASSAGE][1:]] == h[found[PASSAGE][:-1]]
+        spare = {length: np.zeros(len(x), bool) for length, x in every.items()}
         for q in np.unique(gaps[same]).tolist():
             equal = raw[q:] == raw[:-q]
             edge = np.flatnonzero(np.diff(np.concatenate(([0], equal.astype(np.int8), [0]))))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                if b - a >= LENGTH:  # bytes a .. b + q have period q
-                    known.append((a, b + q))
-                    spare[a + q : b + q - LENGTH + 1] = True
-        found = np.unique(every[~spare])
-    return found, h[found], known
+                for length, x in spare.items():
+                    if b - a >= length:  # bytes a .. b + q have period q
+                        known.append((a, b + q, length == LENGTH))
+                        x[a + q : b + q - length + 1] = True
+        found = {length: np.unique(x[~spare[length]]) for length, x in every.items()}
+    at = np.union1d(found[PASSAGE], found[LENGTH])
+    return at, h[at], np.isin(at, found[LENGTH]), known
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -191,44 +201,55 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_windows(lefts: list[bytes], rights: list[bytes]) -> list[list[tuple[int, int]]]:
-    """Per anchor, which windows occur at another one: closed ranges of the bytes before the anchor.
+class Sorted:
+    """The contexts around the anchors of one gram, sorted to both sides.
 
-    ``lefts`` are the bytes before each anchor, reversed. The window that begins i bytes before the anchor
-    is the same at two anchors if they agree in i bytes before and LENGTH - i bytes from there on.
+    ``lefts`` are the bytes before each anchor, reversed.
     """
-    c = len(lefts)
-    by_right, by_left = deep_shallow(rights), deep_shallow(lefts)
-    right = np.array([common(rights[a], rights[b]) for a, b in pairwise(by_right)], np.int64)
-    left = np.array([common(lefts[a], lefts[b]) for a, b in pairwise(by_left)], np.int64)
-    if c == 2:
-        a, b = LENGTH - int(right[0]), int(left[0])
-        return [[(max(a, 0), b)] if a <= b else []] * 2
-    if c <= 256:
-        r, m = np.zeros((c, c), np.int64), np.zeros((c, c), np.int64)
-        for i in range(c - 1):
-            r[by_right[i], by_right[i + 1 :]] = np.minimum.accumulate(right[i:])
-            m[by_left[i], by_left[i + 1 :]] = np.minimum.accumulate(left[i:])
-        low, high = LENGTH - np.maximum(r, r.T), np.maximum(m, m.T)
-        fit = low <= high
-        np.fill_diagonal(fit, False)
-        return [_merged(list(set(zip(low[i][fit[i]].tolist(), high[i][fit[i]].tolist(), strict=True)))) for i in range(c)]
-    again = np.zeros((c, BEFORE + 1), bool)
-    for i in range(BEFORE + 1):
-        name = np.zeros(c, np.int64)
-        name[by_right] = np.concatenate(([0], np.cumsum(right < LENGTH - i))) * c
-        name[by_left] += np.concatenate(([0], np.cumsum(left < i)))
-        _, own, n = np.unique(name, return_inverse=True, return_counts=True)
-        again[:, i] = n[own] > 1
-    out = []
-    for row in again:
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], row.astype(np.int8), [0]))))
-        out.append([(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)])
-    return out
-
 
-def group_spans(rows: list[tuple[int, int, int, bytes, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-    """(key 1, key 2, start, end) of the repeated bytes around the anchors of one gram.
+    def __init__(self, lefts: list[bytes], rights: list[bytes]):
+        self.by_right, self.by_left = deep_shallow(rights), deep_shallow(lefts)
+        self.right = np.array([common(rights[a], rights[b]) for a, b in pairwise(self.by_right)], np.int64)
+        self.left = np.array([common(lefts[a], lefts[b]) for a, b in pairwise(self.by_left)], np.int64)
+        self.most = max(map(len, lefts))
+
+    def repeated(self, length: int) -> list[list[tuple[int, int]]]:
+        """Per anchor, which windows of ``length`` bytes occur at another one: closed ranges of the bytes before the anchor.
+
+        The window that begins i bytes before the anchor is the same at two anchors if they agree in i bytes
+        before and length - i bytes from there on.
+        """
+        by_right, by_left, right, left = self.by_right, self.by_left, self.right, self.left
+        c = len(by_right)
+        if c == 2:
+            a, b = max(length - int(right[0]), 0), int(left[0])
+            return [[(a, b)] if a <= b else []] * 2
+        if c <= PAIRS:
+            r, m = np.zeros((c, c), np.int64), np.zeros((c, c), np.int64)
+            for i in range(c - 1):
+                r[by_right[i], by_right[i + 1 :]] = np.minimum.accumulate(right[i:])
+                m[by_left[i], by_left[i + 1 :]] = np.minimum.accumulate(left[i:])
+            low, high = np.maximum(length - np.maximum(r, r.T), 0), np.maximum(m, m.T)
+            fit = low <= high
+            np.fill_diagonal(fit, False)
+            return [_merged(list(set(zip(low[i][fit[i]].tolist(), high[i][fit[i]].tolist(), strict=True)))) for i in range(c)]
+        most = min(self.most, length - GRAM)
+        again = np.zeros((c, most + 1), bool)
+        for i in range(most + 1):
+            name = np.zeros(c, np.int64)
+            name[by_right] = np.concatenate(([0], np.cumsum(right < length - i))) * c
+            name[by_left] += np.concatenate(([0], np.cumsum(left < i)))
+            _, own, n = np.unique(name, return_inverse=True, return_counts=True)
+            again[:, i] = n[own] > 1
+        out = []
+        for row in again:
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], row.astype(np.int8), [0]))))
+            out.append([(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)])
+        return out
+
+
+def group_spans(rows: list[tuple[int, int, int, bytes, bytes]]) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(key 1, key 2, start, end, whether of ``LENGTH``) of the repeated bytes around the anchors of one gram.
 
     A row is (key 1, key 2, position, reversed bytes before, bytes from there). Anchors with equal
     contexts are one to the sort, and all their windows repeat.
@@ -236,13 +257,15 @@ def group_spans(rows: list[tuple[int, int, int, bytes, bytes]]) -> Iterator[tupl
     classes: dict[tuple[bytes, bytes], list[tuple[int, int, int]]] = {}
     for k1, k2, at, left, right in rows:
         classes.setdefault((left, right), []).append((k1, k2, at))
-    found = repeated_windows([x for x, _ in classes], [x for _, x in classes]) if len(classes) > 1 else [[]]
-    for ((left, right), places), spans in zip(classes.items(), found, strict=True):
-        if len(places) > 1 and LENGTH - len(right) <= len(left):
-            spans = [(max(0, LENGTH - len(right)), len(left))]
-        for a, b in spans:
-            for k1, k2, at in places:
-                yield k1, k2, at - b, at - a + LENGTH
+    order = Sorted([x for x, _ in classes], [x for _, x in classes]) if len(classes) > 1 else None
+    for length in (PASSAGE, LENGTH):
+        found = order.repeated(length) if order else [[]]
+        for ((left, right), places), spans in zip(classes.items(), found, strict=True):
+            if len(places) > 1 and length - len(right) <= len(left):
+                spans = [(max(0, length - len(right)), len(left))]
+            for a, b in spans:
+                for k1, k2, at in places:
+                    yield k1, k2, at - b, at - a + length, length == LENGTH
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
@@ -261,9 +284,10 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
 
-_CONTEXT = "gram long, k1 long, k2 long, at int, stop int, before binary, after binary"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-_NAMES = ["gram", "k1", "k2", "at", "stop", "before", "after"]
+_CONTEXT = "gram long, k1 long, k2 long, at int, stop int, deep boolean, before binary, after binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+_NAMES = ["gram", "k1", "k2", "at", "stop", "deep", "before", "after"]
+_SPAN = "k1 long, k2 long, a int, z int, deep boolean"
 
 
 def _spot(grams: np.ndarray) -> np.ndarray:
@@ -282,29 +306,43 @@ def _contexts(sent, hot):
         for b in batches:
             out: list[tuple] = []
             for k1, k2, raw in _texts(b):
-                at, grams, known = anchors(np.frombuffer(raw, np.uint8))
-                out.extend((None, k1, k2, a, z, None, None) for a, z in known)
+                at, grams, deep, known = anchors(np.frombuffer(raw, np.uint8))
+                out.extend((None, k1, k2, a, z, d, None, None) for a, z, d in known)
                 spots = _spot(grams)
-                told: set[int] = set()  # a window may hold several hot anchors
+                told: set[tuple[int, int]] = set()  # a window may hold several hot anchors
                 passed = (bits[(spots >> np.uint64(3)).astype(np.int64)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                for p, g in zip(at[passed].tolist(), grams[passed].view(np.int64).tolist(), strict=True):
-                    if g in frequent:
-                        for s in {*range(max(0, p - BEFORE), min(p, len(raw) - LENGTH) + 1)} - told:
-                            told.add(s)
-                            d = hashlib.blake2b(raw[s : s + LENGTH], digest_size=16).digest()
-                            out.append((g, k1, k2, s, s + LENGTH, d, None))
-                    else:
-                        out.append((g, k1, k2, p, None, raw[max(0, p - BEFORE) : p][::-1], raw[p : p + LENGTH]))
-            cols = list(zip(*out, strict=True)) if out else [()] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=_NAMES)
+                for p, g, d in zip(at[passed].tolist(), grams[passed].view(np.int64).tolist(), deep[passed].tolist(), strict=True):
+                    length = LENGTH if d else PASSAGE
+                    if g not in frequent:
+                        out.append((g, k1, k2, p, None, d, raw[max(0, p - length + GRAM) : p][::-1], raw[p : p + length]))
+                        continue
+                    for size in (PASSAGE, LENGTH) if d else (PASSAGE,):
+                        for s in range(max(0, p - size + GRAM), min(p, len(raw) - size) + 1):
+                            if (s, size) not in told:
+                                told.add((s, size))
+                                out.append((g, k1, k2, s, s + size, size == LENGTH, hashlib.blake2b(raw[s : s + size], digest_size=16).digest(), None))
+                if len(out) >= OUT_ROWS:
+                    yield _rows(out)
+                    out = []
+            yield _rows(out)
 
     return run
 
 
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) if out else [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=_NAMES)
+
+
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by gram, so a group is a run of rows; it is held until the gram changes."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    names = ["k1", "k2", "a", "z"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    names = ["k1", "k2", "a", "z", "deep"]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
     gram, group = None, []
     for b in batches:
         out: list[tuple] = []
@@ -314,11 +352,9 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     out.extend(group_spans(group))
                 gram, group = g, []
             group.append(tuple(row))
-        cols = list(zip(*out, strict=True)) if out else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        yield batch(out)
     if len(group) > 1:
-        cols = list(zip(*group_spans(group), strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        yield batch(list(group_spans(group)))
 
 
 def _filter_bits(grams: DataFrame) -> np.ndarray:
@@ -346,22 +382,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(k1, k2, spans): per different text (by two 64-bit hashes), the byte spans that repeat, unsorted."""
+    """(k1, k2, spans, passages): per different text (by two 64-bit hashes), the byte spans that repeat, unsorted."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    whole = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("z")).filter((F.col("n") > 1) & (F.col("z") >= LENGTH))
-    whole = whole.select("k1", "k2", F.lit(0).alias("a"), F.col("z").cast("int").alias("z"))
+    whole = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.length("raw")).cast("int").alias("z")).filter((F.col("n") > 1) & (F.col("z") >= PASSAGE))
+    sizes = F.filter(F.array(F.lit(PASSAGE), F.lit(LENGTH)), lambda x: x <= F.col("z"))
+    whole = whole.select("k1", "k2", F.lit(0).alias("a"), "z", F.explode(sizes).alias("size")).select("k1", "k2", "a", "z", (F.col("size") == LENGTH).alias("deep"))
     counts = keyed.select("k1", "k2", "raw").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     counts = materialize(counts, "grams")
     bits = spark.sparkContext.broadcast(_filter_bits(counts))
-    hot = spark.sparkContext.broadcast(frozenset(r["gram"] for r in counts.filter(F.col("n") > GROUP).select("gram").collect()))
+    hot = spark.sparkContext.broadcast(_hot_grams(counts))
     contexts = keyed.select("k1", "k2", "raw").mapInArrow(_contexts(bits, hot), _CONTEXT)
-    parts = []
+    parts = [whole]
     if hot.value:
         contexts = materialize(contexts, "contexts")
         windows = contexts.filter("stop is not null and gram is not null")
-        twice = windows.groupBy("before").agg(F.count("*").alias("n")).filter("n > 1")
-        parts.append(windows.join(twice, "before", "left_semi").select("k1", "k2", F.col("at").alias("a"), F.col("stop").alias("z")))
+        twice = materialize(windows.groupBy("before").agg(F.count("*").alias("n")).filter("n > 1").select("before"), "windows")
+        parts.append(windows.join(twice, "before", "left_semi").select("k1", "k2", F.col("at").alias("a"), F.col("stop").alias("z"), "deep"))
         contexts = contexts.filter("stop is null or gram is null")
     # Known runs have no gram: a hash of their text spreads them.
     place = F.coalesce("gram", "k1")
@@ -372,7 +409,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for b in batches:
                 null = b.column("gram").is_null()
                 if null.true_count:
-                    known.append(b.filter(null).select(["k1", "k2", "at", "stop"]).rename_columns(["k1", "k2", "a", "z"]))
+                    known.append(b.filter(null).select(["k1", "k2", "at", "stop", "deep"]).rename_columns(["k1", "k2", "a", "z", "deep"]))
                 yield b.filter(b.column("gram").is_valid())
 
         known: list[pa.RecordBatch] = []
@@ -382,16 +419,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield out
         yield from known
 
-    spans = dealt.mapInArrow(run, "k1 long, k2 long, a int, z int").unionByName(whole)
+    spans = dealt.mapInArrow(run, _SPAN)
     for p in parts:
         spans = spans.unionByName(p)
-    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    span = F.struct("a", "z")
+    return spans.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("deep"), span)).alias("spans"), F.collect_set(F.when(~F.col("deep"), span)).alias("passages"))
+
+
+def _hot_grams(counts: DataFrame) -> frozenset[int]:
+    """The grams of more than ``GROUP`` anchors; of more than ``HOT_GRAMS`` only the most frequent, the others are sorted as they are."""
+    hot = counts.filter(F.col("n") > GROUP)
+    n = hot.count()
+    if n > HOT_GRAMS:
+        least = hot.approxQuantile("n", [1 - HOT_GRAMS / n], 0.0)[0]
+        hot = hot.filter(F.col("n") > least)
+    return frozenset(r["gram"] for r in hot.select("gram").collect())
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sizes, removed, runs, kept = [], [], [], []
-        for raw, spans in zip(b.column("raw"), b.column("spans").to_pylist(), strict=True):
+        sizes, removed, runs, repeated, kept = [], [], [], [], []
+        for raw, spans, passages in zip(b.column("raw"), b.column("spans").to_pylist(), b.column("passages").to_pylist(), strict=True):
             raw = raw.as_py()
             cut = _merged([(s["a"], s["z"] - 1) for s in spans]) if spans else []
             pieces, at = [], 0
@@ -402,26 +450,28 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(raw))
             removed.append(len(raw) - len(rest))
             runs.append(len(cut))
+            repeated.append(sum(z - a + 1 for a, z in _merged([(s["a"], s["z"] - 1) for s in passages])) if passages else 0)
             kept.append(rest)
         long = pa.int64()
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(sizes, long), pa.array(removed, long), pa.array(runs, long), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            [b.column("doc_id"), *(pa.array(x, long) for x in (sizes, removed, runs, repeated)), pa.array(kept, pa.binary())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"],
         )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept holds the bytes that stay.
+    """(doc_id, n_bytes, n_removed, n_spans, n_repeated, kept) of every row; kept holds the bytes that stay.
 
-    A null text is empty; texts below ``LENGTH`` bytes keep everything. Copies remove each other wholly.
+    n_repeated counts the bytes covered by a string of ``PASSAGE`` bytes that also starts anywhere else. A null
+    text is empty; texts below ``LENGTH`` bytes keep everything. Copies remove each other wholly.
     Repeated rows count as copies. An empty table gives an empty result; other columns are not read.
     """
     keyed = _keyed(docs)
-    spans = repeated_spans(docs)
-    joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "raw", "spans")
-    return joined.mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    spans = materialize(repeated_spans(docs), "spans")  # so that a join with very many copies can be split
+    joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "raw", "spans", "passages")
+    return joined.mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
     """The digest columns of ``remove_repeats``'s rows."""
-    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
