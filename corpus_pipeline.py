@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapath.llm import byte_bpe, decontam, jaccard, quality, secret_scan
-from terrapath.llm._common import materialize, table
+from terrapath.llm._common import made, materialize, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from the table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, mark)  # what the stage and the one before it wrote, but for these rows
     return STAGES[-1][1](spark, docs, sf_dir)
