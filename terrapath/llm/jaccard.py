@@ -1,14 +1,15 @@
 """Exact Jaccard join of 5-word shingle sets in metric space.
 
-Jaccard distance is a metric, so pivots cut the documents into Voronoi regions and the triangle
-inequality bounds which documents near a border a region must also hold. As most pairs of documents
-share nothing and lie at distance 1 from any pivot, the join first finds, exactly, who can have a
-partner at all: two linked documents share part of their smallest shingles, and a document with too
-few shared ones has no link. What remains falls into parts that share no shingle with each other;
-each part is a region. Regions beyond a size are cut by pivots, recursively, with the boundary
-documents replicated; a region that fits is joined in a task with pivots of its own.
-
-Shingles and sets are compared by 64-bit hashes.
+Jaccard distance is a metric. Pivots cut the documents into regions, and a document near a border is
+replicated to every region in which it may have a partner. As most pairs of documents share nothing and
+lie at distance 1 from any pivot, the first pivots are found with an inverted index: of the sets that
+share a shingle of their prefixes, one is the pivot of them all, and a set belongs to the regions of the
+few pivots it meets so. Two linked sets always share some of these shingles, hence a region; each
+set may leave out its most frequent ones, as long as one is sure to be left, so passages that very many
+documents share make no regions. A region that is too large for a task is cut again by
+pivots and triangle-inequality windows, recursively; one that fits is joined in a task, by pivots of its own.
+
+Sets are told apart by 128-bit hashes and shingles by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import id_text, materialize, new_path, row_key
@@ -31,8 +32,12 @@ PERCENT = 80
 SPARE = 20
 #: Sets of a batch that hold a shingle before it counts as frequent; bits of the bitmap of such shingles.
 FREQUENT, ORDER_BITS = 8, 1 << 26
-#: Bytes of shingles that one task joins.
-REGION_BYTES = 48 << 20
+#: Bytes of shingles that one task joins at once; regions smaller than ``TASK_BYTES`` are joined several at a time.
+REGION_BYTES, TASK_BYTES = 24 << 20, 6 << 20
+#: Sets of a region up to which all its pairs are compared at once.
+FEW = 4
+#: Bytes of pivots that a round broadcasts.
+PIVOT_BYTES = 32 << 20
 PIVOTS = 16
 #: Regions that are cut in one round, so that what is broadcast stays bounded.
 REGIONS_A_ROUND = 64
@@ -139,8 +144,13 @@ def shared_needed(n: int) -> int:
     return spare(least_overlap(n))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _name(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def _short(name: bytes) -> int:
+    """Part of a set's name, for the index: sets that agree in it only meet in more regions."""
+    return int.from_bytes(name[:8], "big", signed=True)
 
 
 def _spot(h: np.ndarray) -> np.ndarray:
@@ -185,7 +195,7 @@ def in_order(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.concatenate((s[~late], s[late])) if late.any() else s
 
 
-_KINDS = [("doc_id", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int64()), ("entries", pa.binary())]
+_KINDS = [("doc_id", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("short", pa.int64()), ("bucket", pa.int64()), ("entries", pa.binary())]
 #: The bucket of a row whose entries share their shingles within the row.
 _SHARED = -1
 
@@ -227,7 +237,7 @@ def _dealt(prefixes: list[np.ndarray], nodes: list[int], buckets: int) -> Iterat
 
 def _describe(sent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows of prefix entries by bucket."""
-    seen: set[int] = set()  # a copy's prefix is the first one's: of each set a task sends one
+    seen: set[bytes] = set()  # a copy's prefix is the first one's: of each set a task sends one
     bits = sent.value
     prefixes: list[np.ndarray] = []
     nodes: list[int] = []
@@ -235,22 +245,23 @@ def _describe(sent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator
 
     def entries() -> pa.RecordBatch:
         rows = list(_dealt(prefixes, nodes, buckets))
-        cols = (*([None] * len(rows) for _ in range(4)), [k for k, _ in rows], [e for _, e in rows])
+        cols = (*([None] * len(rows) for _ in range(5)), [k for k, _ in rows], [e for _, e in rows])
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _KINDS, strict=True)], names=[x for x, _ in _KINDS])
 
     for b in batches:
         n, node = [], []
         for s in shingle_sets(b.column("text")):
             n.append(len(s))
-            key = _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None
+            key = _name(s) if len(s) else None
             node.append(key)
             if key is not None and key not in seen:
                 seen.add(key)
                 prefixes.append(in_order(s, bits)[: prefix_size(len(s))])
-                nodes.append(key)
+                nodes.append(_short(key))
                 held += len(prefixes[-1])
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none, pa.nulls(len(n), pa.binary())], names=[x for x, _ in _KINDS])
+        short = pa.array([None if x is None else _short(x) for x in node], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), short, none, pa.nulls(len(n), pa.binary())], names=[x for x, _ in _KINDS])
         if held >= BLOCK_ENTRIES:
             yield entries()
             prefixes, nodes, held = [], [], 0
@@ -259,18 +270,28 @@ def _describe(sent, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(region, node, bytes) of the texts whose set is the node's; a task sends each node's set once."""
-    sent: set[int] = set()
+    """(region, node, bytes) of the texts whose set is the node's, in each of its regions; a task reads each node's set once."""
+    sent: set[bytes] = set()
     for b in batches:
-        keep, raw = [], []
-        for i, (found, node) in enumerate(zip(shingle_sets(b.column("text")), b.column("node").to_pylist(), strict=True)):
-            s = found.tobytes()
-            if s and node not in sent and _signed(xxhash.xxh3_64_intdigest(s)) == node:
+        regions: list[int] = []
+        names: list[bytes] = []
+        raw: list[bytes] = []
+        held = 0
+        for found, node, cells in zip(shingle_sets(b.column("text")), b.column("node").to_pylist(), b.column("regions").to_pylist(), strict=True):
+            if len(found) and node not in sent and _name(found) == node:
                 sent.add(node)
-                keep.append(i)
-                raw.append(s)
-        at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("region").take(at), b.column("node").take(at), pa.array(raw, pa.binary())], names=["region", "node", "bytes"])
+                regions += cells
+                names += [node] * len(cells)
+                raw += [found.tobytes()] * len(cells)
+                held += found.nbytes * len(cells)
+            if held > HASHED_BYTES:
+                yield _region_rows(regions, names, raw)
+                regions, names, raw, held = [], [], [], 0
+        yield _region_rows(regions, names, raw)
+
+
+def _region_rows(regions: list[int], names: list[bytes], raw: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(names, pa.binary()), pa.array(raw, pa.binary())], names=["region", "node", "bytes"])
 
 
 def _matched(table: pa.Table) -> pa.Table:
@@ -293,27 +314,36 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(node)], names=["h", "node"])
 
 
-def _with_partner(described: DataFrame, copies: DataFrame) -> DataFrame:
-    """(node, hub): nodes that may have a partner, with the smallest node of each shingle they share.
+def _needs() -> Column:
+    return F.expr(f"greatest(1, (({PERCENT} * n + 99) div 100) div {SPARE})")  # shared_needed(n)
+
+
+def _regions(described: DataFrame, copies: DataFrame) -> DataFrame:
+    """(short, region): the regions of each set that may have a partner, a region being named by its pivot.
 
-    Per shingle only the smallest and greatest node are kept (partial aggregates), so a shingle of a
-    third of all documents costs each task one row. Nodes with too few shared shingles go, and with them
-    the shingles that nobody else has then.
+    Per shingle the pivot is the smallest of the sets that share it (partial aggregates), so a shingle of a
+    third of all documents costs each task one row. Sets with too few shared shingles go, and with them
+    the shingles that nobody else has then. A set shares ``needed`` shingles or more with any partner: even
+    without its ``needed`` - 1 most frequent ones both keep the rarest that they share.
     """
     dealt = described.filter("bucket is not null").select("bucket", "entries")
     found = dealt.filter(F.col("bucket") != _SHARED).groupBy("bucket").applyInArrow(lambda t: _matched(t), "h long, node long")
     inside = dealt.filter(F.col("bucket") == _SHARED).select("entries").mapInArrow(_opened, "h long, node long")
     hits = materialize(found.unionByName(inside).distinct(), "hits")
-    needs = F.expr(f"greatest(1, (({PERCENT} * n + 99) div 100) div {SPARE})")  # shared_needed(n)
+    # Sets that agree in the short name share its entries: the smaller of their bounds holds for both.
+    needs = copies.groupBy(F.col("short").alias("node")).agg(F.min("n").alias("n")).select("node", _needs().alias("needed"))
     for i in range(ROUNDS):
         if i:
             alone = hits.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub = far").select("h")
             hits = hits.join(alone, "h", "left_anti")
         shared = hits.groupBy("node").agg(F.count("*").alias("shared"))
-        few = shared.join(copies, "node").filter(F.col("shared") < needs).select("node")
+        few = shared.join(needs, "node").filter("shared < needed").select("node")
         hits = materialize(hits.join(few, "node", "left_anti"), "hits")
-    hubs = hits.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").select("h", "hub")
-    return hits.join(hubs, "h").select("node", "hub").distinct()
+    pivots = hits.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("often")).filter("hub < far").select("h", "hub", "often")
+    # A set has at most as many rows here as its prefix is long.
+    frequent = Window.partitionBy("node").orderBy(F.desc("often"), "h")
+    ranked = hits.join(pivots, "h").withColumn("place", F.row_number().over(frequent)).join(needs, "node")
+    return ranked.filter(F.col("place") >= F.col("needed")).select(F.col("node").alias("short"), F.col("hub").alias("region")).distinct()
 
 
 def _parse(content: pa.Array) -> list[np.ndarray]:
@@ -401,64 +431,101 @@ def join_region(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _joined(table: pa.Table) -> pa.Table:
-    nodes = table.column("node").to_numpy()
-    first = np.sort(np.unique(nodes, return_index=True)[1])
-    if len(first) < len(nodes):  # a repeated row comes twice
-        table, nodes = table.take(pa.array(first)), nodes[first]
-    root = join_region(_parse(table.column("bytes").combine_chunks())) if len(nodes) > 1 else np.zeros(len(nodes), np.int64)
-    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(nodes[root] if len(nodes) else nodes, pa.int64())})
-
-
-def _cut(regions: DataFrame, large: list[int]) -> tuple[DataFrame, DataFrame]:
-    """One round of the recursion for the regions ``large``: (regions that changed, links to pivots).
-
-    A set within 0.4 of its nearest pivot is covered: every set that links to it lies within 0.6 of that
+    """Links of a few regions, as (node, root), that connect what is connected in each of them."""
+    table = table.combine_chunks()
+    region, names = table.column("region").to_numpy(), table.column("node").to_pylist()
+    sets = _parse(table.column("bytes").chunk(0)) if len(names) else []
+    order = np.argsort(region, kind="stable")
+    out: list[tuple[bytes, bytes]] = []
+    for rows in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
+        own = {names[i]: i for i in rows[::-1].tolist()}  # a repeated row comes twice
+        some, at = list(own), [sets[i] for i in own.values()]
+        if len(some) <= FEW:
+            for j, a in enumerate(at):
+                for i in range(j):
+                    least, most = sorted((len(a), len(at[i])))
+                    if 100 * least >= PERCENT * most and _near(len(np.intersect1d(a, at[i], assume_unique=True)), least, most, PERCENT):
+                        out.append((some[j], some[i]))
+        else:
+            out.extend((some[i], some[r]) for i, r in enumerate(join_region(at).tolist()) if i != r)
+    cols = list(zip(*out, strict=True)) if out else [(), ()]
+    return pa.table({"node": pa.array(cols[0], pa.binary()), "root": pa.array(cols[1], pa.binary())})
+
+
+def _pivots(regions: DataFrame, large: list[int]) -> dict[int, list[tuple[bytes, np.ndarray]]]:
+    """Up to ``PIVOTS`` sets of each region, chosen by hash; together no more than ``PIVOT_BYTES``, but one for each region."""
+    share = PIVOT_BYTES // (8 * len(large))
+    mine = regions.filter(F.col("region").isin(large))
+    size = F.length("bytes")
+    # Of sets within the region's share the first by hash; where all are larger, the smallest one.
+    chosen = mine.groupBy("region", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("k")).agg(
+        F.min_by(F.struct("node", size.alias("size")), F.struct(size > share // PIVOTS * 8, F.xxhash64("node"), "node")).alias("p")
+    )
+    smallest = mine.groupBy("region").agg(F.min_by("node", F.struct(size, "node")).alias("node"))
+    fit = chosen.filter(F.col("p.size") <= share // PIVOTS * 8).select("region", "p.node").unionByName(smallest).distinct()
+    out: dict[int, list[tuple[bytes, np.ndarray]]] = {}
+    for r in mine.join(F.broadcast(fit), ["region", "node"], "left_semi").dropDuplicates(["region", "node"]).select("region", "node", "bytes").collect():
+        out.setdefault(r["region"], []).append((bytes(r["node"]), np.frombuffer(bytes(r["bytes"]), np.uint64)))
+    return out
+
+
+_CELLS = "region long, node binary, bytes binary, link binary, rest boolean"
+
+
+def _cut(regions: DataFrame, large: list[int]) -> DataFrame:
+    """One round of the recursion for the regions ``large``: their sets by cell, with links to pivots.
+
+    A set within 0.4 of a pivot is covered: every set that links to it lies within 0.6 of that
     pivot, so the pivot's cell takes all sets within 0.6. Uncovered sets link to each other only among
-    themselves, or in a cell they were replicated to: they go on as the region's remainder. A region of
-    which most sets stay uncovered is cut into blocks instead, and every pair of blocks is a region.
+    themselves, or in a cell they were replicated to: they go on as the region's remainder.
     """
-    spark = regions.sparkSession
-    dealt = regions.filter(F.col("region").isin(large)).groupBy("region", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("k"))
-    wanted = [r["node"] for r in dealt.agg(F.min("node").alias("node")).collect()]
-    rows = regions.filter(F.col("node").isin(wanted) & F.col("region").isin(large)).select("region", "node", "bytes").collect() if wanted else []
-    pivots: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for r in rows:
-        pivots.setdefault(r["region"], []).append((r["node"], np.frombuffer(bytes(r["bytes"]), np.uint64)))
-    sent = spark.sparkContext.broadcast(pivots)
-    kinds = [("region", pa.int64()), ("node", pa.int64()), ("bytes", pa.binary()), ("link", pa.int64()), ("rest", pa.bool_())]
+    sent = regions.sparkSession.sparkContext.broadcast(_pivots(regions, large))
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for r in b.to_pylist():
-                s = np.frombuffer(r["bytes"], np.uint64)
+            for region, name, raw in zip(b.column("region").to_pylist(), b.column("node").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                s = np.frombuffer(raw, np.uint64)
                 covered = False
-                for node, p in sent.value.get(r["region"], ()):
+                for node, p in sent.value.get(region, ()):
                     inter = len(np.intersect1d(s, p, assume_unique=True))
                     if _near(inter, len(s), len(p), 3 * PERCENT - 200):
                         covered |= bool(_near(inter, len(s), len(p), 2 * PERCENT - 100))
-                        cell = _signed(xxhash.xxh3_64_intdigest(f"{r['region']}:{node}"))
-                        out.append((cell, r["node"], r["bytes"], node if _near(inter, len(s), len(p), PERCENT) else None, False))
+                        cell = _short(xxhash.xxh3_128_digest(region.to_bytes(8, "big", signed=True) + node))
+                        out.append((cell, name, raw, node if _near(inter, len(s), len(p), PERCENT) else None, False))
                 if not covered:
-                    out.append((r["region"], r["node"], r["bytes"], None, True))
+                    out.append((region, name, raw, None, True))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _CELLS.split(", ")])
+
+    return materialize(regions.filter(F.col("region").isin(large)).mapInArrow(run, _CELLS), "cells")
 
-    done = materialize(regions.filter(F.col("region").isin(large)).mapInArrow(run, "region long, node long, bytes binary, link long, rest boolean"), "cells")
-    return done, done.filter("link is not null").select("node", F.col("link").alias("root"))
 
+def _blocks(cells: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """Cells that further pivots don't cut, as pairs of blocks of which one holds no set that links to the pivot.
 
-def _blocks(regions: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """Regions that pivots don't cut, as all pairs of blocks of half a region's bytes."""
-    many = {k: max(2, -(-2 * v // REGION_BYTES)) for k, v in sizes.items()}
-    count = F.lit(None).cast("int")
-    for k, n in many.items():
-        count = F.when(F.col("region") == k, F.lit(n)).otherwise(count)
-    mine = F.pmod(F.xxhash64("node", "region"), F.col("n_blocks")).cast("int")
-    blocks = regions.withColumn("n_blocks", count).withColumn("mine", mine)
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda x: x != F.col("mine")))
-    pair = blocks.withColumn("other", other)
-    return pair.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "node", "bytes")
+    Sets that link to the pivot are connected already and need no comparison with each other: they are
+    replicated once per block of the others.
+    """
+    half = REGION_BYTES // 2
+    linked, others = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k, (near, far) in sizes.items():
+        linked = F.when(F.col("region") == k, F.lit(-(-near // half))).otherwise(linked)
+        others = F.when(F.col("region") == k, F.lit(-(-far // half))).otherwise(others)
+    dealt = cells.withColumn("n_near", linked).withColumn("n_far", others).withColumn("near", F.col("link").isNotNull())
+    mine = F.pmod(F.xxhash64("node", "region"), F.greatest(F.lit(1), F.when(F.col("near"), F.col("n_near")).otherwise(F.col("n_far")))).cast("int")
+    far = F.transform(F.sequence(F.lit(1), F.col("n_far")), lambda x: F.struct((x - 1).alias("far"), F.lit(False).alias("near")))
+    near = F.transform(F.sequence(F.lit(1), F.col("n_near")), lambda x: F.struct((x - 1).alias("far"), F.lit(True).alias("near")))
+    none = F.slice(far, 1, 0)
+    with_far, with_near = (F.when(F.col(c) > 0, x).otherwise(none) for c, x in (("n_far", far), ("n_near", near)))
+    other = F.explode(F.when(F.col("near"), with_far).otherwise(F.concat(with_far, with_near)))
+    pair = dealt.withColumn("mine", mine).withColumn("other", other)
+    # A block of others and one of linked sets are named by their numbers; two of the others in ascending order.
+    one = F.when(F.col("near"), F.col("other.far")).when(F.col("other.near"), F.col("mine")).otherwise(F.least("mine", "other.far"))
+    two = F.when(F.col("near"), F.col("mine")).when(F.col("other.near"), F.col("other.far")).otherwise(F.greatest("mine", "other.far"))
+    name = F.xxhash64("region", F.col("near") | F.col("other.near"), one, two)
+    return pair.select(name.alias("region"), "node", "bytes")
 
 
 def _links(regions: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -478,24 +545,27 @@ def _links(regions: DataFrame, sizes: DataFrame) -> DataFrame:
             break
         if first:
             pending, first = materialize(pending, "regions"), False
-        cells, found = _cut(pending, list(large))
+        cells = _cut(pending, list(large))
         found_at = found_at or new_path(spark, "links")
-        found.filter("node <> root").write.mode("append").parquet(found_at)
-        rest = {r["region"]: r["b"] for r in cells.filter("rest").groupBy("region").agg(F.sum(F.length("bytes")).alias("b")).collect()}
-        cell_bytes = {r["region"]: r["b"] for r in cells.filter("not rest").groupBy("region").agg(F.sum(F.length("bytes")).alias("b")).filter(F.col("b") > REGION_BYTES).collect()}
-        stuck = {k: b for k, b in rest.items() if b > 0.8 * large[k] and b > REGION_BYTES}
-        big_cells = {k: b for k, b in cell_bytes.items() if b > 0.8 * max(large.values())}
-        plain = cells.select("region", "node", "bytes")
+        cells.filter("link is not null").select("node", F.col("link").alias("root")).filter("node <> root").write.mode("append").parquet(found_at)
+        by_cell = cells.groupBy("region", "rest").agg(F.sum(F.length("bytes")).alias("b"), F.sum(F.when(F.col("link").isNotNull(), F.length("bytes")).otherwise(0)).alias("near"))
+        # A cell in which all sets link to the pivot is done; blocks end what pivots make hardly smaller.
+        done = by_cell.filter("not rest and near = b").select("region")
+        least = 0.8 * min(large.values())
+        stuck = {r["region"]: (r["near"], r["b"] - r["near"]) for r in by_cell.filter((F.col("b") > REGION_BYTES) & (F.col("b") > least) & (F.col("near") < F.col("b"))).collect() if not r["rest"] or r["b"] > 0.8 * large[r["region"]]}
         kept = pending.filter(~F.col("region").isin(list(large)))
-        whole = plain.filter(~F.col("region").isin([*stuck, *big_cells])) if stuck or big_cells else plain
-        parts = kept.unionByName(whole)
-        if stuck or big_cells:
-            blocked = plain.filter(F.col("region").isin([*stuck, *big_cells]))
-            parts = parts.unionByName(_blocks(blocked, stuck | big_cells))
-        pending = parts  # from tables that are written already: the replicated rows are only shuffled
+        open_cells = cells.join(done, "region", "left_anti")
+        whole = open_cells.filter(~F.col("region").isin(list(stuck))) if stuck else open_cells
+        pending = kept.unionByName(whole.select("region", "node", "bytes"))
+        if stuck:
+            pending = pending.unionByName(_blocks(open_cells.filter(F.col("region").isin(list(stuck))), stuck))
+        # From tables that are written already: the replicated rows are only shuffled.
         sizes = pending.groupBy("region").agg(F.sum(F.length("bytes")).alias("b"), F.count("*").alias("k"))
-    joined = pending.groupBy("region").applyInArrow(_joined, "node long, root long").filter("node <> root")
-    return joined.unionByName(spark.read.schema("node long, root long").parquet(found_at)) if found_at else joined
+    total = sizes.agg(F.sum("b")).first()[0] or 0
+    tasks = max(1, total // TASK_BYTES)
+    dealt = pending.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks)))
+    joined = dealt.groupBy("task").applyInArrow(lambda t: _joined(t.select(["region", "node", "bytes"])), "node binary, root binary")
+    return joined.unionByName(spark.read.schema("node binary, root binary").parquet(found_at)) if found_at else joined
 
 
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -504,17 +574,16 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits, total = _order_bits(id_text(docs))
     sent = plain.sparkSession.sparkContext.broadcast(bits)
     buckets = max(1, -(-total // SPARE * (SPARE * (100 - PERCENT) // 100 + 1) // BUCKET_ENTRIES))
-    described = materialize(plain.mapInArrow(lambda batches: _describe(sent, buckets, batches), "doc_id long, k long, n long, node long, bucket long, entries binary"), "described")
-    texts = described.filter("bucket is null").select("doc_id", "k", "n", "node")
+    described = materialize(plain.mapInArrow(lambda batches: _describe(sent, buckets, batches), "doc_id long, k long, n long, node binary, short long, bucket long, entries binary"), "described")
+    texts = described.filter("bucket is null").select("doc_id", "k", "n", "node", "short")
     # Any row of a set can be read for it; ids don't tell rows apart where they are null.
-    copies = texts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("k").alias("k"), F.max("n").alias("n"))
-    pairs = materialize(_with_partner(described, copies), "pairs")
-    parts = components(pairs, "node", "hub").withColumnRenamed("root", "region")
-    ids = materialize(copies.join(parts, "node").select("node", "region", "rep", "k", "n"), "ids")
-    wanted = ids.select("k", "node", "region")
+    copies = texts.filter("node is not null").groupBy("node", "short").agg(F.min("doc_id").alias("rep"), F.min("k").alias("k"), F.max("n").alias("n"))
+    placed = _regions(described, copies).groupBy("short").agg(F.collect_set("region").alias("regions"))  # no more than a prefix has shingles
+    ids = materialize(copies.join(placed, "short").select("node", "regions", "rep", "k", "n"), "ids")
+    wanted = ids.select("k", "node", "regions")
     few = ids.count() <= BROADCAST_IDS
-    sets = plain.join(F.broadcast(wanted) if few else wanted, "k").mapInArrow(_sets, "region long, node long, bytes binary")
-    sizes = ids.groupBy("region").agg(F.sum(F.col("n") * 8).alias("b"), F.count("*").alias("k"))
+    sets = plain.join(F.broadcast(wanted) if few else wanted, "k").select("text", "node", "regions").mapInArrow(_sets, "region long, node binary, bytes binary")
+    sizes = ids.select(F.explode("regions").alias("region"), "n").groupBy("region").agg(F.sum(F.col("n") * 8).alias("b"), F.count("*").alias("k"))
     roots = components(_links(sets, sizes), "node", "root")
     # The few nodes that link to another one meet their groups' smallest ids; all others keep their own.
     grouped = materialize(roots.join(ids.select("node", "rep"), "node"), "grouped")
@@ -522,7 +591,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     linked = grouped.join(lowest, "root").select("node", "root", "component_id")
     own = F.col("root").isNull()
     named = copies.select("node", "rep").join(linked, "node", "left")
-    return texts, named.select("node", F.coalesce("root", "node").alias("root"), F.when(own, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    return texts.drop("short"), named.select("node", F.coalesce("root", "node").alias("root"), F.when(own, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def link(docs: DataFrame) -> DataFrame:
