@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .geo import _c
 
-#: Colour stops of the height-above-ground palette (fixed values).
+#: Colour stops of the height palette, and the darker one of the safety margin (fixed values).
 STEPS = (0.0, 0.5, 1.0)
-COLOURS = ((255, 0, 0), (255, 255, 0), (0, 128, 0))
+COLOURS = ((255, 0, 0), (180, 190, 0), (0, 150, 255))
+MARGIN_COLOURS = ((153, 0, 0), (108, 114, 0), (0, 90, 153))
 
 
 def effective_glide(glide, trim, wind, angle) -> Column:
@@ -43,13 +44,13 @@ def lerp(a, b, t) -> Column:
     return _c(a) + (_c(b) - _c(a)) * _c(t)
 
 
-def colour_channel(s, channel: int) -> Column:
-    """One channel of the palette at s; the last colour outside [0, 1), null included."""
-    out = F.lit(float(COLOURS[-1][channel]))
+def colour_channel(s, channel: int, colours=COLOURS) -> Column:
+    """One channel of a palette at s; the last colour outside [0, 1), null included."""
+    out = F.lit(float(colours[-1][channel]))
     for i in range(len(STEPS) - 2, -1, -1):
         t = (_c(s) - STEPS[i]) / (STEPS[i + 1] - STEPS[i])
         inside = (_c(s) >= STEPS[i]) & (_c(s) < STEPS[i + 1])
-        out = F.when(inside, lerp(float(COLOURS[i][channel]), float(COLOURS[i + 1][channel]), t)).otherwise(out)
+        out = F.when(inside, lerp(float(colours[i][channel]), float(colours[i + 1][channel]), t)).otherwise(out)
     return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(out))).cast("int")
 
 
@@ -77,5 +78,14 @@ def register_functions(spark) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION haversine_m(lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE) RETURNS DOUBLE RETURN "
         "2 * 6371000.0D * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))"
     )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION effective_glide(glide DOUBLE, trim DOUBLE, wind DOUBLE, angle DOUBLE) RETURNS DOUBLE RETURN "
+        "CASE WHEN trim * trim - pow(sin(angle) * wind, 2) <= 0 OR sqrt(greatest(trim * trim - pow(sin(angle) * wind, 2), 0D)) + cos(angle) * wind <= 0 THEN double('Infinity') "
+        "ELSE glide / ((sqrt(trim * trim - pow(sin(angle) * wind, 2)) + cos(angle) * wind) / trim) END"
+    )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION tile_y(lat DOUBLE, z INT) RETURNS INT RETURN cast(greatest(0, least(pow(2, z) - 1, floor("
+        "(1 - ln(tan(radians(greatest(-85.05112878D, least(85.05112878D, lat)))) + 1 / cos(radians(greatest(-85.05112878D, least(85.05112878D, lat))))) / pi()) / 2 * pow(2, z)))) AS INT)"
+    )
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION lerp(a DOUBLE, b DOUBLE, t DOUBLE) RETURNS DOUBLE RETURN a + (b - a) * t")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tile_x(lon DOUBLE, z INT) RETURNS INT RETURN cast(greatest(0, least(pow(2, z) - 1, floor((lon + 180) / 360 * pow(2, z)))) AS INT)")

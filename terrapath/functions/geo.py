@@ -54,6 +54,11 @@ def coordinate_to_index(x, n, low, high) -> Column:
     return F.greatest(F.lit(0), F.least(_c(n) - 1, F.floor((_c(x) - _c(low)) / (_c(high) - _c(low)) * _c(n)))).cast("int")
 
 
+def angular_resolution(low, high, n) -> Column:
+    """Degrees of one of n cells from low to high."""
+    return (_c(high) - _c(low)) / _c(n)
+
+
 def bbox_contains(south, west, north, east, lat, lon) -> Column:
     return _c(lat).between(_c(south), _c(north)) & _c(lon).between(_c(west), _c(east))
 

@@ -5,14 +5,18 @@ All operators work on every tile of the table at once; ``tile`` is part of every
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.flight import colour_channel
+from ..functions.flight import MARGIN_COLOURS, colour_channel
 from ..functions.geo import bbox_contains, coordinate_to_index
 
 VOID_BELOW = -1000
 OUTSIDE = 9999
+#: Samples of lines that are looked up at once.
+SAMPLES = 4_000_000
 
 
 def fill_voids(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -34,27 +38,31 @@ def stats(cells: DataFrame, where: Column | None = None, by: tuple[str, ...] = (
     )
 
 
-def _axis(n_old: int, n_new: int) -> Column:
-    """Sources of n_new evenly spaced samples of n_old lines; halves round away from zero."""
+def _target(line: str, n_old: int, n_new: int) -> Column:
+    """The sample of n_new evenly spaced ones of n_old lines whose nearest line this is, or null; halves round away from zero.
+
+    Samples lie one line apart or more, so it is one of the few around line / step.
+    """
     step = (n_old - 1) / max(n_new - 1, 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(n_new - 1)), lambda i: F.struct(i.alias("to"), F.round(i * F.lit(step)).cast("int").alias("at")))
+    guess = F.floor(F.col(line) / F.lit(step or 1.0)).cast("int")
+    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: guess + d)
+    return F.get(F.filter(near, lambda i: i.between(0, n_new - 1) & (F.round(i * F.lit(step)).cast("int") == F.col(line))), F.lit(0))
 
 
 def resample(cells: DataFrame, rows: int, cols: int, factor_r: float, factor_c: float) -> DataFrame:
     """Nearest-neighbour resampling; factors above 1 count as 1.
 
-    Each source row and column knows its targets, so no join is needed: two explodes per kept cell.
+    Every cell computes its place in the new grid, if it has one: no join, no shuffle.
     """
     new_r, new_c = (max(1, -int(-n * min(f, 1.0) // 1)) for n, f in ((rows, factor_r), (cols, factor_c)))
+    placed = cells.withColumns({"to_r": _target("r", rows, new_r), "to_c": _target("c", cols, new_c)})
+    return placed.filter("to_r is not null and to_c is not null").select("tile", F.col("to_r").alias("r"), F.col("to_c").alias("c"), "h")
 
-    def targets(axis: Column, of: str) -> Column:
-        return F.transform(F.filter(axis, lambda x: x["at"] == F.col(of)), lambda x: x["to"])
 
-    return (
-        cells.withColumn("to_r", F.explode(targets(_axis(rows, new_r), "r")))
-        .withColumn("to_c", F.explode(targets(_axis(cols, new_c), "c")))
-        .select("tile", F.col("to_r").alias("r"), F.col("to_c").alias("c"), "h")
-    )
+def squared(cells: DataFrame, rows: int, cols: int, row_m: float, col_m: float) -> tuple[DataFrame, float]:
+    """Cells of ``row_m`` by ``col_m`` metres as square ones, and their side: the finer axis is thinned out."""
+    side = max(row_m, col_m)
+    return resample(cells, rows, cols, row_m / side, col_m / side), side
 
 
 def crop(cells: DataFrame, r0: int, c0: int, rows: int, cols: int) -> DataFrame:
@@ -92,6 +100,45 @@ def lookup_tiles(points: DataFrame, cells: DataFrame, side: int, across: int, bo
     return keyed.join(cells.select("tile", "r", "c", "h"), ["tile", "r", "c"]).select("id", "tile", "r", "c", "h")
 
 
+def lookup_cells(points: DataFrame, cells: DataFrame, side: int, across: int) -> DataFrame:
+    """``points`` (id, gr, gc: a cell of the whole mosaic) with the height ``ground`` of their cell."""
+    tile = F.floor(F.col("gr") / side) * across + F.floor(F.col("gc") / side)
+    keyed = points.withColumns({"tile": tile.cast("long"), "r": F.pmod("gr", F.lit(side)).cast("int"), "c": F.pmod("gc", F.lit(side)).cast("int")})
+    return keyed.join(cells.select(F.col("tile").cast("long").alias("tile"), "r", "c", F.col("h").alias("ground")), ["tile", "r", "c"]).drop("tile", "r", "c")
+
+
+def search_setup(points: DataFrame, cells: DataFrame, side: int, across: int, cell_m: float, glide: float, trim: float, wind: float, additional: float) -> DataFrame:
+    """``points`` (id, gr, gc, and a start height that may be null) with ground, start height and reach in cells.
+
+    A search starts at its own height, else ``additional`` above ground, never below ground; it can reach
+    as far as that height lasts at the best glide, with the wind from behind.
+    """
+    at = lookup_cells(points, cells, side, across)
+    height = F.greatest(F.coalesce("start_height", F.col("ground") + additional), F.col("ground")).cast("double")
+    best = glide / ((wind + trim) / trim)
+    return at.withColumn("height", height).withColumn("reach", F.floor((F.col("height") / best + 1) / cell_m).cast("int"))
+
+
+def around(points: DataFrame, cells: DataFrame, side: int, across: int) -> DataFrame:
+    """(id, r, c, h): the cells around each point (id, gr, gc, reach), over the borders of tiles.
+
+    Rows and columns count from the window's corner, so the point is at (reach, reach). A window names the
+    tiles that it touches, and the join is on the tile; where there is no tile there are no cells.
+    """
+    def touched(x: str) -> tuple[Column, Column]:
+        return (F.floor((F.col(x) + d * F.col("reach")) / side).cast("int") for d in (-1, 1))
+
+    (top, bottom), (left, right) = touched("gr"), touched("gc")
+    columns = F.filter(F.sequence(left, right), lambda x: x.between(0, across - 1))
+    named = points.select("id", "gr", "gc", "reach", F.explode(F.sequence(F.greatest(F.lit(0), top), F.greatest(F.lit(0), bottom))).alias("tr"), columns.alias("tcs"))
+    named = named.withColumn("tc", F.explode("tcs")).withColumn("tile", (F.col("tr") * across + F.col("tc")).cast("long"))
+    met = named.join(cells.select(F.col("tile").cast("long").alias("tile"), F.col("r").alias("cr"), F.col("c").alias("cc"), "h"), "tile")
+    r = F.col("tr") * side + F.col("cr") - F.col("gr") + F.col("reach")
+    c = F.col("tc") * side + F.col("cc") - F.col("gc") + F.col("reach")
+    inside = met.select("id", "reach", r.cast("int").alias("r"), c.cast("int").alias("c"), "h")
+    return inside.filter("r between 0 and 2 * reach and c between 0 and 2 * reach").select("id", "r", "c", "h")
+
+
 def encode_rg(cells: DataFrame, rows: int) -> DataFrame:
     """Pixels of a height image: high and low byte in red and green, first row at the bottom."""
     h = F.greatest(F.lit(0), F.least(F.lit(65_535), F.col("h"))).cast("int")
@@ -109,11 +156,17 @@ def agl_raw(nodes: DataFrame) -> DataFrame:
 
 
 def neighbours(cells: DataFrame) -> DataFrame:
-    """Every cell with its neighbours to four sides, by a shift of keys and an equi-join."""
-    sides = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((-1, 0), (0, -1), (1, 0), (0, 1))))
-    moved = cells.select("tile", "r", "c", "h", F.explode(sides).alias("s")).select("tile", "r", "c", "h", (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc"))
-    other = cells.select("tile", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("h").alias("nh"))
-    return moved.join(other, ["tile", "nr", "nc"])
+    """(tile, r, c, h, nr, nc, nh): every cell with its neighbours to four sides, from a window over the columns and one over the rows."""
+    column, row = Window.partitionBy("tile", "c").orderBy("r"), Window.partitionBy("tile", "r").orderBy("c")
+
+    def side(f, w: Window, along: str, step: int) -> Column:
+        there = f(F.struct("r", "c", "h")).over(w)
+        return F.when(there[along] == F.col(along) + step, there)
+
+    both = cells.select("tile", "r", "c", "h", side(F.lag, column, "r", -1).alias("down"), side(F.lead, column, "r", 1).alias("up"))
+    every = both.select("*", side(F.lag, row, "c", -1).alias("left"), side(F.lead, row, "c", 1).alias("right"))
+    one = every.select("tile", "r", "c", "h", F.explode(F.array_compact(F.array("down", "up", "left", "right"))).alias("n"))
+    return one.select("tile", "r", "c", "h", F.col("n.r").alias("nr"), F.col("n.c").alias("nc"), F.col("n.h").alias("nh"))
 
 
 def corners(cells: DataFrame) -> DataFrame:
@@ -128,39 +181,78 @@ def corners(cells: DataFrame) -> DataFrame:
 
 
 def placemarks(cells: DataFrame, span: tuple[int, int], keep_tile: bool = False) -> DataFrame:
-    """A KML polygon and its colour (alpha, blue, green, red in hex) per cell of ``corners``, with its tile if asked for."""
+    """A KML polygon with its colour (alpha, blue, green, red in hex) per cell of ``corners``, with its tile if asked for."""
     r, c = F.col("r"), F.col("c")
     points = ((c, r, "h"), (c + 1, r, "h_right"), (c + 1, r + 1, "h_diag"), (c, r + 1, "h_up"))
     ring = F.concat_ws(" ", *(F.concat_ws(",", x.cast("string"), y.cast("string"), F.col(h).cast("string")) for x, y, h in points))
     s = (F.col("h") - span[0]) / F.lit(float(span[1] - span[0]))
     red, green, blue = (colour_channel(s, i) for i in range(3))
-    body = F.concat(F.lit("<Placemark><name>"), F.concat_ws("_", r.cast("string"), c.cast("string")), F.lit("</name><Polygon><coordinates>"), ring, F.lit("</coordinates></Polygon></Placemark>"))
+    colour = F.format_string("96%02x%02x%02x", blue, green, red)
+    style = F.concat(F.lit("</name><Style><PolyStyle><color>"), colour, F.lit("</color></PolyStyle></Style><Polygon><coordinates>"))
+    body = F.concat(F.lit("<Placemark><name>"), F.concat_ws("_", r.cast("string"), c.cast("string")), style, ring, F.lit("</coordinates></Polygon></Placemark>"))
     keys = ["tile", "r", "c"] if keep_tile else ["r", "c"]
-    return cells.select(*keys, body.alias("kml"), F.format_string("96%02x%02x%02x", blue, green, red).alias("colour"))
+    return cells.select(*keys, body.alias("kml"), colour.alias("colour"))
 
 
-def line_of_sight(cells: DataFrame, start: tuple[int, int], start_h: float, cell_m: float, glide: float) -> DataFrame:
-    """Cells of each tile that a straight glide from ``start`` reaches above the terrain.
+def colour_image(nodes: DataFrame, value: Column, in_margin: Column, least: float | None = None) -> DataFrame:
+    """(tile, x, y, red, green, blue, alpha): a picture of the box of each tile's positive values, the first row at the bottom.
 
-    Every target is sampled once per cell of its distance; the samples meet the terrain by an equi-join and
-    a target stands if no sample lies below ground.
+    Values are scaled to their range; with ``least`` the scale begins there at the lowest and ends are clamped. A cell
+    without a positive value is white and clear.
     """
+    v = nodes.select("tile", "r", "c", value.cast("double").alias("v"), in_margin.alias("near"))
+    box = v.filter("v > 0").groupBy("tile").agg(*(f(x).alias(f"{x}_{n}") for x in ("r", "c", "v") for n, f in (("min", F.min), ("max", F.max))))
+    inside = v.join(box, "tile").filter("r between r_min and r_max and c between c_min and c_max")
+    low = F.col("v_min") if least is None else F.greatest("v_min", F.lit(float(least)))
+    s = F.try_divide(F.col("v") - low, F.col("v_max") - low)
+    s = s if least is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
+    shown = F.col("v") > 0
+    channels = [
+        F.when(~shown | F.col("v").isNull(), 255).when(F.col("near"), colour_channel(F.col("s"), i, MARGIN_COLOURS)).otherwise(colour_channel(F.col("s"), i)).alias(name)
+        for i, name in enumerate(("red", "green", "blue"))
+    ]
+    place = [(F.col("c") - F.col("c_min")).cast("int").alias("x"), (F.col("r_max") - F.col("r")).cast("int").alias("y")]
+    return inside.withColumn("s", s).select("tile", *place, *channels, F.when(shown, 255).otherwise(0).alias("alpha"))
+
+
+def _looker(start: tuple[int, int], start_h: float, cell_m: float, glide: float, margin: float, start_distance: float):
+    """The state of the line from ``start`` to every cell of one tile, line by line of equal length."""
     r0, c0 = start
-    dist = F.sqrt(F.pow(F.col("r") - r0, 2) + F.pow(F.col("c") - c0, 2))
-    n = F.greatest(F.ceil(dist), F.lit(1)).cast("int")
-    steps = cells.select("tile", "r", "c", dist.alias("dist"), n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    t = F.col("i") / F.col("n")
-    sample = steps.select(
-        "tile", "r", "c", "dist",
-        F.round(F.lit(float(r0)) + (F.col("r") - r0) * t).cast("int").alias("sr"),
-        F.round(F.lit(float(c0)) + (F.col("c") - c0) * t).cast("int").alias("sc"),
-        (F.lit(start_h) - F.col("dist") * t * cell_m * glide).alias("flight"),
-    )
-    ground = cells.select("tile", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("h").alias("ground"))
-    return (
-        sample.join(ground, ["tile", "sr", "sc"])
-        .groupBy("tile", "r", "c", "dist")
-        .agg(F.max(F.col("flight") < F.col("ground")).alias("blocked"))
-        .filter(~F.col("blocked"))
-        .select("tile", "r", "c", F.round(F.lit(start_h) - F.col("dist") * cell_m * glide, 6).alias("height"))
-    )
+
+    def run(t: pa.Table) -> pa.Table:
+        r, c = (t.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
+        ground = np.full((max(int(r.max()), r0) + 1, max(int(c.max()), c0) + 1), np.nan)
+        ground[r, c] = t.column("h").to_pandas().to_numpy(float)
+        dist = np.sqrt((r - r0) ** 2.0 + (c - c0) ** 2.0)
+        n = np.maximum(np.ceil(dist), 1).astype(np.int64)
+        state = np.zeros(len(r), np.int64)
+        order = np.argsort(n, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(n[order])) + 1):
+            share = np.arange(n[same[0]] + 1) / n[same[0]]
+            for a in range(0, len(same), max(1, SAMPLES // len(share))):
+                at = same[a : a + max(1, SAMPLES // len(share))]
+                rows, cols = (np.floor(z + (x[at, None] - z) * share + 0.5).astype(np.int64) for x, z in ((r, float(r0)), (c, float(c0))))
+                low, flown = ground[rows, cols], dist[at, None] * share * cell_m
+                height = start_h - flown * glide
+                blocked = (height < low).any(1)
+                state[at] = np.where(blocked, 2, ((flown >= start_distance) & (height - margin < low)).any(1))
+        names = pa.array(["clear", "margin", "blocked"]).take(pa.array(state))
+        return pa.table({"tile": t.column("tile").cast(pa.int64()), "r": pa.array(r.astype(np.int32)), "c": pa.array(c.astype(np.int32)), "height": pa.array(start_h - dist * cell_m * glide), "state": names})
+
+    return run
+
+
+def sight(cells: DataFrame, start: tuple[int, int], start_h: float, cell_m: float, glide: float, margin: float = 0.0, start_distance: float = 0.0) -> DataFrame:
+    """(tile, r, c, height, state): each cell with the height at which a straight glide from ``start`` arrives.
+
+    A line is sampled once per cell of its length. It is blocked if a sample lies below ground, in the margin if one
+    at ``start_distance`` or beyond has less than ``margin`` below it, else clear. A tile, of a fixed size by
+    format, is one group: the samples of a cell lie anywhere between it and the start.
+    """
+    found = cells.select("tile", "r", "c", "h").groupBy("tile").applyInArrow(_looker(start, start_h, cell_m, glide, margin, start_distance), "tile long, r int, c int, height double, state string")
+    return found.withColumn("height", F.round("height", 6))
+
+
+def line_of_sight(cells: DataFrame, start: tuple[int, int], start_h: float, cell_m: float, glide: float) -> DataFrame:
+    """Cells of each tile that a straight glide from ``start`` reaches above the terrain."""
+    return sight(cells, start, start_h, cell_m, glide).filter("state <> 'blocked'").drop("state")

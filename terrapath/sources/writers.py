@@ -41,22 +41,30 @@ def _png(pixels: np.ndarray) -> bytes:
 
 
 def images(pixels: DataFrame, rows: int, cols: int) -> DataFrame:
-    """(tile, png) from (tile, x, y, red, green): one image per tile, a tile's pixels being bounded."""
+    """(tile, png) from (tile, x, y, red, green, and blue and alpha where there are any): one image per tile, a tile's pixels being bounded."""
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for cells in b.column("cells").to_pylist():
-                image = np.zeros((rows, cols, 4), np.uint8)
-                for p in cells:
-                    image[p["y"], p["x"]] = (p["red"], p["green"], 0, 255)
-                out.append(_png(image))
-            yield pa.RecordBatch.from_arrays([b.column("tile"), pa.array(out, pa.binary())], names=["tile", "png"])
+    def draw(t: pa.Table) -> pa.Table:
+        image = np.zeros((rows, cols, 4), np.uint8)
+        at = t.column("y").to_numpy(), t.column("x").to_numpy()
+        for i, name in enumerate(("red", "green", "blue", "alpha")):
+            image[:, :, i][at] = t.column(name).to_numpy()
+        return pa.table({"tile": t.column("tile").slice(0, 1), "png": pa.array([_png(image)], pa.binary())})
 
-    grouped = pixels.groupBy("tile").agg(F.collect_list(F.struct("x", "y", "red", "green")).alias("cells"))
-    return grouped.select(F.col("tile").cast("long").alias("tile"), "cells").mapInArrow(draw, "tile long, png binary")
+    rest = {n: F.col(n) if n in pixels.columns else F.lit(v) for n, v in (("blue", 0), ("alpha", 255))}
+    plain = pixels.select(F.col("tile").cast("long").alias("tile"), "x", "y", "red", "green", *(c.cast("int").alias(n) for n, c in rest.items()))
+    return plain.groupBy("tile").applyInArrow(draw, "tile long, png binary")
 
 
 def kml(placemarks: DataFrame, path: str) -> None:
-    """Placemarks as text files of one placemark a line; head and tail are constants that a reader adds."""
-    placemarks.select("kml").write.mode("overwrite").text(path)
+    """Placemarks, coloured, as KML documents: each file has head and tail, and one placemark a line."""
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def line(*texts: str) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+
+        yield line('<?xml version="1.0" encoding="UTF-8"?>', '<kml xmlns="http://www.opengis.net/kml/2.2"><Document>')
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("kml")], names=["value"])
+        yield line("</Document></kml>")
+
+    placemarks.select("kml").mapInArrow(document, "value string").write.mode("overwrite").text(path)
