@@ -6,38 +6,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
+from .ordering import numbered
 
 #: Rows of one chunk of the reduced stream (a fixed value).
 CHUNK_ROWS = 20_000
+#: Metres below the margin that don't count as in it (a fixed value).
+TOLERANCE = 14.0
+
+
+def _jumps(tree: DataFrame, targets: DataFrame) -> list[DataFrame]:
+    """(at, to) of each node and the node 1, 2, 4, ... steps above it, as long as there is one."""
+    nodes = tree.count()
+    jump = written(tree.filter("parent is not null").select(F.col("id").alias("at"), F.col("parent").alias("to")), "jumps")
+    out: list[DataFrame] = []
+    while not jump.isEmpty():
+        if 1 << len(out) > nodes:  # no path has so many legs
+            if not targets.join(jump, targets["id"] == jump["at"], "left_semi").isEmpty():
+                raise ValueError("a path has a cycle")
+            break
+        out.append(jump)
+        upper = jump.select(F.col("at").alias("to"), F.col("to").alias("top"))
+        jump = written(jump.join(upper, "to").select("at", F.col("top").alias("to")), "jumps")
+    return out
 
 
 def backtrace(tree: DataFrame, targets: DataFrame, most_steps: int | None = None) -> DataFrame:
     """(target, depth, id) of every node on the way from each target to its root, depth 0 at the target.
 
-    All targets step upward together by an equi-join; the loop ends when none has a parent left, however
-    deep. A path that comes back to a node it was at raises an error, as does one of more than ``most_steps`` legs.
+    Jumps of 1, 2, 4, ... steps are made by joining the jumps with themselves; each doubles the known part of all
+    paths, so the joins grow with the logarithm of the depth. A path that comes back to a node it was at raises
+    an error, as does one of more than ``most_steps`` legs.
     """
-    parents = tree.select("id", "parent").filter("parent is not null")
-    front = written(targets.select(F.col("id").alias("target"), F.lit(0).alias("depth"), "id", F.col("id").alias("mark")), "front")
-    parts, depth = [front.drop("mark")], 0
-    while True:
-        depth += 1
-        # The mark is the node at the last depth that is a power of two: a cycle of any length meets it again.
-        mark = F.col("parent") if depth & (depth - 1) == 0 else F.col("mark")
-        step = front.join(parents, "id").select("target", F.lit(depth).alias("depth"), F.col("parent").alias("id"), mark.alias("mark"), (F.col("parent") == F.col("mark")).alias("back"))
-        front = written(step, "front")
-        found = front.agg(F.count("*").alias("n"), F.coalesce(F.max("back"), F.lit(False)).alias("back")).first()
-        if not found["n"]:
-            break
-        if found["back"]:
-            raise ValueError("a path has a cycle")
-        if most_steps is not None and depth >= most_steps:
-            raise ValueError(f"a path has more than {most_steps} legs")
-        parts.append(front.drop("mark", "back"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    path = targets.select(F.col("id").alias("target"), F.lit(0).alias("depth"), "id")
+    for k, jump in enumerate(_jumps(tree, targets)):
+        above = path.join(jump, path["id"] == jump["at"]).select("target", (F.col("depth") + (1 << k)).alias("depth"), F.col("to").alias("id"))
+        path = written(path.unionByName(above), "paths")
+    if most_steps is not None and not path.filter(F.col("depth") > most_steps).isEmpty():
+        raise ValueError(f"a path has more than {most_steps} legs")
+    return path
 
 
 def backtrace_sql(tree: DataFrame, targets: DataFrame) -> DataFrame:
@@ -54,38 +60,51 @@ def backtrace_sql(tree: DataFrame, targets: DataFrame) -> DataFrame:
 def profile(path: DataFrame, nodes: DataFrame) -> DataFrame:
     """Samples along each path (target, depth, id), from the start: one per cell of a leg's length.
 
-    Height falls linearly along a leg.
+    Height falls and distance grows linearly along a leg.
     """
-    at = path.join(nodes.select("id", "r", "c", "h"), "id")
+    values = ("r", "c", "h", "dist")
+    at = path.join(nodes.select("id", *values), "id")
     legs = Window.partitionBy("target").orderBy(F.desc("depth"))
-    pairs = at.select("target", "depth", "r", "c", "h", *(F.lead(x).over(legs).alias(f"{x}2") for x in ("r", "c", "h"))).filter("r2 is not null")
+    pairs = at.select("target", "depth", *values, *(F.lead(x).over(legs).alias(f"{x}2") for x in values)).filter("r2 is not null")
     n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.pow(F.col("r2") - F.col("r"), 2) + F.pow(F.col("c2") - F.col("c"), 2)))).cast("int")
     t = F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))
     steps = pairs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return steps.select(
-        "target", "depth", "i", F.round(F.col("r") + (F.col("r2") - F.col("r")) * t).cast("int").alias("r"),
-        F.round(F.col("c") + (F.col("c2") - F.col("c")) * t).cast("int").alias("c"), (F.col("h") + (F.col("h2") - F.col("h")) * t).alias("h"),
-    )
+    r, c, h, dist = (F.col(x) + (F.col(f"{x}2") - F.col(x)) * t for x in values)
+    return steps.select("target", "depth", "i", F.round(r).cast("int").alias("r"), F.round(c).cast("int").alias("c"), h.alias("h"), dist.alias("dist"))
+
+
+def series(samples: DataFrame, ground: DataFrame, margin: float, start_distance: float) -> DataFrame:
+    """Samples of ``profile`` with ``ground`` (r, c, ground), height above it and the floor of the margin.
+
+    Samples without known ground are left out. The floor is null before ``start_distance`` and without a margin.
+    """
+    known = samples.join(ground.select("r", "c", "ground"), ["r", "c"])
+    floor = F.when((F.col("dist") >= start_distance) & F.lit(margin > 0), F.col("h") - margin)
+    return known.withColumn("agl", F.col("h") - F.col("ground")).withColumn("floor", floor)
+
+
+def margin_violations(series: DataFrame, margin: float, start_distance: float) -> DataFrame:
+    """Per path the range of its heights above ground and the distance of the first sample in the margin, or null.
+
+    ``TOLERANCE`` metres in the margin don't count yet.
+    """
+    bad = (F.col("h") - margin + TOLERANCE < F.col("ground")) & (F.col("dist") >= start_distance)
+    return series.groupBy("target").agg(F.min("agl").alias("agl_min"), F.max("agl").alias("agl_max"), F.min(F.when(bad, F.col("dist"))).alias("first_in_margin"))
 
 
 def reduced_stream(nodes: DataFrame) -> DataFrame:
     """Nodes in the order of their parent's distance, then their own, with repeated parents left out.
 
     (pos, chunk, id, parent): parent is null where it equals the row's before. Without a parent the distance
-    is -1. Ranges are dealt by the order's first key and each range is numbered on its own; no
-    task sees all rows.
+    is -1. Rows of one parent lie together, so a row repeats it unless it is the parent's first.
     """
     far = nodes.select(F.col("id").alias("parent"), F.col("dist").alias("parent_dist"))
-    rows = nodes.select("id", "parent", "dist").join(far, "parent", "left").withColumn("parent_dist", F.coalesce("parent_dist", F.lit(-1)))
-    order = ["parent_dist", F.coalesce("parent", F.lit(-1)), "dist", "id"]
-    per_key = rows.groupBy("parent_dist").agg(F.count("*").alias("n"))
-    before = per_key.select("parent_dist", (F.sum("n").over(Window.orderBy("parent_dist")) - F.col("n")).alias("before"))  # one row per distance
-    own = Window.partitionBy("parent_dist").orderBy(*order[1:])
-    numbered = rows.join(before, "parent_dist").withColumn("pos", F.col("before") + F.row_number().over(own) - 1)
-    repeated = F.lag("parent").over(own).eqNullSafe(F.col("parent")) & (F.row_number().over(own) > 1)
-    return numbered.select(
-        "pos", F.floor(F.col("pos") / CHUNK_ROWS).cast("int").alias("chunk"), "id", F.when(~repeated, F.col("parent")).alias("parent"),
-    )
+    rows = nodes.select("id", "parent", "dist").join(far, "parent", "left")
+    rows = rows.select("id", "parent", "dist", F.coalesce("parent_dist", F.lit(-1)).alias("parent_dist"), F.coalesce("parent", F.lit(-1)).alias("key"))
+    first = rows.groupBy("key").agg(F.min(F.struct("dist", "id")).alias("first"))
+    placed = numbered(rows.join(first, "key"), ["parent_dist", "key", "dist", "id"], "pos")
+    shown = F.when(F.struct("dist", "id") == F.col("first"), F.col("parent"))
+    return placed.select("pos", F.floor(F.col("pos") / CHUNK_ROWS).cast("int").alias("chunk"), "id", shown.alias("parent"))
 
 
 def delta_encode(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:

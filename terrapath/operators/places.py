@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 #: Keys of a name map, the best first (fixed values).
-NAME_KEYS = ("name", "name:de", "name:en", "name:fr", "name:it", "name:es", "alt_name", "official_name")
+NAME_KEYS = ("name", "name:de", "name:old", "name:en", "name:alt", "name:it", "name:fr", "name:reg")
 
 
 def counts(df: DataFrame, by: str | Column, name: str = "n") -> DataFrame:
@@ -81,6 +83,5 @@ def lon_lat(text: Column) -> Column:
 
 
 def dictionary(df: DataFrame, value: str, position: str) -> DataFrame:
-    """(value, ix): distinct values numbered by where each is first seen. One row per distinct value is numbered."""
-    first = df.groupBy(value).agg(F.min(position).alias("first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("ix"))
+    """(value, ix): distinct values numbered by where each is first seen; positions are all different."""
+    return numbered(df.groupBy(value).agg(F.min(position).alias("first")), ["first"], "ix").select(value, F.col("ix").cast("long").alias("ix"))

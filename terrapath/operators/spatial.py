@@ -1,4 +1,4 @@
-"""Box and nearest searches on points, over buckets of whole degrees."""
+"""Box and nearest searches on points, over buckets of a quarter degree."""
 
 from __future__ import annotations
 
@@ -20,18 +20,28 @@ def nearest_k(sites: DataFrame, lon: float, lat: float, k: int = 200) -> DataFra
     return d.orderBy("metres", "id").limit(max(1, min(10_000, k)))
 
 
+#: Squares along a degree, and parts into which the sites of a square are dealt.
+PER_DEGREE, SALTS = 4, 4
+
+
+def _square(x: Column) -> Column:
+    return F.floor(x * PER_DEGREE).cast("int")
+
+
 def _buckets(low: Column, high: Column) -> Column:
-    return F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))
+    return F.sequence(_square(low), _square(high))
 
 
 def boxes_join(boxes: DataFrame, sites: DataFrame) -> DataFrame:
     """Pairs of a box (box_id, south, west, north, east) and a site in it.
 
-    Boxes are dealt to the degree squares they touch, so the join is on equal keys; the box test is residual.
+    Boxes are dealt to the squares of a quarter degree that they touch, so the join is on equal keys; the box test
+    is residual. A crowded square's sites are dealt to several parts, and each box goes to all of them.
     """
     dealt = boxes.withColumn("bx", F.explode(_buckets(F.col("west"), F.col("east")))).withColumn("by", F.explode(_buckets(F.col("south"), F.col("north"))))
-    keyed = sites.withColumn("bx", F.floor("lon").cast("int")).withColumn("by", F.floor("lat").cast("int"))
-    return dealt.join(keyed, ["bx", "by"]).filter(bbox_contains("south", "west", "north", "east", "lat", "lon")).drop("bx", "by")
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = sites.withColumns({"bx": _square(F.col("lon")), "by": _square(F.col("lat")), "part": F.pmod(F.xxhash64(*sites.columns), F.lit(SALTS)).cast("int")})
+    return dealt.join(keyed, ["bx", "by", "part"]).filter(bbox_contains("south", "west", "north", "east", "lat", "lon")).drop("bx", "by", "part")
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, within_m: float) -> DataFrame:
@@ -49,8 +59,8 @@ def nearest_site(points: DataFrame, sites: DataFrame, within_m: float) -> DataFr
 
 
 def smallest_cover(wanted: DataFrame, windows: DataFrame) -> DataFrame:
-    """For each wanted box the smallest stored window that holds it; windows are dealt by the degree square of the box's corner."""
-    keyed = wanted.withColumn("bx", F.floor("w_west").cast("int")).withColumn("by", F.floor("w_south").cast("int"))
+    """For each wanted box the smallest stored window that holds it; windows are dealt by the square of the box's corner."""
+    keyed = wanted.withColumn("bx", _square(F.col("w_west"))).withColumn("by", _square(F.col("w_south")))
     dealt = windows.withColumn("bx", F.explode(_buckets(F.col("west"), F.col("east")))).withColumn("by", F.explode(_buckets(F.col("south"), F.col("north"))))
     fit = keyed.join(dealt, ["bx", "by"]).filter(bbox_covers(("south", "west", "north", "east"), ("w_south", "w_west", "w_north", "w_east")))
     area = bbox_area("south", "west", "north", "east")

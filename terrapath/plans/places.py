@@ -103,8 +103,8 @@ def dictionary_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as dictionary numbers in the order of first occurrence, and decoded again."""
     df = I.sites(spark, sf_dir)
     words = P.dictionary(df, "kind", "id")
-    coded = df.join(F.broadcast(words), "kind").select("id", "ix")
-    return coded.join(F.broadcast(words), "ix").select("id", "ix", "kind")
+    coded = df.join(words, "kind").select("id", "ix")
+    return coded.join(words, "ix").select("id", "ix", "kind")
 
 
 def geometry_center(spark: SparkSession, sf_dir: str) -> DataFrame:
