@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flight as L
-from ..operators import glide
 from ..operators import paths as P
 from ..operators import raster as R
 from . import inputs as I
 
 
+#: Margin above ground of the series, and the distance from which it holds.
+MARGIN, START = 1800.0, 100.0
+
+
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaves of the tree."""
     tree = I.tree(spark, sf_dir)
@@ -34,6 +37,23 @@ def path_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.profile(path, I.tree(spark, sf_dir)).select("target", "depth", "i", "r", "c", F.round("h", 6).alias("h"))
 
 
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = P.backtrace(I.tree(spark, sf_dir), _targets(spark, sf_dir))
+    ground = R.mosaic(R.fill_voids(I.dem(spark, sf_dir), ("tile",)), I.SIDE, 5).select(F.col("gr").alias("r"), F.col("gc").alias("c"), F.col("h").alias("ground"))
+    return P.series(P.profile(path, I.tree(spark, sf_dir)), ground, MARGIN, START)
+
+
+def path_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each path with the ground below them, on tiles laid side by side in rows of five."""
+    return _series(spark, sf_dir).select("target", "depth", "i", "ground", *(F.round(x, 6).alias(x) for x in ("dist", "agl", "floor")))
+
+
+def path_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each path first comes into the margin above ground."""
+    found = P.margin_violations(_series(spark, sf_dir), MARGIN, START)
+    return found.select("target", *(F.round(x, 6).alias(x) for x in ("agl_min", "agl_max", "first_in_margin")))
+
+
 def profile_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range of each path's heights, the compass sector of its last leg and its length for display."""
     tree = I.tree(spark, sf_dir)
@@ -75,35 +95,19 @@ def effective_glide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "part").select("p_partkey", F.round(F.when(g == math.inf, -1.0).otherwise(g), 6).alias("glide"))
 
 
-def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.table(spark, sf_dir, "supplier").selectExpr(
-        "s_suppkey AS search_id", "cast(s_suppkey AS bigint) AS tile", "cast(8 + s_suppkey % 16 AS int) AS r", "cast(8 + s_suppkey * 5 % 16 AS int) AS c",
-        "cast(1400 + s_suppkey % 5 * 100 AS double) AS height", "100.0D AS cell_m", "0.125D AS glide", "38.0D AS trim", "cast(s_suppkey % 4 * 6 AS double) AS wind",
-        "cast(s_suppkey % 8 AS double) * 0.785398D AS wind_dir", "cast(s_suppkey % 3 * 20 AS double) AS margin", "500.0D AS start_distance",
-    )
-
-
-def glide_search_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell that each search reaches, with its parent, height and distance, on tiles laid side by side in rows of five."""
-    nodes = glide.search_around(R.fill_voids(I.dem(spark, sf_dir), ("tile",)), _searches(spark, sf_dir), I.SIDE, 5)
-    return nodes.select("search_id", "r", "c", "ref_r", "ref_c", F.round("height", 2).alias("height"), F.round("distance", 2).alias("distance"), "in_margin")
-
-
-def glide_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reach of each search: cells, bounding box, greatest distance."""
-    nodes = glide_search_nodes(spark, sf_dir)
-    return nodes.groupBy("search_id").agg(
-        F.count("*").alias("n"), F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.max("distance").alias("farthest"),
-    )
-
-
 QUERIES = (
-    path_backtrace, path_backtrace_sql, path_profile, profile_minmax, glide_reduced_stream, delta_encode, delta_decode, glide_cone_bounds,
-    effective_glide_table, glide_search_nodes, glide_search_batch,
+    path_backtrace, path_backtrace_sql, path_profile, path_series, path_margin, profile_minmax, glide_reduced_stream, delta_encode, delta_decode, glide_cone_bounds,
+    effective_glide_table,
 )
 
 _WALK = f"""WITH RECURSIVE t AS (SELECT * FROM {I.TREE}), walk AS (SELECT id AS target, 0 AS depth, id FROM t WHERE id NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL)
  UNION ALL SELECT w.target, w.depth + 1, t.parent FROM walk w JOIN t ON w.id = t.id WHERE t.parent IS NOT NULL)"""
+_SERIES = f"""{_WALK}, a AS (SELECT target, depth, r, c, h, dist, lead(r) OVER w AS r2, lead(c) OVER w AS c2, lead(h) OVER w AS h2, lead(dist) OVER w AS dist2 FROM walk JOIN t USING (id) WINDOW w AS (PARTITION BY target ORDER BY depth DESC)),
+ b AS (SELECT *, cast(greatest(1, ceil(sqrt((r2 - r) * (r2 - r) + (c2 - c) * (c2 - c)))) AS int) AS n FROM a WHERE r2 IS NOT NULL), s AS (SELECT *, unnest(range(0, n)) AS i FROM b),
+ u AS (SELECT target, depth, cast(i AS int) AS i, cast(round(r + (r2 - r) * (i / greatest(n - 1, 1)::DOUBLE)) AS int) AS r, cast(round(c + (c2 - c) * (i / greatest(n - 1, 1)::DOUBLE)) AS int) AS c,
+ h + (h2 - h) * (i / greatest(n - 1, 1)::DOUBLE) AS h, dist + (dist2 - dist) * (i / greatest(n - 1, 1)::DOUBLE) AS dist FROM s),
+ g AS (SELECT tile // 5 * {I.SIDE} + r AS r, tile % 5 * {I.SIDE} + c AS c, last_value(CASE WHEN h >= -1000 THEN h END IGNORE NULLS) OVER (PARTITION BY tile ORDER BY r, c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ground FROM {I.DEM}),
+ z AS (SELECT u.*, ground, h - ground AS agl, CASE WHEN dist >= {START} THEN h - {MARGIN} END AS floor FROM u JOIN g USING (r, c))"""
 _SECT = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
 SQL = {
     "path_backtrace": f"{_WALK} SELECT target, depth, id FROM walk",
@@ -112,6 +116,9 @@ SQL = {
  b AS (SELECT *, cast(greatest(1, ceil(sqrt((r2 - r) * (r2 - r) + (c2 - c) * (c2 - c)))) AS int) AS n FROM a WHERE r2 IS NOT NULL), s AS (SELECT *, unnest(range(0, n)) AS i FROM b)
  SELECT target, depth, cast(i AS int) AS i, cast(round(r + (r2 - r) * (i / greatest(n - 1, 1)::DOUBLE)) AS int) AS r, cast(round(c + (c2 - c) * (i / greatest(n - 1, 1)::DOUBLE)) AS int) AS c,
  round(h + (h2 - h) * (i / greatest(n - 1, 1)::DOUBLE), 6) AS h FROM s""",
+    "path_series": f"{_SERIES} SELECT target, depth, i, ground, round(dist, 6) AS dist, round(agl, 6) AS agl, round(floor, 6) AS floor FROM z",
+    "path_margin": f"""{_SERIES} SELECT target, round(min(agl), 6) AS agl_min, round(max(agl), 6) AS agl_max,
+ round(min(dist) FILTER (h - {MARGIN} + 14 < ground AND dist >= {START}), 6) AS first_in_margin FROM z GROUP BY target""",
     "profile_minmax": f"""{_WALK}, a AS (SELECT * FROM walk JOIN t USING (id)), g AS (SELECT target, min(h) AS h_min, max(h) AS h_max, max(depth) AS legs, max(r) FILTER (depth = 0) AS r0, max(c) FILTER (depth = 0) AS c0,
  max(dist) FILTER (depth = 0) AS d0, max(r) FILTER (depth = 1) AS r1, max(c) FILTER (depth = 1) AS c1 FROM a GROUP BY target)
  SELECT target, h_min, h_max, legs, ({_SECT!r})[1 + cast(floor(((degrees(atan2((c0 - c1)::DOUBLE, (r0 - r1)::DOUBLE)) + 382.5) % 360.0::DOUBLE) / 45) AS int)] AS sector, round(d0 / 1000.0::DOUBLE, 1) AS km FROM g""",

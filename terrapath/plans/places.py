@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import request_value
+from ..operators import placejob as J
 from ..operators import places as P
 from . import inputs as I
 
-MORE_THAN = 10
+MORE_THAN, JOB_MORE_THAN = 10, 1
 FEWER_NAMES = 32
 DROPPED = ("osm.promo_burnished_copper", "osm.economy_anodized_steel")
 KEPT = {"osm.standard_polished_brass": ("brand_13", "brand_22"), "osm.small_plated_copper": ("brand_11", "brand_31")}
@@ -107,6 +108,21 @@ def dictionary_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.join(words, "ix").select("id", "ix", "kind")
 
 
+def place_search_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both steps of the cleaning job on places made of parts: names, centres, categories, labels."""
+    k = F.col("p_partkey")
+    code = F.when(k % 5 == 0, F.lit("at")).when(k % 5 == 1, F.lit("xx"))
+    address = F.when(k % 7 == 0, F.create_map(F.lit("state:en"), F.concat(F.lit("State "), (k % 3).cast("string"))))
+    shape = F.when(k % 2 == 0, F.struct(F.lit("Point").alias("type"), F.parse_json(F.concat(F.lit("["), (k % 90).cast("string"), F.lit(","), (k % 45).cast("string"), F.lit("]"))).alias("coordinates"))).otherwise(
+        F.struct(F.lit("LineString").alias("type"), F.parse_json(F.concat(F.lit("[["), (k % 90).cast("string"), F.lit(",1],["), (k % 80).cast("string"), F.lit(",2]]"))).alias("coordinates"))
+    )
+    names = F.when(k % 11 != 0, F.create_map(F.when(k % 3 == 0, F.lit("name:de")).otherwise(F.lit("name")), F.col("name")))
+    listed = I.category_lists(spark, sf_dir)
+    places = listed.select(names.alias("name"), "categories", F.when(k % 4 == 0, F.array((k % 10).cast("double"), (k % 20).cast("double"))).alias("centroid"), address.alias("address"), code.alias("country_code"), shape.alias("geometry"))
+    found = J.search_places(J.augmented(places, "Nowhere"), JOB_MORE_THAN, FEWER_NAMES, ("osm.small_plated_copper.brand_11",), DROPPED, KEPT)
+    return found.select("name", F.col("center")[0].alias("x"), F.col("center")[1].alias("y"), "additional_info")
+
+
 def geometry_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the ring of points around a site, and the same sum divided by the number of rings."""
     df = I.sites(spark, sf_dir)
@@ -130,7 +146,7 @@ def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     places_filtered_topk, category_counts, category_second_level, category_rollup, rare_category_antijoin, name_counts_filter, place_blacklist,
-    place_required_fields, keep_rules_union, context_label, name_priority, clean_site_name, dictionary_encode_decode, geometry_center, request_defaults,
+    place_required_fields, keep_rules_union, context_label, name_priority, clean_site_name, dictionary_encode_decode, place_search_job, geometry_center, request_defaults,
 )
 
 _L2 = "array_to_string(string_split(category, '.')[1:2], '.')"
@@ -164,6 +180,15 @@ SQL = {
     "dictionary_encode_decode": f"""WITH s AS (SELECT * FROM {I.SITES}), d AS (SELECT kind, cast(row_number() OVER (ORDER BY min(id)) - 1 AS bigint) AS ix FROM s GROUP BY kind)
  SELECT id, ix, kind FROM s JOIN d USING (kind)""",
     "geometry_center": f"SELECT id, round(lon + 1.5, 6) AS x, round(lat + 3.0, 6) AS y, round(4 * lon + 6, 6) AS x_sum, round(4 * lat + 12, 6) AS y_sum FROM {I.SITES}",
+    "place_search_job": f"""WITH p AS (SELECT p_partkey AS k, categories, CASE WHEN p_partkey % 11 <> 0 THEN name END AS name FROM {I.CATEGORY_LISTS}),
+ once AS (SELECT u FROM (SELECT unnest(categories) AS u FROM p) GROUP BY u HAVING count(*) = 1),
+ a AS (SELECT name, categories[1] AS category, CASE WHEN k % 4 = 0 THEN (k % 10)::DOUBLE WHEN k % 2 = 0 THEN (k % 90)::DOUBLE ELSE (k % 90 + k % 80) / 2.0::DOUBLE END AS x,
+ CASE WHEN k % 4 = 0 THEN (k % 20)::DOUBLE WHEN k % 2 = 0 THEN (k % 45)::DOUBLE ELSE 1.5::DOUBLE END AS y,
+ CASE WHEN k % 7 = 0 THEN 'State ' || k % 3 WHEN k % 5 = 0 THEN 'Austria' ELSE 'Nowhere' END AS additional_info FROM p
+ WHERE name IS NOT NULL AND k NOT IN (SELECT k FROM (SELECT k, unnest(categories) AS u FROM p) WHERE u IN (SELECT u FROM once))),
+ b AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY category) AS n FROM a) WHERE n > {JOB_MORE_THAN} AND category <> 'osm.small_plated_copper.brand_11' AND {_L2} NOT IN ({_NOT})),
+ c AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY name) AS m FROM b) WHERE m < {FEWER_NAMES})
+ SELECT name, x, y, additional_info FROM c WHERE ({_RULES}) OR {_L2} NOT IN ({', '.join(repr(x) for x in KEPT)})""",
     "request_defaults": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN greatest(10.0::DOUBLE, least(1000.0::DOUBLE, o_orderkey % 400)) ELSE 200.0::DOUBLE END AS cell,
  round(1 / (CASE WHEN o_orderkey % 4 <> 0 THEN greatest(1.0::DOUBLE, least(100.0::DOUBLE, (o_orderkey % 150) / 10.0::DOUBLE)) ELSE 8.0::DOUBLE END), 4) AS ratio,
  round(radians(CASE WHEN o_orderkey % 5 <> 0 THEN greatest(0.0::DOUBLE, least(360.0::DOUBLE, (o_orderkey % 7200) / 20.0::DOUBLE)) ELSE 0.0::DOUBLE END), 4) AS wind_rad,

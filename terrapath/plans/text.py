@@ -43,6 +43,16 @@ def edit_distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.within_edits(_names(spark, sf_dir), _queries(spark, sf_dir))
 
 
+def whole_name_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names within eight edits of a query as a whole."""
+    return T.whole_within(_names(spark, sf_dir), _queries(spark, sf_dir), 8)
+
+
+def whole_name_edits_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names exactly nine edits from a query."""
+    return T.whole_within(_names(spark, sf_dir), _queries(spark, sf_dir), 9, exactly=True)
+
+
 def prefix_edit_distance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.best_matches(_names(spark, sf_dir), _queries(spark, sf_dir))
 
@@ -75,7 +85,7 @@ def snap_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (exact_lookup, prefix_continuations, edit_distance_join, prefix_edit_distance_topk, trie_prefix_counts, running_offsets, short_query_filter, share_url, snap_parameters)
+QUERIES = (exact_lookup, prefix_continuations, edit_distance_join, prefix_edit_distance_topk, whole_name_edits, whole_name_edits_exactly, trie_prefix_counts, running_offsets, short_query_filter, share_url, snap_parameters)
 
 _K = "greatest(2, least(255, strlen(query) // 4))"
 _EDIT = f"""(SELECT query, name, cast(list_min(list_transform(range(0, length(name) + 1), lambda i: levenshtein(query, substring(name, 1, i)))) AS int) AS distance, {_K} AS k FROM {_Q}, {_N})"""
@@ -84,6 +94,8 @@ SQL = {
     "prefix_continuations": f"SELECT query, name, cast(row_number() OVER (PARTITION BY query ORDER BY length(name), name) - 1 AS int) AS rank FROM {_Q} JOIN {_N} ON starts_with(name, query)",
     "edit_distance_join": f"SELECT query, name, distance FROM {_EDIT} WHERE distance <= k",
     "prefix_edit_distance_topk": f"""SELECT query, name, distance, rank FROM (SELECT *, cast(row_number() OVER (PARTITION BY query ORDER BY distance, length(name), name) - 1 AS int) AS rank FROM {_EDIT} WHERE distance <= k) WHERE rank < {T.ANSWERS}""",
+    "whole_name_edits": f"SELECT * FROM (SELECT query, name, cast(levenshtein(query, name) AS int) AS distance FROM {_Q}, {_N}) WHERE distance <= 8",
+    "whole_name_edits_exactly": f"SELECT * FROM (SELECT query, name, cast(levenshtein(query, name) AS int) AS distance FROM {_Q}, {_N}) WHERE distance = 9",
     "trie_prefix_counts": f"""SELECT prefix, n, cast(row_number() OVER (PARTITION BY substring(prefix, 1, length(prefix) - 1) ORDER BY n DESC, prefix) - 1 AS int) AS rank, cast(nl AS int) AS n_lengths, cast(longest AS int) AS longest
  FROM (SELECT substring(name, 1, i) AS prefix, count(*) AS n, count(DISTINCT length(name)) AS nl, max(length(name)) AS longest FROM (SELECT name, unnest(range(1, length(name) + 1)) AS i FROM {_N}) GROUP BY 1)""",
     "running_offsets": f"SELECT letter, n, cast(sum(n) OVER (ORDER BY letter) - n AS bigint) AS offset FROM (SELECT substring(name, 1, 1) AS letter, count(*) AS n FROM {_N} GROUP BY 1)",

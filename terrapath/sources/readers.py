@@ -20,6 +20,11 @@ def locations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LOCATION).option("pathGlobFilter", "*.jsonl").json(path)
 
 
+def augmented_places(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of places with their categories (name, center, categories, additional_info)."""
+    return spark.read.schema(schemas.AUGMENTED).json(path)
+
+
 def place_dump(spark: SparkSession, path: str) -> DataFrame:
     """The places of a dump of enveloped JSON lines, one row each; an unknown envelope is an error."""
     rows = spark.read.schema(schemas.PLACE_DUMP).json(path)

@@ -8,59 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrapath.functions import flight, geo
-from terrapath.operators import glide, raster, textsearch, tiles
-from terrapath.plans import inputs, paths
+from terrapath.operators import placejob, raster, textsearch, tiles
+from terrapath.plans import inputs
 from terrapath.sources import readers, writers
 from terrapath.streaming import streams
 
 SF = "/root/testdata/sf0.001"
-HILLS = {
-    75: [(3, 0), (3, 1), (3, 2), (4, 2), (5, 1)],
-    60: [(8, 3), (8, 4)],
-    55: [*((1, c) for c in range(2, 8)), (7, 4), (7, 5)],
-    50: [(6, 5), (6, 6)],
-    45: [(5, 6), (5, 7)],
-    40: [(4, 7)],
-}
-PARENTS = """
-2,1 0,3 0,3 3,4 3,4 3,4 0,5 0,5 2,8 2,8
-2,1 2,1 . 3,4 3,4 3,4 . . 2,8 3,4
-2,3 2,3 2,3 3,4 3,4 3,4 3,4 3,4 3,4 3,4
-. . . 3,4 3,4 3,4 3,4 3,4 3,4 3,4
-6,0 . . 3,4 3,4 3,4 3,4 3,4 3,4 3,4
-6,0 . 5,3 3,4 3,4 3,4 3,4 . 4,8 3,4
-6,2 6,2 3,4 3,4 3,4 . . 6,8 4,8 3,4
-3,4 3,4 3,4 6,3 . . . 6,8 4,8 6,9
-3,4 3,4 7,2 . . . . . . 6,9
-3,4 3,4 7,2 9,2 . . . . . .
-"""
-
-
-def test_search_parents(spark):
-    ground = {(r, c): 0 for r in range(10) for c in range(10)} | {x: h for h, cells in HILLS.items() for x in cells}
-    cells = spark.createDataFrame([(1, r, c, h) for (r, c), h in ground.items()], "tile long, r int, c int, h int")
-    row = (7, 1, 3, 4, 80.0, 100.0, 0.1, 38.0, 0.0, 0.0, 0.0, 0.0)
-    searches = spark.createDataFrame([row, (8, 1, 50, 50, *row[4:])], f"search_id long, tile long, r int, c int, {', '.join(f'{p} double' for p in glide.PARAMETERS)}")
-    found = {(n["r"], n["c"]): n for n in glide.search(cells, searches).collect()}
-    for r, line in enumerate(PARENTS.split("\n")[1:-1]):
-        for c, want in enumerate(line.split()):
-            n = found.get((r, c))
-            got = "." if n is None else f"{n['r']},{n['c']}" if n["ref_r"] is None else f"{n['ref_r']},{n['ref_c']}"
-            assert got == want, (r, c)
-
-
-def test_flat_ground_is_reached_in_a_circle():
-    ground = {(r, c): 1000.0 for r in range(12) for c in range(12)}
-    found = glide.explore(ground, (6, 6), height=1200.0, cell_m=50.0, glide=1 / 8, trim=38.0, wind=0.0, wind_dir=0.0, margin=0.0, start_distance=0.0)
-    assert all(n.reachable for n in found.values()) and len(found) == 144
-
-
-def test_search_is_deterministic_and_above_ground(spark):
-    nodes = paths.glide_search_nodes(spark, SF)
-    ground = raster.fill_voids(inputs.dem(spark, SF), ("tile",))
-    low = nodes.join(ground, (F.col("search_id") == F.col("tile")) & (nodes["r"] == ground["r"]) & (nodes["c"] == ground["c"])).filter(F.col("height") < F.col("h") - 0.01)
-    assert nodes.count() > 0 and low.count() == 0
-
 
 @pytest.mark.parametrize(
     ("trim", "wind", "angle", "ratio"),
@@ -81,6 +34,19 @@ def test_prefix_matches(spark):
     assert {r["query"] for r in textsearch.exact(names, queries).collect()} == {"her"}
 
 
+def test_whole_name_distances(spark):
+    names = spark.createDataFrame([(x,) for x in ("hello", "helium", "hero", "her", "abba", "aber", "alla", "all")], "name string")
+    query = spark.createDataFrame([("her",)], "query string")
+
+    def found(edits, exactly, *only):
+        some = names.filter(F.col("name").isin(*only)) if only else names
+        return {r["name"] for r in textsearch.whole_within(some, query, edits, exactly).collect()}
+
+    assert found(2, False) == {"her", "hero", "aber"}
+    assert found(1, True, "hero") == {"hero"} and found(2, True, "hero") == set() and found(2, True, "aber") == {"aber"}
+    assert found(3, False) == {"her", "hero", "aber", "hello", "all"}  # as many edits as letters
+
+
 @pytest.mark.parametrize(("zoom", "want"), [(8, [6, 8, 10, 13, 15]), (13, [11, 13, 15]), (15, [13, 15, 17])])
 def test_zoom_sets(spark, zoom, want):
     assert spark.range(1).select(tiles.zoom_set(F.lit(zoom)).alias("z")).first()["z"] == want
@@ -99,8 +65,9 @@ def test_lerp(spark, a, b, t, want):
 
 def test_sql_functions(spark):
     flight.register_functions(spark)
-    row = spark.sql("SELECT haversine_m(0D, 0D, 0D, 1D) AS m, lerp(0D, 10D, 0.5D) AS l, tile_x(0D, 2) AS x").first()
-    assert row["m"] == pytest.approx(111_194.9, abs=1) and row["l"] == 5.0 and row["x"] == 2
+    row = spark.sql("SELECT haversine_m(0D, 0D, 0D, 1D) AS m, lerp(0D, 10D, 0.5D) AS l, tile_x(0D, 2) AS x, tile_y(0.5D, 2) AS y, effective_glide(0.1D, 40D, 10D, pi()) AS g, effective_glide(0.1D, 38D, 50D, 1.57D) AS w").first()
+    assert row["m"] == pytest.approx(111_194.9, abs=1) and row["l"] == 5.0 and row["x"] == 2 and row["y"] == 1
+    assert row["g"] == pytest.approx(0.1 / 0.75) and row["w"] == float("inf")
 
 
 def test_elevation_tiles(spark, tmp_path):
@@ -133,6 +100,42 @@ def test_place_dump(spark, tmp_path):
         readers.place_dump(spark, str(tmp_path / "b.json")).collect()
 
 
+def place(name="A", categories=(), **more):
+    return {"name": {"name": name}, "categories": [*categories], "address": {}} | more
+
+
+def test_cleaning_job(spark, tmp_path):
+    town, line = ["osm.place.town"], {"type": "LineString", "coordinates": [[0, 0], [2, 4]]}
+    places = [
+        place("Point", town, geometry={"type": "Point", "coordinates": [1, 2]}, country_code="at"),
+        place("Line", town, geometry=line, country_code="us"),
+        place("Odd line", town, geometry={"type": "LineString", "coordinates": [[0, 0], [3, 5], [9, 9]]}),
+        place("Ring", town, geometry={"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2]]]}),
+        place("Rings", town, geometry={"type": "MultiPolygon", "coordinates": [[[[1, 1], [3, 3]]], [[[9, 9]]]]}, address={"state:en": "Tyrol"}),
+        place("Known", town, geometry=line, centroid=[7.0, 8.0]),
+        place("Shop", ["osm.shop.food"], geometry=line),
+        place("Once", ["osm.place.city"], geometry=line),
+        place("Garden", ["osm.leisure.park"]),
+        place("Garden too", ["osm.leisure.park"]),
+        {"categories": town},
+    ]
+    dump = tmp_path / "dump.json"
+    dump.write_text("\n".join(json.dumps({"type": "Place", "content": [p]}) for p in places))
+    rows = placejob.augmented(readers.place_dump(spark, str(dump)), "Region")
+    got = {r["name"]: (r["center"], r["additional_info"]) for r in rows.collect()}
+    assert got == {
+        "Point": ([1.0, 2.0], "Austria"), "Line": ([1.0, 2.0], "Region"), "Odd line": ([3.0, 5.0], "Region"), "Ring": ([4.0, 4.0], "Region"),
+        "Rings": ([2.0, 2.0], "Tyrol"), "Known": ([7.0, 8.0], "Region"),
+    }
+    placejob.clean_dump(spark, str(dump), "Region", str(tmp_path / "a"), str(tmp_path / "s"))
+    assert readers.augmented_places(spark, str(tmp_path / "a")).count() == 6 and spark.read.text(str(tmp_path / "s")).count() == 0
+    kept = placejob.search_places(readers.augmented_places(spark, str(tmp_path / "a")), more_than=5)
+    assert kept.columns == ["name", "center", "additional_info"] and kept.count() == 6
+    dump.write_text(json.dumps({"type": "Place", "content": [place("Bare", town), place("Bare", town)]}))
+    with pytest.raises(Exception, match="no geometry"):
+        placejob.augmented(readers.place_dump(spark, str(dump)), "Region").collect()
+
+
 def test_sites_xml(spark, tmp_path):
     one = "<Location><LocationName> {} </LocationName><LocationType>{}</LocationType><Coordinates>{}</Coordinates></Location>"
     body = "".join(one.format(*x) for x in (("Top", 1, "11.5,47.25"), ("Field", 2, "11.0, 47.0"), ("Winch", 3, "1,1")))
@@ -161,8 +164,31 @@ def test_images(spark):
     assert line[1 + 4 * 5] * 256 + line[2 + 4 * 5] == h[0, 5]
 
 
+def test_kml_documents(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    cells = raster.corners(raster.fill_voids(inputs.dem(spark, SF), ("tile",)).filter("tile = 3 and r < 4"))
+    marks = raster.placemarks(cells, (400, 1300))
+    writers.kml(marks.coalesce(1), str(tmp_path / "k"))
+    (text,) = [f.read_text() for f in (tmp_path / "k").glob("part-*") if f.read_text()]
+    root, space = ElementTree.fromstring(text), "{http://www.opengis.net/kml/2.2}"
+    colours = [x.text for x in root.iter(f"{space}color")]
+    assert len(colours) == cells.count() and sorted(colours) == sorted(r["colour"] for r in marks.collect())
+
+
+def test_colour_image_has_four_channels(spark):
+    nodes = spark.createDataFrame([(1, 0, 0, 0.0, False), (1, 1, 1, 10.0, False), (1, 1, 2, 20.0, True), (1, 2, 1, -5.0, False), (1, 2, 2, 30.0, True)], "tile long, r int, c int, v double, near boolean")
+    pixels = raster.colour_image(nodes, F.col("v"), F.col("near"))
+    got = {(p["x"], p["y"]): (p["red"], p["green"], p["blue"], p["alpha"]) for p in pixels.collect()}
+    assert got == {(0, 1): (255, 0, 0, 255), (1, 1): (108, 114, 0, 255), (0, 0): (255, 255, 255, 0), (1, 0): (0, 90, 153, 255)}
+    png = writers.images(pixels, 2, 2).first()["png"]
+    at = png.index(b"IDAT")
+    raw = zlib.decompress(png[at + 4 : at + 4 + struct.unpack(">I", png[at - 4 : at])[0]])
+    assert raw == bytes([0, 255, 255, 255, 0, 0, 90, 153, 255, 0, 255, 0, 0, 255, 108, 114, 0, 255])
+
+
 def test_cone_json_and_index(spark, tmp_path):
-    nodes = paths.glide_search_nodes(spark, SF).filter("search_id = 3")
+    nodes = spark.createDataFrame([(3, 1, 2, None, None, 80.0, 0.0, False), (3, 1, 3, 1, 2, 70.0, 100.0, True)], "search_id long, r int, c int, ref_r int, ref_c int, height double, distance double, in_margin boolean")
     first = json.loads(writers.cone_json(nodes).first()["node"])
     assert set(first) == {"index", "reference", "height", "distance", "in_safety_margin"}
     names = spark.createDataFrame([("b",), ("a",), (None,)], "name string")
