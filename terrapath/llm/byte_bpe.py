@@ -86,7 +86,8 @@ def _places(keys: dict[int, int], bits: int) -> tuple[list[int], list[int], list
     """The rank map as two arrays with one possible place for a key in each (cuckoo hashing).
 
     A key's place is its remainder by the array's length, a prime. Returns both lengths and arrays of
-    packed (key, rank); Spark reads two places per pair, however many pairs there are.
+    packed (quotient, rank), which are shorter than keys in the plan; Spark reads two places per pair, however
+    many pairs there are.
     """
     size = max(11, len(keys))
     while True:
@@ -108,7 +109,7 @@ def _places(keys: dict[int, int], bits: int) -> tuple[list[int], list[int], list
             else:
                 break
         else:
-            packed = [[-1 if k is None else k << bits | keys[k] for k in t] for t in tables]
+            packed = [[-1 if k is None else k // n << bits | keys[k] for k in t] for n, t in zip(primes, tables, strict=True)]
             return primes, *packed
         size = size * 5 // 4
 
@@ -163,7 +164,7 @@ class Folder:
         rank = F.lit(self.none).cast("long")
         for t, p in reversed(list(zip(tables, self.primes, strict=True))):
             e = F.get(t, (key % p).cast("int"))
-            rank = _if(F.shiftright(e, self.bits) == key, e.bitwiseAND(self.none), rank)
+            rank = _if(F.shiftright(e, self.bits) == F.call_function("div", key, F.lit(p)), e.bitwiseAND(self.none), rank)
         return F.shiftleft(rank, self.top)
 
     def ids(self, words: Column) -> Column:
@@ -480,7 +481,9 @@ def _frequent(texts: DataFrame, pieces: Column, folder: Folder, ranks) -> bytes:
     if least is None:
         return _Known.pack(pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary()))
     dealt = counted.filter(F.col("n") >= least).select("piece").repartition(2 * sc.defaultParallelism + total // 20_000)
-    words = dealt.mapInArrow(_chunks(ranks), "words array<array<int>>").select(folder.ids(F.col("words")).alias("ids"))
+    # Written first, as a plan with an exchange is described anew, tables included, with every stage that ends.
+    chunks = materialize(dealt.mapInArrow(_chunks(ranks), "words array<array<int>>"), "chunks")
+    words = chunks.select(folder.ids(F.col("words")).alias("ids"))
     folded = words.select("ids", folder.decoded(F.col("ids")).alias("decoded")).toArrow()
     ids, decoded = (pa.concat_arrays([x.flatten() for x in folded.column(c).chunks]) for c in ("ids", "decoded"))
     return _Known.pack(ids, decoded)
