@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_text, materialize, new_path, row_key
+from ._common import id_text, materialize, new_path, row_key, small_batches
 from .graph import components
 
 WORDS = 5
@@ -30,10 +30,12 @@ WORDS = 5
 PERCENT = 80
 #: One in so many shingles lengthens the prefix that partners must share several shingles of.
 SPARE = 20
-#: Sets of a batch that hold a shingle before it counts as frequent; bits of the bitmap of such shingles.
-FREQUENT, ORDER_BITS = 8, 1 << 26
+#: Sets of about so many that hold a shingle before it counts as frequent; bits of the bitmap of such shingles.
+FREQUENT, FREQUENT_OF, ORDER_BITS = 8, 8_000, 1 << 26
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1_000
 #: Bytes of shingles that one task joins at once; regions smaller than ``TASK_BYTES`` are joined several at a time.
-REGION_BYTES, TASK_BYTES = 24 << 20, 6 << 20
+REGION_BYTES, TASK_BYTES = 16 << 20, 4 << 20
 #: Sets of a region up to which all its pairs are compared at once.
 FEW = 4
 #: Bytes of pivots that a round broadcasts.
@@ -159,18 +161,32 @@ def _spot(h: np.ndarray) -> np.ndarray:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places in the order's bitmap of shingles that many different sets of a batch hold, and all shingles counted."""
-    for b in batches:
-        sets = {s.tobytes(): s for s in shingle_sets(b.column("text"))}
-        values, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-        spots = _spot(values[n >= FREQUENT])
-        word, own = np.unique(spots >> np.uint64(6), return_inverse=True)
+    """Places in the order's bitmap that many different sets of some documents hold, and all shingles counted."""
+    seen: set[bytes] = set()
+    spots: list[np.ndarray] = []
+
+    def row() -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate([*spots, np.zeros(0, np.uint32)]), return_counts=True)
+        found = values[n >= FREQUENT]
+        word, own = np.unique(found >> np.uint32(6), return_inverse=True)
         bits = np.zeros(len(word), np.uint64)
-        np.bitwise_or.at(bits, own, np.uint64(1) << (spots & np.uint64(63)))
+        np.bitwise_or.at(bits, own, np.uint64(1) << (found & np.uint32(63)).astype(np.uint64))
         words, masks = np.append(word.astype(np.int64), -1), np.append(bits.view(np.int64), 0)
         total = np.zeros(len(words), np.int64)
         total[-1] = n.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(masks), pa.array(total)], names=["word", "bits", "total"])
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(masks), pa.array(total)], names=["word", "bits", "total"])
+
+    for b in batches:
+        for s in shingle_sets(b.column("text")):
+            key = _name(s)
+            if key not in seen:
+                seen.add(key)
+                spots.append(_spot(s).astype(np.uint32))
+        if len(seen) >= FREQUENT_OF:
+            yield row()
+            seen.clear()
+            spots.clear()
+    yield row()
 
 
 def _order_bits(plain: DataFrame) -> tuple[np.ndarray, int]:
@@ -570,6 +586,7 @@ def _links(regions: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k, n, node) of every row, k being its key and node its set, and (node, root, component_id) of the sets."""
+    small_batches(docs.sparkSession, BATCH_ROWS)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("k"))
     bits, total = _order_bits(id_text(docs))
     sent = plain.sparkSession.sparkContext.broadcast(bits)
