@@ -45,9 +45,9 @@ RATES = (
     Rate("word_length", 4, 500),
 )
 #: Sketches of fewer documents give way to the language's, and those to the whole corpus's.
+MIN_GROUP = 100
 #: Groups whose fences are broadcast at most.
 BROADCAST_GROUPS = 100_000
-MIN_GROUP = 100
 
 _STATS = [("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [
     (n, pa.int64())
