@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality rules, near duplicates, decontamination, secrets, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
-``documents``. Between stages the rows are written as Parquet in the shared folder and read again.
+``documents``, whatever other columns there are. Between stages the rows are written as Parquet in the shared folder
+and read again. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,27 +15,34 @@ from terrapath.llm._common import made, materialize, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only the documents that the base rules and the adaptive cutoffs keep."""
+    """Only the documents that the base rules and the adaptive cutoffs keep.
+
+    A null or empty text goes. Rows of null or repeated ids are judged each, and equal rows fare alike.
+    """
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies: the one with the smallest id."""
+    """One document of each group of exact and near copies: the one with the smallest id.
+
+    Of several texts of that id one stays, and of equal rows one; a null id stays only where the group has no other.
+    Texts without words have no copies, so all of them stay.
+    """
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of a benchmark item."""
+    """Without the documents that hold a window of a benchmark item; a null text holds none. Rows of one id are told apart by their texts."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret masked."""
+    """All documents, with every secret masked and ``n_chars`` brought up to date; a null text stays null."""
     return secret_scan.mask_secrets(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256); ids are little-endian 32-bit numbers."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row; ids are little-endian 32-bit numbers. A null text has none."""
     return byte_bpe.encode(docs).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
