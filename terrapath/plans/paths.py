@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import flight as L
 from ..operators import paths as P
 from ..operators import raster as R
+from ..operators.reach import reach
 from . import inputs as I
 
 
 #: Margin above ground of the series, and the distance from which it holds.
 MARGIN, START = 1800.0, 100.0
+#: Tiles of a row of the mosaic.
+ACROSS = 5
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +98,26 @@ def effective_glide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "part").select("p_partkey", F.round(F.when(g == math.inf, -1.0).otherwise(g), 6).alias("glide"))
 
 
+def glide_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell that a glide from the middle of each tile reaches, on tiles laid side by side in rows of five."""
+    k = F.col("s_suppkey")
+    starts = I.table(spark, sf_dir, "supplier").select(
+        k.alias("search_id"), (F.floor(k / ACROSS) * I.SIDE + 8 + k % 16).cast("int").alias("gr"), (k % ACROSS * I.SIDE + 8 + k * 5 % 16).cast("int").alias("gc"), (1000 + k % 5 * 50).cast("double").alias("height")
+    )
+    nodes = reach(R.fill_voids(I.dem(spark, sf_dir), ("tile",)), starts, I.SIDE, ACROSS, 200.0, 0.125)
+    return nodes.select("search_id", "gr", "gc", F.round("height", 4).alias("height"))
+
+
+def glide_reach_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells, box and lowest height of each search."""
+    return glide_reach(spark, sf_dir).groupBy("search_id").agg(
+        F.count("*").alias("n"), F.min("gr").alias("r_min"), F.max("gr").alias("r_max"), F.min("gc").alias("c_min"), F.max("gc").alias("c_max"), F.min("height").alias("lowest")
+    )
+
+
 QUERIES = (
     path_backtrace, path_backtrace_sql, path_profile, path_series, path_margin, profile_minmax, glide_reduced_stream, delta_encode, delta_decode, glide_cone_bounds,
-    effective_glide_table,
+    effective_glide_table, glide_reach, glide_reach_bounds,
 )
 
 _WALK = f"""WITH RECURSIVE t AS (SELECT * FROM {I.TREE}), walk AS (SELECT id AS target, 0 AS depth, id FROM t WHERE id NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL)
@@ -109,7 +129,17 @@ _SERIES = f"""{_WALK}, a AS (SELECT target, depth, r, c, h, dist, lead(r) OVER w
  g AS (SELECT tile // 5 * {I.SIDE} + r AS r, tile % 5 * {I.SIDE} + c AS c, last_value(CASE WHEN h >= -1000 THEN h END IGNORE NULLS) OVER (PARTITION BY tile ORDER BY r, c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ground FROM {I.DEM}),
  z AS (SELECT u.*, ground, h - ground AS agl, CASE WHEN dist >= {START} THEN h - {MARGIN} END AS floor FROM u JOIN g USING (r, c))"""
 _SECT = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
+_REACH = f"""WITH RECURSIVE g AS (SELECT tile // {ACROSS} * {I.SIDE} + r AS gr, tile % {ACROSS} * {I.SIDE} + c AS gc,
+ last_value(CASE WHEN h >= -1000 THEN h END IGNORE NULLS) OVER (PARTITION BY tile ORDER BY r, c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM {I.DEM}),
+ steps AS (SELECT dr, dc, sqrt(dr * dr + dc * dc) * 200.0::DOUBLE * 0.125::DOUBLE AS cost FROM range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE dr <> 0 OR dc <> 0),
+ t(search_id, gr, gc, height) USING KEY (search_id, gr, gc) AS (SELECT k, gr, gc, height FROM (SELECT s_suppkey AS k, s_suppkey // {ACROSS} * {I.SIDE} + 8 + s_suppkey % 16 AS gr,
+ s_suppkey % {ACROSS} * {I.SIDE} + 8 + s_suppkey * 5 % 16 AS gc, (1000 + s_suppkey % 5 * 50)::DOUBLE AS height FROM supplier) JOIN g USING (gr, gc) WHERE height >= h
+ UNION SELECT o.search_id, o.gr, o.gc, o.height FROM (SELECT search_id, t.gr + dr AS gr, t.gc + dc AS gc, max(height - cost) AS height FROM t, steps GROUP BY ALL) o
+ JOIN g ON o.gr = g.gr AND o.gc = g.gc LEFT JOIN recurring.t q ON o.search_id = q.search_id AND o.gr = q.gr AND o.gc = q.gc WHERE o.height >= h AND (q.height IS NULL OR o.height > q.height + 1e-6))"""
 SQL = {
+    "glide_reach": f"{_REACH} SELECT search_id, cast(gr AS int) AS gr, cast(gc AS int) AS gc, round(height, 4) AS height FROM t",
+    "glide_reach_bounds": f"""{_REACH} SELECT search_id, count(*) AS n, cast(min(gr) AS int) AS r_min, cast(max(gr) AS int) AS r_max, cast(min(gc) AS int) AS c_min, cast(max(gc) AS int) AS c_max,
+ round(min(height), 4) AS lowest FROM t GROUP BY search_id""",
     "path_backtrace": f"{_WALK} SELECT target, depth, id FROM walk",
     "path_backtrace_sql": f"{_WALK} SELECT target, max(depth) AS legs, cast(sum(id) AS bigint) AS sum_id FROM walk GROUP BY target",
     "path_profile": f"""{_WALK}, a AS (SELECT target, depth, r, c, h, lead(r) OVER w AS r2, lead(c) OVER w AS c2, lead(h) OVER w AS h2 FROM walk JOIN t USING (id) WINDOW w AS (PARTITION BY target ORDER BY depth DESC)),
