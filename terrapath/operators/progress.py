@@ -19,6 +19,19 @@ def reconcile(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
 
 
+def settle(jobs: DataFrame, wanted: DataFrame, stored: DataFrame, job: str, keys: list[str], now: Column) -> DataFrame:
+    """``jobs`` with what they want, what of it is stored (never more than that), and their status.
+
+    A pending job is complete when all it wants is stored, whoever stored it; else it has failed if it is stale. A job that
+    wants nothing is complete.
+    """
+    have = wanted.select(job, *keys).distinct().join(stored.select(*keys).distinct().withColumn("here", F.lit(1)), keys, "left")
+    counts = have.groupBy(job).agg(F.count("*").alias("n_wanted"), F.count("here").alias("n_stored"))
+    joined = jobs.join(counts, job, "left").fillna(0, ["n_wanted", "n_stored"])
+    full = (F.col("status") == "pending") & (F.col("n_stored") >= F.col("n_wanted"))
+    return reconcile(joined.withColumn("status", F.when(full, "complete").otherwise(F.col("status"))), now)
+
+
 def latest(events: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """The last row per key: one partial aggregate instead of a sort of each key's rows."""
     last = events.groupBy(by).agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("last"))

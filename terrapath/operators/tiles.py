@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import subdomain, tile_x, tile_y
+from ..functions.geo import bbox_covers, bounds_around, subdomain, tile_x, tile_y
 
 #: Zoom levels that are always stored, and the greatest one (fixed values).
 ALWAYS, GREATEST_ZOOM = (13, 15), 18
 #: Layers with the order of their paths' numbers and their mean bytes (fixed values).
 LAYERS = (("topo", "zxy", 18_000), ("street", "zxy", 14_000), ("satellite", "zyx", 35_000))
 LEAST_BLOB = 1_000
+#: Requests for a height map that are tried, and the bounds of the margin that one may have (fixed values).
+ATTEMPTS, LEAST_MARGIN_M, GREATEST_MARGIN_M = 4, 1_000.0, 300_000.0
 
 
 def zoom_set(zoom) -> Column:
@@ -32,6 +34,32 @@ def coverage(windows: DataFrame, zooms: Column) -> DataFrame:
     return ranges.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1"))).select("box_id", "zoom", "x", "y")
 
 
+def request_margins(windows: DataFrame) -> DataFrame:
+    """Adds ``margins``: metres around a window's centre that are asked for, one attempt after the other.
+
+    The first is half the larger side and some cells; each further one is a third larger and some cells more.
+    """
+    lat = (F.col("north") + F.col("south")) / 2
+    up = (F.col("north") - F.col("south")) / 2 * 111_320
+    right = (F.col("east") - F.col("west")) / 2 * 111_320 * F.greatest(F.cos(F.radians(lat)), F.lit(0.05))
+    first = (F.ceil(F.greatest(up, right)) + F.greatest(F.lit(500.0), F.round(F.col("grid") * 8))).cast("double")
+    more = F.aggregate(F.sequence(F.lit(2), F.lit(ATTEMPTS)), F.array(first), lambda acc, _: F.concat(acc, F.array(F.round(F.element_at(acc, -1) * 1.35 + F.greatest(F.lit(500.0), F.col("grid") * 6)))))
+    return windows.withColumn("margins", more)
+
+
+def covering_margin(windows: DataFrame) -> DataFrame:
+    """(box_id, attempt, margin): the first of ``request_margins`` whose map covers the window; null if none does."""
+    lat, lon = (F.col("north") + F.col("south")) / 2, (F.col("east") + F.col("west")) / 2
+
+    def covers(m: Column) -> Column:
+        held = F.greatest(F.lit(LEAST_MARGIN_M), F.least(F.lit(GREATEST_MARGIN_M), m))
+        return bbox_covers(tuple(bounds_around(lat, lon, held)), ("south", "west", "north", "east"))
+
+    tried = F.transform("margins", lambda m, i: F.struct((i + 1).alias("attempt"), m.alias("margin")))
+    found = request_margins(windows).withColumn("m", F.get(F.filter(tried, lambda x: covers(x["margin"])), F.lit(0)))
+    return found.select("box_id", "m.attempt", "m.margin")
+
+
 def urls(tiles: DataFrame) -> DataFrame:
     """(layer, url) of each distinct tile in every layer."""
     layers = F.array(*(F.struct(F.lit(n).alias("layer"), F.lit(order).alias("order")) for n, order, _ in LAYERS))

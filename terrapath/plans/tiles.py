@@ -29,27 +29,29 @@ def tile_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The addresses of the coarse tiles, once each."""
-    return T.urls(T.coverage(I.windows(spark, sf_dir), F.array(F.lit(8), F.lit(10))))
+    """The addresses of all tiles of the windows' own zooms, once each."""
+    return T.urls(T.coverage(I.windows(spark, sf_dir), _zooms()))
 
 
 def missing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted tiles that are not stored: stored are those with an even sum of numbers."""
-    wanted = T.coverage(I.windows(spark, sf_dir), F.array(F.lit(10))).select("zoom", "x", "y").distinct()
+    wanted = T.coverage(I.windows(spark, sf_dir), _zooms()).select("zoom", "x", "y").distinct()
     stored = wanted.filter((F.col("x") + F.col("y")) % 2 == 0)
     return wanted.join(stored, ["zoom", "x", "y"], "left_anti")
 
 
-def tile_urls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The addresses of all tiles of the windows' own zooms, once each."""
-    return T.urls(T.coverage(I.windows(spark, sf_dir), _zooms()))
+def download_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending downloads of all windows, where the tiles of every third one are stored."""
+    windows = I.windows(spark, sf_dir)
+    wanted = T.coverage(windows, _zooms())
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    jobs = windows.select("box_id", F.lit("pending").alias("status"), (now - F.make_dt_interval(mins=F.col("box_id").cast("int"))).alias("updated_at"))
+    return P.settle(jobs, wanted, wanted.filter("box_id % 3 = 0"), "box_id", ["zoom", "x", "y"], now).select("box_id", "n_wanted", "n_stored", "status")
 
 
-def missing_tiles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``missing_tiles`` at all of the windows' own zooms."""
-    wanted = T.coverage(I.windows(spark, sf_dir), _zooms()).select("zoom", "x", "y").distinct()
-    stored = wanted.filter((F.col("x") + F.col("y")) % 2 == 0)
-    return wanted.join(stored, ["zoom", "x", "y"], "left_anti")
+def fetch_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The margin that a height map for each window needs, windows being up to five degrees high."""
+    return T.covering_margin(I.windows(spark, sf_dir).withColumn("north", F.col("north") + F.col("box_id") % 7))
 
 
 def _blobs(spark: SparkSession, sf_dir: str, factor: int) -> DataFrame:
@@ -141,7 +143,7 @@ def cube_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     tile_zooms, tile_coverage, tile_estimate, tile_urls, missing_tiles, small_blob_filter, tile_blob_coalesce, tile_bytes_by_layer, job_status_reconcile,
     progress_running_max, progress_5pct, throttle_events, latest_query_per_session, downloads_latest, upsert_jobs, antijoin_delete, usage_counters,
-    json_props_scan, tumbling_counts, cube_counts, tile_urls_all, missing_tiles_all,
+    json_props_scan, tumbling_counts, cube_counts, download_completeness, fetch_margins,
 )
 
 _W = I.WINDOWS
@@ -185,8 +187,8 @@ SQL = {
     "tile_estimate": f"""SELECT *, {_bytes('n_bytes')} AS shown FROM (SELECT box_id, n_tiles, n_tiles * {_SUM} AS n_bytes, {', '.join(f'n_tiles * {b} AS bytes_{n}' for n, _, b in T.LAYERS)}
  FROM (SELECT box_id, cast(sum((x1 - x0 + 1) * (y1 - y0 + 1)) AS bigint) AS n_tiles FROM {_range(_ZOOM)} GROUP BY box_id))""",
     "tile_urls": f"""SELECT layer, '/' || ['a', 'b', 'c'][1 + (x + y) % 3] || '/' || layer || '/' || CASE WHEN layer = 'satellite' THEN zoom || '/' || y || '/' || x ELSE zoom || '/' || x || '/' || y END || '.png' AS url
- FROM (SELECT DISTINCT zoom, x, y FROM {_cover('[8, 10]')}), (SELECT unnest([{_NAMES}]) AS layer)""",
-    "missing_tiles": f"SELECT DISTINCT zoom, cast(x AS int) AS x, cast(y AS int) AS y FROM {_cover('[10]')} WHERE (x + y) % 2 <> 0",
+ FROM (SELECT DISTINCT zoom, x, y FROM {_cover(_ZOOM)}), (SELECT unnest([{_NAMES}]) AS layer)""",
+    "missing_tiles": f"SELECT DISTINCT zoom, cast(x AS int) AS x, cast(y AS int) AS y FROM {_cover(_ZOOM)} WHERE (x + y) % 2 <> 0",
     "small_blob_filter": f"SELECT tile, size FROM {_B7} WHERE size >= 1000",
     "tile_blob_coalesce": f"SELECT a.tile, CASE WHEN a.size >= 1000 THEN a.blob WHEN b.size >= 1000 THEN b.blob END AS blob FROM {_B7} a JOIN {_B11} b USING (tile)",
     "tile_bytes_by_layer": f"SELECT layer, n, bytes, {_bytes('bytes')} AS shown FROM (SELECT [{_NAMES}][1 + tile % 3] AS layer, count(*) AS n, cast(sum(size) AS bigint) AS bytes FROM {_B7} GROUP BY ROLLUP ([{_NAMES}][1 + tile % 3]))",
@@ -205,7 +207,14 @@ SQL = {
     "json_props_scan": "SELECT k % 10 AS digit, count(*) AS n, cast(sum(k) AS bigint) AS sum_k FROM (SELECT cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events) GROUP BY 1",
     "tumbling_counts": "SELECT (epoch_us(ts) // 1000000) // 21600 * 21600 AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "cube_counts": "SELECT l_returnflag, l_linestatus, count(*) AS n, cast(sum(cast(trunc(l_quantity) AS bigint)) AS bigint) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
-    "tile_urls_all": f"""SELECT layer, '/' || ['a', 'b', 'c'][1 + (x + y) % 3] || '/' || layer || '/' || CASE WHEN layer = 'satellite' THEN zoom || '/' || y || '/' || x ELSE zoom || '/' || x || '/' || y END || '.png' AS url
- FROM (SELECT DISTINCT zoom, x, y FROM {_cover(_ZOOM)}), (SELECT unnest([{_NAMES}]) AS layer)""",
-    "missing_tiles_all": f"SELECT DISTINCT zoom, cast(x AS int) AS x, cast(y AS int) AS y FROM {_cover(_ZOOM)} WHERE (x + y) % 2 <> 0",
+    "download_completeness": f"""WITH w AS (SELECT DISTINCT box_id, zoom, x, y FROM {_cover(_ZOOM)}), s AS (SELECT DISTINCT zoom, x, y, 1 AS here FROM w WHERE box_id % 3 = 0),
+ n AS (SELECT box_id, count(*) AS n_wanted, count(here) AS n_stored FROM w LEFT JOIN s USING (zoom, x, y) GROUP BY box_id)
+ SELECT box_id, n_wanted, n_stored, CASE WHEN n_stored >= n_wanted THEN 'complete' WHEN box_id > 10 THEN 'failed' ELSE 'pending' END AS status FROM n""",
+    "fetch_margins": f"""WITH w AS (SELECT box_id, south, west, east, grid, north + box_id % 7 AS north FROM {_W}), c AS (SELECT *, (north + south) / 2 AS lat, (east + west) / 2 AS lon, greatest(cos(radians((north + south) / 2)), 0.05::DOUBLE) AS k FROM w),
+ m1 AS (SELECT *, ceil(greatest((north - south) / 2 * 111320, (east - west) / 2 * 111320 * k)) + greatest(500::DOUBLE, round(grid * 8)) AS a FROM c), m2 AS (SELECT *, round(a * 1.35::DOUBLE + greatest(500::DOUBLE, grid * 6)) AS b FROM m1),
+ m3 AS (SELECT *, round(b * 1.35::DOUBLE + greatest(500::DOUBLE, grid * 6)) AS d FROM m2), m4 AS (SELECT *, round(d * 1.35::DOUBLE + greatest(500::DOUBLE, grid * 6)) AS e FROM m3),
+ t AS (SELECT *, unnest([{{'attempt': 1, 'margin': a}}, {{'attempt': 2, 'margin': b}}, {{'attempt': 3, 'margin': d}}, {{'attempt': 4, 'margin': e}}]) AS x FROM m4),
+ h AS (SELECT *, greatest(1000::DOUBLE, least(300000::DOUBLE, x.margin)) AS held FROM t),
+ ok AS (SELECT box_id, min(x.attempt) AS attempt FROM h WHERE lat - held / 111320.0::DOUBLE <= south AND lat + held / 111320.0::DOUBLE >= north AND lon - held / (111320.0::DOUBLE * k) <= west AND lon + held / (111320.0::DOUBLE * k) >= east GROUP BY box_id)
+ SELECT m4.box_id, attempt, CASE attempt WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN d WHEN 4 THEN e END AS margin FROM m4 LEFT JOIN ok USING (box_id)""",
 }
