@@ -46,20 +46,29 @@ def without_repeats(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """(user_id, done, status): the greatest value so far per download; stalled after eight seconds of silence."""
+def progress(events: DataFrame, total: float | None = None, failure: str | None = None, stall_seconds: float = STALL_SECONDS) -> DataFrame:
+    """(user_id, done, status) per download and batch: the greatest value so far, no more than ``total``.
+
+    A download is complete at its total, failed by an event of the type ``failure``, and stalled after some seconds of
+    silence; each of these ends it, and a later event begins anew.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = state.get[0] if state.exists else 0.0
+        done, status = state.get[0] if state.exists else 0.0, "running"
         if state.hasTimedOut:
+            status = "stalled"
+        else:
+            for b in batches:
+                done = max(done, float(b["value"].max()))
+                status = "failed" if failure is not None and (b["event_type"] == failure).any() else status
+            if total is not None and done >= total:
+                done, status = total, "complete" if status == "running" else status
+        if status == "running":
+            state.update((done,))
+            state.setTimeoutDuration(int(stall_seconds * 1000))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "done": [done], "status": ["stalled"]})
-            return
-        for b in batches:
-            done = max(done, float(b["value"].max()))
-        state.update((done,))
-        state.setTimeoutDuration(STALL_SECONDS * 1000)
-        yield pd.DataFrame({"user_id": [key[0]], "done": [done], "status": ["running"]})
-
-    keyed = events.select("user_id", "value")
+        yield pd.DataFrame({"user_id": [key[0]], "done": [done], "status": [status]})
+
+    keyed = events.select("user_id", "value", "event_type")
     return keyed.groupBy("user_id").applyInPandasWithState(update, "user_id long, done double, status string", "done double", "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -214,6 +214,48 @@ def test_streams(spark, tmp_path):
     assert best == {r[0]: r[1] for r in spark.read.parquet(path).groupBy("user_id").agg(F.max("value")).collect()}
 
 
+def _stream_of(spark, path, rows):
+    """Events (event_id, minutes, user_id, event_type, value) of a file each, read one by one."""
+    for k, row in enumerate(rows):
+        e, minutes, user, kind, value = row
+        df = spark.createDataFrame([(e, user, kind, value, "{}")], "event_id long, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", F.expr(f"timestamp'2024-01-01 00:00:00' + interval {minutes} minutes")).select(*(c.split()[0] for c in streams.EVENTS.split(", "))).coalesce(1).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(streams.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def _run(df, name, mode, path):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(path)).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return q
+
+
+def test_sessions_and_repeats(spark, tmp_path):
+    rows = [(1, 0, 7, "a", 1.0), (2, 10, 7, "a", 1.0), (2, 10, 7, "a", 1.0), (3, 100, 7, "b", 1.0), (4, 105, 8, "b", 1.0), (5, 900, 9, "z", 1.0), (6, 901, 9, "z", 1.0)]
+    events = _stream_of(spark, str(tmp_path / "e"), rows)
+    _run(streams.sessions(events), "sessions", "append", tmp_path / "c1")
+    got = sorted((r["user_id"], r["start"].hour * 60 + r["start"].minute, r["n"]) for r in spark.table("sessions").collect())
+    assert got == [(7, 0, 3), (7, 100, 1), (8, 105, 1)]  # the last ones may go on
+    _run(streams.without_repeats(events), "unique_events", "append", tmp_path / "c2")
+    assert sorted(r["event_id"] for r in spark.table("unique_events").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_progress_ends(spark, tmp_path):
+    import time
+
+    rows = [(1, 0, 1, "tile", 30.0), (2, 1, 1, "tile", 150.0), (3, 2, 2, "tile", 10.0), (4, 3, 2, "error", 20.0), (5, 4, 3, "tile", 5.0)]
+    events = _stream_of(spark, str(tmp_path / "e"), rows)
+    q = streams.progress(events, 100.0, "error", 1.0).writeStream.format("memory").queryName("ends").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            seen = {(r["user_id"], r["done"], r["status"]) for r in spark.table("ends").collect()}
+            if (3, 5.0, "stalled") in seen:
+                break
+    finally:
+        q.stop()
+    assert {(1, 100.0, "complete"), (2, 20.0, "failed"), (3, 5.0, "running"), (3, 5.0, "stalled")} <= seen
+
+
 def test_stream_of_queries(spark, tmp_path):
     spark.createDataFrame([("gold",), ("xy",)], "query string").coalesce(1).write.parquet(str(tmp_path / "q"))
     names = spark.createDataFrame([("goldfish",), ("cold",)], "name string")
