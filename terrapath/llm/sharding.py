@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import id_text, materialize
+from ..operators.ordering import numbered
+from ._common import materialize
 
 SHARDS = 24
 DIMS = ("length", "lang", "source")
@@ -42,22 +43,6 @@ def _spot(name: str) -> Column:
     return (F.xxhash64(name) / F.lit(2.0**64) + F.lit(0.5)).cast("double")
 
 
-def _ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Adds the row's place in the order of the columns ``by``, without a global window.
-
-    Rows are dealt into ranges; each range numbers its own and adds the count of those before it.
-    """
-    parts = materialize(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranked")
-    counts = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    before, offsets = 0, {}
-    for p in sorted(counts):
-        offsets[p] = before
-        before += counts[p]
-    base = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)) if offsets else F.create_map(F.lit(0), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*by)) - 1
-    return parts.withColumn(name, (F.try_element_at(base, F.col("__part")) + place).cast("long")).drop("__part")
-
-
 def units_of(rows: DataFrame, unit_bytes: int) -> DataFrame:
     """Rows with their unit: equal texts together, in pieces of about ``unit_bytes``.
 
@@ -96,7 +81,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "g1", "g2", "piece", "weight", F.log1p(F.col("length").cast("double")).alias("length"), _spot("l").alias("lang"), _spot("s").alias("source")
     )
     for d in DIMS:
-        units = _ranked(units, [d, "g1", "g2", "piece"], f"{d}_rank")
+        units = numbered(units, [d, "g1", "g2", "piece"], f"{d}_rank")
     leaves = _split(materialize(units, "units"), shards)
     placed = rows.join(leaves.select("g1", "g2", "piece", "shard"), ["g1", "g2", "piece"], "left")
     return number(placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")).withColumn("grown_shard", F.lit(None).cast("int"))
