@@ -38,6 +38,8 @@ BATCH_ROWS = 1_000
 REGION_BYTES, TASK_BYTES = 16 << 20, 4 << 20
 #: Sets of a region up to which all its pairs are compared at once.
 FEW = 4
+#: A cut stands if the cells hold no more than so many times the region's bytes, and each no more than such a part.
+REPLICAS, SHRINK = 3, 0.8
 #: Bytes of pivots that a round broadcasts.
 PIVOT_BYTES = 32 << 20
 PIVOTS = 16
@@ -485,7 +487,7 @@ def _pivots(regions: DataFrame, large: list[int]) -> dict[int, list[tuple[bytes,
     return out
 
 
-_CELLS = "region long, node binary, bytes binary, link binary, rest boolean"
+_CELLS = "parent long, region long, node binary, bytes binary, link binary, rest boolean"
 
 
 def _cut(regions: DataFrame, large: list[int]) -> DataFrame:
@@ -496,7 +498,7 @@ def _cut(regions: DataFrame, large: list[int]) -> DataFrame:
     themselves, or in a cell they were replicated to: they go on as the region's remainder.
     """
     sent = regions.sparkSession.sparkContext.broadcast(_pivots(regions, large))
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -509,75 +511,91 @@ def _cut(regions: DataFrame, large: list[int]) -> DataFrame:
                     if _near(inter, len(s), len(p), 3 * PERCENT - 200):
                         covered |= bool(_near(inter, len(s), len(p), 2 * PERCENT - 100))
                         cell = _short(xxhash.xxh3_128_digest(region.to_bytes(8, "big", signed=True) + node))
-                        out.append((cell, name, raw, node if _near(inter, len(s), len(p), PERCENT) else None, False))
+                        out.append((region, cell, name, raw, node if _near(inter, len(s), len(p), PERCENT) else None, False))
                 if not covered:
-                    out.append((region, name, raw, None, True))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
+                    out.append((region, region, name, raw, None, True))
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _CELLS.split(", ")])
 
     return materialize(regions.filter(F.col("region").isin(large)).mapInArrow(run, _CELLS), "cells")
 
 
-def _blocks(cells: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
-    """Cells that further pivots don't cut, as pairs of blocks of which one holds no set that links to the pivot.
+def _blocks(rows: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """Regions that pivots don't cut, as pairs of blocks of which one holds a set that isn't ``near``.
 
-    Sets that link to the pivot are connected already and need no comparison with each other: they are
-    replicated once per block of the others.
+    ``near`` sets link to one pivot: they are connected already and need no comparison with each other, so they
+    are replicated once per block of the others. ``sizes``: bytes of both kinds.
     """
-    half = REGION_BYTES // 2
+    part = REGION_BYTES // 3
     linked, others = F.lit(None).cast("int"), F.lit(None).cast("int")
     for k, (near, far) in sizes.items():
-        linked = F.when(F.col("region") == k, F.lit(-(-near // half))).otherwise(linked)
-        others = F.when(F.col("region") == k, F.lit(-(-far // half))).otherwise(others)
-    dealt = cells.withColumn("n_near", linked).withColumn("n_far", others).withColumn("near", F.col("link").isNotNull())
+        linked = F.when(F.col("region") == k, F.lit(-(-near // part))).otherwise(linked)
+        others = F.when(F.col("region") == k, F.lit(-(-far // part))).otherwise(others)
+    dealt = rows.withColumn("n_near", linked).withColumn("n_far", others)
     mine = F.pmod(F.xxhash64("node", "region"), F.greatest(F.lit(1), F.when(F.col("near"), F.col("n_near")).otherwise(F.col("n_far")))).cast("int")
-    far = F.transform(F.sequence(F.lit(1), F.col("n_far")), lambda x: F.struct((x - 1).alias("far"), F.lit(False).alias("near")))
-    near = F.transform(F.sequence(F.lit(1), F.col("n_near")), lambda x: F.struct((x - 1).alias("far"), F.lit(True).alias("near")))
-    none = F.slice(far, 1, 0)
-    with_far, with_near = (F.when(F.col(c) > 0, x).otherwise(none) for c, x in (("n_far", far), ("n_near", near)))
-    other = F.explode(F.when(F.col("near"), with_far).otherwise(F.concat(with_far, with_near)))
-    pair = dealt.withColumn("mine", mine).withColumn("other", other)
-    # A block of others and one of linked sets are named by their numbers; two of the others in ascending order.
-    one = F.when(F.col("near"), F.col("other.far")).when(F.col("other.near"), F.col("mine")).otherwise(F.least("mine", "other.far"))
-    two = F.when(F.col("near"), F.col("mine")).when(F.col("other.near"), F.col("other.far")).otherwise(F.greatest("mine", "other.far"))
+
+    def numbers(count: str, near: bool) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.col(count) - 1, F.lit(0))), lambda x: F.struct(x.alias("block"), F.lit(near).alias("near")))
+        return F.slice(every, F.lit(1), F.col(count))
+
+    far = numbers("n_far", False)
+    pair = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("near"), far).otherwise(F.concat(far, numbers("n_near", True)))))
+    # A block of others and one of linked sets are named by their numbers, two of the others in ascending order.
+    block = F.col("other.block")
+    one = F.when(F.col("near"), block).when(F.col("other.near"), F.col("mine")).otherwise(F.least("mine", block))
+    two = F.when(F.col("near"), F.col("mine")).when(F.col("other.near"), block).otherwise(F.greatest("mine", block))
     name = F.xxhash64("region", F.col("near") | F.col("other.near"), one, two)
     return pair.select(name.alias("region"), "node", "bytes")
 
 
+def _sizes(regions: DataFrame) -> DataFrame:
+    return regions.groupBy("region").agg(F.sum(F.length("bytes")).alias("b"), F.count("*").alias("k"))
+
+
 def _links(regions: DataFrame, sizes: DataFrame) -> DataFrame:
     """(node, root): links that connect exactly the components of the sets of each region.
 
-    ``sizes`` has (region, b, k), bytes and sets. Only regions that must be cut are written out for it.
+    ``sizes`` has (region, b, k), bytes and sets. Only regions that must be cut are written out for it. A cut stands if
+    its cells are smaller than the region and together hold few replicas; else the region is dealt into blocks, once.
     """
     spark = regions.sparkSession
     found_at = None
-    pending = regions
-    first = True
+    pending, final = regions, None
     while True:
         # A pair is never cut: it is joined whatever its size.
         many = sizes.filter((F.col("b") > REGION_BYTES) & (F.col("k") > 2)).orderBy(F.desc("b")).limit(REGIONS_A_ROUND).collect()
         large = {r["region"]: r["b"] for r in many}
         if not large:
             break
-        if first:
-            pending, first = materialize(pending, "regions"), False
+        if found_at is None:
+            pending, found_at = materialize(pending, "regions"), new_path(spark, "links")
         cells = _cut(pending, list(large))
-        found_at = found_at or new_path(spark, "links")
         cells.filter("link is not null").select("node", F.col("link").alias("root")).filter("node <> root").write.mode("append").parquet(found_at)
-        by_cell = cells.groupBy("region", "rest").agg(F.sum(F.length("bytes")).alias("b"), F.sum(F.when(F.col("link").isNotNull(), F.length("bytes")).otherwise(0)).alias("near"))
-        # A cell in which all sets link to the pivot is done; blocks end what pivots make hardly smaller.
-        done = by_cell.filter("not rest and near = b").select("region")
-        least = 0.8 * min(large.values())
-        stuck = {r["region"]: (r["near"], r["b"] - r["near"]) for r in by_cell.filter((F.col("b") > REGION_BYTES) & (F.col("b") > least) & (F.col("near") < F.col("b"))).collect() if not r["rest"] or r["b"] > 0.8 * large[r["region"]]}
-        kept = pending.filter(~F.col("region").isin(list(large)))
-        open_cells = cells.join(done, "region", "left_anti")
-        whole = open_cells.filter(~F.col("region").isin(list(stuck))) if stuck else open_cells
-        pending = kept.unionByName(whole.select("region", "node", "bytes"))
+        linked = F.when(F.col("link").isNotNull(), F.length("bytes")).otherwise(0)
+        by_parent: dict[int, list] = {k: [] for k in large}
+        for r in cells.groupBy("parent", "region", "rest").agg(F.sum(F.length("bytes")).alias("b"), F.sum(linked).alias("near")).collect():  # at most pivots + 1 a region
+            by_parent[r["parent"]].append(r)
+        good, stuck, best = [], {}, {}
+        for parent, found in by_parent.items():
+            if any(r["near"] == large[parent] for r in found):
+                continue  # all of its sets link to one pivot
+            todo = [r for r in found if r["near"] < r["b"]]  # a cell whose sets all link to the pivot is done
+            if sum(r["b"] for r in todo) <= REPLICAS * large[parent] and all(r["b"] <= SHRINK * large[parent] for r in todo):
+                good += [r["region"] for r in todo]
+            else:
+                most = max(found, key=lambda r: r["near"])
+                stuck[parent], best[parent] = (most["near"], large[parent] - most["near"]), most["region"]
         if stuck:
-            pending = pending.unionByName(_blocks(open_cells.filter(F.col("region").isin(list(stuck))), stuck))
+            core = cells.filter(F.col("region").isin(list(best.values())) & F.col("link").isNotNull()).select(F.col("parent").alias("region"), "node", F.lit(True).alias("near")).distinct()
+            rows = pending.filter(F.col("region").isin(list(stuck))).dropDuplicates(["region", "node"]).join(core, ["region", "node"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+            blocks = _blocks(rows, stuck)
+            final = blocks if final is None else final.unionByName(blocks)
         # From tables that are written already: the replicated rows are only shuffled.
-        sizes = pending.groupBy("region").agg(F.sum(F.length("bytes")).alias("b"), F.count("*").alias("k"))
+        pending = pending.filter(~F.col("region").isin(list(large))).unionByName(cells.filter(F.col("region").isin(good)).select("region", "node", "bytes"))
+        sizes = _sizes(pending)
     total = sizes.agg(F.sum("b")).first()[0] or 0
+    if final is not None:
+        pending, total = pending.unionByName(final), total + (_sizes(final).agg(F.sum("b")).first()[0] or 0)
     tasks = max(1, total // TASK_BYTES)
     dealt = pending.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks)))
     joined = dealt.groupBy("task").applyInArrow(lambda t: _joined(t.select(["region", "node", "bytes"])), "node binary, root binary")

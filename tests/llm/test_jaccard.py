@@ -66,9 +66,15 @@ def test_matches_brute_force(spark, seed, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
-def test_regions_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "REGION_BYTES", 24_000)
-    rows = corpus(3, 80)
+@pytest.mark.parametrize(("size", "pivots", "pivot_bytes"), [(24_000, 16, jaccard.PIVOT_BYTES), (3_000, 2, 16)])
+def test_regions_are_cut(spark, monkeypatch, size, pivots, pivot_bytes):
+    monkeypatch.setattr(jaccard, "REGION_BYTES", size)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "PIVOT_BYTES", pivot_bytes)
+    rows = corpus(3, 40)
+    # A chain of neighbours that pivots hardly cut: blocks end it. Its ends don't link.
+    words = [f"c{k}" for k in range(140)]
+    rows += [(1000 + k, " ".join(words[2 * k : 2 * k + 60])) for k in range(30)]
     assert run(spark, rows) == brute(rows)
 
 
