@@ -3,7 +3,7 @@
 Spark splits every text into pieces; a task keeps each distinct piece of a block of documents once, as
 a byte array, and the documents as lists of piece numbers. This step is narrow: nothing is shuffled,
 and a very frequent word costs one entry. Spark then folds the ranked merges over the byte arrays
-against a literal rank map and concatenates the binary pieces of the ids again; the ids and bytes of
+against a constant rank map and concatenates the binary pieces of the ids again; the ids and bytes of
 a document are gathered by its piece numbers. Rows of a partition keep their order throughout, so
 the pieces of a block precede its documents.
 
@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import id_text, materialize, small_batches
@@ -114,9 +113,9 @@ def _places(keys: dict[int, int], bits: int) -> tuple[list[int], list[int], list
         size = size * 5 // 4
 
 
-def _literal(spec: object, ddl: str) -> Column:
-    """A constant of a complex type: the optimizer turns it into one literal."""
-    return F.from_json(F.lit(json.dumps(spec)), ddl)
+def _constant(spark: SparkSession, values: list, kind: pa.DataType) -> Column:
+    """An array as a constant of every plan that uses it: the one value of a one-row table, so that plans don't spell it out."""
+    return spark.createDataFrame(pa.table({"value": pa.array([values], pa.list_(kind))})).scalar()
 
 
 def _if(condition: Column, yes: Column, no: Column) -> Column:
@@ -137,11 +136,11 @@ class Folder:
 
     While it is folded, a piece is an array of packed numbers, one per id: the rank of its merge with the
     next id (all ones: none), the byte where it begins, the id. So the least number of the array
-    is the next merge, the leftmost of the lowest rank. Each table stands in a plan once, as a literal
+    is the next merge, the leftmost of the lowest rank. Each table stands in a plan once, as a constant
     that a lambda binds for all pieces of a row.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         size = max(ranks.values()) + 1
         self.bits = size.bit_length()
@@ -152,12 +151,15 @@ class Folder:
             raise ValueError("every byte needs an id, and ids must be below a million")
         merges = {left << self.bits | right: rank for (left, right), rank in merge_table(ranks).items()}
         self.primes, *tables = _places(merges, self.bits)
-        self.tables = [_literal(t, "array<bigint>") for t in tables]
-        self.single = _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
-        by_id: list[str | None] = [None] * size
+        self.constants = [_constant(spark, t, pa.int64()).alias(f"__table{i}") for i, t in enumerate(tables)]
+        self.tables = [F.col(f"__table{i}") for i in range(len(tables))]
+        self.constants.append(_constant(spark, [ranks[bytes([b])] for b in range(256)], pa.int64()).alias("__single"))
+        self.single = F.col("__single")
+        by_id: list[bytes | None] = [None] * size
         for piece, rank in ranks.items():
-            by_id[rank] = base64.b64encode(piece).decode()
-        self.pieces = _literal(by_id, "array<binary>")
+            by_id[rank] = piece
+        self.constants.append(_constant(spark, by_id, pa.binary()).alias("__pieces"))
+        self.pieces = F.col("__pieces")
 
     def _rank(self, key: Column, tables: list[Column]) -> Column:
         """The rank of the merge of two ids (left, then right in the lower bits), in its place; all ones without one."""
@@ -483,7 +485,7 @@ def _frequent(texts: DataFrame, pieces: Column, folder: Folder, ranks) -> bytes:
     dealt = counted.filter(F.col("n") >= least).select("piece").repartition(2 * sc.defaultParallelism + total // 20_000)
     # Written first, as a plan with an exchange is described anew, tables included, with every stage that ends.
     chunks = materialize(dealt.mapInArrow(_chunks(ranks), "words array<array<int>>"), "chunks")
-    words = chunks.select(folder.ids(F.col("words")).alias("ids"))
+    words = chunks.select("words", *folder.constants).select(folder.ids(F.col("words")).alias("ids"), "__pieces")
     folded = words.select("ids", folder.decoded(F.col("ids")).alias("decoded")).toArrow()
     ids, decoded = (pa.concat_arrays([x.flatten() for x in folded.column(c).chunks]) for c in ("ids", "decoded"))
     return _Known.pack(ids, decoded)
@@ -499,12 +501,12 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession, BATCH_ROWS)
     ranks = load_ranks(ranks_path or default_ranks())
-    folder, sent_ranks = Folder(ranks), sc.broadcast(ranks)
+    folder, sent_ranks = Folder(docs.sparkSession, ranks), sc.broadcast(ranks)
     texts = id_text(docs)
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(split_pattern(pattern or default_pattern())), F.lit(0))
     sent = sc.broadcast(_frequent(texts, found, folder, sent_ranks))
     blocks = texts.select("doc_id", found.alias("pieces")).mapInArrow(_blocks(sent, sent_ranks), _BLOCK)
-    words = blocks.select("doc_id", "numbers", folder.ids(F.col("words")).alias("ids"))
+    words = blocks.select("doc_id", "numbers", "words", *folder.constants).select("doc_id", "numbers", folder.ids(F.col("words")).alias("ids"), "__pieces")
     both = words.select("doc_id", "numbers", "ids", folder.decoded(F.col("ids")).alias("decoded"))
     return both.mapInArrow(_documents(sent), "doc_id long, ids binary, decoded binary")
 
