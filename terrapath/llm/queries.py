@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, jaccard, quality, secret_scan, sharding, suffixes, token_store, unigram, url_rules
+from . import byte_bpe, decontam, jaccard, quality, secret_scan, sharding, suffixes, token_store, turns, unigram, url_rules, whitening
 from ._common import table
 
 
@@ -60,6 +60,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _quality_sql() -> str:
     def level(tag: str, keys: tuple[str, ...]) -> str:
         by = "".join(f"{k}, " for k in keys)
@@ -140,6 +148,48 @@ m AS (SELECT k, arg_max(key, length(key)) AS rule, arg_max(kind, length(key)) AS
 SELECT page_id, host, path, rule, coalesce(kind, 'allow') AS verdict FROM p LEFT JOIN m USING (k)"""
 
 
+def _turns_sql() -> str:
+    """The least (cost, audit, repaired text) of each grammar state (0, s, u, a), turn by turn."""
+
+    def step(state: str, letter: str, cost: str, added: str = "''") -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {added}}}"
+
+    def first(*found: str) -> str:
+        return f"list_sort([{', '.join(found)}])[1]"
+
+    def into(role: str, initial: str, befores: tuple[str, ...]) -> str:
+        keeps = [f"CASE WHEN NOT go AND initial = '{initial}' THEN {step(s, 'K', 'more', 'line')} ELSE none END" for s in befores]
+        roles = [f"CASE WHEN NOT go THEN {step(s, 'R', f'{turns.REROLE} + more', f"chr(10) || '{role}:' || text")} ELSE none END" for s in befores]
+        return first(step(f"e{initial}", "D", str(turns.DELETE)), *keeps, *roles)
+
+    def inserted(state: str, role: str) -> str:
+        return step(state, "I", str(turns.INSERT), f"chr(10) || '{role}:'")
+
+    none = "{'c': 1000000, 'a': '', 't': ''}"
+    space = r"\x20\x09-\x0D"
+    keep_s = f"CASE WHEN NOT go AND initial = 's' THEN {step('e0', 'K', 'more', 'line')} ELSE none END"
+    closed_u = first("bu", *(inserted(s, "user") for s in ("b0", "bs", "ba")))
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+p AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT p.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS act FROM p, crc),
+d AS (SELECT key, turn, CASE WHEN act = 4 THEN 'user' ELSE role END AS role, CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN act = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE act <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text), copy) AS i FROM d),
+f AS (SELECT *, role[1] AS initial, NOT regexp_matches(text, '[^{space}]') AS blank, row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][{space}]*$') AS cut,
+  lag(role[1]) OVER (PARTITION BY key ORDER BY i) || role[1] AS pair FROM o),
+x AS (SELECT key, i, initial, text, chr(10) || role || ':' || text AS line, blank OR again AS go, CASE WHEN cut THEN {turns.TRUNCATED} ELSE 0 END AS more, {none} AS none FROM f),
+r AS (SELECT DISTINCT key, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS b0, {none} AS bs, {none} AS bu, {none} AS ba FROM f
+  UNION ALL SELECT key, i, {step('e0', 'D', str(turns.DELETE))}, {first(step('es', 'D', str(turns.DELETE)), keep_s)}, {into('user', 'u', ('e0', 'es', 'ea'))}, {into('assistant', 'a', ('eu',))}
+  FROM (SELECT x.*, e0, es, eu, {first('ba', inserted('eu', 'assistant'))} AS ea FROM (SELECT key, i, b0 AS e0, bs AS es, ba, {closed_u} AS eu FROM r) r JOIN x ON x.key = r.key AND x.i = r.i + 1)),
+z AS (SELECT key, {first('b0', 'ba', inserted('eu', 'assistant'))} AS best FROM (SELECT DISTINCT ON (key) key, b0, ba, {closed_u} AS eu FROM r ORDER BY key, i DESC)),
+n AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY key)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.key = coalesce(conv_id::VARCHAR, ' ') LEFT JOIN z ON z.key = coalesce(conv_id::VARCHAR, ' ')"""
+
+
 _QUERIES = (
     op1_quality_rules,
     op2_decontamination,
@@ -151,6 +201,8 @@ _QUERIES = (
     op8_secret_scans,
     op9_url_filters,
     op10_byte_bpe,
+    op11_conversation_repair,
+    op13_embedding_whitening,
 )
 
 
@@ -164,4 +216,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": _DECONTAM_SQL,
         "op8_secret_scans": _secret_sql(),
         "op9_url_filters": _url_sql(),
+        "op11_conversation_repair": _turns_sql(),
     }
