@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, jaccard, quality, secret_scan, sharding, suffixes, token_store, turns, unigram, url_rules, whitening
+from . import byte_bpe, decontam, jaccard, main_text, quality, secret_scan, sharding, suffixes, token_store, turns, unigram, url_rules, whitening
 from ._common import table
 
 
@@ -64,6 +64,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -202,6 +206,7 @@ _QUERIES = (
     op9_url_filters,
     op10_byte_bpe,
     op11_conversation_repair,
+    op12_html_extraction,
     op13_embedding_whitening,
 )
 
