@@ -1,148 +1,233 @@
-"""Reach of glides over terrain, as relaxation on tiles that exchange their borders.
+"""Reach of glides over terrain by straight legs, as relaxation on blocks that exchange their borders.
 
-A glide goes from cell to cell, to any of eight neighbours, and loses height with distance. A cell is
-reached at the greatest height of all ways to it, if that is not below its ground. Spark deals the
-searches' tiles: a task relaxes one tile of one search with array operations until nothing rises any more, and
-what crosses a border is the input of the neighbouring tile's next round. So a search goes as far as its
-height lasts, over as many tiles as there are, and the rounds grow with the tiles that a way crosses.
+Each reached cell has a reference: the cell where its last leg began. A cell takes over its neighbour's reference when the neighbour is
+the next cell on the straight line to that reference and the glide from there is not below ground; else its leg begins at the neighbour.
+Of what its eight neighbours offer a cell takes the greatest height (of equal ones the first reference), and nothing is offered that isn't lower than
+the neighbour itself. As every height rests on greater ones only, these rules have one solution, whatever the order in which
+they are applied: a block of cells is solved by itself for what its neighbours' borders hold, and blocks whose neighbours' borders changed are solved
+again, until none do. References travel with the borders, so a leg may cross any number of blocks.
+
+Ground is kept in blocks of ``BLOCK`` cells a side, read where a search could come; each search has its own glide, wind and margin.
 """
 
 from __future__ import annotations
 
-import math
+import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import arrow_batches, written
 
+#: Cells along one side of a block.
+BLOCK = 128
 STEPS = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)
-#: Metres by which a height must rise to count as better.
-LEAST = 1e-6
-#: The height of a cell that is not reached.
-NONE = -1e30
-_STATE = "search_id long, tile long, r int, c int, height double, ref_r int, ref_c int, inside boolean"
-
-
-def loss(dr: int, dc: int, cell_m: float, glide: float, trim: float, wind: float, wind_dir: float) -> float:
-    """Height lost on one step, under wind that blows toward ``wind_dir`` (radians, rows grow to the north); infinite against too much of it."""
-    angle = math.atan2(dr, dc) - wind_dir
-    left = trim * trim - (math.sin(angle) * wind) ** 2
-    speed = math.sqrt(left) + math.cos(angle) * wind if left > 0 else 0.0
-    return cell_m * math.hypot(dr, dc) * glide * trim / speed if speed > 0 else math.inf
-
-
-def _relaxer(side: int, cell_m: float, glide: float, trim: float, wind: float, wind_dir: float):
-    costs = {s: loss(*s, cell_m, glide, trim, wind, wind_dir) for s in STEPS}
-
-    def run(key: tuple, state: pa.Table, cells: pa.Table) -> pa.Table:
-        """The tile's improved cells, and what it offers to cells beyond its border (not inside)."""
-        search, tile = (x.as_py() for x in key)
-        ground = np.full((side + 2, side + 2), np.inf)
-        r, c = (cells.column(x).to_numpy() + 1 for x in ("r", "c"))
-        ground[r, c] = cells.column("h").to_pandas().fillna(np.inf)
-        height = np.full_like(ground, NONE)
-        ref = np.zeros((2, side + 2, side + 2), np.int64)
-        order = np.argsort(state.column("height").to_numpy(), kind="stable")  # the best last
-        at = tuple(state.column(x).to_numpy()[order] + 1 for x in ("r", "c"))
-        height[at] = state.column("height").to_numpy()[order]
-        for k, x in enumerate(("ref_r", "ref_c")):
-            ref[k][at] = state.column(x).to_pandas().fillna(-(1 << 30)).to_numpy().astype(np.int64)[order]
-        # What came from other tiles may lie below ground here.
-        height[height < ground] = NONE
-        ground[[0, -1]] = ground[:, [0, -1]] = -np.inf  # beyond the border the other tile decides
-        before = height.copy()
-        rows, cols = np.indices(ground.shape)
-        while True:
-            old = height.copy()
-            inner = np.full_like(height, NONE)
-            inner[1:-1, 1:-1] = height[1:-1, 1:-1]
-            for (dr, dc), cost in costs.items():
-                if math.isinf(cost):
-                    continue
-                offered = np.full_like(height, NONE)
-                to = tuple(slice(max(d, 0), side + 2 + min(d, 0)) for d in (dr, dc))
-                come = tuple(slice(max(-d, 0), side + 2 + min(-d, 0)) for d in (dr, dc))
-                offered[to] = inner[come] - cost
-                better = (offered > height + LEAST) & (offered >= ground) & (offered > NONE / 2)
-                height[better] = offered[better]
-                ref[0][better], ref[1][better] = (rows - dr - 1)[better], (cols - dc - 1)[better]
-            if (height <= old + LEAST).all():
-                break
-        found = np.argwhere(height > before + LEAST)
-        kept = np.argwhere((before > NONE / 2) & (height <= before + LEAST))
-        every = np.concatenate([found, kept])
-        inside = ((every >= 1) & (every <= side)).all(1)
-        values = height[tuple(every.T)]
-        refs = [ref[k][tuple(every.T)] for k in (0, 1)]
-        start = refs[0] == -(1 << 30)
-        n = len(every)
-        columns = [pa.array([search] * n, pa.int64()), pa.array([tile] * n, pa.int64()), *(pa.array((every[:, k] - 1).astype(np.int32)) for k in (0, 1)), pa.array(values)]
-        return pa.table([*columns, *(pa.array(np.where(start, 0, x).astype(np.int32), mask=start) for x in refs), pa.array(inside)], names=[x.split()[0] for x in _STATE.split(", ")])
+#: What a search may bring along, and what holds where it doesn't.
+DEFAULTS = {"glide": 1 / 8, "trim": 38.0, "wind": 0.0, "wind_dir": 0.0, "margin": 0.0, "start_distance": 0.0}
+#: The reference row of a start.
+ROOT = -(1 << 30)
+_CELL = "r int, c int, h double, d double, pr int, pc int, hp double, dp double, near boolean"
+_CELLS = f"array<struct<{_CELL.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def ratio(dr, dc, glide: float, trim: float, wind: float, wind_dir: float):
+    """Height lost per distance on a leg of (dr, dc) cells, under wind that blows toward ``wind_dir`` (radians from the columns' axis, rows grow to the north); infinite against too much of it."""
+    if wind == 0:
+        return np.full(np.shape(dr), glide)
+    angle = np.arctan2(dr, dc) - wind_dir
+    left = trim * trim - (np.sin(angle) * wind) ** 2
+    speed = np.sqrt(np.maximum(left, 0)) + np.cos(angle) * wind
+    with np.errstate(divide="ignore"):
+        return np.where((left > 0) & (speed > 0), glide / (np.maximum(speed, 0) / trim), np.inf)
+
+
+class _Block:
+    """The cells of one search in one block, with a rim of the neighbours' borders around it."""
+
+    def __init__(self, br: int, bc: int, size: int, ground: np.ndarray, cell_m: float, p: dict[str, float]) -> None:
+        self.top, self.left, self.size, self.cell_m, self.p = br * size - 1, bc * size - 1, size, cell_m, p
+        self.wide = size + 2
+        n = self.wide * self.wide
+        self.ground = np.full((self.wide, self.wide), np.inf)
+        self.ground[1:-1, 1:-1] = ground.reshape(size, size)
+        self.ground = self.ground.ravel()
+        self.h, self.d, self.hp, self.dp = np.full(n, -np.inf), np.zeros(n), np.zeros(n), np.zeros(n)
+        self.pr, self.pc, self.near = np.full(n, ROOT), np.full(n, ROOT), np.zeros(n, bool)
+        self.fixed = np.ones((self.wide, self.wide), bool)
+        self.fixed[1:-1, 1:-1] = False
+        self.fixed = self.fixed.ravel()
+        self.off = np.array([dr * self.wide + dc for dr, dc in STEPS])
+        self.dr, self.dc = np.array(STEPS).T
+        self.step_m = np.sqrt((self.dr * self.dr + self.dc * self.dc).astype(float)) * cell_m
+        self.step_loss = self.step_m * ratio(-self.dr, -self.dc, p["glide"], p["trim"], p["wind"], p["wind_dir"])  # flown from the neighbour to the cell
+
+    def put(self, cells: list[dict]) -> np.ndarray:
+        """Cells that are known from elsewhere; they stay as they are. Returns their places."""
+        at = np.array([(x["r"] - self.top) * self.wide + x["c"] - self.left for x in cells], dtype=np.int64)
+        for name in ("h", "d", "hp", "dp", "near"):
+            getattr(self, name)[at] = [x[name] for x in cells]
+        for name in ("pr", "pc"):
+            getattr(self, name)[at] = [ROOT if x[name] is None else x[name] for x in cells]
+        self.fixed[at] = True
+        return at
+
+    def offers(self, cells: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The best offer of its neighbours to each cell: height, distance, reference, the reference's height and distance, margin."""
+        p, near = self.p, cells[:, None] + self.off
+        r, c = cells // self.wide + self.top, cells % self.wide + self.left
+        hy, pr, pc = self.h[near], self.pr[near], self.pc[near]
+        vr, vc = pr - r[:, None], pc - c[:, None]
+        most = np.maximum(np.maximum(np.abs(vr), np.abs(vc)), 1)
+        leg = np.sqrt((vr * vr + vc * vc).astype(float)) * self.cell_m
+        along = (pr != ROOT) & ((2 * vr + most) // (2 * most) == self.dr) & ((2 * vc + most) // (2 * most) == self.dc)
+        ground = self.ground[cells][:, None]
+        straight = self.hp[near] - leg * ratio(-vr, -vc, p["glide"], p["trim"], p["wind"], p["wind_dir"])
+        take = along & (straight >= ground) & (straight < hy)
+        bend = hy - self.step_loss
+        h = np.where(take, straight, np.where((bend >= ground) & (bend < hy), bend, -np.inf))
+        ref_r, ref_c = np.where(take, pr, r[:, None] + self.dr), np.where(take, pc, c[:, None] + self.dc)
+        best = np.lexsort((ref_c, ref_r, -h), axis=1)[:, :1]
+
+        def of(x: np.ndarray) -> np.ndarray:
+            return np.take_along_axis(x, best, 1)[:, 0]
+
+        h, take = of(h), of(take)
+        hp, dp = np.where(take, of(self.hp[near]), of(hy)), np.where(take, of(self.dp[near]), of(self.d[near]))
+        d = dp + np.where(take, of(leg), self.step_m[best[:, 0]])
+        margin = np.where(d >= p["start_distance"], p["margin"], 0.0)
+        inside = of(self.near[near]) | (h - margin < self.ground[cells])
+        none = np.isneginf(h)
+        return h, np.where(none, 0, d), np.where(none, ROOT, of(ref_r)), np.where(none, ROOT, of(ref_c)), np.where(none, 0, hp), np.where(none, 0, dp), inside & ~none
+
+    def solve(self, known: np.ndarray) -> None:
+        def around(cells: np.ndarray) -> np.ndarray:
+            found = (cells[:, None] + self.off).ravel()
+            found = np.unique(found[(found >= 0) & (found < len(self.h))])
+            return found[~self.fixed[found] & np.isfinite(self.ground[found])]
+
+        active = around(known)
+        while len(active):
+            new = self.offers(active)
+            old = tuple(x[active] for x in (self.h, self.d, self.pr, self.pc, self.hp, self.dp, self.near))
+            changed = np.any([a != b for a, b in zip(new, old, strict=True)], axis=0)
+            at = active[changed]
+            for x, v in zip((self.h, self.d, self.pr, self.pc, self.hp, self.dp, self.near), new, strict=True):
+                x[at] = v[changed]
+            active = around(at)
+
+    def found(self) -> list[dict]:
+        """The block's own reached cells, row by row."""
+        inner = np.zeros((self.wide, self.wide), bool)
+        inner[1:-1, 1:-1] = True
+        at = np.flatnonzero(inner.ravel() & (self.h > -np.inf))
+        cols = (at // self.wide + self.top, at % self.wide + self.left, *(x[at] for x in (self.h, self.d, self.pr, self.pc, self.hp, self.dp, self.near)))
+        names = ("r", "c", "h", "d", "pr", "pc", "hp", "dp", "near")
+        rows = zip(*(x.tolist() for x in cols), strict=True)
+        return [dict(zip(names, row, strict=True)) | ({"pr": None, "pc": None} if row[4] == ROOT else {}) for row in rows]
+
+
+def _solver(size: int, cell_m: float):
+    kinds = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    cells_type = pa.list_(pa.struct([(n, kinds[k]) for n, k in (x.split() for x in _CELL.split(", "))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for x in b.to_pylist():
+                block = _Block(x["br"], x["bc"], size, np.frombuffer(x["ground"]), cell_m, x)
+                known = [np.zeros(0, np.int64)]
+                r, c = x["gr"] - block.top, x["gc"] - block.left
+                if 1 <= r <= size and 1 <= c <= size and x["height"] >= block.ground[r * block.wide + c]:
+                    start = {"r": x["gr"], "c": x["gc"], "h": x["height"], "d": 0.0, "pr": None, "pc": None, "hp": 0.0, "dp": 0.0, "near": False}
+                    known.append(block.put([start]))
+                for cells in x["rims"] or ():
+                    known.append(block.put(cells))
+                block.solve(np.concatenate(known))
+                found.append(block.found())
+            names = ["search_id", "br", "bc"]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(found, cells_type)], names=[*names, "cells"])
 
     return run
 
 
-def _best(rows: DataFrame) -> DataFrame:
-    """The highest row of each cell; of equal ones the one whose reference comes first."""
-    best = F.max_by(F.struct("ref_r", "ref_c"), F.struct("height", -F.coalesce("ref_r", F.lit(-1)), -F.coalesce("ref_c", F.lit(-1))))
-    found = rows.groupBy("search_id", "tile", "r", "c").agg(F.max("height").alias("height"), best.alias("ref"))
-    return found.select("search_id", "tile", "r", "c", "height", F.col("ref.ref_r").alias("ref_r"), F.col("ref.ref_c").alias("ref_c"))
+def _blocks(cells: DataFrame, starts: DataFrame, side: int, across: int, cell_m: float, size: int) -> DataFrame:
+    """(br, bc, ground): the ground of each block that a search could come to, row by row as 64-bit floats; infinite where there is none."""
+    best = F.col("glide") / ((F.col("wind") + F.col("trim")) / F.col("trim"))
+    lowest = cells.agg(F.min("h")).first()[0] or 0  # no glide goes below the lowest ground
+    far = F.least(F.ceil(F.greatest(F.lit(0.0), F.col("height") - float(lowest)) / best / cell_m), F.lit(across * side * 64)).cast("int")
+    ranges = [F.explode(F.sequence(F.floor((F.col(x) - F.col("far")) / size).cast("int"), F.floor((F.col(x) + F.col("far")) / size).cast("int"))).alias(n) for x, n in (("gr", "br"), ("gc", "bc"))]
+    near = starts.withColumn("far", far).select("gc", "far", ranges[0]).distinct().select("br", ranges[1]).distinct()
+    gr, gc = (F.floor(F.col("tile") / across) * side + F.col("r")).cast("int"), (F.col("tile") % across * side + F.col("c")).cast("int")
+    plain = cells.filter("h is not null").select(gr.alias("gr"), gc.alias("gc"), F.col("h").cast("double").alias("h"))
+    keyed = plain.withColumns({"br": F.floor(F.col("gr") / size).cast("int"), "bc": F.floor(F.col("gc") / size).cast("int")}).join(near, ["br", "bc"], "left_semi")
+    place = (F.pmod("gr", F.lit(size)) * size + F.pmod("gc", F.lit(size))).cast("int")
+    listed = keyed.groupBy("br", "bc").agg(F.collect_list(place).alias("places"), F.collect_list("h").alias("heights"))  # a block is bounded
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for places, heights in zip(b.column(2), b.column(3), strict=True):
+                ground = np.full(size * size, np.inf)
+                ground[places.values.to_numpy()] = heights.values.to_numpy()
+                out.append(ground.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["br", "bc", "ground"])
+
+    return listed.mapInArrow(packed, "br int, bc int, ground binary")
+
+
+def _rims(solved: DataFrame, size: int) -> DataFrame:
+    """What each solved block shows to each of its eight neighbours: (search_id, br, bc, from_r, from_c, rim); a rim may be empty."""
+
+    def shown(dr: int, dc: int) -> Column:
+        def at(cell: Column) -> Column:
+            rows = F.lit(True) if not dr else F.pmod(cell["r"], F.lit(size)) == (size - 1 if dr > 0 else 0)
+            cols = F.lit(True) if not dc else F.pmod(cell["c"], F.lit(size)) == (size - 1 if dc > 0 else 0)
+            return rows & cols
+
+        return F.struct((F.col("br") + dr).alias("br"), (F.col("bc") + dc).alias("bc"), F.filter("cells", at).alias("rim"))
+
+    sent = solved.select("search_id", F.col("br").alias("from_r"), F.col("bc").alias("from_c"), F.explode(F.array(*(shown(dr, dc) for dr, dc in STEPS))).alias("to"))
+    return sent.select("search_id", "to.br", "to.bc", "from_r", "from_c", "to.rim")
 
 
-def reach(cells: DataFrame, starts: DataFrame, side: int, across: int, cell_m: float, glide: float, trim: float = 38.0, wind: float = 0.0, wind_dir: float = 0.0) -> DataFrame:
-    """(search_id, gr, gc, height, ref_gr, ref_gc): every cell that each search (search_id, gr, gc, height) reaches, and from which.
+def reach(cells: DataFrame, starts: DataFrame, side: int, across: int, cell_m: float, block: int = BLOCK, **parameters: float) -> DataFrame:
+    """(search_id, gr, gc, height, dist, ref_gr, ref_gc, near): every cell that each search reaches, with the length of the way and where its last leg began.
 
-    ``cells`` has (tile, r, c, h), tiles numbered row by row with ``across`` to a row; gr and gc count over all tiles.
-    A start below ground, on a void or off the tiles reaches nothing; the start has no reference.
+    ``cells`` has (tile, r, c, h), tiles numbered row by row with ``across`` to a row; gr and gc count over all tiles. ``starts`` has (search_id, gr, gc, height) and
+    may have a column for each of ``DEFAULTS``, which else holds as given by ``parameters`` for all searches. ``near`` tells whether the way comes within ``margin`` of the
+    ground anywhere from ``start_distance`` on. A start below ground, on a void or off the tiles reaches nothing; the start has no reference. Searches have different ids.
     """
-    plain = cells.select(F.col("tile").cast("long").alias("tile"), "r", "c", "h")
-
-    def split(rows: DataFrame, gr: Column, gc: Column) -> DataFrame:
-        """Rows with the tile and place of a cell given over all tiles; off the tiles they go."""
-        tile = (F.floor(gr / side) * across + F.floor(gc / side)).cast("long")
-        return rows.filter((gr >= 0) & gc.between(0, across * side - 1)).withColumns({"tile": tile, "r": (gr % side).cast("int"), "c": (gc % side).cast("int")})
-
-    none = F.lit(None).cast("int")
-    fresh = split(starts.select("search_id", F.col("gr"), F.col("gc"), F.col("height").cast("double"), none.alias("ref_r"), none.alias("ref_c")), F.col("gr"), F.col("gc")).drop("gr", "gc")
-    fresh = written(fresh.select("search_id", "tile", "r", "c", "height", "ref_r", "ref_c"), "reach")
-    best, touched = None, fresh.select("search_id", "tile").distinct()
-    while not fresh.isEmpty():
-        known = fresh if best is None else best.join(touched, ["search_id", "tile"], "left_semi").unionByName(fresh)
-        named = touched.select(F.col("search_id").alias("search"), F.col("tile").alias("on"))
-        ground = plain.join(named, plain["tile"] == named["on"]).select("search", "on", "r", "c", "h")
-        relaxed = known.groupBy("search_id", "tile").cogroup(ground.groupBy("search", "on")).applyInArrow(_guarded(_relaxer(side, cell_m, glide, trim, wind, wind_dir)), _STATE)
-        relaxed = written(relaxed, "reach")
-        own = relaxed.filter("inside").drop("inside")
-        best = written(_best(own if best is None else best.join(touched, ["search_id", "tile"], "left_anti").unionByName(own)), "reach")
-        # Beyond the border: to the place there, the reference counted from that tile's corner.
-        gr, gc = (F.floor(F.col("tile") / across) * side + F.col("r")).cast("int"), (F.col("tile") % across * side + F.col("c")).cast("int")
-        out = relaxed.filter("not inside").withColumns({"gr": gr, "gc": gc, "dr": F.col("ref_r") - F.col("r"), "dc": F.col("ref_c") - F.col("c")})
-        out = split(out.drop("tile", "r", "c"), F.col("gr"), F.col("gc")).withColumns({"ref_r": F.col("r") + F.col("dr"), "ref_c": F.col("c") + F.col("dc")})
-        out = _best(out.select("search_id", "tile", "r", "c", "height", "ref_r", "ref_c")).join(plain, ["tile", "r", "c"]).filter("height >= h").drop("h")
-        held = best.select("search_id", "tile", "r", "c", F.col("height").alias("held"))
-        rises = F.col("held").isNull() | (F.col("height") > F.col("held") + LEAST)
-        fresh = written(out.join(held, ["search_id", "tile", "r", "c"], "left").filter(rises).select(*fresh.columns), "reach")
-        touched = fresh.select("search_id", "tile").distinct()
-    if best is None:
-        best = fresh
-    top, left = (F.floor(F.col("tile") / across) * side).cast("int"), (F.col("tile") % across * side).cast("int")
-    return best.select(
-        "search_id", (top + F.col("r")).cast("int").alias("gr"), (left + F.col("c")).cast("int").alias("gc"), "height",
-        (top + F.col("ref_r")).cast("int").alias("ref_gr"), (left + F.col("ref_c")).cast("int").alias("ref_gc"),
-    )
-
-
-def _guarded(run):
-    """A tile that doesn't exist, or that no search has come to, gives nothing."""
-
-    def guarded(key: tuple, state: pa.Table, cells: pa.Table) -> pa.Table:
-        if not state.num_rows or not cells.num_rows:
-            names = [x.split() for x in _STATE.split(", ")]
-            kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-            return pa.table({n: pa.array([], kinds[k]) for n, k in names})
-        return run(key, state, cells)
-
-    return guarded
+    spark = cells.sparkSession
+    given = DEFAULTS | parameters
+    searches = starts.select(
+        F.col("search_id").cast("long").alias("search_id"), F.col("gr").cast("int").alias("gr"), F.col("gc").cast("int").alias("gc"), F.col("height").cast("double").alias("height"),
+        *((F.col(k) if k in starts.columns else F.lit(v)).cast("double").alias(k) for k, v in given.items()),
+    )
+    searches = written(searches.filter((F.col("gr") >= 0) & F.col("gc").between(0, across * side - 1)), "searches")
+    with arrow_batches(spark, 32):
+        blocks = written(_blocks(cells, searches, side, across, cell_m, block), "blocks")
+    key, edge = ["search_id", "br", "bc"], ["search_id", "br", "bc", "from_r", "from_c"]
+    rims = spark.createDataFrame([], f"search_id long, br int, bc int, from_r int, from_c int, rim {_CELLS}")
+    touched = searches.select("search_id", F.floor(F.col("gr") / block).cast("int").alias("br"), F.floor(F.col("gc") / block).cast("int").alias("bc"))
+    rounds: list[DataFrame] = []
+    while True:
+        at = rims.join(touched, key, "left_semi").groupBy(key).agg(F.collect_list("rim").alias("rims"))  # eight at most
+        asked = touched.join(searches, "search_id").join(blocks, ["br", "bc"]).join(at, key, "left")
+        with arrow_batches(spark, 32):
+            fresh = written(asked.mapInArrow(_solver(block, cell_m), f"search_id long, br int, bc int, cells {_CELLS}"), "solved")
+        rounds.append(fresh.withColumn("round", F.lit(len(rounds))))
+        before = rims.select(*edge, F.col("rim").alias("before"))
+        new = ~F.col("rim").eqNullSafe(F.coalesce("before", F.array().cast(_CELLS)))
+        shown = written(_rims(fresh, block).join(before, edge, "left").withColumn("new", new).drop("before"), "rims")
+        if shown.filter("new").isEmpty():
+            break
+        touched = shown.filter("new").select(key).distinct()
+        rims = written(rims.join(shown.select(edge), edge, "left_anti").unionByName(shown.filter(F.size("rim") > 0).drop("new")), "rims")
+    every = functools.reduce(DataFrame.unionByName, rounds)
+    last = every.groupBy(key).agg(F.max("round").alias("round"))
+    solved = every.join(last, [*key, "round"], "left_semi")  # a block counts as it was solved last
+    one = written(solved.select("search_id", F.explode("cells").alias("x")), "reach")
+    return one.select("search_id", F.col("x.r").alias("gr"), F.col("x.c").alias("gc"), F.col("x.h").alias("height"), F.col("x.d").alias("dist"), F.col("x.pr").alias("ref_gr"), F.col("x.pc").alias("ref_gc"), F.col("x.near").alias("near"))

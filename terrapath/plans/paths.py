@@ -98,14 +98,26 @@ def effective_glide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "part").select("p_partkey", F.round(F.when(g == math.inf, -1.0).otherwise(g), 6).alias("glide"))
 
 
-def glide_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell that a glide from the middle of each tile reaches, on tiles laid side by side in rows of five."""
+#: What the searches of ``glide_reach`` have in common: cell side, glide, margin and where it begins.
+CELL_M, GLIDE, NEAR_M, NEAR_FROM = 200.0, 0.125, 40.0, 600.0
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search per tile, from near its middle, over tiles laid side by side in rows of five."""
     k = F.col("s_suppkey")
-    starts = I.table(spark, sf_dir, "supplier").select(
+    return I.table(spark, sf_dir, "supplier").select(
         k.alias("search_id"), (F.floor(k / ACROSS) * I.SIDE + 8 + k % 16).cast("int").alias("gr"), (k % ACROSS * I.SIDE + 8 + k * 5 % 16).cast("int").alias("gc"), (1000 + k % 5 * 50).cast("double").alias("height")
     )
-    nodes = reach(R.fill_voids(I.dem(spark, sf_dir), ("tile",)), starts, I.SIDE, ACROSS, 200.0, 0.125)
-    return nodes.select("search_id", "gr", "gc", F.round("height", 4).alias("height"))
+
+
+def _reached(spark: SparkSession, sf_dir: str, starts: DataFrame) -> DataFrame:
+    return reach(R.fill_voids(I.dem(spark, sf_dir), ("tile",)), starts, I.SIDE, ACROSS, CELL_M, glide=GLIDE, margin=NEAR_M, start_distance=NEAR_FROM)
+
+
+def glide_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell that a glide from the middle of each tile reaches by straight legs, with the last leg's begin and class."""
+    nodes = _reached(spark, sf_dir, _starts(spark, sf_dir))
+    return nodes.select("search_id", "gr", "gc", F.round("height", 4).alias("height"), F.round("dist", 4).alias("dist"), "ref_gr", "ref_gc", F.when(F.col("near"), "margin").otherwise("clear").alias("state"))
 
 
 def glide_reach_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,17 +141,38 @@ _SERIES = f"""{_WALK}, a AS (SELECT target, depth, r, c, h, dist, lead(r) OVER w
  g AS (SELECT tile // 5 * {I.SIDE} + r AS r, tile % 5 * {I.SIDE} + c AS c, last_value(CASE WHEN h >= -1000 THEN h END IGNORE NULLS) OVER (PARTITION BY tile ORDER BY r, c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ground FROM {I.DEM}),
  z AS (SELECT u.*, ground, h - ground AS agl, CASE WHEN dist >= {START} THEN h - {MARGIN} END AS floor FROM u JOIN g USING (r, c))"""
 _SECT = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
-_REACH = f"""WITH RECURSIVE g AS (SELECT tile // {ACROSS} * {I.SIDE} + r AS gr, tile % {ACROSS} * {I.SIDE} + c AS gc,
+_GROUND = f"""g AS MATERIALIZED (SELECT tile // {ACROSS} * {I.SIDE} + r AS gr, tile % {ACROSS} * {I.SIDE} + c AS gc,
  last_value(CASE WHEN h >= -1000 THEN h END IGNORE NULLS) OVER (PARTITION BY tile ORDER BY r, c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM {I.DEM}),
- steps AS (SELECT dr, dc, sqrt(dr * dr + dc * dc) * 200.0::DOUBLE * 0.125::DOUBLE AS cost FROM range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE dr <> 0 OR dc <> 0),
- t(search_id, gr, gc, height) USING KEY (search_id, gr, gc) AS (SELECT k, gr, gc, height FROM (SELECT s_suppkey AS k, s_suppkey // {ACROSS} * {I.SIDE} + 8 + s_suppkey % 16 AS gr,
- s_suppkey % {ACROSS} * {I.SIDE} + 8 + s_suppkey * 5 % 16 AS gc, (1000 + s_suppkey % 5 * 50)::DOUBLE AS height FROM supplier) JOIN g USING (gr, gc) WHERE height >= h
- UNION SELECT o.search_id, o.gr, o.gc, o.height FROM (SELECT search_id, t.gr + dr AS gr, t.gc + dc AS gc, max(height - cost) AS height FROM t, steps GROUP BY ALL) o
- JOIN g ON o.gr = g.gr AND o.gc = g.gc LEFT JOIN recurring.t q ON o.search_id = q.search_id AND o.gr = q.gr AND o.gc = q.gc WHERE o.height >= h AND (q.height IS NULL OR o.height > q.height + 1e-6))"""
+ steps AS (SELECT dr, dc FROM range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE dr <> 0 OR dc <> 0)"""
+_STARTS = f"""(SELECT s_suppkey AS search_id, s_suppkey // {ACROSS} * {I.SIDE} + 8 + s_suppkey % 16 AS gr, s_suppkey % {ACROSS} * {I.SIDE} + 8 + s_suppkey * 5 % 16 AS gc, (1000 + s_suppkey % 5 * 50)::DOUBLE AS height FROM supplier)"""
+#: Rounds after which no cell of the test tables changes any more; each round, all cells take their neighbours' best offers anew.
+_ROUNDS = 70
+
+
+def _reach_sql(name: str, starts: str) -> str:
+    """Tables ``name`` (all rounds) and ``name_end``: the rules of the reach, applied to all cells at once again and again. Needs g and steps."""
+    take = "along AND straight >= h AND straight < y_h"
+    bend = "bend >= h AND bend < y_h"
+    return f"""{name}_0 AS MATERIALIZED (SELECT s.* FROM {starts} s JOIN g USING (gr, gc) WHERE height >= h),
+ {name}(t, search_id, gr, gc, h, d, pr, pc, hp, dp, near) AS (SELECT 0, search_id, gr, gc, height, 0.0::DOUBLE, NULL::BIGINT, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, false FROM {name}_0
+ UNION ALL (SELECT t, search_id, gr, gc, x.h, x.d, x.pr, x.pc, x.hp, x.dp, x.near FROM (
+ SELECT t, search_id, gr, gc, arg_max({{'h': o, 'd': od, 'pr': npr, 'pc': npc, 'hp': ohp, 'dp': odp, 'near': y_near OR o - CASE WHEN od >= {NEAR_FROM} THEN {NEAR_M}::DOUBLE ELSE 0.0::DOUBLE END < h}}, {{'a': o, 'b': -npr, 'c': -npc}}) AS x FROM (
+ SELECT *, CASE WHEN {take} THEN straight ELSE bend END AS o, CASE WHEN {take} THEN dp + leg ELSE y_d + step END AS od, CASE WHEN {take} THEN pr ELSE yr END AS npr, CASE WHEN {take} THEN pc ELSE yc END AS npc,
+ CASE WHEN {take} THEN hp ELSE y_h END AS ohp, CASE WHEN {take} THEN dp ELSE y_d END AS odp FROM (
+ SELECT *, coalesce(most > 0 AND floor((2 * vr + most) / (2 * most)::DOUBLE) = -dr AND floor((2 * vc + most) / (2 * most)::DOUBLE) = -dc, false) AS along, hp - leg * {GLIDE} AS straight, y_h - step * {GLIDE} AS bend FROM (
+ SELECT *, greatest(abs(vr), abs(vc)) AS most, sqrt((vr * vr + vc * vc)::DOUBLE) * {CELL_M}::DOUBLE AS leg, sqrt((dr * dr + dc * dc)::DOUBLE) * {CELL_M}::DOUBLE AS step FROM (
+ SELECT y.t + 1 AS t, y.search_id, y.gr AS yr, y.gc AS yc, y.gr + dr AS gr, y.gc + dc AS gc, dr, dc, y.pr - y.gr - dr AS vr, y.pc - y.gc - dc AS vc, y.h AS y_h, y.d AS y_d, y.near AS y_near, pr, pc, hp, dp, g.h
+ FROM {name} y CROSS JOIN steps JOIN g ON g.gr = y.gr + dr AND g.gc = y.gc + dc ANTI JOIN {name}_0 z ON z.search_id = y.search_id AND z.gr = g.gr AND z.gc = g.gc WHERE y.t < {_ROUNDS})))) WHERE ({take}) OR ({bend}) GROUP BY ALL)
+ UNION ALL SELECT t + 1, search_id, gr, gc, h, d, pr, pc, hp, dp, near FROM {name} WHERE d = 0 AND t < {_ROUNDS})),
+ {name}_end AS MATERIALIZED (SELECT * FROM {name} WHERE t = {_ROUNDS})"""
+
+
+_REACH = f"WITH RECURSIVE {_GROUND}, {_reach_sql('w', _STARTS)}"
 SQL = {
-    "glide_reach": f"{_REACH} SELECT search_id, cast(gr AS int) AS gr, cast(gc AS int) AS gc, round(height, 4) AS height FROM t",
+    "glide_reach": f"""{_REACH} SELECT search_id, cast(gr AS int) AS gr, cast(gc AS int) AS gc, round(h, 4) AS height, round(d, 4) AS dist, cast(pr AS int) AS ref_gr, cast(pc AS int) AS ref_gc,
+ CASE WHEN near THEN 'margin' ELSE 'clear' END AS state FROM w_end""",
     "glide_reach_bounds": f"""{_REACH} SELECT search_id, count(*) AS n, cast(min(gr) AS int) AS r_min, cast(max(gr) AS int) AS r_max, cast(min(gc) AS int) AS c_min, cast(max(gc) AS int) AS c_max,
- round(min(height), 4) AS lowest FROM t GROUP BY search_id""",
+ round(min(h), 4) AS lowest FROM w_end GROUP BY search_id""",
     "path_backtrace": f"{_WALK} SELECT target, depth, id FROM walk",
     "path_backtrace_sql": f"{_WALK} SELECT target, max(depth) AS legs, cast(sum(id) AS bigint) AS sum_id FROM walk GROUP BY target",
     "path_profile": f"""{_WALK}, a AS (SELECT target, depth, r, c, h, lead(r) OVER w AS r2, lead(c) OVER w AS c2, lead(h) OVER w AS h2 FROM walk JOIN t USING (id) WINDOW w AS (PARTITION BY target ORDER BY depth DESC)),
