@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -451,10 +452,54 @@ def _documents(sent):
     return run
 
 
-def split_pattern(pattern: str) -> str:
-    """``pattern`` for Spark's regular expressions, with white space by Unicode's property."""
-    inside = pattern.replace(r"[^\s", f"[^{WHITE}")
-    return inside.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
+@lru_cache(maxsize=8)
+def library_class(name: str) -> frozenset[int]:
+    """The code points of a Unicode class such as ``\\p{L}``, as the library that the ids must equal has it."""
+    import tiktoken
+
+    single = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    found = bytes(single.encode_ordinary("".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)))
+    return frozenset(map(ord, found.decode()))
+
+
+def _ranges(points: frozenset[int]) -> str:
+    """Code points as ranges of a regular expression's class."""
+    found: list[list[int]] = []
+    for p in sorted(points):
+        if found and found[-1][1] == p - 1:
+            found[-1][1] = p
+        else:
+            found.append([p, p])
+    return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in found)
+
+
+_OWN: dict[str, str] = {}
+
+
+def _class_for(spark: SparkSession, name: str) -> str:
+    """The inside of a class that matches what the library's ``name`` does: Spark's own class, whose Unicode may be older, and what that lacks."""
+    if name not in _OWN:
+        points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+        row = spark.createDataFrame([("".join(map(chr, points)),)], "text string")
+        ours = frozenset(map(ord, row.select(F.regexp_replace("text", f"[^{name}]", "")).first()[0]))
+        theirs = library_class(name)
+        _OWN[name] = name + _ranges(theirs - ours) if ours <= theirs else _ranges(theirs)
+    return _OWN[name]
+
+
+def split_pattern(spark: SparkSession, pattern: str) -> str:
+    """``pattern`` for Spark's regular expressions: white space and Unicode's classes as the library has them, inside brackets and out."""
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        found = WHITE if part in (r"\s", r"\S") else _class_for(spark, part) if part.startswith(r"\p") else None
+        if found is None:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+        elif part == r"\S":
+            out.append(f"[^{found}]")  # inside brackets, a union
+        else:
+            out.append(found if inside else f"[{found}]")
+    return "".join(out)
 
 
 def _chunks(ranks):
@@ -503,7 +548,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     ranks = load_ranks(ranks_path or default_ranks())
     folder, sent_ranks = Folder(docs.sparkSession, ranks), sc.broadcast(ranks)
     texts = id_text(docs)
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(split_pattern(pattern or default_pattern())), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(split_pattern(docs.sparkSession, pattern or default_pattern())), F.lit(0))
     sent = sc.broadcast(_frequent(texts, found, folder, sent_ranks))
     blocks = texts.select("doc_id", found.alias("pieces")).mapInArrow(_blocks(sent, sent_ranks), _BLOCK)
     words = blocks.select("doc_id", "numbers", "words", *folder.constants).select("doc_id", "numbers", folder.ids(F.col("words")).alias("ids"), "__pieces")
