@@ -32,7 +32,7 @@ def described(docs: DataFrame) -> DataFrame:
         (F.octet_length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(raw).alias("g1"),
-        F.xxhash64(raw, F.lit(1)).alias("g2"),
+        F.xxhash64(F.lit(1), raw).alias("g2"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
     )

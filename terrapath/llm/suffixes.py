@@ -377,7 +377,7 @@ def _filter_bits(grams: DataFrame) -> np.ndarray:
 def _keyed(docs: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw")).select(
-        "doc_id", F.xxhash64("raw").alias("k1"), F.xxhash64("raw", F.lit(1)).alias("k2"), "raw"
+        "doc_id", F.xxhash64("raw").alias("k1"), F.xxhash64(F.lit(1), "raw").alias("k2"), "raw"
     )
 
 

@@ -57,8 +57,8 @@ def candidate_keys(host: Column, path: Column, rules: Sequence[str]) -> Column:
 
 
 def key_hashes(key: Column) -> list[Column]:
-    """128 hash bits of a key."""
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")]
+    """128 hash bits of a key: two hashes of different seeds, the second's being the hash of 1 (after the key, it would follow from the first)."""
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]
 
 
 class Cascade:
