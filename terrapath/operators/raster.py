@@ -15,8 +15,6 @@ from ..functions.geo import bbox_contains, coordinate_to_index
 
 VOID_BELOW = -1000
 OUTSIDE = 9999
-#: Samples of lines that are looked up at once.
-SAMPLES = 4_000_000
 
 
 def fill_voids(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -119,20 +117,29 @@ def search_setup(points: DataFrame, cells: DataFrame, side: int, across: int, ce
     return at.withColumn("height", height).withColumn("reach", F.floor((F.col("height") / best + 1) / cell_m).cast("int"))
 
 
+#: Rows of cells that a window's join takes at once.
+BAND = 64
+
+
 def around(points: DataFrame, cells: DataFrame, side: int, across: int) -> DataFrame:
     """(id, r, c, h): the cells around each point (id, gr, gc, reach), over the borders of tiles.
 
     Rows and columns count from the window's corner, so the point is at (reach, reach). A window names the
-    tiles that it touches, and the join is on the tile; where there is no tile there are no cells.
+    tiles and the bands of their rows that it touches, and the join is on these; where there is no tile there are no cells.
     """
-    def touched(x: str) -> tuple[Column, Column]:
-        return (F.floor((F.col(x) + d * F.col("reach")) / side).cast("int") for d in (-1, 1))
-
-    (top, bottom), (left, right) = touched("gr"), touched("gc")
+    low, high = F.greatest(F.lit(0), F.col("gr") - F.col("reach")), F.col("gr") + F.col("reach")
+    left, right = (F.floor((F.col("gc") + d * F.col("reach")) / side).cast("int") for d in (-1, 1))
     columns = F.filter(F.sequence(left, right), lambda x: x.between(0, across - 1))
-    named = points.select("id", "gr", "gc", "reach", F.explode(F.sequence(F.greatest(F.lit(0), top), F.greatest(F.lit(0), bottom))).alias("tr"), columns.alias("tcs"))
-    named = named.withColumn("tc", F.explode("tcs")).withColumn("tile", (F.col("tr") * across + F.col("tc")).cast("long"))
-    met = named.join(cells.select(F.col("tile").cast("long").alias("tile"), F.col("r").alias("cr"), F.col("c").alias("cc"), "h"), "tile")
+    # A band never crosses a tile's border: it is counted within its row of tiles.
+    in_tile = (side + BAND - 1) // BAND
+
+    def band(row: Column) -> Column:
+        return (F.floor(row / side) * in_tile + F.floor(row % side / BAND)).cast("int")
+
+    named = points.filter(high >= 0).select("id", "gr", "gc", "reach", F.explode(F.sequence(band(low), band(high))).alias("band"), columns.alias("tcs"))
+    named = named.withColumn("tc", F.explode("tcs")).withColumn("tr", F.floor(F.col("band") / in_tile).cast("int")).withColumn("tile", (F.col("tr") * across + F.col("tc")).cast("long"))
+    keyed = cells.select(F.col("tile").cast("long").alias("tile"), F.col("r").alias("cr"), F.col("c").alias("cc"), "h").withColumn("band", (F.floor(F.col("tile") / across) * in_tile + F.floor(F.col("cr") / BAND)).cast("int"))
+    met = named.join(keyed, ["tile", "band"])
     r = F.col("tr") * side + F.col("cr") - F.col("gr") + F.col("reach")
     c = F.col("tc") * side + F.col("cc") - F.col("gc") + F.col("reach")
     inside = met.select("id", "reach", r.cast("int").alias("r"), c.cast("int").alias("c"), "h")
@@ -215,41 +222,108 @@ def colour_image(nodes: DataFrame, value: Column, in_margin: Column, least: floa
     return inside.withColumn("s", s).select("tile", *place, *channels, F.when(shown, 255).otherwise(0).alias("alpha"))
 
 
-def _looker(start: tuple[int, int], start_h: float, cell_m: float, glide: float, margin: float, start_distance: float):
-    """The state of the line from ``start`` to every cell of one tile, line by line of equal length."""
-    r0, c0 = start
+class _Sweep:
+    """Straight glides from one cell to all cells of a tile, by directions.
+
+    Around the start, directions are cut into narrow sectors. Only ground so high that it could stop a glide (or come into the margin) is
+    entered, into all sectors that it may touch, by distance. A line is clear up to the first entry of its sector, and is sampled only where it passes
+    entries, so a tile takes work about in proportion to its cells, and the answer is that of sampling each line whole.
+    """
+
+    #: Cells by which a sample lies off the middle of its cell at most.
+    OFF = 0.7072
+
+    def __init__(self, ground: np.ndarray, start: tuple[int, int], start_h: float, cell_m: float, glide: float, margin: float, start_distance: float) -> None:
+        self.ground, self.start, self.start_h, self.cell_m, self.glide, self.margin, self.start_distance = ground, start, start_h, cell_m, glide, margin, start_distance
+        self.sectors = 4 * max(ground.shape)
+
+    def blocked(self, low: np.ndarray, flown: np.ndarray) -> np.ndarray:
+        return self.start_h - flown * self.glide < low
+
+    def near(self, low: np.ndarray, flown: np.ndarray) -> np.ndarray:
+        return (flown >= self.start_distance) & (self.start_h - flown * self.glide - self.margin < low)
+
+    def entries(self, margin: float, from_m: float) -> tuple[np.ndarray, np.ndarray]:
+        """The ground that could come within ``margin`` of a glide from ``from_m`` on: where each sector's entries begin, and their distances, nearest first."""
+        rows, cols = np.indices(self.ground.shape)
+        dr, dc = rows - self.start[0], cols - self.start[1]
+        dist = np.sqrt(dr * dr + dc * dc)
+        could = (self.start_h - (dist - self.OFF) * self.cell_m * self.glide - margin < self.ground) | (self.start_h - (dist + self.OFF) * self.cell_m * self.glide - margin < self.ground)
+        could &= (dist + self.OFF) * self.cell_m >= from_m
+        dist, turn = dist[could], np.arctan2(dr[could], dc[could])
+        half = np.where(dist > self.OFF, np.arcsin(np.minimum(1.0, self.OFF / np.maximum(dist, self.OFF))), np.pi) + 1e-9
+        scale = self.sectors / (2 * np.pi)
+        first = np.floor((turn - half) * scale).astype(np.int64)
+        count = np.minimum(np.floor((turn + half) * scale).astype(np.int64) - first + 1, self.sectors)
+        at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        sector, far = at % self.sectors, np.repeat(dist, count)
+        order = np.lexsort((far, sector))
+        return np.searchsorted(sector[order], np.arange(self.sectors + 1)), far[order]
+
+    def hits(self, r: np.ndarray, c: np.ndarray, entries: tuple[np.ndarray, np.ndarray], bad) -> np.ndarray:
+        """Which lines have a sample that is ``bad``."""
+        begins, far = entries
+        dr, dc = r - self.start[0], c - self.start[1]
+        dist = np.sqrt(dr * dr + dc.astype(float) * dc)
+        n = np.maximum(np.ceil(dist), 1).astype(np.int64)
+        sector = np.floor(np.arctan2(dr, dc) * (self.sectors / (2 * np.pi))).astype(np.int64) % self.sectors
+        at, end = begins[sector].copy(), begins[sector + 1]
+        found = np.zeros(len(r), bool)
+        live, done = np.arange(len(r)), np.full(len(r), -1)  # done: the last sample that was looked at
+        while True:
+            live = live[(at[live] < end[live])]
+            live = live[far[at[live]] <= dist[live] + 1]
+            if not len(live):
+                return found
+            step = np.maximum(dist[live], 1e-9) / n[live]
+            lowest = np.maximum(np.floor((far[at[live]] - 2 * self.OFF) / step).astype(np.int64), done[live] + 1)
+            highest = np.minimum(np.ceil((far[at[live]] + 2 * self.OFF) / step).astype(np.int64), n[live])
+            for k in range(int(np.maximum(highest - lowest, -1).max()) + 1):
+                i = lowest + k
+                on = (i >= 0) & (i <= highest) & ~found[live]
+                one, share = live[on], i[on] / n[live[on]]
+                rows = np.floor(float(self.start[0]) + (r[one] - float(self.start[0])) * share + 0.5).astype(np.int64)
+                cols = np.floor(float(self.start[1]) + (c[one] - float(self.start[1])) * share + 0.5).astype(np.int64)
+                found[one] |= bad(self.ground[rows, cols], dist[one] * share * self.cell_m)
+            done[live] = np.maximum(done[live], highest)
+            at[live] += 1
+            live = live[~found[live]]
+
+
+def _looker(cell_m: float, glide: float, margin: float, start_distance: float):
+    """The state of the line from a tile's start to each of its cells."""
 
     def run(t: pa.Table) -> pa.Table:
         r, c = (t.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
+        r0, c0, start_h = (t.column(x)[0].as_py() for x in ("r0", "c0", "start_h"))
         ground = np.full((max(int(r.max()), r0) + 1, max(int(c.max()), c0) + 1), np.nan)
         ground[r, c] = t.column("h").to_pandas().to_numpy(float)
+        look = _Sweep(ground, (r0, c0), start_h, cell_m, glide, margin, start_distance)
+        blocked = look.hits(r, c, look.entries(0.0, 0.0), look.blocked)
+        state = np.where(blocked, 2, 0)
+        free = np.flatnonzero(~blocked)
+        state[free] = look.hits(r[free], c[free], look.entries(margin, start_distance), look.near)
         dist = np.sqrt((r - r0) ** 2.0 + (c - c0) ** 2.0)
-        n = np.maximum(np.ceil(dist), 1).astype(np.int64)
-        state = np.zeros(len(r), np.int64)
-        order = np.argsort(n, kind="stable")
-        for same in np.split(order, np.flatnonzero(np.diff(n[order])) + 1):
-            share = np.arange(n[same[0]] + 1) / n[same[0]]
-            for a in range(0, len(same), max(1, SAMPLES // len(share))):
-                at = same[a : a + max(1, SAMPLES // len(share))]
-                rows, cols = (np.floor(z + (x[at, None] - z) * share + 0.5).astype(np.int64) for x, z in ((r, float(r0)), (c, float(c0))))
-                low, flown = ground[rows, cols], dist[at, None] * share * cell_m
-                height = start_h - flown * glide
-                blocked = (height < low).any(1)
-                state[at] = np.where(blocked, 2, ((flown >= start_distance) & (height - margin < low)).any(1))
         names = pa.array(["clear", "margin", "blocked"]).take(pa.array(state))
         return pa.table({"tile": t.column("tile").cast(pa.int64()), "r": pa.array(r.astype(np.int32)), "c": pa.array(c.astype(np.int32)), "height": pa.array(start_h - dist * cell_m * glide), "state": names})
 
     return run
 
 
-def sight(cells: DataFrame, start: tuple[int, int], start_h: float, cell_m: float, glide: float, margin: float = 0.0, start_distance: float = 0.0) -> DataFrame:
-    """(tile, r, c, height, state): each cell with the height at which a straight glide from ``start`` arrives.
+def sight(cells: DataFrame, start: tuple[int, int] | DataFrame, start_h: float | None, cell_m: float, glide: float, margin: float = 0.0, start_distance: float = 0.0) -> DataFrame:
+    """(tile, r, c, height, state): each cell with the height at which a straight glide from its tile's start arrives.
 
+    ``start`` is a cell of every tile, with ``start_h``, or a table (tile, r0, c0, start_h) of one start per tile at most; tiles without one are left out.
     A line is sampled once per cell of its length. It is blocked if a sample lies below ground, in the margin if one
     at ``start_distance`` or beyond has less than ``margin`` below it, else clear. A tile, of a fixed size by
     format, is one group: the samples of a cell lie anywhere between it and the start.
     """
-    found = cells.select("tile", "r", "c", "h").groupBy("tile").applyInArrow(_looker(start, start_h, cell_m, glide, margin, start_distance), "tile long, r int, c int, height double, state string")
+    plain = cells.select("tile", "r", "c", "h")
+    if isinstance(start, tuple):
+        plain = plain.withColumns({"r0": F.lit(start[0]), "c0": F.lit(start[1]), "start_h": F.lit(float(start_h))})
+    else:
+        plain = plain.join(start.select("tile", F.col("r0").cast("int"), F.col("c0").cast("int"), F.col("start_h").cast("double")), "tile")
+    found = plain.groupBy("tile").applyInArrow(_looker(cell_m, glide, margin, start_distance), "tile long, r int, c int, height double, state string")
     return found.withColumn("height", F.round("height", 6))
 
 

@@ -33,51 +33,69 @@ _CELL = "r int, c int, h double, d double, pr int, pc int, hp double, dp double,
 _CELLS = f"array<struct<{_CELL.replace(' ', ':').replace(',:', ',')}>>"
 
 
-def ratio(dr, dc, glide: float, trim: float, wind: float, wind_dir: float):
+def ratio(dr, dc, glide, trim, wind, wind_dir):
     """Height lost per distance on a leg of (dr, dc) cells, under wind that blows toward ``wind_dir`` (radians from the columns' axis, rows grow to the north); infinite against too much of it."""
-    if wind == 0:
-        return np.full(np.shape(dr), glide)
+    if not np.any(wind):
+        return np.broadcast_to(glide, np.shape(dr))
     angle = np.arctan2(dr, dc) - wind_dir
     left = trim * trim - (np.sin(angle) * wind) ** 2
     speed = np.sqrt(np.maximum(left, 0)) + np.cos(angle) * wind
-    with np.errstate(divide="ignore"):
-        return np.where((left > 0) & (speed > 0), glide / (np.maximum(speed, 0) / trim), np.inf)
-
-
-class _Block:
-    """The cells of one search in one block, with a rim of the neighbours' borders around it."""
-
-    def __init__(self, br: int, bc: int, size: int, ground: np.ndarray, cell_m: float, p: dict[str, float]) -> None:
-        self.top, self.left, self.size, self.cell_m, self.p = br * size - 1, bc * size - 1, size, cell_m, p
-        self.wide = size + 2
-        n = self.wide * self.wide
-        self.ground = np.full((self.wide, self.wide), np.inf)
-        self.ground[1:-1, 1:-1] = ground.reshape(size, size)
-        self.ground = self.ground.ravel()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        blown = np.where((left > 0) & (speed > 0), glide / (np.maximum(speed, 0) / trim), np.inf)
+    return np.where(wind == 0, glide, blown)
+
+
+class _Blocks:
+    """Blocks of cells, one of one search each, with rims of their neighbours' borders, as one array of places."""
+
+    STATE = ("h", "d", "pr", "pc", "hp", "dp", "near")
+
+    def __init__(self, rows: list[dict], size: int, cell_m: float) -> None:
+        self.size, self.cell_m, self.wide = size, cell_m, size + 2
+        self.each = self.wide * self.wide
+        self.top, self.left = (np.array([x[k] for x in rows], dtype=np.int64) * size - 1 for k in ("br", "bc"))
+        self.p = {k: np.array([x[k] for x in rows]) for k in DEFAULTS}
+        inner = (slice(None), slice(1, -1), slice(1, -1))
+        ground, fixed = np.full((len(rows), self.wide, self.wide), np.inf), np.ones((len(rows), self.wide, self.wide), bool)
+        for k, x in enumerate(rows):
+            ground[k, 1:-1, 1:-1] = np.frombuffer(x["ground"]).reshape(size, size)
+        fixed[inner] = False
+        self.inner = ~fixed.ravel()
+        self.ground, self.fixed = ground.ravel(), fixed.ravel()
+        n = len(rows) * self.each
         self.h, self.d, self.hp, self.dp = np.full(n, -np.inf), np.zeros(n), np.zeros(n), np.zeros(n)
         self.pr, self.pc, self.near = np.full(n, ROOT), np.full(n, ROOT), np.zeros(n, bool)
-        self.fixed = np.ones((self.wide, self.wide), bool)
-        self.fixed[1:-1, 1:-1] = False
-        self.fixed = self.fixed.ravel()
         self.off = np.array([dr * self.wide + dc for dr, dc in STEPS])
         self.dr, self.dc = np.array(STEPS).T
         self.step_m = np.sqrt((self.dr * self.dr + self.dc * self.dc).astype(float)) * cell_m
-        self.step_loss = self.step_m * ratio(-self.dr, -self.dc, p["glide"], p["trim"], p["wind"], p["wind_dir"])  # flown from the neighbour to the cell
-
-    def put(self, cells: list[dict]) -> np.ndarray:
-        """Cells that are known from elsewhere; they stay as they are. Returns their places."""
-        at = np.array([(x["r"] - self.top) * self.wide + x["c"] - self.left for x in cells], dtype=np.int64)
-        for name in ("h", "d", "hp", "dp", "near"):
-            getattr(self, name)[at] = [x[name] for x in cells]
-        for name in ("pr", "pc"):
+        wind = [self.p[k][:, None] for k in ("glide", "trim", "wind", "wind_dir")]
+        self.step_loss = self.step_m * ratio(np.broadcast_to(-self.dr, (len(rows), 8)), -self.dc, *wind)  # flown from the neighbour to the cell
+        known = []
+        for k, x in enumerate(rows):
+            r, c = x["gr"] - self.top[k], x["gc"] - self.left[k]
+            if 1 <= r <= size and 1 <= c <= size and x["height"] >= ground[k, r, c]:
+                known.append(self.put(k, [{"r": x["gr"], "c": x["gc"], "h": x["height"], "d": 0.0, "pr": None, "pc": None, "hp": 0.0, "dp": 0.0, "near": False}]))
+            known += [self.put(k, rim) for rim in x["rims"] or ()]
+        self.solve(np.concatenate([np.zeros(0, np.int64), *known]))
+
+    def put(self, k: int, cells: list[dict]) -> np.ndarray:
+        """Cells of block k that are known from elsewhere; they stay as they are. Returns their places."""
+        at = np.array([k * self.each + (x["r"] - self.top[k]) * self.wide + x["c"] - self.left[k] for x in cells], dtype=np.int64)
+        for name in self.STATE:
             getattr(self, name)[at] = [ROOT if x[name] is None else x[name] for x in cells]
         self.fixed[at] = True
         return at
 
+    def where(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block, row and column of places."""
+        k, place = cells // self.each, cells % self.each
+        return k, place // self.wide + self.top[k], place % self.wide + self.left[k]
+
     def offers(self, cells: np.ndarray) -> tuple[np.ndarray, ...]:
         """The best offer of its neighbours to each cell: height, distance, reference, the reference's height and distance, margin."""
-        p, near = self.p, cells[:, None] + self.off
-        r, c = cells // self.wide + self.top, cells % self.wide + self.left
+        near = cells[:, None] + self.off
+        k, r, c = self.where(cells)
+        p = {name: x[k][:, None] for name, x in self.p.items()}
         hy, pr, pc = self.h[near], self.pr[near], self.pc[near]
         vr, vc = pr - r[:, None], pc - c[:, None]
         most = np.maximum(np.maximum(np.abs(vr), np.abs(vc)), 1)
@@ -86,78 +104,68 @@ class _Block:
         ground = self.ground[cells][:, None]
         straight = self.hp[near] - leg * ratio(-vr, -vc, p["glide"], p["trim"], p["wind"], p["wind_dir"])
         take = along & (straight >= ground) & (straight < hy)
-        bend = hy - self.step_loss
+        bend = hy - self.step_loss[k]
         h = np.where(take, straight, np.where((bend >= ground) & (bend < hy), bend, -np.inf))
         ref_r, ref_c = np.where(take, pr, r[:, None] + self.dr), np.where(take, pc, c[:, None] + self.dc)
-        best = np.lexsort((ref_c, ref_r, -h), axis=1)[:, :1]
-
-        def of(x: np.ndarray) -> np.ndarray:
-            return np.take_along_axis(x, best, 1)[:, 0]
-
-        h, take = of(h), of(take)
-        hp, dp = np.where(take, of(self.hp[near]), of(hy)), np.where(take, of(self.dp[near]), of(self.d[near]))
-        d = dp + np.where(take, of(leg), self.step_m[best[:, 0]])
-        margin = np.where(d >= p["start_distance"], p["margin"], 0.0)
-        inside = of(self.near[near]) | (h - margin < self.ground[cells])
+        best = np.lexsort((ref_c, ref_r, -h), axis=1)[:, 0]
+        row = np.arange(len(cells))
+        h, take, at = h[row, best], take[row, best], near[row, best]
+        hp, dp = np.where(take, self.hp[at], self.h[at]), np.where(take, self.dp[at], self.d[at])
+        d = dp + np.where(take, leg[row, best], self.step_m[best])
+        margin = np.where(d >= p["start_distance"][:, 0], p["margin"][:, 0], 0.0)
+        inside = self.near[at] | (h - margin < self.ground[cells])
         none = np.isneginf(h)
-        return h, np.where(none, 0, d), np.where(none, ROOT, of(ref_r)), np.where(none, ROOT, of(ref_c)), np.where(none, 0, hp), np.where(none, 0, dp), inside & ~none
+        return h, np.where(none, 0, d), np.where(none, ROOT, ref_r[row, best]), np.where(none, ROOT, ref_c[row, best]), np.where(none, 0, hp), np.where(none, 0, dp), inside & ~none
 
     def solve(self, known: np.ndarray) -> None:
         def around(cells: np.ndarray) -> np.ndarray:
-            found = (cells[:, None] + self.off).ravel()
-            found = np.unique(found[(found >= 0) & (found < len(self.h))])
+            k, place = cells // self.each, cells % self.each
+            found = place[:, None] + self.off
+            found = np.where((found >= 0) & (found < self.each), found + (k * self.each)[:, None], cells[:, None])
+            found = np.unique(found)
             return found[~self.fixed[found] & np.isfinite(self.ground[found])]
 
         active = around(known)
+        state = [getattr(self, name) for name in self.STATE]
         while len(active):
             new = self.offers(active)
-            old = tuple(x[active] for x in (self.h, self.d, self.pr, self.pc, self.hp, self.dp, self.near))
-            changed = np.any([a != b for a, b in zip(new, old, strict=True)], axis=0)
+            changed = np.any([v != x[active] for v, x in zip(new, state, strict=True)], axis=0)
             at = active[changed]
-            for x, v in zip((self.h, self.d, self.pr, self.pc, self.hp, self.dp, self.near), new, strict=True):
+            for x, v in zip(state, new, strict=True):
                 x[at] = v[changed]
             active = around(at)
 
-    def found(self) -> list[dict]:
-        """The block's own reached cells, row by row."""
-        inner = np.zeros((self.wide, self.wide), bool)
-        inner[1:-1, 1:-1] = True
-        at = np.flatnonzero(inner.ravel() & (self.h > -np.inf))
-        cols = (at // self.wide + self.top, at % self.wide + self.left, *(x[at] for x in (self.h, self.d, self.pr, self.pc, self.hp, self.dp, self.near)))
-        names = ("r", "c", "h", "d", "pr", "pc", "hp", "dp", "near")
-        rows = zip(*(x.tolist() for x in cols), strict=True)
-        return [dict(zip(names, row, strict=True)) | ({"pr": None, "pc": None} if row[4] == ROOT else {}) for row in rows]
+    def found(self, blocks: int) -> pa.Array:
+        """Each block's own reached cells, row by row."""
+        at = np.flatnonzero(self.inner & (self.h > -np.inf))
+        k, r, c = self.where(at)
+        root = self.pr[at] == ROOT
+        columns = {"r": r, "c": c} | {name: getattr(self, name)[at] for name in self.STATE}
+        fields = [pa.array(columns[f.name], f.type, mask=root if f.name in ("pr", "pc") else None) for f in _CELL_TYPE]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(k, minlength=blocks)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, fields=list(_CELL_TYPE)))
 
 
-def _solver(size: int, cell_m: float):
-    kinds = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-    cells_type = pa.list_(pa.struct([(n, kinds[k]) for n, k in (x.split() for x in _CELL.split(", "))]))
+_KINDS = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+_CELL_TYPE = [pa.field(n, _KINDS[k]) for n, k in (x.split() for x in _CELL.split(", "))]
 
+
+def _solver(size: int, cell_m: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for x in b.to_pylist():
-                block = _Block(x["br"], x["bc"], size, np.frombuffer(x["ground"]), cell_m, x)
-                known = [np.zeros(0, np.int64)]
-                r, c = x["gr"] - block.top, x["gc"] - block.left
-                if 1 <= r <= size and 1 <= c <= size and x["height"] >= block.ground[r * block.wide + c]:
-                    start = {"r": x["gr"], "c": x["gc"], "h": x["height"], "d": 0.0, "pr": None, "pc": None, "hp": 0.0, "dp": 0.0, "near": False}
-                    known.append(block.put([start]))
-                for cells in x["rims"] or ():
-                    known.append(block.put(cells))
-                block.solve(np.concatenate(known))
-                found.append(block.found())
             names = ["search_id", "br", "bc"]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(found, cells_type)], names=[*names, "cells"])
+            found = _Blocks(b.to_pylist(), size, cell_m).found(b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), found], names=[*names, "cells"])
 
     return run
 
 
 def _blocks(cells: DataFrame, starts: DataFrame, side: int, across: int, cell_m: float, size: int) -> DataFrame:
     """(br, bc, ground): the ground of each block that a search could come to, row by row as 64-bit floats; infinite where there is none."""
-    best = F.col("glide") / ((F.col("wind") + F.col("trim")) / F.col("trim"))
+    best = F.when(F.col("wind") == 0, F.col("glide")).otherwise(F.try_divide(F.col("glide") * F.col("trim"), F.col("wind") + F.col("trim")))
     lowest = cells.agg(F.min("h")).first()[0] or 0  # no glide goes below the lowest ground
-    far = F.least(F.ceil(F.greatest(F.lit(0.0), F.col("height") - float(lowest)) / best / cell_m), F.lit(across * side * 64)).cast("int")
+    lasts = F.coalesce(F.try_divide(F.greatest(F.lit(0.0), F.col("height") - float(lowest)), best), F.lit(0.0))
+    far = F.least(F.ceil(lasts / cell_m), F.lit(across * side * 64)).cast("int")
     ranges = [F.explode(F.sequence(F.floor((F.col(x) - F.col("far")) / size).cast("int"), F.floor((F.col(x) + F.col("far")) / size).cast("int"))).alias(n) for x, n in (("gr", "br"), ("gc", "bc"))]
     near = starts.withColumn("far", far).select("gc", "far", ranges[0]).distinct().select("br", ranges[1]).distinct()
     gr, gc = (F.floor(F.col("tile") / across) * side + F.col("r")).cast("int"), (F.col("tile") % across * side + F.col("c")).cast("int")
@@ -206,7 +214,7 @@ def reach(cells: DataFrame, starts: DataFrame, side: int, across: int, cell_m: f
         F.col("search_id").cast("long").alias("search_id"), F.col("gr").cast("int").alias("gr"), F.col("gc").cast("int").alias("gc"), F.col("height").cast("double").alias("height"),
         *((F.col(k) if k in starts.columns else F.lit(v)).cast("double").alias(k) for k, v in given.items()),
     )
-    searches = written(searches.filter((F.col("gr") >= 0) & F.col("gc").between(0, across * side - 1)), "searches")
+    searches = written(searches.filter(F.col("height").isNotNull() & (F.col("gr") >= 0) & F.col("gc").between(0, across * side - 1)), "searches")
     with arrow_batches(spark, 32):
         blocks = written(_blocks(cells, searches, side, across, cell_m, block), "blocks")
     key, edge = ["search_id", "br", "bc"], ["search_id", "br", "bc", "from_r", "from_c"]

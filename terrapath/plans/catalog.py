@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import paths, places, raster, spatial, text, tiles
+from . import paths, places, raster, requests, spatial, text, tiles
 
-_PARTS = (places, spatial, raster, paths, text, tiles)
+_PARTS = (places, spatial, raster, paths, requests, text, tiles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

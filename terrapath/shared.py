@@ -31,6 +31,12 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, by Spark's file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, removed when the program ends."""
     path = f"{shared_dir(spark)}/terrapath-{name}-{uuid.uuid4().hex}"

@@ -69,7 +69,7 @@ def frame(spark, ground):
 FROM = [(1, 5, 5, 100.0), (2, 17, 0, 140.0), (3, 9, 9, 3.0), (4, 0, 11, 200.0), (5, 8, 2, 95.0), (6, 40, 40, 100.0), (7, 8, 2, -5.0), (8, 12, 17, 160.0)]
 
 
-@pytest.mark.parametrize(("p", "block"), [(CALM, 5), (WIND, 7), (GALE, 5), (WIND, 128)], ids=["calm", "wind", "gale", "one-block"])
+@pytest.mark.parametrize(("p", "block"), [(CALM, 7), (WIND, 9), (GALE, 9), (WIND, 128)], ids=["calm", "wind", "gale", "one-block"])
 def test_reach_equals_one_grid(spark, p, block):
     ground = terrain(block)
     found = reach.reach(frame(spark, ground), spark.createDataFrame(FROM, STARTS), SIDE, ACROSS, CELL, block, **p).collect()
