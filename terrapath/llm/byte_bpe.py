@@ -483,7 +483,10 @@ def _class_for(spark: SparkSession, name: str) -> str:
         row = spark.createDataFrame([("".join(map(chr, points)),)], "text string")
         ours = frozenset(map(ord, row.select(F.regexp_replace("text", f"[^{name}]", "")).first()[0]))
         theirs = library_class(name)
-        _OWN[name] = name + _ranges(theirs - ours) if ours <= theirs else _ranges(theirs)
+        missing = theirs - ours
+        # Behind a guard, as a class is tried range by range: most characters then cost one comparison more.
+        own = f"[\\x{{{min(missing):x}}}-\\x{{10ffff}}&&[{_ranges(missing)}]]" if missing else ""
+        _OWN[name] = name + own if ours <= theirs else _ranges(theirs)
     return _OWN[name]
 
 
