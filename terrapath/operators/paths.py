@@ -73,8 +73,25 @@ def profile(path: DataFrame, nodes: DataFrame) -> DataFrame:
     return steps.select("target", "depth", "i", F.round(r).cast("int").alias("r"), F.round(c).cast("int").alias("c"), h.alias("h"), dist.alias("dist"))
 
 
+def legs(tree: DataFrame) -> DataFrame:
+    """(id, i, r, c, h, dist): the samples of ``profile`` of each node's leg from its parent, once, whatever paths take it."""
+    values = ("r", "c", "h", "dist")
+    up = tree.select(F.col("id").alias("parent"), *(F.col(x).alias(f"{x}1") for x in values))
+    pairs = tree.select("id", "parent", *values).join(up, "parent")
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.pow(F.col("r") - F.col("r1"), 2) + F.pow(F.col("c") - F.col("c1"), 2)))).cast("int")
+    steps = pairs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    t = F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))
+    r, c, h, dist = (F.col(f"{x}1") + (F.col(x) - F.col(f"{x}1")) * t for x in values)
+    return steps.select("id", "i", F.round(r).cast("int").alias("r"), F.round(c).cast("int").alias("c"), h.alias("h"), dist.alias("dist"))
+
+
+def along(path: DataFrame, of_legs: DataFrame) -> DataFrame:
+    """What is known of each leg (id, ...), for each path (target, depth, id) that takes it; depth is that of the leg's upper end."""
+    return path.select("target", (F.col("depth") + 1).alias("depth"), "id").join(of_legs, "id").drop("id")
+
+
 def series(samples: DataFrame, ground: DataFrame, margin: float, start_distance: float) -> DataFrame:
-    """Samples of ``profile`` with ``ground`` (r, c, ground), height above it and the floor of the margin.
+    """Samples of ``profile`` or ``legs`` with ``ground`` (r, c, ground), height above it and the floor of the margin.
 
     Samples without known ground are left out. The floor is null before ``start_distance`` and without a margin.
     """

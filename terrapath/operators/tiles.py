@@ -77,6 +77,41 @@ def estimate(windows: DataFrame, zooms: Column) -> DataFrame:
     return total.select("box_id", "n_tiles", (F.col("n_tiles") * sum(b for *_, b in LAYERS)).alias("n_bytes"), *per_layer)
 
 
+#: Tiles of a layer and zoom whose bytes are averaged, about.
+SAMPLED = 64
+#: The modulus of the numbers by which tiles are drawn.
+_DRAW = 10_007
+
+
+def drawn(zoom, x, y) -> Column:
+    """A tile's number in the draw, from 0 to 10,006: the same wherever and whenever the tile is seen."""
+    return F.pmod(x.cast("long") * 7_919 + y.cast("long") * 104_729 + zoom.cast("long") * 31, F.lit(_DRAW))
+
+
+def sampled_means(blobs: DataFrame, target: int = SAMPLED) -> DataFrame:
+    """(layer, zoom, n_drawn, mean_bytes) of stored tiles (layer, zoom, x, y, size): the mean of a sample of each layer and zoom.
+
+    A stratum of up to ``target`` sound tiles is averaged whole; of a larger one those whose number in the draw lies below its share, about as many. All of it is
+    partial sums, whatever the size of a stratum.
+    """
+    sound = sound_blobs(blobs)
+    shares = sound.groupBy("layer", "zoom").agg(F.ceil(F.lit(float(target * _DRAW)) / F.count("*")).alias("share"))
+    picked = sound.join(F.broadcast(shares), ["layer", "zoom"]).filter(drawn(F.col("zoom"), F.col("x"), F.col("y")) < F.col("share"))  # a row per layer and zoom
+    return picked.groupBy("layer", "zoom").agg(F.count("*").alias("n_drawn"), F.avg(F.col("size").cast("double")).alias("mean_bytes"))
+
+
+def sampled_estimate(windows: DataFrame, zooms: Column, means: DataFrame) -> DataFrame:
+    """(box_id, layer, n_tiles, n_bytes): bytes of each window's tiles, by the sampled mean of their zoom, else of the layer's nearest lower zoom, else by the fixed mean."""
+    n = ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)).cast("long")
+    per_zoom = tile_range(windows, zooms).select("box_id", "zoom", n.alias("n"))
+    layers = F.array(*(F.struct(F.lit(name).alias("layer"), F.lit(float(b)).alias("fixed")) for name, _, b in LAYERS))
+    known = means.groupBy("layer").agg(F.map_from_entries(F.collect_list(F.struct("zoom", "mean_bytes"))).alias("known"))  # a zoom each
+    wanted = per_zoom.withColumn("l", F.explode(layers)).select("box_id", "zoom", "n", "l.layer", "l.fixed").join(F.broadcast(known), "layer", "left")  # a row per layer
+    lower = F.array_max(F.filter(F.map_keys("known"), lambda z: z <= F.col("zoom")))
+    mean = F.coalesce(F.try_element_at("known", lower), F.col("fixed"))
+    return wanted.groupBy("box_id", "layer").agg(F.sum("n").alias("n_tiles"), F.round(F.sum(F.col("n") * mean)).cast("long").alias("n_bytes"))
+
+
 def sound_blobs(blobs: DataFrame, size: str = "size") -> DataFrame:
     """Blobs that are not broken: of at least 1,000 bytes."""
     return blobs.filter(F.col(size) >= LEAST_BLOB)

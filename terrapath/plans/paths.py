@@ -43,7 +43,7 @@ def path_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = P.backtrace(I.tree(spark, sf_dir), _targets(spark, sf_dir))
     ground = R.mosaic(R.fill_voids(I.dem(spark, sf_dir), ("tile",)), I.SIDE, 5).select(F.col("gr").alias("r"), F.col("gc").alias("c"), F.col("h").alias("ground"))
-    return P.series(P.profile(path, I.tree(spark, sf_dir)), ground, MARGIN, START)
+    return P.along(path, P.series(P.legs(I.tree(spark, sf_dir)), ground, MARGIN, START))
 
 
 def path_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,23 @@ def tile_bytes_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blobs(spark, sf_dir, 7).withColumn("layer", layer).rollup("layer").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("shown", L.format_bytes(F.col("bytes")))
 
 
+def _stored_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored tile per part, in two layers and three zooms."""
+    k = F.col("p_partkey")
+    layer = F.when(k % 5 < 3, "topo").otherwise("street")
+    return I.table(spark, sf_dir, "part").select(layer.alias("layer"), (9 + k % 3 * 2).cast("int").alias("zoom"), (k * 17 % 512).cast("int").alias("x"), (k * 29 % 509).cast("int").alias("y"), (k * 7919 % 40_000).alias("size"))
+
+
+def tile_sampled_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean bytes of a sample of each layer and zoom of the stored tiles."""
+    return T.sampled_means(_stored_tiles(spark, sf_dir)).withColumn("mean_bytes", F.round("mean_bytes", 6))
+
+
+def tile_estimate_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each window's tiles by layer, from the sampled means."""
+    return T.sampled_estimate(I.windows(spark, sf_dir), _zooms(), T.sampled_means(_stored_tiles(spark, sf_dir)))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "events")
 
@@ -141,7 +158,7 @@ def cube_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    tile_zooms, tile_coverage, tile_estimate, tile_urls, missing_tiles, small_blob_filter, tile_blob_coalesce, tile_bytes_by_layer, job_status_reconcile,
+    tile_zooms, tile_coverage, tile_estimate, tile_urls, missing_tiles, small_blob_filter, tile_blob_coalesce, tile_bytes_by_layer, tile_sampled_means, tile_estimate_sampled, job_status_reconcile,
     progress_running_max, progress_5pct, throttle_events, latest_query_per_session, downloads_latest, upsert_jobs, antijoin_delete, usage_counters,
     json_props_scan, tumbling_counts, cube_counts, download_completeness, fetch_margins,
 )
@@ -181,7 +198,14 @@ _SUM = sum(b for *_, b in T.LAYERS)
 _B7 = "(SELECT o_orderkey AS tile, o_orderkey * 7 % 5000 AS size, 'b7_' || o_orderkey AS blob FROM orders)"
 _B11 = "(SELECT o_orderkey AS tile, o_orderkey * 11 % 5000 AS size, 'b11_' || o_orderkey AS blob FROM orders)"
 _E = "PARTITION BY user_id ORDER BY ts, event_id"
+_SAMPLED = f"""s AS (SELECT CASE WHEN p_partkey % 5 < 3 THEN 'topo' ELSE 'street' END AS layer, 9 + p_partkey % 3 * 2 AS zoom, p_partkey * 17 % 512 AS x, p_partkey * 29 % 509 AS y, p_partkey * 7919 % 40000 AS size FROM part),
+ g AS (SELECT * FROM s WHERE size >= 1000), k AS (SELECT *, ceil({T.SAMPLED * 10_007}::DOUBLE / count(*) OVER (PARTITION BY layer, zoom)) AS share FROM g),
+ means AS (SELECT layer, cast(zoom AS int) AS zoom, count(*) AS n_drawn, avg(size::DOUBLE) AS mean_bytes FROM k WHERE (x * 7919 + y * 104729 + zoom * 31) % 10007 < share GROUP BY ALL)"""
 SQL = {
+    "tile_sampled_means": f"WITH {_SAMPLED} SELECT layer, zoom, n_drawn, round(mean_bytes, 6) AS mean_bytes FROM means",
+    "tile_estimate_sampled": f"""WITH {_SAMPLED}, w AS (SELECT box_id, zoom, (x1 - x0 + 1) * (y1 - y0 + 1) AS n FROM {_range(_ZOOM)}), l AS (SELECT unnest([{', '.join(f"{{'layer': '{n}', 'fixed': {b}::DOUBLE}}" for n, _, b in T.LAYERS)}]) AS l),
+ x AS (SELECT box_id, l.layer AS layer, n, coalesce((SELECT arg_max(mean_bytes, m.zoom) FROM means m WHERE m.layer = l.layer AND m.zoom <= w.zoom), l.fixed) AS mean FROM w, l)
+ SELECT box_id, layer, cast(sum(n) AS bigint) AS n_tiles, cast(round(sum(n * mean)) AS bigint) AS n_bytes FROM x GROUP BY box_id, layer""",
     "tile_zooms": f"SELECT box_id, array_to_string({_zoom_sql('cast(box_id % 19 AS int)')}, ',') AS zooms FROM {_W}",
     "tile_coverage": f"SELECT box_id, zoom, count(*) AS n, cast(min(x) AS int) AS x_min, cast(max(y) AS int) AS y_max FROM {_cover(_ZOOM)} GROUP BY 1, 2",
     "tile_estimate": f"""SELECT *, {_bytes('n_bytes')} AS shown FROM (SELECT box_id, n_tiles, n_tiles * {_SUM} AS n_bytes, {', '.join(f'n_tiles * {b} AS bytes_{n}' for n, _, b in T.LAYERS)}
