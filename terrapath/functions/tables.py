@@ -29,8 +29,9 @@ def register_fuzzy_search(spark: SparkSession, names: DataFrame) -> None:
 
 def register_glide_search(spark: SparkSession, store: str) -> None:
     """``glide_search(gr, gc, ...)``: the nodes of the stored search with these parameters (see ``requests.LIMITS``), none where nobody has asked for it."""
-    requests.stored_searches(spark, store).createOrReplaceTempView("glide_search_known")
-    requests.stored_nodes(spark, store).createOrReplaceTempView("glide_search_nodes")
+    # No column of the views is named like a parameter.
+    requests.stored_searches(spark, store).selectExpr("key", "batch", "search_id").createOrReplaceTempView("glide_search_known")
+    requests.stored_nodes(spark, store).withColumnsRenamed({"gr": "node_gr", "gc": "node_gc"}).createOrReplaceTempView("glide_search_nodes")
 
     def held(name: str) -> str:
         _, low, high = requests.LIMITS[name]
@@ -46,6 +47,6 @@ def register_glide_search(spark: SparkSession, store: str) -> None:
     spark.sql(
         f"""CREATE OR REPLACE TEMPORARY FUNCTION glide_search(gr INT, gc INT, start_height DOUBLE DEFAULT NULL, {defaults})
         RETURNS TABLE (node_gr INT, node_gc INT, height DOUBLE, dist DOUBLE, ref_gr INT, ref_gc INT, near BOOLEAN)
-        RETURN SELECT n.gr, n.gc, n.height, n.dist, n.ref_gr, n.ref_gc, n.near FROM glide_search_nodes n JOIN glide_search_known s ON n.batch = s.batch AND n.search_id = s.search_id
+        RETURN SELECT n.node_gr, n.node_gc, n.height, n.dist, n.ref_gr, n.ref_gc, n.near FROM glide_search_nodes n JOIN glide_search_known s ON n.batch = s.batch AND n.search_id = s.search_id
         WHERE s.key = to_json(named_struct({key}), map('ignoreNullFields', 'false'))"""
     )

@@ -69,7 +69,13 @@ def pixels(data: bytes) -> np.ndarray:
     if head is None or head[2] != 8 or head[3] not in CHANNELS or head[6]:
         raise ValueError(f"unsupported PNG file: {head}")
     cols, rows, channels = head[0], head[1], CHANNELS[head[3]]
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(rows, 1 + cols * channels)
+    try:
+        lines = zlib.decompress(b"".join(packed))
+    except zlib.error as e:
+        raise ValueError("the pixels of a PNG file are broken") from e
+    if len(lines) != rows * (1 + cols * channels):
+        raise ValueError(f"a PNG file of {rows} by {cols} has {len(lines)} bytes of pixels")
+    raw = np.frombuffer(lines, np.uint8).reshape(rows, 1 + cols * channels)
     out, above = np.zeros((rows, cols, channels), np.uint8), np.zeros((cols, channels), np.uint8)
     for r in range(rows):
         above = out[r] = _unfiltered(int(raw[r, 0]), raw[r, 1:].reshape(cols, channels), above)
