@@ -13,7 +13,7 @@ from .conftest import frame
 def test_every_code_point_splits_as_in_the_library(spark):
     points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
     pattern = byte_bpe.split_pattern(spark, public_tokenizers.PATTERN)
-    for shape in ("a{}'s1 ", "1{}2", " {} ", "{}\n{}"):
+    for shape in ("a{}'s1 ", "1{}2\n{} "):
         texts = ["".join(shape.replace("{}", c) + "|" for c in points[k : k + 5_000]) for k in range(0, len(points), 5_000)]
         rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("pieces")).collect()
         for r in rows:
