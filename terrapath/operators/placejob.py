@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import written
 from ..sources import readers, writers
 from . import places as P
 
@@ -73,6 +74,7 @@ def augmented(places: DataFrame, region: str) -> DataFrame:
     centre = F.when(bare, F.raise_error(F.lit("a named place has no geometry"))).otherwise(geometry_centre(F.col("geometry"), F.col("centroid")))
     label = P.context_label(F.coalesce("address", F.create_map().cast("map<string,string>")), F.col("country_code"), COUNTRIES, F.lit(region))
     rows = named.select(P.best_name(F.col("name")).alias("name"), centre.cast("array<double>").alias("center"), "categories", label.alias("additional_info"), F.monotonically_increasing_id().alias("__row"))
+    rows = written(rows, "places")  # both sides of the join read the same numbers
     hit = rows.select("__row", F.explode("categories").alias("category")).join(once, "category", "left_semi").select("__row").distinct()
     return rows.join(hit, "__row", "left_anti").drop("__row")
 

@@ -20,8 +20,8 @@ def nearest_k(sites: DataFrame, lon: float, lat: float, k: int = 200) -> DataFra
     return d.orderBy("metres", "id").limit(max(1, min(10_000, k)))
 
 
-#: Squares along a degree, and parts into which the sites of a square are dealt.
-PER_DEGREE, SALTS = 4, 4
+#: Squares along a degree, and sites of a square beyond which they are dealt to several parts.
+PER_DEGREE, SQUARE_SITES = 4, 20_000
 
 
 def _square(x: Column) -> Column:
@@ -36,11 +36,15 @@ def boxes_join(boxes: DataFrame, sites: DataFrame) -> DataFrame:
     """Pairs of a box (box_id, south, west, north, east) and a site in it.
 
     Boxes are dealt to the squares of a quarter degree that they touch, so the join is on equal keys; the box test
-    is residual. A crowded square's sites are dealt to several parts, and each box goes to all of them.
+    is residual. The sites of a crowded square are dealt to as many parts as their number asks for, and a box goes to all of them.
     """
     dealt = boxes.withColumn("bx", F.explode(_buckets(F.col("west"), F.col("east")))).withColumn("by", F.explode(_buckets(F.col("south"), F.col("north"))))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = sites.withColumns({"bx": _square(F.col("lon")), "by": _square(F.col("lat")), "part": F.pmod(F.xxhash64(*sites.columns), F.lit(SALTS)).cast("int")})
+    keyed = sites.withColumns({"bx": _square(F.col("lon")), "by": _square(F.col("lat"))})
+    crowds = keyed.groupBy("bx", "by").agg(F.ceil(F.count("*") / SQUARE_SITES).cast("int").alias("parts")).filter("parts > 1")
+    # The globe has a million squares, and only the crowded ones are sent.
+    one = F.coalesce("parts", F.lit(1))
+    keyed = keyed.join(F.broadcast(crowds), ["bx", "by"], "left").withColumn("part", F.pmod(F.xxhash64(*sites.columns), one).cast("int")).drop("parts")
+    dealt = dealt.join(F.broadcast(crowds), ["bx", "by"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
     return dealt.join(keyed, ["bx", "by", "part"]).filter(bbox_contains("south", "west", "north", "east", "lat", "lon")).drop("bx", "by", "part")
 
 

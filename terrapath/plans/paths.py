@@ -77,7 +77,7 @@ def glide_reduced_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.tree(spark, sf_dir).select("id", (F.col("id") % 8).alias("g"), F.expr("id div 40").alias("ref"))
+    rows = I.tree(spark, sf_dir).select("id", F.expr("id div 1000").alias("g"), F.expr("id div 40").alias("ref"))
     return P.delta_encode(rows, "g", "id", "ref")
 
 
@@ -189,9 +189,9 @@ SQL = {
  o AS (SELECT *, row_number() OVER (ORDER BY pd, coalesce(parent, -1), dist, id) - 1 AS pos, lag(parent) OVER (PARTITION BY pd ORDER BY coalesce(parent, -1), dist, id) AS prev,
  row_number() OVER (PARTITION BY pd ORDER BY coalesce(parent, -1), dist, id) AS k FROM j)
  SELECT pos, cast(pos // {P.CHUNK_ROWS} AS int) AS chunk, id, CASE WHEN k > 1 AND prev IS NOT DISTINCT FROM parent THEN NULL ELSE parent END AS parent FROM o""",
-    "delta_encode": f"""SELECT id, g, CASE WHEN k > 1 AND prev = ref THEN NULL ELSE ref END AS ref FROM (SELECT id, id % 8 AS g, id // 40 AS ref, lag(id // 40) OVER (PARTITION BY id % 8 ORDER BY id) AS prev,
- row_number() OVER (PARTITION BY id % 8 ORDER BY id) AS k FROM {I.TREE})""",
-    "delta_decode": f"SELECT id, id % 8 AS g, id // 40 AS ref FROM {I.TREE}",
+    "delta_encode": f"""SELECT id, g, CASE WHEN k > 1 AND prev = ref THEN NULL ELSE ref END AS ref FROM (SELECT id, id // 1000 AS g, id // 40 AS ref, lag(id // 40) OVER (PARTITION BY id // 1000 ORDER BY id) AS prev,
+ row_number() OVER (PARTITION BY id // 1000 ORDER BY id) AS k FROM {I.TREE})""",
+    "delta_decode": f"SELECT id, id // 1000 AS g, id // 40 AS ref FROM {I.TREE}",
     "glide_cone_bounds": f"SELECT id, r - min(r) OVER () AS r, c - min(c) OVER () AS c FROM {I.TREE} WHERE r BETWEEN 20 AND 80 AND c BETWEEN 10 AND 70",
     "effective_glide_table": f"""WITH x AS (SELECT p_partkey, (p_partkey % 16) * {math.pi / 8}::DOUBLE AS a, (p_partkey % 50)::DOUBLE AS w FROM part),
  y AS (SELECT p_partkey, 38.0::DOUBLE * 38.0::DOUBLE - (sin(a) * w) * (sin(a) * w) AS lft, cos(a) * w AS along FROM x), z AS (SELECT p_partkey, lft, sqrt(greatest(lft, 0.0::DOUBLE)) + along AS v FROM y)
