@@ -395,7 +395,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = keyed.select("k1", "k2", "raw").mapInArrow(_contexts(bits, hot), _CONTEXT)
     parts = [whole]
     if hot.value:
-        contexts = materialize(contexts, "contexts")
+        contexts = materialize(contexts, "contexts", "zstd")  # mostly text
         windows = contexts.filter("stop is not null and gram is not null")
         twice = materialize(windows.groupBy("before").agg(F.count("*").alias("n")).filter("n > 1").select("before"), "windows")
         parts.append(windows.join(twice, "before", "left_semi").select("k1", "k2", F.col("at").alias("a"), F.col("stop").alias("z"), "deep"))
