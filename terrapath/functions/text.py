@@ -35,3 +35,14 @@ def prefix_distance(query, name) -> Column:
 def share_url(pairs: dict[str, Column]) -> Column:
     """``a=1&b=2`` of the parameters that have a value."""
     return F.concat_ws("&", *(F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string")))) for k, v in pairs.items()))
+
+
+#: Letters of the second part of a download's id, and their number (fixed values).
+ID_LETTERS, ID_LENGTH = "0123456789abcdefghijklmnopqrstuvwxyz", 6
+
+
+def download_id(at, *of) -> Column:
+    """``milliseconds-letters``: six letters or digits drawn by the columns ``of``, so that a task that is run again gives the same id."""
+    drawn = F.pmod(F.xxhash64(F.lit("download"), *map(_c, of)), F.lit(len(ID_LETTERS) ** ID_LENGTH))
+    letters = F.lpad(F.lower(F.conv(drawn.cast("string"), 10, len(ID_LETTERS))), ID_LENGTH, "0")
+    return F.concat_ws("-", F.unix_millis(_c(at)).cast("string"), letters)

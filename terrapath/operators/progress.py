@@ -42,6 +42,24 @@ def running_max(events: DataFrame, by: str, value: str) -> DataFrame:
     return events.withColumn("so_far", F.max(value).over(_ordered(by).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def clamped_progress(events: DataFrame, by: str) -> DataFrame:
+    """``events`` (by, ts, event_id, total, records, bytes, bytes_total) with ``done``: what is done by then, never less than before and never more than the total.
+
+    It is the greatest of the records, of the total's share that the bytes make up, and of what was done before; a row of unknown total bytes counts one more
+    than before instead of the share. ``total`` is one number per download; without one it is 1.
+
+    A row of unknown bytes adds 1 to what was done, so what is done less the number of such rows so far is a running maximum, and
+    the clamp may come last: two windows instead of a fold over the rows of a download.
+    """
+    w = _ordered(by).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.coalesce(F.col("bytes_total") > 0, F.lit(False))
+    total = F.greatest(F.coalesce(F.col("total"), F.lit(1)), F.lit(0)).cast("long")
+    share = F.when(known, F.floor(total * F.coalesce(F.col("bytes"), F.lit(0)) / F.col("bytes_total") + 0.5)).otherwise(0)
+    at = events.withColumn("__u", F.sum(F.when(known, 0).otherwise(1)).over(w))
+    most = F.max(F.greatest(F.coalesce(F.col("records").cast("long"), F.lit(0)), share.cast("long")) - F.col("__u")).over(w)
+    return at.withColumn("__m", most).withColumn("done", F.least(total, F.greatest(F.col("__m"), F.lit(0)) + F.col("__u")).cast("long")).drop("__u", "__m")
+
+
 def step_changes(events: DataFrame, by: str, percent: str) -> DataFrame:
     """Rows at which the running percentage enters a new step of five."""
     df = running_max(events, by, percent).withColumn("step", F.floor(F.col("so_far") / STEP_PERCENT).cast("int"))

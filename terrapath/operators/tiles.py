@@ -124,3 +124,33 @@ def first_cached(wanted: DataFrame, caches: list[DataFrame], keys: list[str]) ->
         names.append(f"blob{i}")
         out = out.join(sound_blobs(cache).select(*keys, F.col("blob").alias(names[-1])), keys, "left")
     return out.select(*keys, F.coalesce(*names).alias("blob"))
+
+
+#: What names a tile of a provider's cache.
+TILE_KEYS = ("provider", "zoom", "x", "y")
+
+
+def _upstream() -> Column:
+    """The path of a tile at its provider, whose numbers are in the order of its layer; zoom, column and row where the provider is none of them."""
+    z, x, y = (F.col(c).cast("string") for c in ("zoom", "x", "y"))
+    swapped = [name for name, order, _ in LAYERS if order == "zyx"]
+    return F.concat_ws("/", F.col("provider"), F.when(F.col("provider").isin(swapped), F.concat_ws("/", z, y, x)).otherwise(F.concat_ws("/", z, x, y)))
+
+
+def proxied(wanted: DataFrame, caches: list[DataFrame]) -> DataFrame:
+    """(provider, zoom, x, y, blob, upstream): each wanted tile once, with the blob of its provider that the first cache holds whole.
+
+    Where there is none, ``upstream`` is the path to fetch it from. Caches have (provider, zoom, x, y, size, blob), one row a tile; a tile of
+    another provider never answers. A key that lacks a part is left out.
+    """
+    keys = list(TILE_KEYS)
+    found = first_cached(wanted.select(*keys).dropna().distinct(), caches, keys)
+    return found.withColumn("upstream", F.when(F.col("blob").isNull(), _upstream()))
+
+
+def fill_cache(cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``cache`` with the sound ones of ``fetched`` (provider, zoom, x, y, size, blob), one row a tile: what the cache holds whole stays, and of several the largest, then the least, blob is kept."""
+    cols = ["size", "blob"]
+    both = cache.select(*TILE_KEYS, *cols, F.lit(1).alias("kept")).unionByName(fetched.select(*TILE_KEYS, *cols, F.lit(0).alias("kept")))
+    best = sound_blobs(both).groupBy(*TILE_KEYS).agg(F.min_by(F.struct(*cols), F.struct(-F.col("kept"), -F.col("size"), "blob")).alias("b"))
+    return best.select(*TILE_KEYS, *(F.col(f"b.{c}").alias(c) for c in cols))

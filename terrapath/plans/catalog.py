@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import paths, places, raster, requests, spatial, stores, text, tiles
+from . import documents, paths, places, raster, requests, spatial, stores, text, tiles
 
-_PARTS = (places, spatial, raster, paths, requests, stores, text, tiles)
+_PARTS = (places, spatial, raster, paths, requests, stores, text, tiles, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
