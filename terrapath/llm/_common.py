@@ -59,6 +59,12 @@ def row_key(docs: DataFrame, *others: str) -> Column:
     return F.xxhash64(*cols, *(c.isNull() for c in cols))  # a hash alone skips nulls
 
 
+def wide_key(docs: DataFrame, *others: str) -> Column:
+    """As ``row_key``, in 128 bits: the second hash has a seed of its own."""
+    cols = [docs["doc_id"].cast("long"), *(docs[c].cast("string") for c in ("text", *others))]
+    return F.struct(row_key(docs, *others).alias("a"), F.xxhash64(F.lit(1), *cols, *(c.isNull() for c in cols)).alias("b"))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text of ``docs``, whatever other columns it has."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

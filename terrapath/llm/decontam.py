@@ -8,6 +8,7 @@ searches the set, and compares the words of each hit with the test's before it c
 
 from __future__ import annotations
 
+import functools
 from array import array
 from collections.abc import Iterator
 
@@ -16,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, row_key
+from ._common import materialize, wide_key
 
 WINDOW = 10
 #: About so many bytes of windows are broadcast at once, at so many bytes a window; more are scanned in blocks.
 MAX_BLOCK_BYTES, WINDOW_BYTES = 32 << 20, 64
+#: A window of more items than this is dealt to several rows of about so many, which may lie in different blocks; bytes that an item beyond the first counts for.
+MOST_ITEMS, ITEM_BYTES = 1_000, 16
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-RESULT = "doc_id long, k long, row long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+RESULT = "doc_id long, k struct<a:bigint,b:bigint>, row long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -135,16 +138,27 @@ def _grams(width: int):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, width: int, max_bytes: int) -> Iterator[Windows]:
-    """The distinct windows in blocks of about ``max_bytes``, one at a time on the driver; an empty one if there are none."""
+def _windows(benchmark: DataFrame, item_col: str, width: int, most_items: int) -> DataFrame:
+    """(gram, items): the distinct windows; one that very many items share has several rows, each with some of them."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("None")).alias("item"), F.col("text").cast("string").alias("text"))
-    found = items.mapInArrow(_grams(width), "gram binary, item string").groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = materialize(found, "windows")
-    blocks = max(1, -(-found.count() // max(1, max_bytes // WINDOW_BYTES)))
+    pairs = materialize(items.mapInArrow(_grams(width), "gram binary, item string"), "grams")
+    crowds = pairs.groupBy("gram").agg(F.ceil(F.count("*") / most_items).alias("parts")).filter("parts > 1")
+    dealt = pairs.join(crowds, "gram", "left").withColumn("part", F.pmod(F.xxhash64("item"), F.coalesce("parts", F.lit(1))))
+    return materialize(dealt.groupBy("gram", "part").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows")
+
+
+def _blocks(benchmark: DataFrame, item_col: str, width: int, max_bytes: int, most_items: int = MOST_ITEMS) -> Iterator[tuple[Windows, int]]:
+    """The windows in blocks of about ``max_bytes``, and how many blocks there are; an empty one if there are no windows.
+
+    The driver makes a block when it is asked for the next one, so it need not hold two.
+    """
+    found = _windows(benchmark, item_col, width, most_items)
+    size = found.agg(F.sum(F.lit(WINDOW_BYTES) + F.lit(ITEM_BYTES) * (F.size("items") - 1))).first()[0] or 0
+    blocks = max(1, -(-size // max(WINDOW_BYTES, max_bytes)))
     for i in range(blocks):
-        t = found.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == i).toArrow()
-        if t.num_rows or blocks == 1:
-            yield Windows(t.column("gram").to_pylist(), t.column("items").to_pylist())
+        t = found.filter(F.pmod(F.xxhash64("gram", "part"), F.lit(blocks)) == i).toArrow()
+        if t.num_rows or not i:
+            yield Windows(t.column("gram").to_pylist(), t.column("items").to_pylist()), blocks
 
 
 def _united(spans: Column) -> Column:
@@ -161,21 +175,28 @@ def _united(spans: Column) -> Column:
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, item_col: str, width: int, max_block: int) -> DataFrame:
-    """The rows of ``scan`` with their keys."""
+    """The rows of ``scan`` with their keys.
+
+    Of several blocks one is broadcast, its scan's hits are written, and it is given up before the next.
+    """
     sent = docs.sparkSession.sparkContext.broadcast
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("k"))
-    blobs = [sent(w) for w in _blocks(benchmark, item_col, width, max_block)]
-    if len(blobs) == 1:
-        return plain.withColumn("row", F.lit(0).cast("long")).mapInArrow(_scanner(blobs[0]), RESULT).drop("row")
-    rows = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "rows")  # the same number in every block's scan
-    both, *more = (rows.mapInArrow(_scanner(b), RESULT) for b in blobs)
-    for p in more:
-        both = both.unionByName(p.filter("n_hit > 0"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), wide_key(docs).alias("k"))
+    parts: list[DataFrame] = []
+    for windows, n in _blocks(benchmark, item_col, width, max_block):
+        blob = sent(windows)
+        if n == 1:
+            return plain.withColumn("row", F.lit(0).cast("long")).mapInArrow(_scanner(blob), RESULT).drop("row")
+        if not parts:
+            rows = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "rows")  # the same number in every block's scan
+        hits = rows.mapInArrow(_scanner(blob), RESULT)
+        parts.append(materialize(hits.filter("n_hit > 0") if parts else hits, "hits"))  # the first has a row for each document
+        blob.destroy()
+    both = functools.reduce(DataFrame.unionByName, parts)
     met = both.groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "k", "n_words")),
+        F.max("doc_id").alias("doc_id"), F.max("k").alias("k"), F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         _united(F.flatten(F.collect_list("spans"))).alias("spans"),
-    )
+    )
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return met.select("doc_id", "k", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
@@ -185,8 +206,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", width
 
     A null or empty text has no words and no hits; so has a null or empty item. An item of fewer than
     ``width`` words is one window. Repeated rows are scanned each; an empty benchmark hits nothing.
-    Other columns are not read. Test windows beyond about ``max_block`` bytes are scanned block by block
-    and the blocks' hits of a row are joined, so that what is broadcast stays bounded; the results are the same.
+    Other columns are not read. Test windows beyond about ``max_block`` bytes are scanned block by block, one
+    block being held at a time, and the blocks' hits of a row are joined, so that what is broadcast stays bounded; the
+    results are the same. A window that very many items share is dealt to several blocks.
     """
     return _scanned(docs, benchmark, item_col, width, max_block).drop("k")
 
@@ -206,4 +228,4 @@ def digest(scanned: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", width: int = WINDOW, max_block: int = MAX_BLOCK_BYTES) -> DataFrame:
     """``docs`` without the documents that hold a test window, with their columns; rows of repeated or null ids are told apart."""
     bad = _scanned(docs, benchmark, item_col, width, max_block).filter("n_hit > 0").select(F.col("k").alias("__bad"))
-    return docs.join(bad, row_key(docs) == F.col("__bad"), "left_anti")
+    return docs.join(bad, wide_key(docs) == F.col("__bad"), "left_anti")
