@@ -8,12 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import boxes_join
+from .spatial import EDGES as _EDGES
+from .spatial import box_counts
 
 #: Least zoom at which places are shown, and the number of places from which an answer isn't used for a smaller view (fixed values).
 LEAST_ZOOM, MANY = 10, 100
 _DECIDED = "session string, box_id long, action string, from_box long"
-_EDGES = ("south", "west", "north", "east")
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,10 +47,10 @@ def plan_views(views: DataFrame, sites: DataFrame) -> DataFrame:
     at least one and fewer than a hundred places and nothing was hidden since; else it is searched for. A view that lacks an edge holds nothing and lies in
     nothing. Views of a session are taken in the order of (ts, box_id); ids tell views apart, and those without a session are one.
 
-    The places of all views are counted by one box join. A session is then read in order by one task, which keeps one view of it at a time.
+    The places of all views are counted by one box join of distinct views. A session is then read in order by one task, which keeps one view of it at a time.
     """
-    box = views.select(F.col("box_id").cast("long").alias("box_id"), *(F.col(x).cast("double").alias(x) for x in _EDGES))
-    counts = boxes_join(box.dropna(), sites.select("id", "lon", "lat")).groupBy("box_id").agg(F.count("*").alias("n"))
+    box = views.select(*(F.col(x).cast("double").alias(x) for x in _EDGES))
+    counts = box_counts(box.dropna(), sites)
     named = views.select(F.coalesce(F.col("session").cast("string"), F.lit("")).alias("session"), "ts", F.col("zoom").cast("int").alias("zoom"), *(F.col(c).cast(t).alias(c) for c, t in (("box_id", "long"), *((x, "double") for x in _EDGES))))
-    counted = named.join(counts, "box_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = named.join(counts, list(_EDGES), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return counted.repartition("session").sortWithinPartitions("session", "ts", "box_id").mapInArrow(_decide, _DECIDED)
