@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
-from ..operators.spatial import boxes_join
+from ..operators.spatial import EDGES, boxes_join
 
 #: Cells along a side of the block whose nodes make up a piece.
 BLOCK = 16
@@ -82,12 +82,14 @@ def place_documents(boxes: DataFrame, sites: DataFrame, limit: int | None = None
     """
     most = max(1, min(MOST_PLACES, PLACES if limit is None else limit))
     metres = haversine_m((F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2, "lon", "lat")
-    near = boxes_join(boxes, sites).select("box_id", "id", "name", "lon", "lat", "kind", metres.alias("metres"))
-    kept = near.withColumn("k", F.row_number().over(Window.partitionBy("box_id").orderBy("metres", "id"))).filter(F.col("k") <= most)
+    # Of the sites of one place no box shows more than the first ones; boxes of equal edges share a document.
+    first = sites.withColumn("k", F.row_number().over(Window.partitionBy("lon", "lat").orderBy("id"))).filter(F.col("k") <= most).select("id", "name", "lon", "lat", "kind")
+    near = boxes_join(boxes.select(*EDGES).distinct(), first).withColumn("metres", metres)
+    kept = near.withColumn("k", F.row_number().over(Window.partitionBy(*EDGES).orderBy("metres", "id"))).filter(F.col("k") <= most)
     centre = _pair(F.round("lon", 3).cast("decimal(9,3)"), F.round("lat", 3).cast("decimal(9,3)"))
     place = F.struct("name", centre.alias("center"), F.col("kind").alias("additional_info"))
-    listed = kept.groupBy("box_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", place.alias("p")))), lambda x: x["p"]), _NULLS).alias("places"))
-    return boxes.select("box_id").distinct().join(listed, "box_id", "left").withColumn("places", F.coalesce("places", F.lit("[]")))
+    listed = kept.groupBy(*EDGES).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", place.alias("p")))), lambda x: x["p"]), _NULLS).alias("places"))
+    return boxes.select("box_id", *EDGES).distinct().join(listed, list(EDGES), "left").select("box_id", F.coalesce("places", F.lit("[]")).alias("places"))
 
 
 def stats_document(stores: dict[str, DataFrame], counters: dict[str, DataFrame]) -> DataFrame:
