@@ -82,9 +82,10 @@ def grid_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key of name and place per site, with the areas of the windows that hold it."""
-    pairs = S.boxes_join(I.windows(spark, sf_dir), I.sites(spark, sf_dir))
+    sites = I.sites(spark, sf_dir)
     key = F.concat_ws("_", "name", F.col("lon").cast("decimal(9,3)").cast("string"), F.col("lat").cast("decimal(9,3)").cast("string"))
-    return pairs.groupBy(key.alias("key")).agg(F.count("*").alias("n_windows"), F.round(F.min(G.bbox_area("south", "west", "north", "east")), 6).alias("least_area"))
+    held = sites.join(S.place_windows(I.windows(spark, sf_dir), sites), ["lon", "lat"])
+    return held.groupBy(key.alias("key")).agg(F.sum("n_windows").alias("n_windows"), F.round(F.min("least_area"), 6).alias("least_area"))
 
 
 QUERIES = (
