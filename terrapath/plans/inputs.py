@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Cells along one side of a derived elevation tile.
 SIDE = 32
+#: Derived tiles of a part, so that what a task holds of them does not grow with the table.
+PART_TILES = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +47,14 @@ WINDOWS = f"(SELECT s_suppkey AS box_id, {', '.join(_WINDOW)} FROM supplier)"
 
 
 def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tile, r, c, h): one square elevation tile per supplier, with voids."""
-    cells = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("i"))
+    """(tile, r, c, h): one square elevation tile per supplier, with voids, dealt by tile into parts of a bounded size.
+
+    Tiles are made by a join with the numbers of their cells, and not by exploding an array: Spark takes an explode for as small as
+    the table below it, and would send millions of cells to the driver and to all executors.
+    """
+    tiles = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tile"))
+    parts = max(spark.sparkContext.defaultParallelism, -(-tiles.count() // PART_TILES))
+    cells = tiles.repartition(parts, "tile").crossJoin(F.broadcast(spark.range(SIDE * SIDE).withColumnRenamed("id", "i")))
     return cells.selectExpr("tile", f"i div {SIDE} AS r0", f"i % {SIDE} AS c").selectExpr("tile", "cast(r0 AS int) AS r", "c", f"cast({_HEIGHT} AS int) AS h")
 
 
