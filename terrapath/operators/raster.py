@@ -139,7 +139,10 @@ def around(points: DataFrame, cells: DataFrame, side: int, across: int) -> DataF
     named = points.filter(high >= 0).select("id", "gr", "gc", "reach", F.explode(F.sequence(band(low), band(high))).alias("band"), columns.alias("tcs"))
     named = named.withColumn("tc", F.explode("tcs")).withColumn("tr", F.floor(F.col("band") / in_tile).cast("int")).withColumn("tile", (F.col("tr") * across + F.col("tc")).cast("long"))
     keyed = cells.select(F.col("tile").cast("long").alias("tile"), F.col("r").alias("cr"), F.col("c").alias("cc"), "h").withColumn("band", (F.floor(F.col("tile") / across) * in_tile + F.floor(F.col("cr") / BAND)).cast("int"))
-    met = named.join(keyed, ["tile", "band"])
+    if in_tile == 1:  # the band is the tile, and cells that are dealt by tile stay where they are
+        met = named.drop("band").join(keyed.drop("band").hint("merge"), "tile")
+    else:
+        met = named.join(keyed.hint("merge"), ["tile", "band"])
     r = F.col("tr") * side + F.col("cr") - F.col("gr") + F.col("reach")
     c = F.col("tc") * side + F.col("cc") - F.col("gc") + F.col("reach")
     inside = met.select("id", "reach", r.cast("int").alias("r"), c.cast("int").alias("c"), "h")

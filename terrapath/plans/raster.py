@@ -107,8 +107,11 @@ def dem_around_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window that each site's search can reach, over the borders of tiles: its cells, box and heights."""
     cells = _filled(spark, sf_dir)
     points = R.search_setup(_global_sites(spark, sf_dir), cells, I.SIDE, ACROSS, 1000.0, 0.125, 38.0, 6.0, 50.0)
-    near = R.around(points, cells, I.SIDE, ACROSS)
-    return near.groupBy("id").agg(F.count("*").alias("n"), F.sum("h").alias("sum_h"), *(f(x).alias(f"{x}_{n}") for x in ("r", "c", "h") for n, f in (("min", F.min), ("max", F.max))))
+    # Sites of one cell and reach see the same window, which is made once.
+    window = F.struct("gr", "gc", "reach")
+    near = R.around(points.select("gr", "gc", "reach").distinct().withColumn("id", window), cells, I.SIDE, ACROSS)
+    seen = near.groupBy("id").agg(F.count("*").alias("n"), F.sum("h").alias("sum_h"), *(f(x).alias(f"{x}_{n}") for x in ("r", "c", "h") for n, f in (("min", F.min), ("max", F.max))))
+    return points.select("id", "gr", "gc", "reach").join(seen.select("id.gr", "id.gc", "id.reach", *seen.columns[1:]), ["gr", "gc", "reach"]).select("id", *seen.columns[1:])
 
 
 def dem_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
