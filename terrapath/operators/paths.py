@@ -47,11 +47,11 @@ def backtrace(tree: DataFrame, targets: DataFrame, most_steps: int | None = None
 
 
 def backtrace_sql(tree: DataFrame, targets: DataFrame) -> DataFrame:
-    """The same as a recursive query: one plan, whatever the depth (Spark bounds it at 100 levels)."""
+    """The same as a recursive query: one plan, whatever the depth (Spark bounds it at 100 levels) and, by LIMIT ALL, whatever the number of rows."""
     spark = tree.sparkSession
     return spark.sql(
         """WITH RECURSIVE walk AS (SELECT id AS target, 0 AS depth, id FROM {targets}
-        UNION ALL SELECT w.target, w.depth + 1, t.parent FROM walk w JOIN {tree} t ON w.id = t.id WHERE t.parent IS NOT NULL) SELECT target, depth, id FROM walk""",
+        UNION ALL SELECT w.target, w.depth + 1, t.parent FROM walk w JOIN {tree} t ON w.id = t.id WHERE t.parent IS NOT NULL) SELECT target, depth, id FROM walk LIMIT ALL""",
         tree=tree.select("id", "parent"),
         targets=targets.select("id"),
     )

@@ -25,3 +25,15 @@ def test_parts_of_tiles_are_bounded(spark, tmp_path):
     filled = raster.fill_voids(inputs.dem(spark, str(tmp_path)), ("tile",))
     most = filled.groupBy(F.spark_partition_id()).agg(F.countDistinct("tile").alias("n")).agg(F.max("n")).first()[0]
     assert most <= 2 * inputs.PART_TILES
+
+
+def test_recursion_has_no_limit_of_rows(spark):
+    tree = spark.range(1, 600).select("id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).cast("long").alias("parent"))
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        got = paths.backtrace_sql(tree, tree.select("id")).groupBy("target").count().agg(F.sum("count")).first()[0]
+    finally:
+        spark.conf.set(name, before)
+    assert got == sum(k.bit_length() for k in range(1, 600))
