@@ -185,10 +185,30 @@ def _source(t: str, n_new: str, n_old: str) -> Column:
 
 
 def grid_heights(metas: DataFrame, cells: DataFrame, side: int, across: int) -> DataFrame:
-    """(request_id, r, c, h): the heights of ``grids``; where there is no tile there are no cells. As many rows meet the tiles as come out."""
-    lines = metas.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
-    at = lines.select("request_id", F.col("r").alias("to_r"), F.col("c").alias("to_c"), (F.col("r0") + _source("r", "rows", "n_r")).alias("gr"), (F.col("c0") + _source("c", "cols", "n_c")).alias("gc"))
-    return lookup_cells(at, cells, side, across).select("request_id", F.col("to_r").alias("r"), F.col("to_c").alias("c"), F.col("ground").alias("h"))
+    """(request_id, r, c, h): the heights of ``grids``; where there is no tile there are no cells.
+
+    A grid meets each tile that it touches once, and tells for the tile's rows and columns which of its own lines take them. Cells stay where they are, and
+    no row per cell of a grid is moved.
+    """
+
+    def lines(n_new: str, n_old: str, first: str, tile: str) -> Column:
+        """Of each row or column of a tile the line of the grid that takes it, or null."""
+        step = (F.col(n_old) - 1) / F.greatest(F.col(n_new) - 1, F.lit(1))
+
+        def taker(i: Column) -> Column:
+            old = F.col(tile) * side + i - F.col(first)
+            guess = F.floor(F.coalesce(F.try_divide(old.cast("double"), step), F.lit(0.0))).cast("int")
+            near = (F.greatest(F.lit(0), F.least(F.col(n_new) - 1, guess + d)) for d in (0, 1, -1))
+            return F.coalesce(*(F.when(F.round(x * step).cast("int") == old, x) for x in near))  # lines lie one cell apart or more
+
+        return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), taker)
+
+    down, right = (F.explode(F.sequence(F.floor(F.col(x) / side).cast("int"), F.floor((F.col(x) + F.col(n) - 1) / side).cast("int"))) for x, n in (("r0", "n_r"), ("c0", "n_c")))
+    touched = metas.select("request_id", "rows", "cols", "r0", "c0", "n_r", "n_c", down.alias("tr")).withColumn("tc", right)
+    named = touched.select("request_id", (F.col("tr") * across + F.col("tc")).cast("long").alias("tile"), lines("rows", "n_r", "r0", "tr").alias("to_r"), lines("cols", "n_c", "c0", "tc").alias("to_c"))
+    met = named.join(cells.select(F.col("tile").cast("long").alias("tile"), F.col("r").alias("cr"), F.col("c").alias("cc"), "h").hint("merge"), "tile")
+    r, c = F.get("to_r", F.col("cr")), F.get("to_c", F.col("cc"))
+    return met.filter(r.isNotNull() & c.isNotNull()).select("request_id", r.alias("r"), c.alias("c"), "h")
 
 
 def grid_metadata(metas: DataFrame, heights: DataFrame) -> DataFrame:

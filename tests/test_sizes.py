@@ -37,3 +37,31 @@ def test_recursion_has_no_limit_of_rows(spark):
     finally:
         spark.conf.set(name, before)
     assert got == sum(k.bit_length() for k in range(1, 600))
+
+
+def test_grids_move_no_row_per_cell(spark):
+    """The cells of a grid come out of a join of tiles: what goes into it is a row per grid and tile."""
+    metas = plans._grids(spark, SF)
+    heights = Q.grid_heights(metas, raster.fill_voids(inputs.dem(spark, SF), ("tile",)), inputs.SIDE, plans.ACROSS)
+    assert "Generate explode(sequence(0, (rows" not in _plan(heights)
+    assert "strategy=merge" in _plan(heights)
+
+
+def test_thinned_grids_take_the_nearest_lines(spark):
+    """Every grid of any thinning against the lines of its definition, half of a cell rounded up."""
+    side, across = 4, 3
+    cells = spark.range(12).crossJoin(spark.range(side * side).withColumnRenamed("id", "i")).selectExpr("id AS tile", f"cast(i div {side} AS int) AS r", f"cast(i % {side} AS int) AS c", "cast(id * 100 + i AS int) AS h")
+    shapes = [(k, rows, cols, r0, c0, n_r, n_c) for k, (rows, cols, r0, c0, n_r, n_c) in enumerate([(1, 1, 5, 6, 1, 1), (2, 3, 0, 0, 7, 5), (5, 4, 3, 2, 9, 10), (9, 10, 3, 2, 9, 10), (4, 1, 1, 1, 7, 3), (3, 6, 0, 1, 16, 11)])]
+    metas = spark.createDataFrame(shapes, "request_id long, rows int, cols int, r0 int, c0 int, n_r int, n_c int")
+    got = sorted(tuple(x) for x in Q.grid_heights(metas, cells, side, across).collect())
+
+    def old(t, n_new, n_old):
+        return int(t * ((n_old - 1) / max(n_new - 1, 1)) + 0.5)
+
+    want = []
+    for k, rows, cols, r0, c0, n_r, n_c in shapes:
+        for r in range(rows):
+            for c in range(cols):
+                gr, gc = r0 + old(r, rows, n_r), c0 + old(c, cols, n_c)
+                want.append((k, r, c, (gr // side * across + gc // side) * 100 + gr % side * side + gc % side))
+    assert got == sorted(want)
