@@ -72,7 +72,7 @@ def request_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_grid_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each grid's shape, cell sizes, middle and box."""
     metas = _grids(spark, sf_dir)
-    found = Q.grid_metadata(metas, Q.grid_heights(metas, _filled(spark, sf_dir), I.SIDE, ACROSS))
+    found = Q.grid_metadata(metas, Q.middle_heights(metas, _filled(spark, sf_dir), I.SIDE, ACROSS))
     return found.select(*(c for c in found.columns if c not in ("south", "west", "north", "east")), *(F.round(c, 6).alias(c) for c in ("south", "west", "north", "east")))
 
 

@@ -65,3 +65,11 @@ def test_thinned_grids_take_the_nearest_lines(spark):
                 gr, gc = r0 + old(r, rows, n_r), c0 + old(c, cols, n_c)
                 want.append((k, r, c, (gr // side * across + gc // side) * 100 + gr % side * side + gc % side))
     assert got == sorted(want)
+
+
+def test_metadata_looks_up_the_middle_alone(spark):
+    metas, cells = plans._grids(spark, SF), raster.fill_voids(inputs.dem(spark, SF), ("tile",))
+    whole = Q.grid_metadata(metas, Q.grid_heights(metas, cells, inputs.SIDE, plans.ACROSS))
+    middle = Q.middle_heights(metas, cells, inputs.SIDE, plans.ACROSS)
+    assert middle.count() <= metas.count()
+    assert sorted(map(tuple, Q.grid_metadata(metas, middle).collect())) == sorted(map(tuple, whole.collect()))
