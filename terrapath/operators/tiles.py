@@ -34,6 +34,19 @@ def coverage(windows: DataFrame, zooms: Column) -> DataFrame:
     return ranges.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1"))).select("box_id", "zoom", "x", "y")
 
 
+def tiles(windows: DataFrame, zooms: Column) -> DataFrame:
+    """(zoom, x, y): the tiles of all windows, once each; windows of equal ranges are listed once."""
+    ranges = tile_range(windows, zooms).select("zoom", "x0", "x1", "y0", "y1").distinct()
+    return ranges.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1"))).select("zoom", "x", "y").distinct()
+
+
+def shapes(windows: DataFrame, zooms: Column) -> DataFrame:
+    """``windows`` with ``shape``, the least box_id of those with the same edges and zooms: they want the same tiles."""
+    same = ["south", "west", "north", "east", "zooms"]
+    of = windows.withColumn("zooms", F.to_json(zooms))
+    return of.join(of.groupBy(*same).agg(F.min("box_id").alias("shape")), same).drop("zooms")
+
+
 def request_margins(windows: DataFrame) -> DataFrame:
     """Adds ``margins``: metres around a window's centre that are asked for, one attempt after the other.
 

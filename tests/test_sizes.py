@@ -1,8 +1,10 @@
 """Steps whose plans must hold at any size: no cells sent to the driver, no limit on rows, parts that grow in number and not in size."""
 
+import inspect
+
 from pyspark.sql import functions as F
 
-from terrapath.operators import paths, raster
+from terrapath.operators import paths, raster, reach, tiles
 from terrapath.operators import requests as Q
 from terrapath.plans import inputs
 from terrapath.plans import requests as plans
@@ -14,6 +16,18 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_recursion_has_no_limit_of_rows(spark):
+    tree = spark.range(1, 600).select("id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).cast("long").alias("parent"))
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        got = paths.backtrace_sql(tree, tree.select("id")).groupBy("target").count().agg(F.sum("count")).first()[0]
+    finally:
+        spark.conf.set(name, before)
+    assert got == sum(k.bit_length() for k in range(1, 600))
+
+
 def test_cells_are_not_taken_for_few(spark):
     stats = inputs.dem(spark, SF)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cells = inputs.dem(spark, SF).count()
@@ -27,18 +41,6 @@ def test_parts_of_tiles_are_bounded(spark, tmp_path):
     assert most <= 2 * inputs.PART_TILES
 
 
-def test_recursion_has_no_limit_of_rows(spark):
-    tree = spark.range(1, 600).select("id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).cast("long").alias("parent"))
-    name = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "1000")
-    try:
-        got = paths.backtrace_sql(tree, tree.select("id")).groupBy("target").count().agg(F.sum("count")).first()[0]
-    finally:
-        spark.conf.set(name, before)
-    assert got == sum(k.bit_length() for k in range(1, 600))
-
-
 def test_grids_move_no_row_per_cell(spark):
     """The cells of a grid come out of a join of tiles: what goes into it is a row per grid and tile."""
     metas = plans._grids(spark, SF)
@@ -73,3 +75,38 @@ def test_metadata_looks_up_the_middle_alone(spark):
     middle = Q.middle_heights(metas, cells, inputs.SIDE, plans.ACROSS)
     assert middle.count() <= metas.count()
     assert sorted(map(tuple, Q.grid_metadata(metas, middle).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_margins_of_paths_from_their_legs(spark):
+    tree = spark.range(1, 40).selectExpr("id", "CASE WHEN id > 1 THEN id div 2 END AS parent", "id * 31 % 97 AS dist", "cast(id * 7 % 11 AS int) AS r", "cast(id * 5 % 13 AS int) AS c", "cast(300 - id AS double) AS h")
+    ground = spark.range(11 * 13).selectExpr("cast(id div 13 AS int) AS r", "cast(id % 13 AS int) AS c", "cast(id * 17 % 200 AS int) AS ground")
+    path, of_legs = paths.backtrace(tree, tree.filter("id >= 20").select("id")), paths.series(paths.legs(tree), ground, 120.0, 10.0)
+    whole = paths.margin_violations(paths.along(path, of_legs), 120.0, 10.0)
+    found = paths.worst_of_legs(paths.along(path, paths.margin_violations(of_legs, 120.0, 10.0, "id")))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+    assert any(r["first_in_margin"] is not None for r in found.collect())
+
+
+def test_tiles_of_equal_windows_are_listed_once(spark):
+    windows = inputs.windows(spark, SF)
+    copies = windows.unionByName(windows.withColumn("box_id", F.col("box_id") + 100))
+    zooms = F.array(F.lit(9), F.lit(12))
+    ranges = tiles.tile_range(windows, zooms).select("zoom", "x0", "x1", "y0", "y1").distinct().count()
+    assert tiles.tile_range(copies, zooms).select("zoom", "x0", "x1", "y0", "y1").distinct().count() == ranges
+    want = tiles.coverage(copies, zooms).select("zoom", "x", "y").distinct()
+    got = tiles.tiles(copies, zooms)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Aggregate [zoom" in _plan(got).split("explode(sequence(x0")[1]  # ranges are made distinct below
+
+
+def test_windows_of_equal_tiles_share_a_shape(spark):
+    windows = inputs.windows(spark, SF)
+    copies = windows.unionByName(windows.withColumn("box_id", F.col("box_id") + 100))
+    got = {r["box_id"]: r["shape"] for r in tiles.shapes(copies, F.array(F.lit(9))).select("box_id", "shape").collect()}
+    assert all(got[b + 100] == got[b] for b in got if b < 100) and len(got) == 2 * windows.count()
+
+
+def test_ground_is_joined_last(spark):
+    """In the join of a round of the reach, ground comes after the rims, so it is not moved once per search."""
+    source = inspect.getsource(reach.reach)
+    assert source.index(".join(at, key") < source.index(".join(blocks,")
