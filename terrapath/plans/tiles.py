@@ -30,23 +30,24 @@ def tile_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tile_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The addresses of all tiles of the windows' own zooms, once each."""
-    return T.urls(T.coverage(I.windows(spark, sf_dir), _zooms()))
+    return T.urls(T.tiles(I.windows(spark, sf_dir), _zooms()))
 
 
 def missing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted tiles that are not stored: stored are those with an even sum of numbers."""
-    wanted = T.coverage(I.windows(spark, sf_dir), _zooms()).select("zoom", "x", "y").distinct()
+    wanted = T.tiles(I.windows(spark, sf_dir), _zooms())
     stored = wanted.filter((F.col("x") + F.col("y")) % 2 == 0)
     return wanted.join(stored, ["zoom", "x", "y"], "left_anti")
 
 
 def download_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending downloads of all windows, where the tiles of every third one are stored."""
-    windows = I.windows(spark, sf_dir)
-    wanted = T.coverage(windows, _zooms())
+    windows = T.shapes(I.windows(spark, sf_dir), _zooms())
+    wanted = T.coverage(windows.filter("box_id = shape"), _zooms()).withColumnRenamed("box_id", "shape")
     now = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    jobs = windows.select("box_id", F.lit("pending").alias("status"), (now - F.make_dt_interval(mins=F.col("box_id").cast("int"))).alias("updated_at"))
-    return P.settle(jobs, wanted, wanted.filter("box_id % 3 = 0"), "box_id", ["zoom", "x", "y"], now).select("box_id", "n_wanted", "n_stored", "status")
+    jobs = windows.select("box_id", "shape", F.lit("pending").alias("status"), (now - F.make_dt_interval(mins=F.col("box_id").cast("int"))).alias("updated_at"))
+    stored = T.tiles(windows.filter("box_id % 3 = 0"), _zooms())
+    return P.settle(jobs, wanted, stored, "shape", ["zoom", "x", "y"], now).select("box_id", "n_wanted", "n_stored", "status")
 
 
 def fetch_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
