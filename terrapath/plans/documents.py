@@ -76,7 +76,7 @@ def _provider_cache(spark: SparkSession, sf_dir: str, factor: int, zooms: int) -
 
 def provider_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tile of the windows in every layer, from the layer's own caches, else the path to fetch it from."""
-    wanted = T.coverage(I.windows(spark, sf_dir), _zooms()).select(F.explode(F.array(*(F.lit(n) for n, *_ in T.LAYERS))).alias("provider"), "zoom", "x", "y")
+    wanted = T.tiles(I.windows(spark, sf_dir), _zooms()).select(F.explode(F.array(*(F.lit(n) for n, *_ in T.LAYERS))).alias("provider"), "zoom", "x", "y")
     return T.proxied(wanted, [_provider_cache(spark, sf_dir, 7, 3), _provider_cache(spark, sf_dir, 11, 7)])
 
 
