@@ -223,7 +223,7 @@ def reach(cells: DataFrame, starts: DataFrame, side: int, across: int, cell_m: f
     rounds: list[DataFrame] = []
     while True:
         at = rims.join(touched, key, "left_semi").groupBy(key).agg(F.collect_list("rim").alias("rims"))  # eight at most
-        asked = touched.join(searches, "search_id").join(blocks, ["br", "bc"]).join(at, key, "left")
+        asked = touched.join(searches, "search_id").join(at, key, "left").join(blocks, ["br", "bc"])  # ground last: it is not moved with each search
         with arrow_batches(spark, 32):
             fresh = written(asked.mapInArrow(_solver(block, cell_m), f"search_id long, br int, bc int, cells {_CELLS}"), "solved")
         rounds.append(fresh.withColumn("round", F.lit(len(rounds))))
