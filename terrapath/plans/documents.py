@@ -25,8 +25,9 @@ def cone_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def height_map_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of each request's height map, a row of cells a piece."""
     metas = _grids(spark, sf_dir)
-    heights = Q.grid_heights(metas, _filled(spark, sf_dir), I.SIDE, ACROSS)
-    found = Q.grid_metadata(metas, heights)
+    cells = _filled(spark, sf_dir)
+    heights = Q.grid_heights(metas, cells, I.SIDE, ACROSS)
+    found = Q.grid_metadata(metas, Q.middle_heights(metas, cells, I.SIDE, ACROSS))
     exact = {x: F.round(x, 6).cast("decimal(9,6)") for x in ("south", "west", "north", "east")}
     return D.height_map_pieces(found.withColumns(exact), heights)
 
