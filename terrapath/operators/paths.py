@@ -95,18 +95,23 @@ def series(samples: DataFrame, ground: DataFrame, margin: float, start_distance:
 
     Samples without known ground are left out. The floor is null before ``start_distance`` and without a margin.
     """
-    known = samples.join(ground.select("r", "c", "ground"), ["r", "c"])
+    known = samples.join(ground.select("r", "c", "ground").hint("merge"), ["r", "c"])
     floor = F.when((F.col("dist") >= start_distance) & F.lit(margin > 0), F.col("h") - margin)
     return known.withColumn("agl", F.col("h") - F.col("ground")).withColumn("floor", floor)
 
 
-def margin_violations(series: DataFrame, margin: float, start_distance: float) -> DataFrame:
-    """Per path the range of its heights above ground and the distance of the first sample in the margin, or null.
+def margin_violations(series: DataFrame, margin: float, start_distance: float, by: str = "target") -> DataFrame:
+    """Per path, or per leg by its ``id``, the range of its heights above ground and the distance of the first sample in the margin, or null.
 
     ``TOLERANCE`` metres in the margin don't count yet.
     """
     bad = (F.col("h") - margin + TOLERANCE < F.col("ground")) & (F.col("dist") >= start_distance)
-    return series.groupBy("target").agg(F.min("agl").alias("agl_min"), F.max("agl").alias("agl_max"), F.min(F.when(bad, F.col("dist"))).alias("first_in_margin"))
+    return series.groupBy(by).agg(F.min("agl").alias("agl_min"), F.max("agl").alias("agl_max"), F.min(F.when(bad, F.col("dist"))).alias("first_in_margin"))
+
+
+def worst_of_legs(violations: DataFrame) -> DataFrame:
+    """``margin_violations`` of each path from those of its legs (target, ...)."""
+    return violations.groupBy("target").agg(F.min("agl_min").alias("agl_min"), F.max("agl_max").alias("agl_max"), F.min("first_in_margin").alias("first_in_margin"))
 
 
 def reduced_stream(nodes: DataFrame) -> DataFrame:

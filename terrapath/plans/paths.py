@@ -40,20 +40,22 @@ def path_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.profile(path, I.tree(spark, sf_dir)).select("target", "depth", "i", "r", "c", F.round("h", 6).alias("h"))
 
 
-def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = P.backtrace(I.tree(spark, sf_dir), _targets(spark, sf_dir))
+def _leg_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each node's leg with the ground below them."""
     ground = R.mosaic(R.fill_voids(I.dem(spark, sf_dir), ("tile",)), I.SIDE, 5).select(F.col("gr").alias("r"), F.col("gc").alias("c"), F.col("h").alias("ground"))
-    return P.along(path, P.series(P.legs(I.tree(spark, sf_dir)), ground, MARGIN, START))
+    return P.series(P.legs(I.tree(spark, sf_dir)), ground, MARGIN, START)
 
 
 def path_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of each path with the ground below them, on tiles laid side by side in rows of five."""
-    return _series(spark, sf_dir).select("target", "depth", "i", "ground", *(F.round(x, 6).alias(x) for x in ("dist", "agl", "floor")))
+    found = P.along(P.backtrace(I.tree(spark, sf_dir), _targets(spark, sf_dir)), _leg_series(spark, sf_dir))
+    return found.select("target", "depth", "i", "ground", *(F.round(x, 6).alias(x) for x in ("dist", "agl", "floor")))
 
 
 def path_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each path first comes into the margin above ground."""
-    found = P.margin_violations(_series(spark, sf_dir), MARGIN, START)
+    """Where each path first comes into the margin above ground: its legs are looked at once each, whatever paths take them."""
+    legs = P.margin_violations(_leg_series(spark, sf_dir), MARGIN, START, "id")
+    found = P.worst_of_legs(P.along(P.backtrace(I.tree(spark, sf_dir), _targets(spark, sf_dir)), legs))
     return found.select("target", *(F.round(x, 6).alias(x) for x in ("agl_min", "agl_max", "first_in_margin")))
 
 
