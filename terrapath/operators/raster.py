@@ -99,10 +99,13 @@ def lookup_tiles(points: DataFrame, cells: DataFrame, side: int, across: int, bo
 
 
 def lookup_cells(points: DataFrame, cells: DataFrame, side: int, across: int) -> DataFrame:
-    """``points`` (id, gr, gc: a cell of the whole mosaic) with the height ``ground`` of their cell."""
+    """``points`` (id, gr, gc: a cell of the whole mosaic) with the height ``ground`` of their cell.
+
+    Neither side is broadcast: Spark takes points that come from files for as small as these, which compress well.
+    """
     tile = F.floor(F.col("gr") / side) * across + F.floor(F.col("gc") / side)
     keyed = points.withColumns({"tile": tile.cast("long"), "r": F.pmod("gr", F.lit(side)).cast("int"), "c": F.pmod("gc", F.lit(side)).cast("int")})
-    return keyed.join(cells.select(F.col("tile").cast("long").alias("tile"), "r", "c", F.col("h").alias("ground")), ["tile", "r", "c"]).drop("tile", "r", "c")
+    return keyed.join(cells.select(F.col("tile").cast("long").alias("tile"), "r", "c", F.col("h").alias("ground")).hint("merge"), ["tile", "r", "c"]).drop("tile", "r", "c")
 
 
 def search_setup(points: DataFrame, cells: DataFrame, side: int, across: int, cell_m: float, glide: float, trim: float, wind: float, additional: float) -> DataFrame:

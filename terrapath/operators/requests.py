@@ -86,7 +86,7 @@ def search_once(requests: DataFrame, cells: DataFrame, side: int, across: int, c
     """
     spark = cells.sparkSession
     asked = parameters(requests).drop("request_id").dropDuplicates(["key"])
-    fresh = written(asked.join(stored_searches(spark, store), "key", "left_anti"), "asked")
+    fresh = written(asked.join(stored_searches(spark, store).hint("merge"), "key", "left_anti"), "asked")
     count = fresh.count()
     if not count:
         return 0
@@ -94,7 +94,7 @@ def search_once(requests: DataFrame, cells: DataFrame, side: int, across: int, c
     named = written(numbered(fresh, ["key"], "search_id"), "asked")
     ground = lookup_cells(named.select("search_id", "gr", "gc"), cells, side, across).select("search_id", F.col("ground").cast("double").alias("ground"))
     height = F.greatest(F.coalesce("start_height", F.col("ground") + F.col("additional_height")), F.col("ground"))
-    starts = written(named.join(ground, "search_id", "left").withColumn("height", F.when(F.col("ground").isNotNull(), height)), "starts")
+    starts = written(named.join(ground.hint("merge"), "search_id", "left").withColumn("height", F.when(F.col("ground").isNotNull(), height)), "starts")
     reach(cells, starts, side, across, cell_m).write.parquet(f"{store}/nodes/batch={batch}")
     starts.withColumn("batch", F.lit(batch)).selectExpr(*(c.split()[0] for c in _SEARCHES.split(", "))).write.mode("append").parquet(f"{store}/searches")
     return count
@@ -103,7 +103,7 @@ def search_once(requests: DataFrame, cells: DataFrame, side: int, across: int, c
 def _answers(requests: DataFrame, store: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests with their search, the searches with the box of what they reach, and its nodes."""
     spark = requests.sparkSession
-    found = parameters(requests).select("request_id", "key").join(stored_searches(spark, store), "key").drop("key")
+    found = parameters(requests).select("request_id", "key").join(stored_searches(spark, store).hint("merge"), "key").drop("key")
     wanted = found.select("batch", "search_id").distinct()
     nodes = stored_nodes(spark, store).join(wanted, ["batch", "search_id"], "left_semi")
     boxes = nodes.groupBy("batch", "search_id").agg(F.count("*").alias("n"), *(f(x).alias(f"{n}_{x}") for x in ("gr", "gc") for n, f in (("min", F.min), ("max", F.max))))

@@ -109,3 +109,22 @@ def test_ground_is_joined_last(spark):
     """In the join of a round of the reach, ground comes after the rims, so it is not moved once per search."""
     source = inspect.getsource(reach.reach)
     assert source.index(".join(at, key") < source.index(".join(blocks,")
+
+
+def test_searches_broadcast_no_table_that_grows(spark, tmp_path, monkeypatch):
+    """Files are no measure of the rows in them: ground, rims and searches of the rounds, and nodes that are looked up, meet by merge."""
+    plans_of, real = {}, reach.written
+
+    def recorded(df, name):
+        plans_of.setdefault(name, []).append(_plan(df))
+        return real(df, name)
+
+    monkeypatch.setattr(reach, "written", recorded)
+    asked, cells = plans._requests(spark, SF), raster.fill_voids(inputs.dem(spark, SF), ("tile",))
+    Q.search_once(asked, cells, inputs.SIDE, plans.ACROSS, plans.CELL_M, str(tmp_path / "store"))
+    assert all(p.count("strategy=merge") == p.count("Join ") for name in ("solved", "rims") for p in plans_of[name][1:]) and len(plans_of["solved"]) > 1
+    assert "strategy=merge" in plans_of["reach"][0]
+    _, boxes, nodes = Q._answers(asked, str(tmp_path / "store"))
+    top = _plan(raster.lookup_cells(nodes.select("search_id", "gr", "gc"), cells, inputs.SIDE, plans.ACROSS)).split("Join ")[1].splitlines()[0]
+    assert "rightHint=(strategy=merge)" in top, top
+    assert "strategy=merge" in _plan(boxes)  # requests meet searches by their long keys
