@@ -1,4 +1,7 @@
-"""Trees of path nodes: back-traces, profiles, delta coding and chunks."""
+"""Trees of path nodes: back-traces, profiles, delta coding and chunks.
+
+Joins of nodes are by merge: Spark takes nodes and jumps for as small as their files, which compress well, and would broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -21,11 +24,11 @@ def _jumps(tree: DataFrame, targets: DataFrame) -> list[DataFrame]:
     out: list[DataFrame] = []
     while not jump.isEmpty():
         if 1 << len(out) > nodes:  # no path has so many legs
-            if not targets.join(jump, targets["id"] == jump["at"], "left_semi").isEmpty():
+            if not targets.join(jump.hint("merge"), targets["id"] == jump["at"], "left_semi").isEmpty():
                 raise ValueError("a path has a cycle")
             break
         out.append(jump)
-        upper = jump.select(F.col("at").alias("to"), F.col("to").alias("top"))
+        upper = jump.select(F.col("at").alias("to"), F.col("to").alias("top")).hint("merge")
         jump = written(jump.join(upper, "to").select("at", F.col("top").alias("to")), "jumps")
     return out
 
@@ -39,7 +42,7 @@ def backtrace(tree: DataFrame, targets: DataFrame, most_steps: int | None = None
     """
     path = targets.select(F.col("id").alias("target"), F.lit(0).alias("depth"), "id")
     for k, jump in enumerate(_jumps(tree, targets)):
-        above = path.join(jump, path["id"] == jump["at"]).select("target", (F.col("depth") + (1 << k)).alias("depth"), F.col("to").alias("id"))
+        above = path.join(jump.hint("merge"), path["id"] == jump["at"]).select("target", (F.col("depth") + (1 << k)).alias("depth"), F.col("to").alias("id"))
         path = written(path.unionByName(above), "paths")
     if most_steps is not None and not path.filter(F.col("depth") > most_steps).isEmpty():
         raise ValueError(f"a path has more than {most_steps} legs")
@@ -63,7 +66,7 @@ def profile(path: DataFrame, nodes: DataFrame) -> DataFrame:
     Height falls and distance grows linearly along a leg.
     """
     values = ("r", "c", "h", "dist")
-    at = path.join(nodes.select("id", *values), "id")
+    at = path.join(nodes.select("id", *values).hint("merge"), "id")
     legs = Window.partitionBy("target").orderBy(F.desc("depth"))
     pairs = at.select("target", "depth", *values, *(F.lead(x).over(legs).alias(f"{x}2") for x in values)).filter("r2 is not null")
     n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.pow(F.col("r2") - F.col("r"), 2) + F.pow(F.col("c2") - F.col("c"), 2)))).cast("int")
@@ -76,7 +79,7 @@ def profile(path: DataFrame, nodes: DataFrame) -> DataFrame:
 def legs(tree: DataFrame) -> DataFrame:
     """(id, i, r, c, h, dist): the samples of ``profile`` of each node's leg from its parent, once, whatever paths take it."""
     values = ("r", "c", "h", "dist")
-    up = tree.select(F.col("id").alias("parent"), *(F.col(x).alias(f"{x}1") for x in values))
+    up = tree.select(F.col("id").alias("parent"), *(F.col(x).alias(f"{x}1") for x in values)).hint("merge")
     pairs = tree.select("id", "parent", *values).join(up, "parent")
     n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.pow(F.col("r") - F.col("r1"), 2) + F.pow(F.col("c") - F.col("c1"), 2)))).cast("int")
     steps = pairs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -87,7 +90,7 @@ def legs(tree: DataFrame) -> DataFrame:
 
 def along(path: DataFrame, of_legs: DataFrame) -> DataFrame:
     """What is known of each leg (id, ...), for each path (target, depth, id) that takes it; depth is that of the leg's upper end."""
-    return path.select("target", (F.col("depth") + 1).alias("depth"), "id").join(of_legs, "id").drop("id")
+    return path.select("target", (F.col("depth") + 1).alias("depth"), "id").join(of_legs.hint("merge"), "id").drop("id")
 
 
 def series(samples: DataFrame, ground: DataFrame, margin: float, start_distance: float) -> DataFrame:
@@ -120,11 +123,11 @@ def reduced_stream(nodes: DataFrame) -> DataFrame:
     (pos, chunk, id, parent): parent is null where it equals the row's before. Without a parent the distance
     is -1. Rows of one parent lie together, so a row repeats it unless it is the parent's first.
     """
-    far = nodes.select(F.col("id").alias("parent"), F.col("dist").alias("parent_dist"))
+    far = nodes.select(F.col("id").alias("parent"), F.col("dist").alias("parent_dist")).hint("merge")
     rows = nodes.select("id", "parent", "dist").join(far, "parent", "left")
     rows = rows.select("id", "parent", "dist", F.coalesce("parent_dist", F.lit(-1)).alias("parent_dist"), F.coalesce("parent", F.lit(-1)).alias("key"))
     first = rows.groupBy("key").agg(F.min(F.struct("dist", "id")).alias("first"))
-    placed = numbered(rows.join(first, "key"), ["parent_dist", "key", "dist", "id"], "pos")
+    placed = numbered(rows.join(first.hint("merge"), "key"), ["parent_dist", "key", "dist", "id"], "pos")
     shown = F.when(F.struct("dist", "id") == F.col("first"), F.col("parent"))
     return placed.select("pos", F.floor(F.col("pos") / CHUNK_ROWS).cast("int").alias("chunk"), "id", shown.alias("parent"))
 

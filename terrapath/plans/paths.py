@@ -23,7 +23,7 @@ ACROSS = 5
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaves of the tree."""
     tree = I.tree(spark, sf_dir)
-    return tree.join(tree.select(F.col("parent").alias("id")).distinct(), "id", "left_anti").select("id")
+    return tree.join(tree.select(F.col("parent").alias("id")).distinct().hint("merge"), "id", "left_anti").select("id")
 
 
 def path_backtrace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def profile_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range of each path's heights, the compass sector of its last leg and its length for display."""
     tree = I.tree(spark, sf_dir)
     path = P.backtrace(tree, _targets(spark, sf_dir))
-    at = path.join(tree.select("id", "r", "c", "h", "dist"), "id")
+    at = path.join(tree.select("id", "r", "c", "h", "dist").hint("merge"), "id")
     last = at.groupBy("target").agg(
         F.min("h").alias("h_min"), F.max("h").alias("h_max"), F.max("depth").alias("legs"),
         *(F.min_by(x, "depth").alias(f"{x}0") for x in ("r", "c", "dist")),

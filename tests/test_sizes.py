@@ -128,3 +128,20 @@ def test_searches_broadcast_no_table_that_grows(spark, tmp_path, monkeypatch):
     top = _plan(raster.lookup_cells(nodes.select("search_id", "gr", "gc"), cells, inputs.SIDE, plans.ACROSS)).split("Join ")[1].splitlines()[0]
     assert "rightHint=(strategy=merge)" in top, top
     assert "strategy=merge" in _plan(boxes)  # requests meet searches by their long keys
+
+
+def test_paths_broadcast_no_nodes(spark, tmp_path, monkeypatch):
+    """Nodes in a small file may be many: trees, jumps and legs meet by merge."""
+    spark.range(1, 3000).selectExpr("id", "CASE WHEN id > 1 THEN id div 2 END AS parent", "id AS dist", "cast(id % 11 AS int) AS r", "cast(id % 13 AS int) AS c", "1.0D AS h").write.parquet(f"{tmp_path}/tree")
+    tree, plans_of, real = spark.read.parquet(f"{tmp_path}/tree"), [], paths.written
+
+    def recorded(df, name):
+        plans_of.append(_plan(df))
+        return real(df, name)
+
+    monkeypatch.setattr(paths, "written", recorded)
+    path = paths.backtrace(tree, tree.filter("id > 2000").select("id"))
+    plans_of += [_plan(df) for df in (paths.legs(tree), paths.profile(path, tree), paths.along(path, paths.legs(tree)))]
+    joins = [line for p in plans_of for line in p.splitlines() if "Join " in line]
+    assert len(joins) > 10 and all("strategy=merge" in line for line in joins)
+    assert path.count() == sum(k.bit_length() for k in range(2001, 3000))
