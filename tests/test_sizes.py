@@ -145,3 +145,12 @@ def test_paths_broadcast_no_nodes(spark, tmp_path, monkeypatch):
     joins = [line for p in plans_of for line in p.splitlines() if "Join " in line]
     assert len(joins) > 10 and all("strategy=merge" in line for line in joins)
     assert path.count() == sum(k.bit_length() for k in range(2001, 3000))
+
+
+def test_rasters_broadcast_no_nodes(spark, tmp_path):
+    """The nodes of a store are looked up by merge, whatever the size of its files."""
+    asked, cells = plans._requests(spark, SF), raster.fill_voids(inputs.dem(spark, SF), ("tile",))
+    lookups = [line for line in _plan(Q.rasters(asked, cells, inputs.SIDE, plans.ACROSS, str(tmp_path / "none"))).splitlines() if "Join Inner" in line and "tile" in line]
+    points = spark.range(3).selectExpr("id", "0 AS gr", "0 AS gc")
+    lookups += [line for line in _plan(raster.lookup_cells(points, cells, inputs.SIDE, plans.ACROSS)).splitlines() if "Join Inner" in line and "tile" in line]
+    assert lookups and all("strategy=merge" in line for line in lookups)
