@@ -61,6 +61,7 @@ def parameters(requests: DataFrame) -> DataFrame:
 
 _SEARCHES = "key string, batch string, search_id long, gr int, gc int, ground double, height double"
 _NODES = "search_id long, gr int, gc int, height double, dist double, ref_gr int, ref_gc int, near boolean"
+_LINE = "array<struct<gc:int,height:double,agl:double,near:boolean>>"
 
 
 def stored_searches(spark: SparkSession, store: str) -> DataFrame:
@@ -144,16 +145,23 @@ def cones(requests: DataFrame, cells: DataFrame, side: int, across: int, cell_m:
 def rasters(requests: DataFrame, cells: DataFrame, side: int, across: int, store: str) -> DataFrame:
     """(request_id, r, c, height, agl, near): every cell of the box around what a request reaches; ``NOWHERE`` where no glide comes.
 
-    Rows and columns count from the box's corner. The raster of a search is made once and then given to each request that shares it.
+    Rows and columns count from the box's corner. A search's nodes are gathered once to the lines of its raster; requests meet lines, by merge, and only
+    then are the cells between the nodes filled in, so no row per cell is moved and no table that grows is broadcast. A line has a row of the mosaic at most.
     """
     found, boxes, nodes = _answers(requests, store)
     known = lookup_cells(nodes.select("batch", "search_id", "gr", "gc", "height", "near"), cells, side, across)
-    every = boxes.withColumn("gr", F.explode(F.sequence("min_gr", "max_gr"))).withColumn("gc", F.explode(F.sequence("min_gc", "max_gc")))
-    drawn = every.join(known, ["batch", "search_id", "gr", "gc"], "left").select(
-        "batch", "search_id", (F.col("gr") - F.col("min_gr")).alias("r"), (F.col("gc") - F.col("min_gc")).alias("c"), F.coalesce("height", F.lit(NOWHERE)).alias("height"),
-        F.coalesce(F.col("height") - F.col("ground"), F.lit(NOWHERE)).alias("agl"), F.coalesce("near", F.lit(False)).alias("near"),
-    )
-    return found.select("request_id", "batch", "search_id").join(drawn, ["batch", "search_id"]).select("request_id", "r", "c", "height", "agl", "near")
+    agl = F.coalesce(F.col("height") - F.col("ground"), F.lit(NOWHERE))
+    lines = known.groupBy("batch", "search_id", "gr").agg(F.collect_list(F.struct("gc", "height", agl.alias("agl"), "near")).alias("known"))
+    wanted = found.select("request_id", "batch", "search_id").join(boxes.hint("merge"), ["batch", "search_id"]).withColumn("gr", F.explode(F.sequence("min_gr", "max_gr")))
+    drawn = wanted.join(lines.hint("merge"), ["batch", "search_id", "gr"], "left")
+
+    def nowhere(gc: Column) -> Column:
+        return F.struct(gc.alias("gc"), F.lit(NOWHERE).alias("height"), F.lit(NOWHERE).alias("agl"), F.lit(False).alias("near"))
+
+    reached = F.coalesce("known", F.array().cast(_LINE))
+    between = F.transform(F.array_except(F.sequence("min_gc", "max_gc"), F.transform(reached, lambda x: x["gc"])), nowhere)
+    every = drawn.select("request_id", (F.col("gr") - F.col("min_gr")).alias("r"), "min_gc", F.explode(F.concat(reached, between)).alias("x"))
+    return every.select("request_id", "r", (F.col("x.gc") - F.col("min_gc")).alias("c"), "x.height", "x.agl", "x.near")
 
 
 def grids(requests: DataFrame, side: int, across: int, down: int, cell_m: float, corner: tuple[float, float], degrees: tuple[float, float]) -> DataFrame:

@@ -154,3 +154,34 @@ def test_rasters_broadcast_no_nodes(spark, tmp_path):
     points = spark.range(3).selectExpr("id", "0 AS gr", "0 AS gc")
     lookups += [line for line in _plan(raster.lookup_cells(points, cells, inputs.SIDE, plans.ACROSS)).splitlines() if "Join Inner" in line and "tile" in line]
     assert lookups and all("strategy=merge" in line for line in lookups)
+
+
+def test_rasters_move_no_row_per_cell(spark, tmp_path):
+    """Requests, boxes and lines meet by merge, and the cells of a raster come out of the last join."""
+    asked, cells = plans._requests(spark, SF), raster.fill_voids(inputs.dem(spark, SF), ("tile",))
+    top = _plan(Q.rasters(asked, cells, inputs.SIDE, plans.ACROSS, str(tmp_path / "none")))
+    joins = [line for line in top.splitlines() if "Join Inner" in line and "tile" not in line or "Join LeftOuter" in line]
+    assert len(joins) > 2 and all("strategy=merge" in line for line in joins), joins
+    below = top[top.index("Join LeftOuter") :]
+    assert "explode(sequence(min_gr" in below and "explode(sequence(min_gc" not in below
+
+
+def test_rasters_fill_whole_lines(spark, tmp_path):
+    """Two requests of one search whose nodes leave out cells and a whole line, and a request of another search, against their definition."""
+    side, across, store = 4, 3, str(tmp_path / "store")
+    cells = spark.range(9).crossJoin(spark.range(side * side).withColumnRenamed("id", "i")).selectExpr("id AS tile", f"cast(i div {side} AS int) AS r", f"cast(i % {side} AS int) AS c", "cast(id * 100 + i AS int) AS h")
+    asked = spark.createDataFrame([(1, 5, 5, 10.0), (2, 5, 5, 10.0), (3, 2, 2, 20.0), (4, 2, 2, 30.0)], "request_id long, gr int, gc int, start_height double")
+    keys = {r["request_id"]: r["key"] for r in Q.parameters(asked).collect()}
+    spark.createDataFrame([(keys[k], "b", s, gr, gc, 0.0, 0.0) for k, s, gr, gc in ((1, 7, 5, 5), (3, 8, 2, 2), (4, 9, 2, 2))], Q._SEARCHES).write.parquet(f"{store}/searches")
+    nodes = {7: {(3, 2): True, (3, 9): False, (5, 5): True, (6, 3): False}, 8: {(0, 11): True}}  # search 9 reaches nothing
+    spark.createDataFrame([(s, r, c, 1000.5 + r, 0.0, None, None, near) for s, at in nodes.items() for (r, c), near in at.items()], Q._NODES).write.parquet(f"{store}/nodes/batch=b")
+    want = []
+    for request, s in ((1, 7), (2, 7), (3, 8)):
+        rows, cols = zip(*nodes[s], strict=True)
+        for r in range(min(rows), max(rows) + 1):
+            for c in range(min(cols), max(cols) + 1):
+                ground = (r // side * across + c // side) * 100 + r % side * side + c % side
+                known = (1000.5 + r, 1000.5 + r - ground, nodes[s][r, c]) if (r, c) in nodes[s] else (-1000.0, -1000.0, False)
+                want.append((request, r - min(rows), c - min(cols), *known))
+    got = sorted(map(tuple, Q.rasters(asked, cells, side, across, store).collect()))
+    assert got == sorted(want)
