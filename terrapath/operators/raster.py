@@ -98,14 +98,21 @@ def lookup_tiles(points: DataFrame, cells: DataFrame, side: int, across: int, bo
     return keyed.join(cells.select("tile", "r", "c", "h"), ["tile", "r", "c"]).select("id", "tile", "r", "c", "h")
 
 
+#: Cells of a line that are looked up as one row.
+RUN = 32
+
+
 def lookup_cells(points: DataFrame, cells: DataFrame, side: int, across: int) -> DataFrame:
     """``points`` (id, gr, gc: a cell of the whole mosaic) with the height ``ground`` of their cell.
 
-    Neither side is broadcast: Spark takes points that come from files for as small as these, which compress well.
+    Neither side is broadcast: Spark takes points that come from files for as small as these, which compress well. Cells are moved and ordered by runs of ``RUN``, and not one by one.
     """
-    tile = F.floor(F.col("gr") / side) * across + F.floor(F.col("gc") / side)
-    keyed = points.withColumns({"tile": tile.cast("long"), "r": F.pmod("gr", F.lit(side)).cast("int"), "c": F.pmod("gc", F.lit(side)).cast("int")})
-    return keyed.join(cells.select(F.col("tile").cast("long").alias("tile"), "r", "c", F.col("h").alias("ground")).hint("merge"), ["tile", "r", "c"]).drop("tile", "r", "c")
+    tile, run = F.floor(F.col("gr") / side) * across + F.floor(F.col("gc") / side), F.floor(F.col("c") / RUN)
+    keyed = points.withColumns({"tile": tile.cast("long"), "r": F.pmod("gr", F.lit(side)).cast("int"), "c": F.pmod("gc", F.lit(side)).cast("int")}).withColumn("run", run)
+    of_run = F.array_sort(F.collect_list(F.struct(F.col("c").cast("int").alias("c"), "h"))).alias("x")
+    runs = cells.groupBy(F.col("tile").cast("long").alias("tile"), "r", run.alias("run")).agg(of_run).select("tile", "r", "run", F.col("x.c").alias("in_run"), F.col("x.h").alias("heights"))
+    met = keyed.join(runs.hint("merge"), ["tile", "r", "run"]).withColumn("at", F.array_position("in_run", F.col("c")).cast("int")).filter("at > 0")
+    return met.withColumn("ground", F.get("heights", F.col("at") - 1)).drop("tile", "r", "c", "run", "in_run", "heights", "at")
 
 
 def search_setup(points: DataFrame, cells: DataFrame, side: int, across: int, cell_m: float, glide: float, trim: float, wind: float, additional: float) -> DataFrame:

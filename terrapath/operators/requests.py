@@ -123,10 +123,11 @@ def cones(requests: DataFrame, cells: DataFrame, side: int, across: int, cell_m:
     """What ``documents.cone_pieces`` writes: the metadata of each request that reaches anything, and its nodes.
 
     Indexes count from the corner of the box around what a request reaches. Metadata: request_id, rows, cols, start_r, start_c, start_height, cell_size, min_cell_size,
-    angular_resolution (rows, columns), south, west, north, east. Nodes: request_id, r, c, height, dist, ref_r, ref_c (null at the start), ground. The
-    nodes of a search that several requests share are looked up once.
+    angular_resolution (rows, columns), south, west, north, east. Nodes: r, c, height, dist, ref_r, ref_c (null at the start), ground. Both have the search
+    (batch, search_id): the nodes of one that several requests share are there once.
     """
     found, boxes, nodes = _answers(requests, store)
+    boxes, search = written(boxes, "boxes").hint("merge"), ["batch", "search_id"]
     size = {n: (F.col(f"max_{x}") - F.col(f"min_{x}") + 1).cast("int") for x, n in (("gr", "rows"), ("gc", "cols"))}
     start = {n: (F.col(x) - F.col(f"min_{x}")).cast("int") for x, n in (("gr", "start_r"), ("gc", "start_c"))}
 
@@ -135,11 +136,10 @@ def cones(requests: DataFrame, cells: DataFrame, side: int, across: int, cell_m:
 
     edges = {"south": degree(0, F.col("min_gr")), "west": degree(1, F.col("min_gc")), "north": degree(0, F.col("max_gr") + 1), "east": degree(1, F.col("max_gc") + 1)}
     cell = {"cell_size": F.lit(cell_m), "min_cell_size": F.lit(cell_m), "angular_resolution": F.array(*(F.lit(d).cast("decimal(9,6)") for d in degrees))}
-    metas = found.join(boxes, ["batch", "search_id"]).withColumns(size | start | edges | cell).select("request_id", *size, *start, F.col("height").alias("start_height"), *cell, *edges)
-    known = lookup_cells(nodes.select("batch", "search_id", "gr", "gc", "height", "dist", "ref_gr", "ref_gc"), cells, side, across).join(boxes, ["batch", "search_id"])
+    metas = found.join(boxes, search).withColumns(size | start | edges | cell).select("request_id", *search, *size, *start, F.col("height").alias("start_height"), *cell, *edges)
+    known = lookup_cells(nodes.select(*search, "gr", "gc", "height", "dist", "ref_gr", "ref_gc"), cells, side, across).join(boxes, search)
     indexes = [(F.col(x) - F.col(f"min_{o}")).cast("int").alias(n) for x, o, n in (("gr", "gr", "r"), ("gc", "gc", "c"), ("ref_gr", "gr", "ref_r"), ("ref_gc", "gc", "ref_c"))]
-    at = known.select("batch", "search_id", *indexes, "height", "dist", "ground")
-    return metas, found.select("request_id", "batch", "search_id").join(at, ["batch", "search_id"]).drop("batch", "search_id")
+    return metas, known.select(*search, *indexes, "height", "dist", "ground")
 
 
 def rasters(requests: DataFrame, cells: DataFrame, side: int, across: int, store: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..operators.spatial import EDGES, boxes_join
+from ..shared import written
 
 #: Cells along a side of the block whose nodes make up a piece.
 BLOCK = 16
@@ -23,16 +24,25 @@ def in_pieces(metas: DataFrame, items: DataFrame, key: str, name: str) -> DataFr
     bound how many items one holds, ``item`` is JSON, and the array is in the order of (piece, pos), pieces being numbers from 0. Items of a key
     without ``metas`` are left out; a document without items has an empty array.
     """
-    members = F.to_json(F.struct(*(F.col(f"`{c}`") for c in metas.columns if c != key)), _NULLS)
-    opened = F.when(F.length(members) > 2, F.concat(F.substring(members, F.lit(1), F.length(members) - 1), F.lit(","))).otherwise("{")
-    head = metas.select(key, F.lit(-1).alias("piece"), F.concat(opened, F.lit(f'"{name}":[')).alias("text"))
-    tail = metas.select(key, F.lit(_TAIL).alias("piece"), F.lit("]}").alias("text"))
-    known = items.join(metas.select(key), key, "left_semi")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), ",")
-    body = known.groupBy(key, F.col("piece").cast("int").alias("piece")).agg(listed.alias("text"))
-    first = known.groupBy(key).agg(F.min(F.col("piece").cast("int")).alias("first"))
+    return _around(metas, items.groupBy(key, F.col("piece").cast("int").alias("piece")).agg(listed.alias("text")), key, [key], name)
+
+
+def _around(metas: DataFrame, texts: DataFrame, key: str, by: list[str], name: str) -> DataFrame:
+    """(key, piece, text): the documents of ``metas`` around ``texts`` (the columns ``by``, piece, text), which those of equal ``by`` share.
+
+    Texts and the documents' beginnings are written, so that what makes them runs once; a text is moved once for all documents that share it.
+    """
+    members = F.to_json(F.struct(*(F.col(f"`{c}`") for c in metas.columns if c not in (key, *by))), _NULLS)
+    opened = F.when(F.length(members) > 2, F.concat(F.substring(members, F.lit(1), F.length(members) - 1), F.lit(","))).otherwise("{")
+    heads = written(metas.select(*dict.fromkeys((key, *by)), F.concat(opened, F.lit(f'"{name}":[')).alias("text")), "heads")
+    made = written(texts, "pieces")
+    first = made.groupBy(*by).agg(F.min("piece").alias("first"))
+    documents = heads.drop("text").join(first.hint("merge"), by)
     comma = F.when(F.col("piece") > F.col("first"), ",").otherwise("")
-    return head.unionByName(body.join(first, key).select(key, "piece", F.concat(comma, "text").alias("text"))).unionByName(tail)
+    body = made.join(documents.hint("merge"), by).select(key, "piece", F.concat(comma, "text").alias("text"))
+    ends = F.array(F.struct(F.lit(-1).alias("piece"), "text"), F.struct(F.lit(_TAIL).alias("piece"), F.lit("]}").alias("text")))
+    return heads.select(key, F.explode(ends).alias("x")).select(key, "x.piece", "x.text").unionByName(body)
 
 
 def write_pieces(pieces: DataFrame, key: str, path: str) -> None:
@@ -47,20 +57,24 @@ def _pair(a, b) -> Column:
 def cone_pieces(metas: DataFrame, nodes: DataFrame) -> DataFrame:
     """(request_id, piece, text): the cone of each request, as ``requests.cones`` gives it, with metadata and nodes.
 
-    A node has its index, whole metres of height and distance (both cut), the reference's index or null, and whole metres above ground.
+    A node has its index, whole metres of height and distance (both cut), the reference's index or null, and whole metres above ground. Nodes
+    become text after they were gathered to pieces, once for all requests of a search.
     """
+    search = ["batch", "search_id"]
     members = metas.select(
-        "request_id", "cell_size", "min_cell_size", F.col("angular_resolution"), _pair("south", "north").alias("lat"), _pair("west", "east").alias("lon"),
+        "request_id", *search, "cell_size", "min_cell_size", F.col("angular_resolution"), _pair("south", "north").alias("lat"), _pair("west", "east").alias("lon"),
         _pair("start_r", "start_c").alias("start_ix"), _pair("rows", "cols").alias("grid_shape"), "start_height",
     )
     whole = F.col("height").cast("int")
-    node = F.struct(
-        _pair("r", "c").alias("index"), whole.alias("height"), F.col("dist").cast("int").alias("distance"),
-        F.when(F.col("ref_r").isNotNull(), _pair("ref_r", "ref_c")).alias("reference"), (whole - F.col("ground").cast("int")).alias("agl"),
-    )
     block = F.floor(F.col("r") / BLOCK) * 32_768 + F.floor(F.col("c") / BLOCK)
-    items = nodes.select("request_id", block.alias("piece"), F.struct("r", "c").alias("pos"), F.to_json(node, _NULLS).alias("item"))
-    return in_pieces(members, items, "request_id", "nodes")
+    listed = F.array_sort(F.collect_list(F.struct("r", "c", whole.alias("height"), F.col("dist").cast("int").alias("dist"), "ref_r", "ref_c", (whole - F.col("ground").cast("int")).alias("agl"))))
+
+    def node(x: Column) -> Column:
+        reference = F.when(x["ref_r"].isNotNull(), _pair(x["ref_r"], x["ref_c"]))
+        return F.struct(_pair(x["r"], x["c"]).alias("index"), x["height"].alias("height"), x["dist"].alias("distance"), reference.alias("reference"), x["agl"].alias("agl"))
+
+    text = F.btrim(F.to_json(F.transform(listed, node), _NULLS), F.lit("[]"))  # the nodes without the array's brackets
+    return _around(members, nodes.groupBy(*search, block.cast("int").alias("piece")).agg(text.alias("text")), "request_id", search, "nodes")
 
 
 def height_map_pieces(metas: DataFrame, heights: DataFrame) -> DataFrame:

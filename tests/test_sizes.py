@@ -8,6 +8,7 @@ from terrapath.operators import paths, raster, reach, tiles
 from terrapath.operators import requests as Q
 from terrapath.plans import inputs
 from terrapath.plans import requests as plans
+from terrapath.sources import documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -185,3 +186,33 @@ def test_rasters_fill_whole_lines(spark, tmp_path):
                 want.append((request, r - min(rows), c - min(cols), *known))
     got = sorted(map(tuple, Q.rasters(asked, cells, side, across, store).collect()))
     assert got == sorted(want)
+
+
+def test_cones_make_each_text_once(spark, tmp_path):
+    """Requests alike share the nodes and the texts of their search, texts are made before they meet requests, and what grows meets by merge."""
+    asked, cells, store = plans._requests(spark, SF), raster.fill_voids(inputs.dem(spark, SF), ("tile",)), str(tmp_path / "store")
+    searches = Q.search_once(asked, cells, inputs.SIDE, plans.ACROSS, plans.CELL_M, store)
+    assert searches < asked.count()
+    metas, nodes = Q.cones(asked, cells, inputs.SIDE, plans.ACROSS, plans.CELL_M, plans.CORNER, plans.DEGREES, store)
+    assert nodes.count() == Q.stored_nodes(spark, store).count()
+    pieces = documents.cone_pieces(metas, nodes)
+    top = _plan(pieces)
+    joins = [line for line in top.splitlines() if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins) and "collect_list" not in top
+    texts = pieces.filter("piece between 0 and 2147483646")
+    assert texts.select("text").distinct().count() < texts.count() and texts.select("request_id").distinct().count() == metas.count()
+
+
+def test_cells_are_looked_up_by_runs(spark):
+    """Sides that are no multiple of a run, cells that lack and cells without height, against a plain look; a run of cells is moved as one row."""
+    side, across = raster.RUN + 5, 2
+    ground = {(tile, r, c): None if (r + c) % 7 == 0 else tile * 1000 + r * side + c for tile in range(4) for r in (0, 1, side - 1) for c in range(side) if (r * 3 + c) % 5}
+    cells = spark.createDataFrame([(*at, h) for at, h in ground.items()], "tile long, r int, c long, h int")
+    points = [(k, r, c) for k, (r, c) in enumerate((r, c) for r in (-1, 0, 1, 2, side - 1, side, side + 1, 2 * side) for c in range(2 * side))]
+    got = raster.lookup_cells(spark.createDataFrame(points, "id long, gr int, gc int"), cells, side, across)
+    at = {k: (r // side * across + c // side, r % side, c % side) for k, r, c in points}
+    want = [(k, r, c, ground[at[k]]) for k, r, c in points if at[k] in ground]
+    assert got.columns == ["id", "gr", "gc", "ground"] and sorted(map(tuple, got.collect()), key=lambda x: x[0]) == want and None in {x[3] for x in want}
+    assert got.filter("ground is null").count() == sum(x[3] is None for x in want)
+    below = _plan(got).split("Join ")[1]
+    assert "collect_list" in below
