@@ -9,7 +9,7 @@ again, until none do. References travel with the borders, so a leg may cross any
 
 Ground is kept in blocks of ``BLOCK`` cells a side, read where a search could come; each search has its own glide, wind and margin.
 Tables between the rounds are joined by merge: by the size of their files, which compress well, Spark would send ground, rims and searches to all executors, and
-would solve all blocks of a round in one task.
+would solve all blocks of a round in one task. A row holds a block, so the rounds read few rows at once: thousands of them, as a reader takes by itself, fill an executor.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import arrow_batches, written
+from ..shared import arrow_batches, read_batches, written
 
 #: Cells along one side of a block.
 BLOCK = 128
+#: Blocks that a task holds at once.
+BATCH = 32
 STEPS = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)
 #: What a search may bring along, and what holds where it doesn't.
 DEFAULTS = {"glide": 1 / 8, "trim": 38.0, "wind": 0.0, "wind_dir": 0.0, "margin": 0.0, "start_distance": 0.0}
@@ -217,28 +219,28 @@ def reach(cells: DataFrame, starts: DataFrame, side: int, across: int, cell_m: f
         *((F.col(k) if k in starts.columns else F.lit(v)).cast("double").alias(k) for k, v in given.items()),
     )
     searches = written(searches.filter(F.col("height").isNotNull() & (F.col("gr") >= 0) & F.col("gc").between(0, across * side - 1)), "searches")
-    with arrow_batches(spark, 32):
+    with arrow_batches(spark, BATCH):
         blocks = written(_blocks(cells, searches, side, across, cell_m, block), "blocks")
     key, edge = ["search_id", "br", "bc"], ["search_id", "br", "bc", "from_r", "from_c"]
     rims = spark.createDataFrame([], f"search_id long, br int, bc int, from_r int, from_c int, rim {_CELLS}")
     touched = searches.select("search_id", F.floor(F.col("gr") / block).cast("int").alias("br"), F.floor(F.col("gc") / block).cast("int").alias("bc"))
     rounds: list[DataFrame] = []
     blocks, named = blocks.hint("merge"), searches.hint("merge")
-    while True:
-        at = rims.hint("merge").join(touched, key, "left_semi").groupBy(key).agg(F.collect_list("rim").alias("rims")).hint("merge")  # eight at most
-        asked = touched.join(named, "search_id").join(at, key, "left").join(blocks, ["br", "bc"])  # ground last: it is not moved with each search
-        with arrow_batches(spark, 32):
+    with arrow_batches(spark, BATCH), read_batches(spark, BATCH):
+        while True:
+            at = rims.hint("merge").join(touched, key, "left_semi").groupBy(key).agg(F.collect_list("rim").alias("rims")).hint("merge")  # eight at most
+            asked = touched.join(named, "search_id").join(at, key, "left").join(blocks, ["br", "bc"])  # ground last: it is not moved with each search
             fresh = written(asked.mapInArrow(_solver(block, cell_m), f"search_id long, br int, bc int, cells {_CELLS}"), "solved")
-        rounds.append(fresh.withColumn("round", F.lit(len(rounds))))
-        before = rims.select(*edge, F.col("rim").alias("before")).hint("merge")
-        new = ~F.col("rim").eqNullSafe(F.coalesce("before", F.array().cast(_CELLS)))
-        shown = written(_rims(fresh, block).join(before, edge, "left").withColumn("new", new).drop("before"), "rims")
-        if shown.filter("new").isEmpty():
-            break
-        touched = shown.filter("new").select(key).distinct()
-        rims = written(rims.join(shown.select(edge).hint("merge"), edge, "left_anti").unionByName(shown.filter(F.size("rim") > 0).drop("new")), "rims")
-    every = functools.reduce(DataFrame.unionByName, rounds)
-    last = every.groupBy(key).agg(F.max("round").alias("round"))
-    solved = every.join(last.hint("merge"), [*key, "round"], "left_semi")  # a block counts as it was solved last
-    one = written(solved.select("search_id", F.explode("cells").alias("x")), "reach")
+            rounds.append(fresh.withColumn("round", F.lit(len(rounds))))
+            before = rims.select(*edge, F.col("rim").alias("before")).hint("merge")
+            new = ~F.col("rim").eqNullSafe(F.coalesce("before", F.array().cast(_CELLS)))
+            shown = written(_rims(fresh, block).join(before, edge, "left").withColumn("new", new).drop("before"), "rims")
+            if shown.filter("new").isEmpty():
+                break
+            touched = shown.filter("new").select(key).distinct()
+            rims = written(rims.join(shown.select(edge).hint("merge"), edge, "left_anti").unionByName(shown.filter(F.size("rim") > 0).drop("new")), "rims")
+        every = functools.reduce(DataFrame.unionByName, rounds)
+        last = every.groupBy(key).agg(F.max("round").alias("round"))
+        solved = every.join(last.hint("merge"), [*key, "round"], "left_semi")  # a block counts as it was solved last
+        one = written(solved.select("search_id", F.explode("cells").alias("x")), "reach")
     return one.select("search_id", F.col("x.r").alias("gr"), F.col("x.c").alias("gc"), F.col("x.h").alias("height"), F.col("x.d").alias("dist"), F.col("x.pr").alias("ref_gr"), F.col("x.pc").alias("ref_gc"), F.col("x.near").alias("near"))

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,17 +44,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to a fresh shared folder and reads it back: a lost executor costs a read, not the work behind it."""
+def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Writes ``df`` to a fresh shared folder and reads it back: a lost executor costs a read, not the work behind it.
+
+    A reader holds thousands of rows of a group at once; where rows are large, ``group_bytes`` bounds a group and so what a reader holds.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.size": group_bytes} if group_bytes else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, Arrow batches of jobs hold no more than ``rows`` rows; afterwards the session is as before."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _at_most(spark: SparkSession, name: str, rows: int) -> Iterator[None]:
     before = spark.conf.get(name)
     if not 0 < int(before) <= rows:
         spark.conf.set(name, str(rows))
@@ -62,3 +63,13 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def arrow_batches(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Within it, Arrow batches of jobs hold no more than ``rows`` rows; afterwards the session is as before."""
+    return _at_most(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def read_batches(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Within it, jobs read no more than ``rows`` rows of a Parquet file at once; afterwards the session is as before."""
+    return _at_most(spark, "spark.sql.parquet.columnarReaderBatchSize", rows)

@@ -13,6 +13,8 @@ from ..shared import written
 BLOCK = 16
 #: Places of an answer: default and greatest number (fixed values).
 PLACES, MOST_PLACES = 200, 10_000
+#: Bytes of texts that a reader of pieces holds at once.
+GROUP_BYTES = 16 * 2**20
 _TAIL = 2**31 - 1
 _NULLS = {"ignoreNullFields": "false"}
 
@@ -36,7 +38,7 @@ def _around(metas: DataFrame, texts: DataFrame, key: str, by: list[str], name: s
     members = F.to_json(F.struct(*(F.col(f"`{c}`") for c in metas.columns if c not in (key, *by))), _NULLS)
     opened = F.when(F.length(members) > 2, F.concat(F.substring(members, F.lit(1), F.length(members) - 1), F.lit(","))).otherwise("{")
     heads = written(metas.select(*dict.fromkeys((key, *by)), F.concat(opened, F.lit(f'"{name}":[')).alias("text")), "heads")
-    made = written(texts, "pieces")
+    made = written(texts, "pieces", GROUP_BYTES)
     first = made.groupBy(*by).agg(F.min("piece").alias("first"))
     documents = heads.drop("text").join(first.hint("merge"), by)
     comma = F.when(F.col("piece") > F.col("first"), ",").otherwise("")

@@ -1,7 +1,9 @@
 """Steps whose plans must hold at any size: no cells sent to the driver, no limit on rows, parts that grow in number and not in size."""
 
+import glob
 import inspect
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from terrapath.operators import paths, raster, reach, tiles
@@ -216,3 +218,38 @@ def test_cells_are_looked_up_by_runs(spark):
     assert got.filter("ground is null").count() == sum(x[3] is None for x in want)
     below = _plan(got).split("Join ")[1]
     assert "collect_list" in below
+
+
+def test_rounds_read_few_blocks_at_once(spark, monkeypatch):
+    """A row of a round's tables holds up to a block of cells: a reader that takes 4,096 of them fills an executor."""
+    name, seen, real = "spark.sql.parquet.columnarReaderBatchSize", {}, reach.written
+    before = spark.conf.get(name)
+
+    def recorded(df, table):
+        seen.setdefault(table, set()).add(int(spark.conf.get(name)))
+        return real(df, table)
+
+    monkeypatch.setattr(reach, "written", recorded)
+    starts = spark.createDataFrame([(1, 8, 8, 2000.0)], "search_id long, gr int, gc int, height double")
+    assert reach.reach(raster.fill_voids(inputs.dem(spark, SF), ("tile",)), starts, inputs.SIDE, plans.ACROSS, plans.CELL_M, 16).count() > 0
+    assert all(max(seen[x]) <= reach.BATCH for x in ("solved", "rims", "reach")) and spark.conf.get(name) == before
+
+
+def test_groups_of_texts_are_bounded(spark, monkeypatch):
+    """A reader takes up to 4,096 rows of a group of rows at once; texts come in groups of bounded bytes."""
+    paths_of, real = [], documents.written
+
+    def recorded(df, *args):
+        out = real(df, *args)
+        paths_of.append(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(documents, "written", recorded)
+    monkeypatch.setattr(documents, "GROUP_BYTES", 200_000)
+    letters = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.sha2(F.concat_ws("-", F.col("id").cast("string"), k.cast("string")), 256)), "")
+    items = spark.range(0, 900, 1, 1).select(F.lit(1).cast("long").alias("key"), F.col("id").cast("int").alias("piece"), F.lit(0).alias("pos"), F.concat(F.lit('"'), letters, F.lit('"')).alias("item"))
+    metas = spark.createDataFrame([(1, "a")], "key long, name string")
+    assert documents.in_pieces(metas, items, "key", "xs").count() == 902
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in paths_of[1]]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 900 and max(g.total_byte_size for g in groups) < 2_000_000 < sum(g.total_byte_size for g in groups)
