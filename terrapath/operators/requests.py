@@ -32,6 +32,8 @@ LIMITS = {
 GRID_MARGIN = (15_000.0, 1_000.0, 300_000.0)
 #: What a raster holds where no glide comes (a fixed value).
 NOWHERE = -1000.0
+#: Degrees as JSON has them: six digits, and room for mosaics of any size, which go beyond 999 degrees where they are derived from keys.
+DEGREE = "decimal(18,6)"
 #: What makes two searches the same.
 PARAMETERS = ("gr", "gc", "start_height", "additional_height", *DEFAULTS)
 
@@ -132,10 +134,10 @@ def cones(requests: DataFrame, cells: DataFrame, side: int, across: int, cell_m:
     start = {n: (F.col(x) - F.col(f"min_{x}")).cast("int") for x, n in (("gr", "start_r"), ("gc", "start_c"))}
 
     def degree(k: int, cell: Column) -> Column:
-        return F.round(F.lit(corner[k]) + cell * degrees[k], 6).cast("decimal(9,6)")
+        return F.round(F.lit(corner[k]) + cell * degrees[k], 6).cast(DEGREE)
 
     edges = {"south": degree(0, F.col("min_gr")), "west": degree(1, F.col("min_gc")), "north": degree(0, F.col("max_gr") + 1), "east": degree(1, F.col("max_gc") + 1)}
-    cell = {"cell_size": F.lit(cell_m), "min_cell_size": F.lit(cell_m), "angular_resolution": F.array(*(F.lit(d).cast("decimal(9,6)") for d in degrees))}
+    cell = {"cell_size": F.lit(cell_m), "min_cell_size": F.lit(cell_m), "angular_resolution": F.array(*(F.lit(d).cast(DEGREE) for d in degrees))}
     metas = found.join(boxes, search).withColumns(size | start | edges | cell).select("request_id", *search, *size, *start, F.col("height").alias("start_height"), *cell, *edges)
     known = lookup_cells(nodes.select(*search, "gr", "gc", "height", "dist", "ref_gr", "ref_gc"), cells, side, across).join(boxes, search)
     indexes = [(F.col(x) - F.col(f"min_{o}")).cast("int").alias(n) for x, o, n in (("gr", "gr", "r"), ("gc", "gc", "c"), ("ref_gr", "gr", "ref_r"), ("ref_gc", "gc", "ref_c"))]

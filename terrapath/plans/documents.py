@@ -28,7 +28,7 @@ def height_map_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _filled(spark, sf_dir)
     heights = Q.grid_heights(metas, cells, I.SIDE, ACROSS)
     found = Q.grid_metadata(metas, Q.middle_heights(metas, cells, I.SIDE, ACROSS))
-    exact = {x: F.round(x, 6).cast("decimal(9,6)") for x in ("south", "west", "north", "east")}
+    exact = {x: F.round(x, 6).cast(Q.DEGREE) for x in ("south", "west", "north", "east")}
     return D.height_map_pieces(found.withColumns(exact), heights)
 
 

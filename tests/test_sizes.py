@@ -1,13 +1,14 @@
 """Steps whose plans must hold at any size: no cells sent to the driver, no limit on rows, parts that grow in number and not in size."""
 
-import glob
 import inspect
+import json
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from terrapath.operators import paths, raster, reach, tiles
 from terrapath.operators import requests as Q
+from terrapath.plans import documents as document_plans
 from terrapath.plans import inputs
 from terrapath.plans import requests as plans
 from terrapath.sources import documents
@@ -253,3 +254,20 @@ def test_groups_of_texts_are_bounded(spark, monkeypatch):
     files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in paths_of[1]]
     groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
     assert sum(g.num_rows for g in groups) == 900 and max(g.total_byte_size for g in groups) < 2_000_000 < sum(g.total_byte_size for g in groups)
+
+
+def test_documents_of_large_mosaics(spark, tmp_path):
+    """The mosaic grows with the keys: tiles of suppliers from some 83,000 on, and requests of three times as many, lie beyond 999 degrees."""
+    keys = [(k,) for k in (*range(100_000, 100_010), *range(300_000, 300_006))]
+    spark.createDataFrame(keys, "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    south = {}
+    for query in (document_plans.cone_documents, document_plans.height_map_documents):
+        texts = {}
+        for request, piece, text in sorted(map(tuple, query(spark, str(tmp_path)).select("request_id", "piece", "text").collect())):
+            texts[request] = texts.get(request, "") + text
+        south[query.__name__] = {k: json.loads(text)["lat"][0] for k, text in texts.items()}
+    asked = plans._requests(spark, str(tmp_path)).filter("request_id >= 300000")
+    reached = {r["request_id"]: r["gr"] for r in asked.collect()}
+    cones, maps = south["cone_documents"], south["height_map_documents"]
+    assert set(cones) == set(reached) and all(1000 < cones[k] <= 43 + reached[k] * 0.0018 + 1e-6 for k in cones)
+    assert set(maps) == {k for (k,) in keys} and all(1000 < x for x in maps.values())
