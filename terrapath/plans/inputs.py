@@ -55,7 +55,7 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tile"))
     parts = max(spark.sparkContext.defaultParallelism, -(-tiles.count() // PART_TILES))
     cells = tiles.repartition(parts, "tile").crossJoin(F.broadcast(spark.range(SIDE * SIDE).withColumnRenamed("id", "i")))
-    return cells.selectExpr("tile", f"i div {SIDE} AS r0", f"i % {SIDE} AS c").selectExpr("tile", "cast(r0 AS int) AS r", "c", f"cast({_HEIGHT} AS int) AS h")
+    return cells.selectExpr("tile", f"i div {SIDE} AS r0", f"i % {SIDE} AS c").selectExpr("tile", "cast(r0 AS int) AS r", "cast(c AS int) AS c", f"cast({_HEIGHT} AS int) AS h")
 
 
 _HEIGHT = f"CASE WHEN (r0 * {SIDE} + c) % 53 = 7 THEN -32768 ELSE 400 + (r0 * 37 + c * 61 + (r0 * c) % 97 + tile * 13) % 900 END"
